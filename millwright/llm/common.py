@@ -57,3 +57,24 @@ def written(df: DataFrame, *, folder: str | None = None) -> DataFrame:
     path = folder or shared_dir(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def runs(batches, key: str) -> Iterator[tuple[int, pa.Table]]:
+    """(key, its rows) for each run of rows with an equal integer ``key``; the batches come sorted by it."""
+    import numpy as np
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and keys[lo] != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = keys[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield last, pa.Table.from_batches(held)

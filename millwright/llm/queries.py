@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from millwright.llm.bpe import bpe_decode, bpe_encode
 from millwright.llm.common import table
+from millwright.llm.jaccard import jaccard_components
 from millwright.llm.pack import pack_documents
+from millwright.llm.suffix import repeated_spans
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +25,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), shingle_words=4, percent=85)
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_removed = (F.col("n_bytes") - F.length("kept")).alias("n_removed")
+    return repeated_spans(docs, min_bytes=400).select("doc_id", "n_bytes", n_removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }

@@ -78,3 +78,24 @@ def runs(batches, key: str) -> Iterator[tuple[int, pa.Table]]:
             held.append(batch.slice(lo, hi - lo))
     if held:
         yield last, pa.Table.from_batches(held)
+
+
+def extended(docs: DataFrame, inputs: dict, fields, work) -> DataFrame:
+    """``docs`` with the columns ``fields`` (a StructType) added, replacing any of the same name.
+
+    ``work`` gets an Arrow batch of the columns ``inputs`` (name to Column) and gives the arrays of ``fields``.
+    The other columns travel inside one struct, so their names cannot clash with anything.
+    """
+    from pyspark.sql import types as T
+
+    new = {f.name.lower() for f in fields}
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c.lower() not in new], F.lit(0).alias("_")).alias("row"), *[c.alias(n) for n, c in inputs.items()])
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *fields])
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column("row"), *work(batch)], schema.names)
+
+    out = rows.mapInArrow(run, schema)
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in new]
+    return out.select(*kept, *[f.name for f in fields])

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from millwright.llm.bpe import bpe_decode, bpe_encode
 from millwright.llm.common import table
+from millwright.llm.fingerprints import edited_fingerprints
 from millwright.llm.jaccard import jaccard_components
+from millwright.llm.media import read_media, store_media
 from millwright.llm.pack import pack_documents
+from millwright.llm.secrets import find_secrets
 from millwright.llm.suffix import repeated_spans
+from millwright.llm.token_counts import token_counts
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +33,30 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle_words=4, percent=85)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = joined(F.filter("secrets", lambda s: s["kind"] != "entropy"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = read_media(store_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    feature = F.array_join(F.transform("marks", lambda m: F.concat_ws(":", m["t"], F.lower(F.hex(m["pair"])))), ",").alias("feature")
+    last = F.substring("payload", -64, 64)
+    return media.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(last).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature)
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_removed = (F.col("n_bytes") - F.length("kept")).alias("n_removed")
@@ -39,5 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_token_counts": op5_token_counts,
+    "op6_secret_scans": op6_secret_scans,
+    "op7_document_fingerprints": op7_document_fingerprints,
+    "op9_media_columns": op9_media_columns,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }

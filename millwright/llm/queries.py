@@ -16,6 +16,7 @@ from millwright.llm.pack import pack_documents
 from millwright.llm.secrets import find_secrets
 from millwright.llm.suffix import repeated_spans
 from millwright.llm.token_counts import token_counts
+from millwright.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,14 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), folds=5, held_out_fold=0)
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out")
+    score = F.col("toxicity")
+    return score_toxicity(docs, model).select("doc_id", held_out, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.size("toxic_spans").alias("n_toxic_spans"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = read_media(store_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
     feature = F.array_join(F.transform("marks", lambda m: F.concat_ws(":", m["t"], F.lower(F.hex(m["pair"])))), ",").alias("feature")
@@ -70,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_secret_scans": op6_secret_scans,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_toxicity": op8_toxicity,
     "op9_media_columns": op9_media_columns,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millwright.llm.bpe import bpe_decode, bpe_encode
 from millwright.llm.common import table
+from millwright.llm.extract import extract_text, fit_extractor
 from millwright.llm.fingerprints import edited_fingerprints
 from millwright.llm.jaccard import jaccard_components
 from millwright.llm.media import read_media, store_media
@@ -30,6 +31,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = extract_text(pages.select("page_id", "url", "html"), fit_extractor(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle_words=4, percent=85)
 
@@ -75,6 +82,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_html_extraction": op3_html_extraction,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_token_counts": op5_token_counts,
     "op6_secret_scans": op6_secret_scans,

@@ -59,6 +59,12 @@ def written(df: DataFrame, *, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a table that an operator has written and needs no more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def runs(batches, key: str) -> Iterator[tuple[int, pa.Table]]:
     """(key, its rows) for each run of rows with an equal integer ``key``; the batches come sorted by it."""
     import numpy as np

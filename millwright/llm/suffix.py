@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.llm.common import shared_dir, written
+from millwright.llm.common import removed, shared_dir, written
 from millwright.llm.shingles import mix
 
 #: Length of a repeated string, of an anchor, number of batches, and classes of one anchor that one task compares.
-MIN_BYTES, GRAM, BATCHES, ANCHOR_CLASSES = 400, 128, 4, 2048
+MIN_BYTES, GRAM, BATCHES, ANCHOR_CLASSES = 400, 48, 2, 2048
 #: Window starts that one step of array operations takes; positions within a step have 24 bits.
 _STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -126,43 +126,51 @@ def _ranges(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class SuffixIndex:
-    """Levels of suffix classes (key, ctx, n, rep) in the shared folder; a level of rank r holds up to 2 ** r batches."""
+    """Levels of suffix classes in the shared folder; a level of rank r holds 2 ** r batches.
+
+    A class is (key, ctx): the hashes of its anchor and of its bytes.  Kept with it: n, how many entries it has; uid and at,
+    the text and place of one; extent, how many windows it stands for and how far its anchor is in.
+    """
 
     def __init__(self, spark, folder: str | None = None):
+        self.spark = spark
         self.folder = folder or shared_dir(spark)
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, DataFrame, str]] = []  # rank, classes, folder
         self.hits: list[DataFrame] = []
         self._tables = 0
 
     def _keep(self, df: DataFrame) -> DataFrame:
         self._tables += 1
-        return written(df, folder=f"{self.folder}/{self._tables}")
+        self._last = f"{self.folder}/{self._tables}"
+        return written(df, folder=self._last)
 
     @staticmethod
     def _merged(tables: list[DataFrame]) -> DataFrame:
         both = tables[0]
         for t in tables[1:]:
             both = both.unionByName(t)
-        return both.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+        return both.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min("uid").alias("uid"), F.min_by("at", "uid").alias("at"), F.min("extent").alias("extent"))
 
     def add(self, entries: DataFrame) -> None:
         """Takes a batch in: its suffix array is made, scanned against all levels, and levels of equal rank are merged."""
-        place = F.struct("doc_id", "th", "lo", "hi", "anchor")
-        new = self._keep(entries.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(place).alias("rep")).sortWithinPartitions("key", "ctx"))
+        new = self._keep(self._merged([entries.withColumn("n", F.lit(1).cast("long"))]).sortWithinPartitions("key", "ctx"))
+        rank, path = 0, self._last
         scan = new.select("key", "ctx", F.lit(True).alias("new"))
-        for _, level in self.levels:
+        for _, level, _ in self.levels:
             scan = scan.unionByName(level.select("key", "ctx", F.lit(False).alias("new")))
         several = (F.min("ctx") != F.max("ctx")) & F.bool_or("new")
         self.hits.append(self._keep(scan.groupBy("key").agg(several.alias("hit")).filter("hit").select("key")))
-        rank = 0
         while self.levels and self.levels[-1][0] == rank:
-            new = self._keep(self._merged([self.levels.pop()[1], new]).sortWithinPartitions("key", "ctx"))
-            rank += 1
-        self.levels.append((rank, new))
+            _, level, old = self.levels.pop()
+            merged = self._keep(self._merged([level, new]).sortWithinPartitions("key", "ctx"))
+            removed(self.spark, old)
+            removed(self.spark, path)
+            new, path, rank = merged, self._last, rank + 1
+        self.levels.append((rank, new, path))
 
     def classes(self) -> DataFrame:
         """All classes, with how many entries each has."""
-        return self._merged([level for _, level in self.levels])
+        return self.levels[0][1] if len(self.levels) == 1 else self._keep(self._merged([level for _, level, _ in self.levels]))
 
     def contested(self) -> DataFrame:
         """Keys at which a batch met a class other than its own."""
@@ -184,37 +192,45 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     others = [c for c in docs.columns if c.lower() not in ("n_bytes", "spans", "kept")]
     gram = min(gram, max(1, min_bytes // 2))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
-    source = rows.select("doc_id", "th", "text")
-    entry = "key long, ctx long, doc_id long, th long, lo long, hi long, anchor long"
+    # a text is known by its id and, where ids repeat, by a checksum; both checksum and place share one number
+    uid, check = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.crc32(F.encode(text, "UTF-8"))
+    rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), uid.alias("uid"), check.alias("th"))
+    field = others.index(next(c for c in others if c.lower() == text_col.lower()))
+
+    def texts_of(batch) -> list[bytes]:
+        return [(t or "").encode("utf-8", "replace") for t in batch.column("row").field(field).cast(pa.string()).to_pylist()]
 
     def list_entries(parts):
         for batch in parts:
-            ids, th = batch.column("doc_id"), batch.column("th")
-            texts = [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+            uid, th, texts = batch.column("uid"), batch.column("th").to_numpy(), [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
             for owner, lo, hi, anchor, key, ctx in _list_entries(texts, min_bytes, gram):
                 if len(owner):
-                    at = pa.array(owner)
-                    yield pa.record_batch([pa.array(key), pa.array(ctx), ids.take(at), th.take(at), pa.array(lo), pa.array(hi), pa.array(anchor)], [c.split()[0] for c in entry.split(", ")])
-
-    entries = written(source.mapInArrow(list_entries, entry).withColumn("batch", F.pmod(F.xxhash64("th"), F.lit(batches)).cast("int")))
-    index = SuffixIndex(spark)
+                    at = (lo << 32) | th[owner]
+                    extent = ((hi - lo + 1) << 32) | (anchor - lo)
+                    yield pa.record_batch([pa.array(key), pa.array(ctx), uid.take(pa.array(owner)), pa.array(at), pa.array(extent)], ["key", "ctx", "uid", "at", "extent"])
+
+    place, checksum, windows_of = F.shiftright("at", 32).alias("lo"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("th"), F.shiftright("extent", 32).alias("starts")
+    folder = shared_dir(spark)
+    listed = docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).mapInArrow(list_entries, "key long, ctx long, uid long, at long, extent long")
+    listed.withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(f"{folder}/entries")
+    entries = spark.read.schema("key long, ctx long, uid long, at long, extent long, batch int").parquet(f"{folder}/entries")
+    index = SuffixIndex(spark, folder)
     for b in range(batches):
         index.add(entries.filter(F.col("batch") == b).drop("batch"))
-    classes = written(index.classes())
+    classes = index.classes()
 
-    contested = classes.join(index.contested(), "key")
+    contested = classes.join(index.contested(), "key").select("key", "ctx", "uid", "at", "extent")
     counts = contested.groupBy("key").agg(F.count("*").alias("classes"))
-    wanted = contested.join(counts, "key").select("key", "ctx", "classes", "rep.*")
-    per_text = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "ctx", "classes", "lo", "hi", "anchor")).alias("wanted"))
-    fetched = source.join(per_text, source["doc_id"].eqNullSafe(per_text["doc_id"]) & (source["th"] == per_text["th"])).select("text", "wanted")
+    wanted = contested.join(counts, "key").select("key", "ctx", "uid", checksum, place, windows_of, "classes")
+    per_text = wanted.groupBy("uid", "th").agg(F.collect_list(F.struct("key", "ctx", "classes", "lo", "starts")).alias("wanted"))
+    fetched = rows.join(per_text, ["uid", "th"]).select("row", "wanted")
 
     def fetch(parts):
         for batch in parts:
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted")):
-                raw, w = text.encode("utf-8", "replace"), pa.RecordBatch.from_struct_array(wanted.values)
-                lo, hi = w["lo"].to_pylist(), w["hi"].to_pylist()
-                yield pa.record_batch([w["key"], w["ctx"], w["classes"], pa.array([b - a + 1 for a, b in zip(lo, hi)], pa.int64()), pa.array([raw[a : b + min_bytes] for a, b in zip(lo, hi)], pa.binary())], ["key", "ctx", "classes", "starts", "context"])
+            for raw, wanted in zip(texts_of(batch), batch.column("wanted")):
+                w = pa.RecordBatch.from_struct_array(wanted.values)
+                cut = [raw[a : a + n + min_bytes - 1] for a, n in zip(w["lo"].to_pylist(), w["starts"].to_pylist())]
+                yield pa.record_batch([w["key"], w["ctx"], w["classes"], w["starts"], pa.array(cut, pa.binary())], ["key", "ctx", "classes", "starts", "context"])
 
     contexts = fetched.mapInArrow(fetch, "key long, ctx long, classes long, starts long, context binary")
 
@@ -262,19 +278,20 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     many = windows.join(repeated, ["w1", "w2"]).select("key", "ctx", F.col("at").alias("first"), F.col("at").alias("last"))
     found = few.unionByName(many).groupBy("key", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("found"))
 
-    twice = classes.filter("n > 1").select("key", "ctx", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))).alias("found"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last")))  # to the last window
+    twice = classes.filter("n > 1").select("key", "ctx", whole.alias("found"))
     settled = twice.unionByName(found.join(classes.filter("n > 1"), ["key", "ctx"], "left_anti"))
-    hit = entries.join(settled, ["key", "ctx"]).select("doc_id", "th", F.transform("found", lambda x: F.struct((F.col("lo") + x["first"]).alias("start"), (F.coalesce(F.col("lo") + x["last"], F.col("hi")) + min_bytes).alias("end"))).alias("cover"))
-    cover = hit.groupBy("doc_id", "th").agg(F.flatten(F.collect_set("cover")).alias("cover"))
-    joined = rows.join(cover, rows["doc_id"].eqNullSafe(cover["doc_id"]) & (rows["th"] == cover["th"]), "left").select("row", "text", "cover")
+    spanned = lambda x: F.struct((F.col("lo") + x["first"]).alias("start"), (F.col("lo") + F.coalesce(x["last"], F.col("starts") - 1) + min_bytes).alias("end"))
+    hit = entries.join(settled, ["key", "ctx"]).select("uid", checksum, place, windows_of, "found").select("uid", "th", F.transform("found", spanned).alias("cover"))
+    cover = hit.groupBy("uid", "th").agg(F.flatten(F.collect_set("cover")).alias("cover"))
+    joined = rows.join(cover, ["uid", "th"], "left").select("row", "cover")
     span_type = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
     out_schema = T.StructType().add("row", joined.schema["row"].dataType).add("n_bytes", "long").add("spans", span_type).add("kept", "binary")
 
     def remove(parts):
         for batch in parts:
             n_bytes, spans, kept = [], [], []
-            for text, cover in zip(batch.column("text").to_pylist(), batch.column("cover").to_pylist()):
-                raw = text.encode("utf-8", "replace")
+            for raw, cover in zip(texts_of(batch), batch.column("cover").to_pylist()):
                 runs: list[list[int]] = []
                 for x in sorted(cover or [], key=lambda x: x["start"]):
                     if runs and x["start"] <= runs[-1][1]:

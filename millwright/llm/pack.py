@@ -1,9 +1,8 @@
 """Best-fit packing by sums of squares.
 
-A document's last piece shorter than a sequence is dealt to one of many groups of bounded size; in each, pieces go from long
-to short, each into that open bin for which the sum, over all gaps, of the squared number of open bins with this gap becomes
-smallest (ties: the smallest gap).  A bin is opened only where no open one has room.  Whole pieces are sequences of their own
-and are not moved.  Groups waste a bin or so each; their number follows the number of documents.
+Pieces are dealt out to many groups of bounded size; in each, they go from long to short, each into that open bin for which
+the sum, over all gaps, of the squared number of open bins with this gap becomes smallest (ties: the smallest gap).  A bin is
+opened only where no open one has room.  Groups waste a bin or so each; their number follows that of documents and characters.
 """
 
 from __future__ import annotations
@@ -59,8 +58,8 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     length = F.when(F.col("piece") == 0, F.col("first")).otherwise(F.lit(capacity)).cast("long")
     cut = numbered.withColumn("start", start).withColumn("length", length).select("doc_id", "piece", "start", "length", F.expr("substring(ids, cast(4 * start + 1 as int), cast(4 * length as int))").alias("ids"))
 
-    full = cut.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    groups = max(1, -(-docs.count() // group_pieces))
+    docs_and_chars = docs.select(F.count("*"), F.sum(F.length(F.col(text_col).cast("string")))).first()
+    groups = max(1, -(-(docs_and_chars[0] + (docs_and_chars[1] or 0) // capacity) // group_pieces))  # a token has a character or more, as a rule
     schema = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
     def pack(table: pa.Table) -> pa.Table:
@@ -69,5 +68,5 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         base = order["group"][0].as_py() << 32
         return order.drop_columns(["group"]).append_column("sequence_id", pa.array(base + bins)).append_column("offset", pa.array(offsets))
 
-    rest = cut.filter(F.col("length") < capacity).withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.crc32("ids")), F.lit(groups)))
-    return full.unionByName(rest.groupBy("group").applyInArrow(pack, schema))
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.crc32("ids")), F.lit(groups)))
+    return dealt.groupBy("group").applyInArrow(pack, schema)

@@ -11,6 +11,8 @@ from millwright.functions import columns as C
 from millwright.operators import balance, graph, joins, nodes, reports, windows
 from millwright.plans import adapters as A
 from millwright.plans.views import statement
+from millwright.sources import readers, writers
+from millwright.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -820,10 +822,10 @@ def filter_compile_only(s, d):
 _SRC = r"""select file_id, size / 1024 as kb, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '' and not starts_with(trim(x, ' '), '//'))) as code, len(regexp_extract_all(text, '#include')) as inc, len(regexp_extract_all(text, 'template\s*<')) + len(regexp_extract_all(text, 'std::\w+<')) / 5 as tpl from v_sources"""
 
 
-@query(f"select file_id, cast(kb * 1024 as bigint) as size_bytes, cast(code as bigint) as code_lines, cast(inc as bigint) as includes, round(tpl, 4) as templates, round(0.4 * kb + 0.3 * code / 100 + 0.2 * inc + 0.1 * tpl, 6) as complexity from ({_SRC})")
+@query(f"select file_id, cast(kb * 1024 as bigint) as size_bytes, cast(code as bigint) as code_lines, cast(inc as bigint) as includes, round(tpl, 4) as templates, floor((0.4::double * kb + 0.3::double * code / 100 + 0.2::double * inc + 0.1::double * tpl) * 1000) / 1000 as complexity from ({_SRC})")
 def source_complexity(s, d):
     f = C.source_features(F.col("text"))
-    return A.sources(s, d).select("file_id", (f["size_kb"] * 1024).cast("long").alias("size_bytes"), f["code_lines"].cast("long").alias("code_lines"), f["includes"].cast("long").alias("includes"), F.round(f["templates"].cast("double"), 4).alias("templates"), F.round(f["complexity"], 6).alias("complexity"))
+    return A.sources(s, d).select("file_id", (f["size_kb"] * 1024).cast("long").alias("size_bytes"), f["code_lines"].cast("long").alias("code_lines"), f["includes"].cast("long").alias("includes"), F.round(f["templates"].cast("double"), 4).alias("templates"), (F.floor(f["complexity"] * 1000) / 1000).alias("complexity"))
 
 
 @query(f"select file_id, round(case when kb < 10 then 0.5 + 0.05 * kb when kb < 50 then 1.0 + 0.04 * (kb - 10) else 2.6 + 0.03 * (kb - 50) end + 0.1 * least(tpl, 30) + 0.05 * least(inc, 15), 2) as seconds from ({_SRC})")
@@ -903,3 +905,157 @@ def needs_rebuild_flag(s, d):
     new = A.sources(s, d).select("file_id", F.md5("text").alias("hash"))
     old = new.select("file_id", F.when(F.col("file_id") % 20 == 0, "").otherwise(F.col("hash")).alias("before"))
     return new.join(old, "file_id", "left").select("file_id", (~F.col("hash").eqNullSafe(F.col("before"))).alias("changed"))
+
+
+# Sources, sinks and streams over data derived from the tables
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{root or 'file://' + tempfile.mkdtemp(prefix='spark-millwright-')}/millwright-{uuid.uuid4().hex}"
+
+
+@query("select line from v_log where line_no % 2 = 0")
+def read_log_lines(s, d):
+    A.log_lines(s, d).filter("line_no % 2 = 0").select("line").write.text(path := _folder(s))
+    return readers.read_log_lines(s, path).select("line")
+
+
+@query("select directory, file, list_aggregate(arguments, 'string_agg', ' ') as command from v_units where file not like '%.cu'")
+def read_compile_db(s, d):
+    one = F.to_json(F.collect_list(F.struct("directory", "arguments", "file"))).alias("value")
+    A.units(s, d).groupBy(F.floor(F.col("unit_id") / 1000).alias("part")).agg(one).write.partitionBy("part").text(path := _folder(s))  # a file of a thousand units
+    return readers.read_compile_db(s, path).select("directory", "file", F.array_join("arguments", " ").alias("command"))
+
+
+_HOSTS = "select 'h' || node_id as host, 3000 + node_id % 100 as port, case when node_id % 5 <> 0 then slots end as slots from v_nodes"
+
+
+def _hosts(s, d):
+    n = A.nodes(s, d)
+    spec = F.concat(F.lit("h"), F.col("node_id").cast("string"), F.lit(":"), (3000 + F.col("node_id") % 100).cast("string"), F.when(F.col("node_id") % 5 != 0, F.concat(F.lit("/"), F.col("slots").cast("string"))).otherwise(""), F.lit(",lzo,cpp # a host"))
+    n.select(spec).write.text(path := _folder(s))
+    return readers.read_hosts(s, path)
+
+
+@query(f"select host, cast(port as integer) as port, cast(slots as integer) as slots, 2 as n_options from ({_HOSTS})")
+def read_hosts(s, d):
+    return _hosts(s, d).select("host", "port", "slots", F.size("options").alias("n_options"))
+
+
+@query(f"select cast(sum(coalesce(slots, 1)) as bigint) as capacity from ({_HOSTS})")
+def cluster_capacity(s, d):
+    return readers.cluster_capacity(_hosts(s, d))
+
+
+@query("select dst || '.o' as target, src || '.h' as dependency from v_edges")
+def read_dep_files(s, d):
+    deps = A.edges(s, d).groupBy("dst").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("src").cast("string"), F.lit(".h")))), " \\\n  ").alias("x"))
+    deps.select(F.concat(F.col("dst").cast("string"), F.lit(".o: /usr/include/stdio.h \\\n  "), F.col("x"))).write.text(path := _folder(s))
+    return readers.read_dep_files(s, path)
+
+
+@query("select file, regexp_replace(file, '\\.\\w+$', '.o') as object from v_units where file not like '%.cu'")
+def makefile_sources(s, d):
+    A.units(s, d).select(F.concat(F.lit("all: "), F.col("file"), F.lit(" x.h"))).write.text(path := _folder(s))
+    return readers.makefile_sources(s, path)
+
+
+@query("select task_id, status from v_tasks where build_id >= '2024-01-11'")
+def telemetry_round_trip(s, d):
+    writers.write_telemetry(A.tasks(s, d), path := _folder(s), "completed_at")
+    return s.read.parquet(path).filter("event_date >= date'2024-01-11'").select("task_id", "status")
+
+
+@query("select task_id, status from v_tasks order by created_us desc, task_id desc limit 1000")
+def export_recent(s, d):
+    writers.export_recent(A.tasks(s, d), path := _folder(s), "created_at", "task_id")
+    return s.read.schema("task_id long, status string").json(path)
+
+
+@query("select t.task_id, confidence, attempt from v_tasks t left join v_decisions x using (task_id) order by created_us desc, t.task_id desc, attempt desc limit 1000")
+def export_joined(s, d):
+    return writers.joined_export(A.tasks(s, d), A.decisions(s, d)).select("task_id", "confidence", "attempt")
+
+
+@query("select 'tasks' as \"table\", count_if(make_timestamp(completed_us) < timestamp '2024-01-11') as removed from v_tasks union all select 'decisions', count_if(make_timestamp(decided_us) < timestamp '2024-01-11') from v_decisions")
+def apply_retention(s, d):
+    return writers.apply_retention({"tasks": (A.tasks(s, d), "completed_at"), "decisions": (A.decisions(s, d), "decided_at")}, F.lit("2024-01-11").cast("timestamp"))[1]
+
+
+@query("""select '"' || id || '" [label="' || id || '", fillcolor="' || case node_type when 'compile' then 'lightblue' when 'link' then 'orange' else 'lightgreen' end || '"];' as value from v_vertices union all select '"' || src || '" -> "' || dst || '";' from v_edges""")
+def export_edges_dot(s, d):
+    writers.export_edges_dot(A.vertices(s, d), A.edges(s, d), path := _folder(s))
+    return s.read.text(path)
+
+
+_KIND = "case event_type when 'click' then 'completed' when 'error' then 'failed' when 'view' then 'scheduled' when 'signup' then 'cancelled' else 'completed' end"
+_STREAM = f"st as (select event_id, epoch_us(ts) as us, user_id as node_id, {_KIND} as kind, value from events)"
+
+
+def _drained(s, d, job, mode: str) -> DataFrame:
+    """What a streaming job gives for all events: they are written as files by day, read as a stream, and the sink is read back."""
+    folder = _folder(s)
+    e = A.table(s, d, "events")
+    kind = F.when(F.col("event_type").isin("click", "purchase"), "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "scheduled").otherwise("cancelled")
+    rows = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("node_id"), kind.alias("kind"), "value")
+    rows.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
+    out = job(live.read_events(s, f"{folder}/in", files_per_batch=4))
+    if mode == "append":
+        q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    else:
+        q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{folder}/out")).start()
+    q.awaitTermination()
+    return s.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query(f"with {_STREAM} select node_id, kind, count(*) as events from st group by 1, 2")
+def stream_event_counters(s, d):
+    return _drained(s, d, live.stream_event_counters, "update").groupBy("node_id", "kind").agg(F.max("events").alias("events"))
+
+
+@query(f"with {_STREAM} select strftime(make_timestamp(us), '%Y-%m-%d %H:00') as hour, count(*) as tasks, count_if(kind = 'completed') as completed from st group by 1 having max(us) // 3600000000 < (select max(us) - 600000000 from st) // 3600000000")
+def stream_hourly(s, d):
+    return _drained(s, d, live.stream_hourly, "append").select(C.hour_bucket("hour").alias("hour"), "tasks", "completed")
+
+
+@query(f"with {_STREAM} select count_if(kind = 'completed') as completed, count_if(kind = 'failed') as failed, count_if(kind = 'cancelled') as cancelled from st")
+def progress_counters(s, d):
+    return _drained(s, d, live.stream_progress_counters, "update").agg(F.max("completed").alias("completed"), F.max("failed").alias("failed"), F.max("cancelled").alias("cancelled"))
+
+
+@query(f"with {_STREAM} select event_id, value from st order by value desc, event_id limit 1")
+def stream_longest_job(s, d):
+    return _drained(s, d, live.stream_longest_job, "update").orderBy(F.col("value").desc(), "event_id").limit(1)
+
+
+@query("select event_id from events")
+def stream_dedupe(s, d):
+    return _drained(s, d, lambda e: live.stream_dedupe(e.union(e)).select("event_id"), "append")
+
+
+@query("select event_id as task_id, cast(0 as bigint) as micros, event_type in ('click', 'purchase') as success from events where event_type <> 'view'")
+def stream_task_lifecycle(s, d):
+    return _drained(s, d, lambda e: live.stream_task_lifecycle(e, e.filter("kind <> 'scheduled'")), "append")
+
+
+@query(f"""with {_STREAM}, r as (select node_id, value as x, row_number() over (partition by node_id order by us, event_id) as i, count(*) over (partition by node_id) as n from st where kind = 'completed'), c as (select node_id, count(*) as events, count_if(kind = 'completed') as completed from st group by 1)
+    select c.node_id, round(coalesce((select sum(case when i = 1 then pow(0.9, n - 1) else 0.1 * pow(0.9, n - i) end * x) from r where r.node_id = c.node_id), 0.0), 4) as ema, events, completed from c""")
+def stream_ema(s, d):
+    out = _drained(s, d, live.stream_ema, "update")
+    return out.groupBy("node_id").agg(F.max_by(F.struct("ema", "events", "completed"), "events").alias("x")).select("node_id", F.round("x.ema", 4).alias("ema"), "x.events", "x.completed")
+
+
+@query("select task_id, round((epoch_us(timestamp '2024-01-31 00:00:00') - created_us) / 1e6, 3) as age from v_tasks where scheduled_us is null and (epoch_us(timestamp '2024-01-31 00:00:00') - created_us) / 1e6 > 300")
+def long_pending_alerts(s, d):
+    return live.long_pending(A.tasks(s, d), F.lit(NOW).cast("timestamp"))
+
+
+@query("select count_if(status = 'failed') > 0 and count_if(status = 'completed') = 0 as deadlock from v_tasks")
+def deadlock_report(s, d):
+    state = F.when(F.col("status") == "failed", "pending").when(F.col("status") == "completed", "running").otherwise("other")
+    return live.deadlock_report(A.tasks(s, d).groupBy(state.alias("state")).agg(F.count("*").alias("tasks")))

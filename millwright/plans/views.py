@@ -36,7 +36,7 @@ VIEWS = {
         select p_partkey as unit_id, '/root/w' || (p_partkey % 3) as directory, file, ['g++', '-I', 'inc/a' || (p_partkey % 5), '-Iinc/b' || (p_partkey % 3), '-DX=' || p_size, '-O' || (p_partkey % 4), '-c', file, '-o', 'out/f' || p_partkey || '.o'] as arguments
         from (select *, 'src/m' || (p_partkey % 20) || '/f' || p_partkey || ['.c', '.cpp', '.cu', '.cc'][p_partkey % 4 + 1] as file from part)""",
     "v_log": """
-        select event_id as line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad(cast(epoch_ms(ts) % 1000 as varchar), 3, '0') || ' - scheduler - INFO - ' ||
+        select event_id as line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || lpad(cast(epoch_us(ts) // 1000 % 1000 as varchar), 3, '0') || ' - scheduler - INFO - ' ||
             case event_type when 'click' then 'Task compile:f' || event_id || ' completed in ' || printf('%.2f', value) || 's on node' || user_id
                 when 'error' then 'Task compile:f' || event_id || ' failed: exit code ' || (event_id % 4)
                 when 'view' then 'Task compile:f' || event_id || ' scheduled to node' || user_id

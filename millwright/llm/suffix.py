@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,11 +155,10 @@ class SuffixIndex:
         """Takes a batch in: its suffix array is made, scanned against all levels, and levels of equal rank are merged."""
         new = self._keep(self._merged([entries.withColumn("n", F.lit(1).cast("long"))]).sortWithinPartitions("key", "ctx"))
         rank, path = 0, self._last
-        scan = new.select("key", "ctx", F.lit(True).alias("new"))
+        scan = new.select("key")
         for _, level, _ in self.levels:
-            scan = scan.unionByName(level.select("key", "ctx", F.lit(False).alias("new")))
-        several = (F.min("ctx") != F.max("ctx")) & F.bool_or("new")
-        self.hits.append(self._keep(scan.groupBy("key").agg(several.alias("hit")).filter("hit").select("key")))
+            scan = scan.unionByName(level.select("key"))
+        self.hits.append(self._keep(scan.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1").select("key")))
         while self.levels and self.levels[-1][0] == rank:
             _, level, old = self.levels.pop()
             merged = self._keep(self._merged([level, new]).sortWithinPartitions("key", "ctx"))
@@ -173,13 +172,27 @@ class SuffixIndex:
         return self.levels[0][1] if len(self.levels) == 1 else self._keep(self._merged([level for _, level, _ in self.levels]))
 
     def contested(self) -> DataFrame:
-        """Keys at which a batch met a class other than its own."""
+        """Keys at which a scan met two classes, or one class in two levels."""
         keys = self.hits[0]
         for more in self.hits[1:]:
             keys = keys.unionByName(more)
         return keys.distinct()
 
 
+#: Texts are told apart by one of so many marks before they are shuffled; a set of marks is small enough to broadcast, whatever the input.
+MARKS = 1 << 20
+_MARK = "mark"
+
+
+def _mark() -> Column:
+    return F.pmod(F.xxhash64("uid"), F.lit(MARKS))
+
+
+def _marks(df: DataFrame) -> DataFrame:
+    """The marks of the texts in ``df``, at most ``MARKS`` rows."""
+    return F.broadcast(df.select(_mark().alias(_MARK)).distinct())
+
+
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, gram: int = GRAM, batches: int = BATCHES, anchor_classes: int = ANCHOR_CLASSES, whole_characters: bool = False) -> DataFrame:
     """Every text without the bytes that a repeated string of ``min_bytes`` bytes covers (here or in another document).
 
@@ -194,7 +207,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # a text is known by its id and, where ids repeat, by a checksum; both checksum and place share one number
     uid, check = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.crc32(F.encode(text, "UTF-8"))
-    rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), uid.alias("uid"), check.alias("th"))
+    rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), uid.alias("uid"), check.alias("th")).withColumn(_MARK, _mark())
     field = others.index(next(c for c in others if c.lower() == text_col.lower()))
 
     def texts_of(batch) -> list[bytes]:
@@ -221,9 +234,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     contested = classes.join(index.contested(), "key").select("key", "ctx", "uid", "at", "extent")
     counts = contested.groupBy("key").agg(F.count("*").alias("classes"))
-    wanted = contested.join(counts, "key").select("key", "ctx", "uid", checksum, place, windows_of, "classes")
-    per_text = wanted.groupBy("uid", "th").agg(F.collect_list(F.struct("key", "ctx", "classes", "lo", "starts")).alias("wanted"))
-    fetched = rows.join(per_text, ["uid", "th"]).select("row", "wanted")
+    wanted = contested.join(counts.filter("classes > 1"), "key").select("key", "ctx", "uid", checksum, place, windows_of, "classes")
+    per_text = written(wanted.groupBy("uid", "th").agg(F.collect_list(F.struct("key", "ctx", "classes", "lo", "starts")).alias("wanted")))
+    fetched = rows.join(_marks(per_text), _MARK, "left_semi").join(per_text, ["uid", "th"]).select("row", "wanted")
 
     def fetch(parts):
         for batch in parts:
@@ -283,8 +296,11 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     settled = twice.unionByName(found.join(classes.filter("n > 1"), ["key", "ctx"], "left_anti"))
     spanned = lambda x: F.struct((F.col("lo") + x["first"]).alias("start"), (F.col("lo") + F.coalesce(x["last"], F.col("starts") - 1) + min_bytes).alias("end"))
     hit = entries.join(settled, ["key", "ctx"]).select("uid", checksum, place, windows_of, "found").select("uid", "th", F.transform("found", spanned).alias("cover"))
-    cover = hit.groupBy("uid", "th").agg(F.flatten(F.collect_set("cover")).alias("cover"))
-    joined = rows.join(cover, ["uid", "th"], "left").select("row", "cover")
+    cover = written(hit.groupBy("uid", "th").agg(F.flatten(F.collect_set("cover")).alias("cover")))
+    marks = _marks(cover)
+    touched = rows.join(marks, _MARK, "left_semi").join(cover, ["uid", "th"], "left").select("row", "cover")
+    untouched = rows.join(marks, _MARK, "left_anti").select("row", F.lit(None).cast(touched.schema["cover"].dataType).alias("cover"))
+    joined = touched.unionByName(untouched)
     span_type = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
     out_schema = T.StructType().add("row", joined.schema["row"].dataType).add("n_bytes", "long").add("spans", span_type).add("kept", "binary")
 

@@ -118,7 +118,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
         return place("at") if bounds else F.lit(0)
 
-    firsts = sorted(r[0] for r in rows.select("at").groupBy(bucket(rough).alias("b")).agg(F.min("at")).collect())  # one id a range
+    firsts = sorted(r[1] for r in rows.select("at").groupBy(bucket(rough).alias("b")).agg(F.min("at")).collect())  # one id a range
     mine = bucket(firsts[1:])
     last = max(0, len(firsts) - 1)
     is_first = F.col("at").isin(firsts[:1]) if len(firsts) < 2 else F.array_contains(F.array(*map(F.lit, firsts)), F.col("at"))

@@ -14,7 +14,7 @@ from millwright.llm.common import table, written
 from millwright.llm.jaccard import jaccard_components
 from millwright.llm.pack import pack_documents
 from millwright.llm.secrets import redact_secrets
-from millwright.llm.suffix import repeated_spans
+from millwright.llm.suffix import MARKS, repeated_spans
 from millwright.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Documents at or above this score go.
@@ -38,11 +38,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (shingles of five words, similarity 0.8) the document with the smallest id; of repeated rows one."""
-    groups = jaccard_components(docs, shingle_words=5, percent=80)
-    others = groups.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.filter("doc_id is null"))
+    groups = jaccard_components(docs, shingle_words=5, percent=80).filter("doc_id is not null")
+    named = groups.groupBy("doc_id").agg(F.count("*").alias("__rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("__goes"))
+    concerned = written(named.filter("__goes or __rows > 1"))
+    # most documents have a mark that no concerned one has, and are kept where they lie; there are at most MARKS marks
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).alias("__mark")
+    marks = F.broadcast(concerned.select(mark).distinct())
+    marked = docs.select("*", mark)
+    clear = marked.join(marks, "__mark", "left_anti").select(*docs.columns)
+    found = marked.join(marks, "__mark", "left_semi").join(concerned, "doc_id", "left").filter("not coalesce(__goes, false)")
+    single = found.filter("coalesce(__rows, 1) = 1").select(*docs.columns)
+    repeated = found.filter("__rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    return clear.unionByName(single).unionByName(repeated)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,11 +202,60 @@ def nearest_rank(values: Column, percent: float) -> Column:
 
 
 def ema(pairs: Column, alpha: float) -> Column:
-    """Exponential moving average over an array of (order, value), beginning at the first value."""
-    ordered = F.array_sort(pairs)
-    first = F.get(ordered, F.lit(0))
-    return F.aggregate(F.slice(ordered, 2, 2**31 - 1), F.struct(first[pairs_value(pairs)].alias("x"))["x"].cast("double"), lambda acc, p: (1 - alpha) * acc + alpha * p[pairs_value(pairs)])
+    """Exponential moving average over an array of structs (order, value), beginning at the first value; null of none."""
+    values = F.transform(F.array_sort(pairs), lambda p: p["value"].cast("double"))
+    return F.aggregate(F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), lambda acc, x: (1 - alpha) * acc + alpha * x)
 
 
-def pairs_value(_: Column) -> str:
-    return "value"
+def needs_generated_include(text: Column) -> Column:
+    """Whether a text includes what a code generator makes."""
+    return text.rlike(r'#include\s*["<](?:[^">]*/)?(?:moc_[^">]*\.cpp|[^">]*\.moc)[">]')
+
+
+def needs_local_only(path: Column, fragments: tuple[str, ...] = ("/3rdparty/", "/gpu/", "/cuda/", "/examples/", "/python/", "/CMakeFiles/")) -> Column:
+    return path.rlike("|".join(f.replace(".", r"\.") for f in fragments))
+
+
+def is_io_heavy(size: Column, path: Column, preprocessed: Column) -> Column:
+    return (size > 500 * 1024) | extension(path).isin("tcc", "ipp", "tpp", "inl") | (F.coalesce(preprocessed, F.lit(0)) > 1024 * 1024)
+
+
+def optimisation_level(arguments: Column) -> Column:
+    """Level of the last -O flag; s and z count as 1.5, none as 0."""
+    last = F.element_at(F.filter(arguments, lambda a: a.rlike("^-O[0-3sz]?$")), -1)
+    flag = F.substring(last, 3, 1)
+    return F.when(F.size(F.filter(arguments, lambda a: a.rlike("^-O[0-3sz]?$"))) == 0, 0.0).when(flag.isin("s", "z"), 1.5).when(flag == "", 1.0).otherwise(flag.cast("double"))
+
+
+def compile_features(text: Column, preprocessed: Column, arguments: Column) -> Column:
+    """preprocessed bytes, includes, expansion, lines and level, each scaled to about one."""
+    size = F.octet_length(text)
+    whole = F.coalesce(preprocessed.cast("double"), size * 1.5)
+    lines = F.size(F.split(text, "\n"))
+    includes = F.regexp_count(text, F.lit("#include"))
+    return F.array(whole / 1_000_000, includes / 50, whole / F.greatest(size, F.lit(1)) / 10, lines / 1000, optimisation_level(arguments) / 3)
+
+
+def combined_weight(weight: Column, speedup: Column) -> Column:
+    return 0.7 * weight + 0.3 * F.coalesce(speedup, F.lit(1.0))
+
+
+def extract_flags(arguments: Column) -> Column:
+    """Compiler flags, joined with their values; the compiler, sources, outputs and dependency-file flags are left out."""
+    valued = ("-I", "-isystem", "-D", "-U", "-include", "-x", "-std", "-arch")
+    dropped = ("-c", "-E", "-o", "-MF", "-MD", "-MT", "-MMD", "-MP", "-MQ")
+    taking = ("-o", "-MF", "-MT", "-MQ")
+
+    def flag(a: Column, i: Column) -> Column:
+        before = F.coalesce(F.when(i > 0, F.get(arguments, i - 1)), F.lit(""))
+        keep = a.startswith("-") & ~a.isin(*dropped) & ~before.isin(*taking) & ~before.isin(*valued)
+        return F.when(keep & a.isin(*valued), F.concat_ws(" ", a, F.get(arguments, i + 1))).when(keep, a)
+
+    return F.filter(F.transform(arguments, flag), lambda f: f.isNotNull())
+
+
+def summary_dict(line: Column) -> Column:
+    """A dictionary as Python prints it, read as a map."""
+    body = F.regexp_extract(line, r"(\{.*\})", 1)
+    json = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, "'", '"'), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    return F.from_json(F.regexp_replace(json, r"\bNone\b", "null"), "map<string,string>")

@@ -254,3 +254,64 @@ def incremental_plan(old: DataFrame, new: DataFrame, edges: DataFrame) -> DataFr
     return impacted_tasks(changed, edges).join(new.select(*keys), keys, "left_semi")
 
 
+
+
+def direct_dependencies(edges: DataFrame, of: DataFrame) -> DataFrame:
+    return edges.join(of.select("graph_id", F.col("id").alias("dst")), ["graph_id", "dst"], "left_semi").select("graph_id", F.col("src").alias("id")).distinct()
+
+
+def direct_dependents(edges: DataFrame, of: DataFrame) -> DataFrame:
+    return direct_dependencies(backward(edges), of)
+
+
+def task_chain(vertices: DataFrame, edges: DataFrame, of: DataFrame) -> DataFrame:
+    """All that a vertex needs, and itself, with levels: building by level builds dependencies first."""
+    keys = ["graph_id", "id"]
+    return topological_levels(vertices, edges).join(reachable(of, backward(edges)).select(*keys), keys, "left_semi")
+
+
+def priority_adjust(priorities: DataFrame, times: DataFrame, edges: DataFrame) -> DataFrame:
+    """A tenth less where a task's times vary much, 1.15 times with over five producers."""
+    ins = edges.groupBy("graph_id", F.col("dst").alias("id")).agg(F.count("*").alias("producers"))
+    p = priorities.join(times.select("id", "cv"), "id", "left").join(ins, ["graph_id", "id"], "left")
+    factor = F.when(F.col("cv") > 0.3, 0.9).otherwise(1.0) * F.when(F.col("producers") > 5, 1.15).otherwise(1.0)
+    return p.select("graph_id", "id", F.round(F.col("priority") * factor, 6).alias("priority"))
+
+
+def repair_cycles(vertices: DataFrame, edges: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+    """Edges without cycles: while there are any, each graph's weakest edge among cyclic vertices is dropped.
+
+    Weakest is the least of ten times the edge's strength (source 10, unknown 5, link 3, gen 2 by the producer's type) and the degrees
+    of its ends, ties by the ends.
+    """
+    strength = F.when(F.col("node_type") == "gen", 2).when(F.col("node_type") == "link", 3).when(F.col("node_type") == "compile", 10).otherwise(5)
+    now = cut_lineage(edges.select("graph_id", "src", "dst").distinct())
+    for _ in range(max_rounds):
+        cyclic = cut_lineage(cyclic_nodes(vertices, now))
+        if cyclic.isEmpty():
+            return now
+        inner = prune_graph(now, cyclic)
+        outs, ins = inner.groupBy("graph_id", "src").agg(F.count("*").alias("o")), inner.groupBy("graph_id", "dst").agg(F.count("*").alias("i"))
+        scored = inner.join(vertices.select("graph_id", F.col("id").alias("src"), "node_type"), ["graph_id", "src"]).join(outs, ["graph_id", "src"]).join(ins, ["graph_id", "dst"])
+        worst = scored.withColumn("score", strength * 100 + F.col("o") + F.col("i")).groupBy("graph_id").agg(F.min(F.struct("score", "src", "dst")).alias("x")).select("graph_id", "x.src", "x.dst")
+        now = cut_lineage(now.join(worst, ["graph_id", "src", "dst"], "left_anti"))
+    raise RuntimeError("cycles remain")
+
+
+def add_link_node(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges, and for a graph without a link vertex but two compile vertices or more, edges from those to vertex -1, its link."""
+    kinds = vertices.groupBy("graph_id").agg(F.count_if(F.col("node_type") == "link").alias("links"), F.count_if(F.col("node_type") == "compile").alias("units"))
+    lacking = kinds.filter("links = 0 and units >= 2").select("graph_id")
+    more = vertices.filter("node_type = 'compile'").join(lacking, "graph_id", "left_semi").select("graph_id", F.col("id").alias("src"), F.lit(-1).cast("long").alias("dst"))
+    return edges.select("graph_id", "src", "dst").unionByName(more)
+
+
+def path_depth_phases(files: DataFrame) -> DataFrame:
+    """Layers by the depth of the path: what ``phase_barriers`` orders where dependencies are not known."""
+    depth = F.size(F.split("path", "/"))
+    return files.select("graph_id", "id", (F.dense_rank().over(Window.partitionBy("graph_id").orderBy(depth)) - 1).alias("phase"))
+
+
+def generated_edges(unresolved: DataFrame, generator: Column) -> DataFrame:
+    """(src, dst) from the step that makes an unresolved generated file to the unit that needs it."""
+    return unresolved.select(generator.alias("src"), F.col("file_id").alias("dst")).filter("src is not null").distinct()

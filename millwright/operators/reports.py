@@ -204,3 +204,51 @@ def recommendations(metrics: DataFrame) -> DataFrame:
 
 def task_busy_seconds(tasks: DataFrame) -> DataFrame:
     return tasks.select("node_id", seconds_between("started_at", "completed_at").alias("seconds"))
+
+
+def compare_summary(metrics: DataFrame, key: str, a, b, columns: list[str]) -> DataFrame:
+    """By how many percent each metric of ``b`` lies below ``a``'s."""
+    one = lambda k, tag: metrics.filter(F.col(key) == k).agg(*[F.max(c).alias(f"{c}_{tag}") for c in columns])
+    both = one(a, "a").crossJoin(one(b, "b"))  # a row and a row
+    return both.select(*[F.round(F.when(F.col(f"{c}_a") != 0, (F.col(f"{c}_a") - F.col(f"{c}_b")) / F.col(f"{c}_a") * 100).otherwise(0.0), 4).alias(c) for c in columns])
+
+
+def schedule_score(metrics: DataFrame) -> DataFrame:
+    """Makespan, a tenth of the loads' variance and a twentieth of the edges between machines; the less the better."""
+    return metrics.select(F.round(F.col("makespan") + 0.1 * F.pow("load_std", F.lit(2)) + 0.05 * F.col("cross_edges"), 2).alias("score"))
+
+
+def active_monitor_rows(states: DataFrame, now: Column, *, seconds: int = 60, done: str = "done") -> DataFrame:
+    """Each process's latest state, unless it is done or old, by host and slot."""
+    latest = states.groupBy("host", "slot", "pid").agg(F.max_by("phase", "at").alias("phase"), F.max("at").alias("at"))
+    return latest.filter((F.col("phase") != done) & (now - F.col("at") <= seconds)).orderBy("host", "slot", "pid")
+
+
+def node_tier_util(counts: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Tasks of each slot class, and tasks for each of its slots in percent."""
+    return counts.join(tiers.select("node_id", "slots"), "node_id").groupBy("slots").agg(F.sum("tasks").alias("tasks"), F.round(F.sum("tasks") / F.sum("slots") * 100, 4).alias("per_slot_percent"))
+
+
+def preferred_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows in a given order of keys, others after them by key."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(key))
+    return rows.withColumn("place", F.when(place > 0, place).otherwise(len(order) + 1)).orderBy("place", key)
+
+
+def infer_generated_inputs(names: DataFrame, files: DataFrame) -> DataFrame:
+    """(name, input) of generated names whose input is among the files."""
+    guess = (
+        F.when(F.col("name").rlike(r"^moc_.*\.cpp$"), F.regexp_replace("name", r"^moc_(.*)\.cpp$", "$1.h"))
+        .when(F.col("name").rlike(r"^ui_.*\.h$"), F.regexp_replace("name", r"^ui_(.*)\.h$", "$1.ui"))
+        .when(F.col("name").rlike(r"\.pb\.(cc|h)$"), F.regexp_replace("name", r"\.pb\.(cc|h)$", ".proto"))
+        .when(F.col("name") == "config.h", F.lit("config.h.in"))
+    )
+    return names.withColumn("input", guess).filter("input is not null").join(files.select(F.col("name").alias("input")), "input", "left_semi").select("name", "input")
+
+
+def stall_and_done(snapshots: DataFrame, *, intervals: int = 10) -> DataFrame:
+    """STALLED where started and finished have not changed for that many snapshots, DONE where all is finished and nothing waits or runs."""
+    w = Window.partitionBy("build_id").orderBy("n")
+    still = (F.col("started") == F.lag("started", intervals).over(w)) & (F.col("finished") == F.lag("finished", intervals).over(w))
+    done = (F.col("finished") >= F.col("total")) & (F.col("waiting") == 0)
+    return snapshots.withColumn("alert", F.when(done, "DONE").when(still, "STALLED")).filter("alert is not null").select("build_id", "n", "alert")

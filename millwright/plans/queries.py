@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millwright.functions import columns as C
-from millwright.operators import balance, graph, joins, nodes, reports, windows
+from millwright.operators import balance, graph, joins, models, nodes, reports, windows
 from millwright.plans import adapters as A
 from millwright.plans.views import statement
 from millwright.sources import readers, writers
@@ -1059,3 +1059,240 @@ def long_pending_alerts(s, d):
 def deadlock_report(s, d):
     state = F.when(F.col("status") == "failed", "pending").when(F.col("status") == "completed", "running").otherwise("other")
     return live.deadlock_report(A.tasks(s, d).groupBy(state.alias("state")).agg(F.count("*").alias("tasks")))
+
+
+# More columns, reports and graphs
+
+
+@query("select file_id, path, regexp_replace(path, '^/root/', '') as relative from v_sources where path like '/root/src1%'")
+def list_project_files(s, d):
+    return A.sources(s, d).filter(F.col("path").startswith("/root/src1")).select("file_id", "path", F.regexp_replace("path", "^/root/", "").alias("relative"))
+
+
+@query("select file_id from v_sources where not (regexp_matches(text, 'worthless|the moron') or path like '/root/src0/%')")
+def exclude_banned_content(s, d):
+    return A.sources(s, d).filter(~(F.col("text").rlike("worthless|the moron") | F.col("path").startswith("/root/src0/"))).select("file_id")
+
+
+@query("select file_id, case when path like '%/src1/%' then 1 when path like '%/src4/%' then 2 else 3 end as phase from v_sources")
+def file_phase(s, d):
+    return A.sources(s, d).select("file_id", C.file_phase(F.col("path")).alias("phase"))
+
+
+_NAMES = "select p_partkey as id, case p_partkey % 5 when 0 then 'moc_w' || p_partkey || '.cpp' when 1 then 'ui_w' || p_partkey || '.h' when 2 then 'm' || p_partkey || '.pb.cc' when 3 then 'g' || p_partkey || '.tab.c' else 'main' || p_partkey || '.cpp' end as name from part"
+
+
+def _names(s, d):
+    k = F.col("p_partkey").cast("string")
+    shapes = (("moc_w", ".cpp"), ("ui_w", ".h"), ("m", ".pb.cc"), ("g", ".tab.c"), ("main", ".cpp"))
+    name = F.element_at(F.array(*[F.concat(F.lit(a), k, F.lit(b)) for a, b in shapes]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return A.table(s, d, "part").select(F.col("p_partkey").alias("id"), name.alias("name"))
+
+
+@query(f"select id, name not like 'main%' as generated, case id % 5 when 0 then 'gen:moc:w' || id || '.h' when 1 then 'gen:uic:w' || id || '.ui' when 2 then 'gen:protoc:m' || id || '.proto' when 3 then 'gen:bison:g' || id || '.y' end as generator from ({_NAMES})")
+def infer_generator(s, d):
+    return _names(s, d).select("id", C.is_generated("name").alias("generated"), C.infer_generator(F.col("name")).alias("generator"))
+
+
+@query(f"select name, 'w' || id || '.h' as input from ({_NAMES}) where id % 5 = 0 and id % 3 = 0")
+def infer_generated_inputs(s, d):
+    files = _names(s, d).filter("id % 3 = 0").select(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(".h")).alias("name"))
+    return reports.infer_generated_inputs(_names(s, d).select("name"), files)
+
+
+@query(f"select distinct case id % 5 when 0 then 'gen:moc:w' || id || '.h' when 1 then 'gen:uic:w' || id || '.ui' when 2 then 'gen:protoc:m' || id || '.proto' else 'gen:bison:g' || id || '.y' end as src, id as dst from ({_NAMES}) where id % 5 <> 4")
+def generated_edges(s, d):
+    return graph.generated_edges(_names(s, d).withColumnRenamed("id", "file_id"), C.infer_generator(F.col("name")))
+
+
+@query("select file_id, size > 512000 as io_heavy, path like '%/examples/%' as local_only from v_sources")
+def is_io_heavy(s, d):
+    return A.sources(s, d).select("file_id", C.is_io_heavy(F.col("size"), F.col("path"), F.lit(None).cast("long")).alias("io_heavy"), C.needs_local_only(F.col("path")).alias("local_only"))
+
+
+@query("select unit_id, '-I inc/a' || (unit_id % 5) || ';' || arguments[4] || ';' || arguments[5] || ';' || arguments[6] as flags, cast(unit_id % 4 as double) as level from v_units")
+def extract_flags(s, d):
+    return A.units(s, d).select("unit_id", F.array_join(C.extract_flags(F.col("arguments")), ";").alias("flags"), C.optimisation_level(F.col("arguments")).alias("level"))
+
+
+@query("select file_id, round(size * 1.5 / 1000000, 8) as preprocessed, round(len(regexp_extract_all(text, '#include')) / 50, 6) as includes, 0.15::double as expansion, round(len(string_split(text, chr(10))) / 1000, 6) as lines from v_sources where size > 0")
+def compile_features(s, d):
+    f = C.compile_features(F.col("text"), F.lit(None).cast("long"), F.array(F.lit("-O2")))
+    return A.sources(s, d).select("file_id", *[F.round(F.get(f, F.lit(i)), 8 if i == 0 else 6).alias(n) for i, n in enumerate(("preprocessed", "includes", "expansion", "lines"))])
+
+
+@query("select file_id, case when file_id % 3 = 0 then 2.5 else greatest(0.1, size / 1024 * 0.001) end as estimate from v_sources")
+def fallback_time_estimate(s, d):
+    return A.sources(s, d).select("file_id", C.fallback_time(F.when(F.col("file_id") % 3 == 0, 2.5), F.col("size") / 1024).alias("estimate"))
+
+
+@query("select node_id, round(0.7 * weight + 0.3 * case when node_id % 2 = 0 then 1.5 else 1.0 end, 6) as weight from v_nodes")
+def combined_weight(s, d):
+    return A.nodes(s, d).select("node_id", F.round(C.combined_weight(F.col("weight"), F.when(F.col("node_id") % 2 == 0, 1.5)), 6).alias("weight"))
+
+
+@query("select event_id, event_id % 7 as done, event_id % 2 = 0 as ok from events")
+def parse_summary_dict(s, d):
+    ok = F.when(F.col("event_id") % 2 == 0, "True").otherwise("False")
+    line = F.format_string("Summary: {'done': %s, 'ok': %s, 'name': None}", (F.col("event_id") % 7).cast("string"), ok)
+    m = C.summary_dict(line)
+    return A.table(s, d, "events").select("event_id", F.try_element_at(m, F.lit("done")).cast("long").alias("done"), F.try_element_at(m, F.lit("ok")).cast("boolean").alias("ok"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then 'local' else '10.0.0.' || (user_id % 250) || ':3632' end as node from events")
+def exec_node(s, d):
+    host = F.when(F.col("event_id") % 3 == 0, "exec on localhost: g++").otherwise(F.format_string("exec on 10.0.0.%s:3632/8: g++", (F.col("user_id") % 250).cast("string")))
+    return A.table(s, d, "events").select("event_id", C.exec_node(host).alias("node"))
+
+
+@query("select 'h' || (event_id % 20) || '.h' as header, count(*) as failures from events where event_type = 'error' group by 1 order by failures desc, header")
+def missing_header_counts(s, d):
+    e = A.table(s, d, "events").filter("event_type = 'error'")
+    text = F.format_string("a.c:1: fatal error: h%s.h: No such file or directory", (F.col("event_id") % 20).cast("string"))
+    return e.select(C.missing_header(text).alias("header")).groupBy("header").agg(F.count("*").alias("failures")).orderBy(F.col("failures").desc(), "header")
+
+
+@query("with m as (select algo, sum(elapsed) as elapsed, cast(sum(tasks) as double) as tasks from v_run_results group by 1), a as (select * from m where algo = 'A'), b as (select * from m where algo = 'N') select round((a.elapsed - b.elapsed) / a.elapsed * 100, 4) as elapsed, round((a.tasks - b.tasks) / a.tasks * 100, 4) as tasks from a, b")
+def compare_summary(s, d):
+    m = A.run_results(s, d).groupBy("algo").agg(F.sum("elapsed").alias("elapsed"), F.sum("tasks").cast("double").alias("tasks"))
+    return reports.compare_summary(m, "algo", "A", "N", ["elapsed", "tasks"])
+
+
+@query("""with p as (select machine, sum("end" - start) as busy from v_schedule group by 1) select round((select max("end") - min(start) from v_schedule) + 0.1 * pow(round((select stddev_pop(busy) from p), 4), 2) + 0.05 * (select count(*) from v_edges e join v_schedule a on a.task_id = e.src join v_schedule b on b.task_id = e.dst where a.machine <> b.machine), 2) as score""")
+def schedule_score(s, d):
+    return reports.schedule_score(schedule_metrics(s, d))
+
+
+@query("with l as (select conv_id % 10 as host, conv_id % 3 as slot, conv_id as pid, arg_max(turn % 8, turn) as phase, max(turn * 5) as seen from conversations group by 1, 2, 3) select host, slot, pid, phase from l where phase <> 7 and 70 - seen <= 60")
+def active_monitor_rows(s, d):
+    c = A.table(s, d, "conversations").select((F.col("conv_id") % 10).alias("host"), (F.col("conv_id") % 3).alias("slot"), F.col("conv_id").alias("pid"), (F.col("turn") % 8).alias("phase"), (F.col("turn") * 5).alias("at"))
+    return reports.active_monitor_rows(c, F.lit(70), done=7).select("host", "slot", "pid", "phase")
+
+
+@query("with c as (select node_id, count(*) as tasks from v_tasks group by 1) select slots, cast(sum(tasks) as bigint) as tasks, round(sum(tasks) / sum(slots) * 100, 4) as per_slot_percent from c join v_nodes using (node_id) group by 1")
+def node_tier_util(s, d):
+    return reports.node_tier_util(A.tasks(s, d).groupBy("node_id").agg(F.count("*").alias("tasks")), A.nodes(s, d))
+
+
+@query("select algo, case algo when 'R' then 1 when 'A' then 2 else 3 end as place from (select distinct algo from v_run_results)")
+def preferred_order(s, d):
+    return reports.preferred_order(A.run_results(s, d).select("algo").distinct(), "algo", ["R", "A"]).select("algo", F.col("place").cast("int").alias("place"))
+
+
+@query("select graph_id, id, row_number() over (partition by graph_id order by weight desc, id) as place from v_vertices")
+def priority_order(s, d):
+    w = F.row_number().over(Window.partitionBy("graph_id").orderBy(F.col("weight").desc(), "id"))
+    return A.vertices(s, d).select("graph_id", "id", w.cast("long").alias("place"))
+
+
+@query("select task_id, row_number() over (partition by build_id order by started_us, task_id) as place from v_tasks")
+def execution_order(s, d):
+    return windows.step_numbers(A.tasks(s, d)).select("task_id", F.col("step").cast("long").alias("place"))
+
+
+@query("with recursive b as (select src, dst from v_edges union select dst, src from v_edges), r as (select id, id as seen from v_vertices union select r.id, b.dst from r join b on b.src = r.seen), c as (select v.graph_id, v.id, min(seen) as cluster from v_vertices v join r on r.id = v.id group by 1, 2) select graph_id, cluster, count(*) as size from c group by 1, 2 order by size desc, graph_id, cluster limit 10")
+def largest_clusters(s, d):
+    return graph.largest_clusters(dependency_clusters(s, d))
+
+
+@query("select distinct graph_id, src as id from v_edges where dst % 50 = 3")
+def direct_dependencies(s, d):
+    return graph.direct_dependencies(A.edges(s, d), A.vertices(s, d).filter("id % 50 = 3"))
+
+
+@query("select distinct graph_id, dst as id from v_edges where src % 50 = 3")
+def direct_dependents(s, d):
+    return graph.direct_dependents(A.edges(s, d), A.vertices(s, d).filter("id % 50 = 3"))
+
+
+@query(f"with recursive {_LEVELS}, need as (select graph_id, id from v_vertices where id % 90 = 8 union select e.graph_id, e.src from need n join v_edges e on e.dst = n.id) select lev.* from lev where id in (select id from need)")
+def task_chain(s, d):
+    v = A.vertices(s, d)
+    return graph.task_chain(v, A.edges(s, d), v.filter("id % 90 = 8")).withColumn("level", F.col("level").cast("long"))
+
+
+@query("select v.graph_id, v.id, round(cast(weight * case when id % 7 > 3 then 0.9::double else 1.0::double end * case when (select count(*) from v_edges e where e.dst = v.id) > 5 then 1.15::double else 1.0::double end as double), 6) as priority from v_vertices v")
+def priority_adjust(s, d):
+    v = A.vertices(s, d)
+    return graph.priority_adjust(v.select("graph_id", "id", F.col("weight").alias("priority")), v.select("id", (F.col("id") % 7 / 10).alias("cv")), A.edges(s, d)).withColumn("priority", F.col("priority").cast("double"))
+
+
+@query("select graph_id, src, dst from v_edges union all select graph_id, id, -1 from v_vertices where node_type = 'compile' and graph_id % 2 = 0")
+def add_link_node(s, d):
+    v = A.vertices(s, d)
+    return graph.add_link_node(v.filter("graph_id % 2 = 1 or node_type <> 'link'"), A.edges(s, d))
+
+
+@query("select split_part(path, '/', 3) as graph_id, file_id as id, dense_rank() over (partition by split_part(path, '/', 3) order by len(string_split(path, '/'))) - 1 as phase from v_sources")
+def path_depth_edges(s, d):
+    f = A.sources(s, d).select(F.split_part("path", F.lit("/"), F.lit(3)).alias("graph_id"), F.col("file_id").alias("id"), "path")
+    return graph.path_depth_phases(f).withColumn("phase", F.col("phase").cast("long"))
+
+
+@query("select graph_id, src, dst from v_edges")
+def repair_cycles(s, d):
+    v, e = A.vertices(s, d).withColumn("node_type", F.lit("compile")), A.edges(s, d)
+    odd = e.filter("dst = 1392 or dst = 1393").groupBy("graph_id").agg(F.max(F.struct("dst", "src")).alias("x")).select("graph_id", F.col("x.dst").alias("src"), F.col("x.src").alias("dst"))
+    kinds = v.join(odd.select("graph_id", F.col("src").alias("id"), F.lit("gen").alias("g")), ["graph_id", "id"], "left").withColumn("node_type", F.coalesce("g", "node_type")).drop("g")
+    return graph.repair_cycles(kinds, e.unionByName(odd))
+
+
+@query("select event_id as n, case when event_id % 100 = 99 then 'DONE' else 'STALLED' end as alert from events where event_id % 100 = 99 or event_id % 100 between 10 and 49 or event_id % 100 between 60 and 98")
+def stall_and_done_alerts(s, d):
+    e = A.table(s, d, "events")
+    half = (F.col("event_id") % 100 >= 50).cast("int")
+    snaps = e.select(F.floor(F.col("event_id") / 100).alias("build_id"), F.col("event_id").alias("n"), half.alias("started"), F.when(F.col("event_id") % 100 == 99, 10).otherwise(half).alias("finished"), F.lit(10).alias("total"), F.lit(0).alias("waiting"))
+    return reports.stall_and_done(snaps).select("n", "alert")
+
+
+@query("select l_suppkey as node_id, count(*) as n from (select l_suppkey, row_number() over (partition by l_suppkey order by l_shipdate desc) as r from lineitem) where r <= 100 group by 1 having count(*) >= 3")
+def fit_compile_model(s, d):
+    li = A.table(s, d, "lineitem").select(F.col("l_suppkey").alias("node_id"), "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_orderkey")
+    return models.fit_compile_model(li, "node_id", ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_extendedprice", [F.col("l_shipdate").desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]).select("node_id", "n")
+
+
+@query("select node_id, round(cast(greatest(node_id % 5 * 2.0 + 3.0 * 0.5 + 1.0, 0.1) as double), 6) as seconds from v_nodes")
+def predict_compile_time(s, d):
+    f = F.array((F.col("node_id") % 5).cast("double"), F.lit(3.0))
+    return A.nodes(s, d).select("node_id", F.round(models.predict_compile_time(F.array(F.lit(2.0), F.lit(0.5)), F.lit(1.0), f), 6).alias("seconds"))
+
+
+@query(f"with {_STREAM}, w as (select node_id, (us // 300000000 + k) * 300 as upto from st, generate_series(1, 3) g(k)) select node_id, cast(upto as bigint) as \"at\", count(*) as compiles from w group by node_id, upto having upto * 1000000 < (select max(us) - 600000000 from st)")
+def stream_sliding_totals(s, d):
+    out = _drained(s, d, live.stream_sliding_totals, "append")
+    return out.select("node_id", (F.unix_micros("at") / 1_000_000).cast("long").alias("at"), "compiles").filter(F.col("at") * 1_000_000 < F.lit(_latest(s, d) - 600_000_000))
+
+
+def _latest(s, d) -> int:
+    return A.table(s, d, "events").select(F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first()[0]
+
+
+@query(f"""with {_STREAM}, g as (select *, case when us - lag(us) over (partition by node_id order by us) <= 3600000000 then 0 else 1 end as new from st), s as (select *, sum(new) over (partition by node_id order by us, event_id rows unbounded preceding) as k from g)
+    select node_id, count(*) as beats, min(us) as since from s group by node_id, k having max(us) + 3600000000 < (select max(us) - 600000000 from st)""")
+def stream_heartbeat_sessions(s, d):
+    out = _drained(s, d, lambda e: live.stream_heartbeat_sessions(e, "3600 seconds"), "append")
+    return out.filter(F.unix_micros("until") < F.lit(_latest(s, d) - 600_000_000)).select("node_id", "beats", F.unix_micros("since").alias("since"))
+
+
+@query(f"with {_STREAM}, f as (select node_id, arg_max(kind, (us, event_id)) as k, max(us) as u from st where kind in ('failed', 'completed') group by 1) select node_id, case when k = 'failed' then u // 1000000 + 60 else 0 end as until from f")
+def stream_backoff(s, d):
+    folder = _drained(s, d, lambda e: live.stream_backoff(e.filter("kind in ('failed', 'completed')")), "update")
+    return folder.select("node_id", F.col("until").cast("long").alias("until"))
+
+
+@query("select dst as consumer, count(*) as producers from v_edges group by 1")
+def stream_release_ready(s, d):
+    folder = _folder(s)
+    e = A.edges(s, d)
+    rows = e.join(e.groupBy("dst").agg(F.count("*").alias("needs")), "dst").select(F.lit(NOW).cast("timestamp").alias("ts"), F.col("dst").alias("consumer"), "needs", "src")
+    rows.repartition(4, "src").write.parquet(f"{folder}/in")
+    stream = s.readStream.schema("ts timestamp, consumer long, needs long, src long").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    out = live.stream_release_ready(stream)
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query("select event_type as kind, count(*) as events from events group by 1")
+def stream_status_snapshots(s, d):
+    e = A.table(s, d, "events").select(F.col("event_type").alias("kind"))
+    return live.status_snapshot(e, 0).select("kind", "events")

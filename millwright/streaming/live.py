@@ -122,3 +122,19 @@ def deadlock_report(counts: DataFrame) -> DataFrame:
     """Whether tasks are pending while none is ready or running; over (state, tasks)."""
     of = lambda *states: F.coalesce(F.sum(F.when(F.col("state").isin(*states), F.col("tasks"))), F.lit(0))
     return counts.agg(((of("pending") > 0) & (of("ready", "running") == 0)).alias("deadlock"))
+
+
+def stream_release_ready(done: DataFrame) -> DataFrame:
+    """Consumers whose producers have all completed; ``done``: ts, consumer, needs, one row for each completed producer of a consumer."""
+
+    def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        came = held.get[0] if held.exists else 0
+        needs = 0
+        for frame in frames:
+            came += len(frame)
+            needs = int(frame["needs"].max())
+        released = came >= needs and not (held.exists and held.get[1])
+        held.update((came, released or (held.exists and held.get[1])))
+        yield pd.DataFrame([(key[0], came)] if released else [], columns=["consumer", "producers"])
+
+    return done.groupBy("consumer").applyInPandasWithState(step, "consumer long, producers long", "came long, released boolean", "append", "NoTimeout")

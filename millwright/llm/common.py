@@ -95,7 +95,7 @@ def extended(docs: DataFrame, inputs: dict, fields, work) -> DataFrame:
     from pyspark.sql import types as T
 
     new = {f.name.lower() for f in fields}
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns if c.lower() not in new], F.lit(0).alias("_")).alias("row"), *[c.alias(n) for n, c in inputs.items()])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new], F.lit(0).alias("_")).alias("row"), *[c.alias(n) for n, c in inputs.items()])
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *fields])
 
     def run(batches):

@@ -25,6 +25,8 @@ from millwright.llm.shingles import mix
 
 #: Parsing rounds (a phrase of the last has about ten code points), slots, and rounds of coin tossing (64-bit labels end below six).
 LEVELS, SLOTS, TOSSES = 2, 128, 4
+#: Ranges of ids that rows are dealt out by, at most; beyond it ranges grow.
+MOST_RANGES = 65_536
 _EMPTY = 0xFFFF
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,8 +106,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     first; rows with one id follow by text.
     """
     rows = pick(docs, id_col, text_col).withColumn("at", F.coalesce("doc_id", F.lit(-(2**63))))
-    n = rows.count()
-    cuts = max(1, -(-n // bucket_rows))
+    cuts = max(1, min(MOST_RANGES, -(-rows.count() // bucket_rows)))
     rough = sorted(set(rows.approxQuantile("at", [k / cuts for k in range(1, cuts)], 0.2 / cuts))) if cuts > 1 else []
 
     def bucket(bounds: list) -> F.Column:
@@ -121,10 +122,16 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     firsts = sorted(r[1] for r in rows.select("at").groupBy(bucket(rough).alias("b")).agg(F.min("at")).collect())  # one id a range
     mine = bucket(firsts[1:])
     last = max(0, len(firsts) - 1)
-    is_first = F.col("at").isin(firsts[:1]) if len(firsts) < 2 else F.array_contains(F.array(*map(F.lit, firsts)), F.col("at"))
+    starts = np.array(firsts)
+
+    @F.pandas_udf("boolean")
+    def is_first(at: pd.Series) -> pd.Series:
+        found = np.searchsorted(starts, at.to_numpy(), side="right") - 1
+        return pd.Series(starts[found] == at.to_numpy())
+
     before = F.when(F.col("mine") == 0, F.lit(last)).otherwise(F.col("mine") - 1)
-    places = F.when(is_first, F.array(F.struct(F.col("mine").alias("b"), F.lit(False).alias("tail")), F.struct(before.alias("b"), F.lit(True).alias("tail")))).otherwise(F.array(F.struct(F.col("mine").alias("b"), F.lit(False).alias("tail"))))
-    dealt = rows.withColumn("mine", mine).select("doc_id", "at", "text", F.explode(places).alias("p")).select("p.b", "p.tail", "at", "doc_id", "text")
+    places = F.when(F.col("first"), F.array(F.struct(F.col("mine").alias("b"), F.lit(False).alias("tail")), F.struct(before.alias("b"), F.lit(True).alias("tail")))).otherwise(F.array(F.struct(F.col("mine").alias("b"), F.lit(False).alias("tail"))))
+    dealt = rows.withColumn("mine", mine).withColumn("first", is_first("at")).select("doc_id", "at", "text", F.explode(places).alias("p")).select("p.b", "p.tail", "at", "doc_id", "text")
     ordered = dealt.repartition("b").sortWithinPartitions("b", "tail", "at", "text")
 
     def follow(batches):

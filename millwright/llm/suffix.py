@@ -207,7 +207,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # a text is known by its id and, where ids repeat, by a checksum; both checksum and place share one number
     uid, check = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.crc32(F.encode(text, "UTF-8"))
-    rows = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), uid.alias("uid"), check.alias("th")).withColumn(_MARK, _mark())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), uid.alias("uid"), check.alias("th")).withColumn(_MARK, _mark())
     field = others.index(next(c for c in others if c.lower() == text_col.lower()))
 
     def texts_of(batch) -> list[bytes]:

@@ -61,7 +61,7 @@ def test_flags(spark):
 
 
 def test_missing_headers_and_nodes(spark):
-    rows = spark.createDataFrame([("x.c:1: fatal error: foo/bar.h: No such file or directory",), ("undefined reference",), ("distcc exec on 10.0.0.1:3632: g++",), ("exec on localhost: g++",), (None,)], "t string")
+    rows = spark.createDataFrame([("x.c:1: fatal error: foo/bar.h: No such file or directory",), ("undefined reference",), ("client: exec on 10.0.0.1:3632: g++",), ("exec on localhost: g++",), (None,)], "t string")
     assert [tuple(r) for r in rows.select(C.is_header_missing(F.col("t")), C.missing_header(F.col("t")), C.exec_node(F.col("t"))).collect()] == [(True, "foo/bar.h", None), (False, None, None), (False, None, "10.0.0.1:3632"), (False, None, "local"), (None, None, None)]
 
 
@@ -91,7 +91,7 @@ def test_files(spark, tmp_path):
     (runs / "rr_run1_distribution.json").write_text('{"distribution": {"n1": 3, "n2": 4}, "total_tasks": 7}')
     (runs / "rr_run2_time.txt").write_text("11\n")
     assert [tuple(r) for r in readers.read_run_results(spark, str(runs)).collect()] == [("rr", 1, 12.5, {"n1": 3, "n2": 4}, 7)]
-    (tmp_path / "page").write_text("<distccstats>\ndcc_tcp_accept 12\ndcc_num_compiles1 3\n</distccstats>\n")
-    assert tuple(readers.read_stats_page(spark, str(tmp_path / "page"), ["dcc_tcp_accept", "dcc_none"]).first()) == (12.0, None)
+    (tmp_path / "page").write_text("<stats>\naccepted 12\ncompiles1 3\n</stats>\n")
+    assert tuple(readers.read_stats_page(spark, str(tmp_path / "page"), ["accepted", "none"]).first()) == (12.0, None)
     (tmp_path / "table.md").write_text("| n | a |\n|---|---|\n| 1 | b | c | d | e | f | g | h | ✓ |\n| 2 | b | c | d | e | f | g | h | x |\n")
     assert [r["success"] for r in readers.read_task_order_table(spark, str(tmp_path / "table.md")).collect()] == [True, False]

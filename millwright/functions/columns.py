@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 #: Extensions of sources, by language; anything else is "other".
 CUDA, CPP, C, HEADER = ("cu", "cuh"), ("cpp", "cc", "cxx"), ("c",), ("h", "hpp", "hxx")
-#: Signs of generated files, as one alternation.
-GENERATED = r"(\.pb\.(cc|h)|_pb2\.py|^moc_|/moc_|\.moc|^ui_|/ui_|\.tab\.[ch]|lex\.yy\.)"
-#: Flags that change what a unit depends on.
-DEPENDENCY_FLAGS = ("-I", "-isystem", "-D", "-U", "-std=", "-include")
+# Fixed values.
+#: Signs of generated files.
+GENERATED = r"\.pb\.h$|\.pb\.cc$|_generated\.h$|moc_.*\.cpp$|ui_.*\.h$|\.tab\.c$|\.tab\.h$|lex\.yy\.c$"
+#: Flags that change what a unit depends on: those that may take the next argument, and those that never do.
+VALUE_FLAGS = ("-I", "-D", "-U", "-isystem", "-iquote", "-include", "-imacros", "-idirafter", "-iprefix", "-isysroot")
+JOINED_FLAGS = ("-std=", "-stdlib=")
+#: An include line.
+INCLUDE = r'(?m)^\s*#\s*include\s*[<"][^>"]+[>"]'
+#: Folders of the phases of a layered project, and fragments of paths that only build locally.
+PHASES = (("/foundation/", 1), ("/middleware/", 2), ("/application/", 3))
+LOCAL_ONLY = ("/producer/spinnaker", "/producer/flir", "/gpu/", "/net/", "/gui/", "/python/")
+#: Compile seconds by size: up to these kilobytes, seconds at the piece's beginning and for each further kilobyte.
+SIZE_PIECES = ((0, 0.5, 0.15), (10, 2.0, 0.2), (50, 10.0, 0.27), (200, 50.0, 0.5))
 
 
 def seconds_between(start: Column | str, end: Column | str) -> Column:
@@ -47,13 +56,17 @@ def node_type(vertex_id: Column | str) -> Column:
     return F.when(prefix.isin("compile", "link", "gen"), prefix).otherwise("unknown")
 
 
-def infer_module(path: Column) -> Column:
-    """Third part of a path; python and probe files have modules of their own."""
-    return F.when(path.contains("python"), "python").when(path.contains("CMakeFiles"), "cmake_probe").when(F.size(F.split(path, "/")) > 3, F.split_part(path, F.lit("/"), F.lit(4))).otherwise("other")
+def infer_module(path: Column, root: str) -> Column:
+    """The folder below the root that holds a file; python and configuration probes have modules of their own."""
+    below = F.substring(path, len(root) + 1, 2**31 - 1)
+    return F.when(path.startswith(root), F.split_part(below, F.lit("/"), F.lit(1))).when(path.startswith("python/"), "python").when(path.startswith("build_compile_db/"), "cmake_probe").otherwise("other")
 
 
 def file_phase(path: Column) -> Column:
-    return F.when(path.contains("/src1/"), 1).when(path.contains("/src4/"), 2).otherwise(3)
+    found = F.lit(3)
+    for folder, phase in reversed(PHASES):
+        found = F.when(path.contains(folder), phase).otherwise(found)
+    return found
 
 
 def is_generated(path: Column | str) -> Column:
@@ -75,9 +88,9 @@ def is_cuda(path: Column | str, arguments: Column | str) -> Column:
 
 
 def classify_machine(cpu_percent: Column, memory_percent: Column) -> Column:
-    """low, medium or high spare capacity, from loads in percent."""
-    worst = F.greatest(cpu_percent, memory_percent) / 100
-    return F.when(worst < 0.5, "high").when(worst < 0.7, "medium").otherwise("low")
+    """high, medium or low spare capacity, from loads in percent."""
+    cpu, memory = cpu_percent / 100, memory_percent / 100
+    return F.when((cpu < 0.5) & (memory < 0.6), "high").when((cpu < 0.7) & (memory < 0.8), "medium").otherwise("low")
 
 
 def balance_grade(cv_percent: Column) -> Column:
@@ -89,15 +102,19 @@ def source_features(text: Column) -> dict[str, Column]:
     lines = F.split(text, "\n")
     code = F.size(F.filter(lines, lambda s: (F.trim(s) != "") & ~F.trim(s).startswith("//")))
     size_kb = F.octet_length(text) / 1024
-    includes = F.regexp_count(text, F.lit(r"#include"))
+    includes = F.regexp_count(text, F.lit(INCLUDE))
     templates = F.regexp_count(text, F.lit(r"template\s*<")) + F.regexp_count(text, F.lit(r"std::\w+<")) / 5
-    return {"size_kb": size_kb, "code_lines": code, "includes": includes, "templates": templates, "complexity": 0.4 * size_kb + 0.3 * code / 100 + 0.2 * includes + 0.1 * templates}
+    return {"size_kb": size_kb, "code_lines": code, "includes": includes, "templates": templates, "complexity": size_kb * 0.4 + code / 10 * 0.3 + includes * 5.0 * 0.2 + templates * 10.0 * 0.1}
 
 
 def estimate_compile_time(size_kb: Column, includes: Column, templates: Column) -> Column:
     """Seconds, linear in the size by pieces, with capped penalties for templates and includes."""
-    base = F.when(size_kb < 10, 0.5 + 0.05 * size_kb).when(size_kb < 50, 1.0 + 0.04 * (size_kb - 10)).otherwise(2.6 + 0.03 * (size_kb - 50))
-    return F.round(base + 0.1 * F.least(templates, F.lit(30)) + 0.05 * F.least(includes, F.lit(15)), 2)
+    base = None
+    for start, seconds, rate in reversed(SIZE_PIECES):
+        piece = seconds + (size_kb - start) * rate
+        base = piece if base is None else F.when(size_kb < following, piece).otherwise(base)
+        following = start
+    return F.round(base + F.least(F.floor(templates) * 2.0, F.lit(30.0)) * 0.3 + F.least(includes * 0.5, F.lit(15.0)) * 0.2, 2)
 
 
 def fallback_time(history: Column, size_kb: Column) -> Column:
@@ -114,9 +131,10 @@ def comm_cost(src_node: Column, dst_node: Column, latency_ms: Column, size_mb: C
 
 
 def performance_score(weight: Column, cpu: Column, load_ratio: Column, success: Column, latency_ms: Column) -> Column:
-    """The static weight if positive, else how free, reliable and near the node is, between 0 and 1."""
-    dynamic = 0.3 * (1 - cpu / 100) + 0.3 * (1 - load_ratio) + 0.3 * success + 0.1 * (1 - F.least(latency_ms / 1000, F.lit(1.0)))
-    return F.when(weight > 0, weight).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dynamic)))
+    """The static weight if positive, else how free, reliable and near the node is."""
+    free = lambda used: F.greatest(F.lit(0.0), 1 - used)
+    dynamic = 0.3 * free(cpu / 100) + 0.3 * free(load_ratio) + 0.3 * success + 0.1 * free(F.least(latency_ms / 1000, F.lit(1.0)))
+    return F.when(weight > 0, weight).otherwise(dynamic)
 
 
 def flag_values(arguments: Column, flag: str) -> Column:
@@ -130,9 +148,15 @@ def include_paths(arguments: Column) -> Column:
 
 
 def dependency_flags(arguments: Column) -> Column:
-    """Flags that bear on dependencies; a flag that stands alone takes its value along."""
-    whole = F.transform(arguments, lambda a, i: F.when(a.isin("-I", "-isystem", "-D", "-U", "-include"), F.concat(a, F.get(arguments, i + 1))).when(a.rlike("^(-I|-isystem|-D|-U|-std=|-include)"), a))
-    return F.filter(whole, lambda v: v.isNotNull())
+    """Flags that bear on dependencies; one that stands alone takes the next argument along, behind a colon."""
+    joined = "^(" + "|".join((*VALUE_FLAGS, *JOINED_FLAGS)) + ")."
+
+    def flag(a: Column, i: Column) -> Column:
+        taken = F.coalesce(F.when(i > 0, F.get(arguments, i - 1)), F.lit("")).isin(*VALUE_FLAGS)
+        alone = a.isin(*VALUE_FLAGS) & F.get(arguments, i + 1).isNotNull()
+        return F.when(~taken & alone, F.concat_ws(":", a, F.get(arguments, i + 1))).when(~taken & a.rlike(joined), a)
+
+    return F.filter(F.transform(arguments, flag), lambda v: v.isNotNull())
 
 
 def flag_signature(arguments: Column) -> Column:
@@ -212,12 +236,12 @@ def needs_generated_include(text: Column) -> Column:
     return text.rlike(r'#include\s*["<](?:[^">]*/)?(?:moc_[^">]*\.cpp|[^">]*\.moc)[">]')
 
 
-def needs_local_only(path: Column, fragments: tuple[str, ...] = ("/3rdparty/", "/gpu/", "/cuda/", "/examples/", "/python/", "/CMakeFiles/")) -> Column:
-    return path.rlike("|".join(f.replace(".", r"\.") for f in fragments))
+def needs_local_only(path: Column, fragments: tuple[str, ...] = LOCAL_ONLY) -> Column:
+    return path.rlike("|".join(fragments))
 
 
 def is_io_heavy(size: Column, path: Column, preprocessed: Column) -> Column:
-    return (size > 500 * 1024) | extension(path).isin("tcc", "ipp", "tpp", "inl") | (F.coalesce(preprocessed, F.lit(0)) > 1024 * 1024)
+    return (size > 500 * 1024) | extension(path).isin("tpp", "hpp", "hxx") | (F.coalesce(preprocessed, F.lit(0)) > 1024 * 1024)
 
 
 def optimisation_level(arguments: Column) -> Column:
@@ -228,12 +252,12 @@ def optimisation_level(arguments: Column) -> Column:
 
 
 def compile_features(text: Column, preprocessed: Column, arguments: Column) -> Column:
-    """preprocessed bytes, includes, expansion, lines and level, each scaled to about one."""
+    """preprocessed megabytes, includes, expansion, thousands of lines and level, each about one."""
     size = F.octet_length(text)
     whole = F.coalesce(preprocessed.cast("double"), size * 1.5)
     lines = F.size(F.split(text, "\n"))
-    includes = F.regexp_count(text, F.lit("#include"))
-    return F.array(whole / 1_000_000, includes / 50, whole / F.greatest(size, F.lit(1)) / 10, lines / 1000, optimisation_level(arguments) / 3)
+    includes = F.regexp_count(text, F.lit(INCLUDE))
+    return F.array(whole / 1_000_000, includes / 50, whole / F.greatest(size, F.lit(1)), lines / 1000, optimisation_level(arguments) / 3)
 
 
 def combined_weight(weight: Column, speedup: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Nodes nearer than this get a bonus for locality.
+NEAR_MS = 100
 _SCORES: dict[str, Callable[[], Column]] = {}
 
 
@@ -24,13 +26,14 @@ def list_scores() -> list[str]:
 
 
 def _slowest() -> Column:
+    """The greatest mean of the nodes at hand; nodes are a dimension table."""
     return F.max("avg_seconds").over(Window.partitionBy(F.lit(1)))
 
 
 register_score("least_loaded", lambda: -F.col("load_ratio"))
 register_score("fastest", lambda: F.when(F.col("avg_seconds") > 0, 1 / (1 + F.col("avg_seconds"))).otherwise(F.col("weight")))
-register_score("weighted", lambda: 0.4 * (1 - F.col("load_ratio")) + 0.4 / (1 + F.col("avg_seconds") / 60) + 0.2 * F.col("success"))
-register_score("locality", lambda: 0.5 * (1 - F.least(F.col("latency_ms") / 300, F.lit(1.0))) + 0.3 * (1 - F.col("load_ratio")) + 0.2 * F.col("weight") / 2)
+register_score("weighted", lambda: 0.4 * (1 - F.col("load_ratio")) + 0.4 * F.when(F.col("avg_seconds") > 0, 1 - F.col("avg_seconds") / _slowest()).otherwise(F.col("weight")) + 0.2 * F.col("success"))
+register_score("locality", lambda: 0.5 * F.greatest(F.lit(0.0), 1 - F.col("latency_ms") / 1000) + 0.3 * (1 - F.col("load_ratio")) + 0.2 * F.col("weight") + F.when(F.col("latency_ms") < NEAR_MS, 0.2).otherwise(0.0))
 
 
 def node_profile(nodes: DataFrame, tasks: DataFrame, samples: DataFrame) -> DataFrame:

@@ -549,8 +549,8 @@ def _profile(s, d):
 for _name, _sql in (
     ("least_loaded", "-ratio"),
     ("fastest", "case when sec > 0 then 1 / (1 + sec) else weight end"),
-    ("weighted", "0.4 * (1 - ratio) + 0.4 / (1 + sec / 60) + 0.2 * ok"),
-    ("locality", "0.5 * (1 - least(latency_ms / 300, 1.0)) + 0.3 * (1 - ratio) + 0.2 * weight / 2"),
+    ("weighted", "0.4 * (1 - ratio) + 0.4 * case when sec > 0 then 1 - sec / max(sec) over () else weight end + 0.2 * ok"),
+    ("locality", "0.5 * greatest(0.0, 1 - latency_ms / 1000) + 0.3 * (1 - ratio) + 0.2 * weight + case when latency_ms < 100 then 0.2 else 0.0 end"),
 ):
     query(f"with {_PROFILE} select node_id, round({_sql}, 6) as score from n where load < slots order by score desc, node_id limit 4", name=f"rank_nodes_{_name}")(lambda s, d, k=_name: nodes.rank_nodes(_profile(s, d), k))
 
@@ -799,7 +799,7 @@ def include_paths(s, d):
     return A.units(s, d).select("unit_id", F.array_join(C.include_paths(F.col("arguments")), ",").alias("paths"))
 
 
-@query("select unit_id, substr(md5(arguments[5] || '|' || '-Iinc/a' || (unit_id % 5) || '|' || arguments[4]), 1, 16) as signature from v_units")
+@query("select unit_id, substr(md5(arguments[5] || '|' || '-I:inc/a' || (unit_id % 5) || '|' || arguments[4]), 1, 16) as signature from v_units")
 def flag_signature(s, d):
     return A.units(s, d).select("unit_id", C.flag_signature(F.col("arguments")).alias("signature"))
 
@@ -819,16 +819,16 @@ def filter_compile_only(s, d):
     return A.units(s, d).filter(F.col("file").rlike(r"\.(c|cc|cxx|cpp)$") & F.array_contains("arguments", "-c")).select("unit_id")
 
 
-_SRC = r"""select file_id, size / 1024 as kb, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '' and not starts_with(trim(x, ' '), '//'))) as code, len(regexp_extract_all(text, '#include')) as inc, len(regexp_extract_all(text, 'template\s*<')) + len(regexp_extract_all(text, 'std::\w+<')) / 5 as tpl from v_sources"""
+_SRC = r"""select file_id, size / 1024 as kb, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '' and not starts_with(trim(x, ' '), '//'))) as code, len(regexp_extract_all(text, '(?m)^\s*#\s*include\s*[<"][^>"]+[>"]')) as inc, len(regexp_extract_all(text, 'template\s*<')) + len(regexp_extract_all(text, 'std::\w+<')) / 5 as tpl from v_sources"""
 
 
-@query(f"select file_id, cast(kb * 1024 as bigint) as size_bytes, cast(code as bigint) as code_lines, cast(inc as bigint) as includes, round(tpl, 4) as templates, floor((0.4::double * kb + 0.3::double * code / 100 + 0.2::double * inc + 0.1::double * tpl) * 1000) / 1000 as complexity from ({_SRC})")
+@query(f"select file_id, cast(kb * 1024 as bigint) as size_bytes, cast(code as bigint) as code_lines, cast(inc as bigint) as includes, round(tpl, 4) as templates, floor((kb * 0.4::double + code / 10 * 0.3::double + inc * 5.0::double * 0.2::double + tpl * 10.0::double * 0.1::double) * 1000) / 1000 as complexity from ({_SRC})")
 def source_complexity(s, d):
     f = C.source_features(F.col("text"))
     return A.sources(s, d).select("file_id", (f["size_kb"] * 1024).cast("long").alias("size_bytes"), f["code_lines"].cast("long").alias("code_lines"), f["includes"].cast("long").alias("includes"), F.round(f["templates"].cast("double"), 4).alias("templates"), (F.floor(f["complexity"] * 1000) / 1000).alias("complexity"))
 
 
-@query(f"select file_id, round(case when kb < 10 then 0.5 + 0.05 * kb when kb < 50 then 1.0 + 0.04 * (kb - 10) else 2.6 + 0.03 * (kb - 50) end + 0.1 * least(tpl, 30) + 0.05 * least(inc, 15), 2) as seconds from ({_SRC})")
+@query(f"select file_id, round(case when kb < 10 then 0.5::double + kb * 0.15::double when kb < 50 then 2.0::double + (kb - 10) * 0.2::double when kb < 200 then 10.0::double + (kb - 50) * 0.27::double else 50.0::double + (kb - 200) * 0.5::double end + least(floor(tpl) * 2.0::double, 30.0::double) * 0.3::double + least(inc * 0.5::double, 15.0::double) * 0.2::double, 2) as seconds from ({_SRC})")
 def estimate_compile_time(s, d):
     f = C.source_features(F.col("text"))
     return A.sources(s, d).select("file_id", C.estimate_compile_time(f["size_kb"], f["includes"], f["templates"]).alias("seconds"))
@@ -844,9 +844,9 @@ def task_id_of(s, d):
     return A.sources(s, d).select("file_id", C.task_id_of(F.col("path"), "/root/src1").alias("task_id")).filter("task_id is not null")
 
 
-@query("select file_id, regexp_extract(path, '[^/]*$') as label, split_part(path, '/', 4) as module from v_sources")
+@query("select file_id, regexp_extract(path, '[^/]*$') as label, case when path like '/root/src1/%' then split_part(path, '/', 4) else 'other' end as module from v_sources")
 def node_label(s, d):
-    return A.sources(s, d).select("file_id", C.basename("path").alias("label"), C.infer_module(F.col("path")).alias("module"))
+    return A.sources(s, d).select("file_id", C.basename("path").alias("label"), C.infer_module(F.col("path"), "/root/src1/").alias("module"))
 
 
 @query("""select line_no, case when line like '%completed in%' then 'completed' when line like '%scheduled to%' then 'scheduled' when line like '%started on%' then 'started' when line like '%failed:%' then 'failed' else 'heartbeat' end as kind,
@@ -871,7 +871,7 @@ def json_fields(s, d):
     return A.decisions(s, d).filter("attempt = 1").select("task_id", F.get_json_object("factors", "$.k").cast("long").alias("k"))
 
 
-@query("select sample_id, case when greatest(cpu, memory) / 100 < 0.5 then 'high' when greatest(cpu, memory) / 100 < 0.7 then 'medium' else 'low' end as capacity from v_node_metrics")
+@query("select sample_id, case when cpu / 100 < 0.5 and memory / 100 < 0.6 then 'high' when cpu / 100 < 0.7 and memory / 100 < 0.8 then 'medium' else 'low' end as capacity from v_node_metrics")
 def classify_machine(s, d):
     return A.node_metrics(s, d).select("sample_id", C.classify_machine(F.col("cpu"), F.col("memory")).alias("capacity"))
 
@@ -886,7 +886,7 @@ def task_durations(s, d):
     return _timed(s, d).select("task_id", F.round("queue_seconds", 6).alias("queue_seconds"), F.round("exec_seconds", 6).alias("exec_seconds"))
 
 
-@query("select node_id, round(case when weight > 0.6 then weight else greatest(0.0, least(1.0, 0.3 * (1 - (node_id % 100) / 100) + 0.3 * (1 - 0.5) + 0.3 * 0.9 + 0.1 * (1 - least(latency_ms / 1000, 1.0)))) end, 6) as score from v_nodes")
+@query("select node_id, round(case when weight > 0.6 then weight else 0.3 * (1 - (node_id % 100) / 100) + 0.3 * (1 - 0.5) + 0.3 * 0.9 + 0.1 * (1 - least(latency_ms / 1000, 1.0)) end, 6) as score from v_nodes")
 def performance_score(s, d):
     w = F.when(F.col("weight") > 0.6, F.col("weight")).otherwise(0.0)
     return A.nodes(s, d).select("node_id", F.round(C.performance_score(w, F.col("node_id") % 100, F.lit(0.5), F.lit(0.9), F.col("latency_ms")), 6).alias("score"))
@@ -1074,9 +1074,10 @@ def exclude_banned_content(s, d):
     return A.sources(s, d).filter(~(F.col("text").rlike("worthless|the moron") | F.col("path").startswith("/root/src0/"))).select("file_id")
 
 
-@query("select file_id, case when path like '%/src1/%' then 1 when path like '%/src4/%' then 2 else 3 end as phase from v_sources")
+@query("select file_id, case file_id % 4 when 0 then 1 when 1 then 2 else 3 end as phase from v_sources")
 def file_phase(s, d):
-    return A.sources(s, d).select("file_id", C.file_phase(F.col("path")).alias("phase"))
+    folder = F.element_at(F.array(*map(F.lit, ("/foundation/", "/middleware/", "/application/", "/tools/"))), (F.col("file_id") % 4 + 1).cast("int"))
+    return A.sources(s, d).select("file_id", C.file_phase(F.concat(F.lit("src"), folder, "path")).alias("phase"))
 
 
 _NAMES = "select p_partkey as id, case p_partkey % 5 when 0 then 'moc_w' || p_partkey || '.cpp' when 1 then 'ui_w' || p_partkey || '.h' when 2 then 'm' || p_partkey || '.pb.cc' when 3 then 'g' || p_partkey || '.tab.c' else 'main' || p_partkey || '.cpp' end as name from part"
@@ -1105,7 +1106,7 @@ def generated_edges(s, d):
     return graph.generated_edges(_names(s, d).withColumnRenamed("id", "file_id"), C.infer_generator(F.col("name")))
 
 
-@query("select file_id, size > 512000 as io_heavy, path like '%/examples/%' as local_only from v_sources")
+@query("select file_id, size > 512000 as io_heavy, path like '%/gui/%' as local_only from v_sources")
 def is_io_heavy(s, d):
     return A.sources(s, d).select("file_id", C.is_io_heavy(F.col("size"), F.col("path"), F.lit(None).cast("long")).alias("io_heavy"), C.needs_local_only(F.col("path")).alias("local_only"))
 
@@ -1115,7 +1116,7 @@ def extract_flags(s, d):
     return A.units(s, d).select("unit_id", F.array_join(C.extract_flags(F.col("arguments")), ";").alias("flags"), C.optimisation_level(F.col("arguments")).alias("level"))
 
 
-@query("select file_id, round(size * 1.5 / 1000000, 8) as preprocessed, round(len(regexp_extract_all(text, '#include')) / 50, 6) as includes, 0.15::double as expansion, round(len(string_split(text, chr(10))) / 1000, 6) as lines from v_sources where size > 0")
+@query("select file_id, round(size * 1.5 / 1000000, 8) as preprocessed, round(len(regexp_extract_all(text, '(?m)^\\s*#\\s*include\\s*[<\"][^>\"]+[>\"]')) / 50, 6) as includes, 1.5::double as expansion, round(len(string_split(text, chr(10))) / 1000, 6) as lines from v_sources where size > 0")
 def compile_features(s, d):
     f = C.compile_features(F.col("text"), F.lit(None).cast("long"), F.array(F.lit("-O2")))
     return A.sources(s, d).select("file_id", *[F.round(F.get(f, F.lit(i)), 8 if i == 0 else 6).alias(n) for i, n in enumerate(("preprocessed", "includes", "expansion", "lines"))])

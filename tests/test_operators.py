@@ -57,7 +57,7 @@ def test_flags(spark):
     r = args.select(C.include_paths(F.col("a")).alias("i"), C.sanitize_flags(F.col("a")).alias("s"), C.dependency_flags(F.col("a")).alias("d")).first()
     assert r["i"] == ["a", "b", "odd"]
     assert r["s"] == ["-I", "-Ib", "-D", "-O2", "-Wall"]
-    assert r["d"] == ["-Ia", "-Ib", "-DX", "-Iodd"]
+    assert r["d"] == ["-I:a", "-Ib", "-D:X", "-Iodd"]
 
 
 def test_missing_headers_and_nodes(spark):

@@ -16,7 +16,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from millwright.llm.common import binaries, pick, slices
 #: Texts of more code points than this are halved until no part is longer.
 LEAF_CHARS = 32_768
 #: Distinct pieces whose ids a worker keeps; beyond it, it begins anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: White space as the tokenizer's pattern knows it (Python's own \\s has four controls more).
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORD_END = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
@@ -65,7 +65,7 @@ class Codec:
         self.added = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
         pre = spec.get("pre_tokenizer") or {}
         self.tabled = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE"
-        self.bare = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+        self.path = path
         self.letters = _byte_letters()
         value = {c: b for b, c in enumerate(self.letters)}
         size = self.library.get_vocab_size(with_added_tokens=True)
@@ -176,6 +176,15 @@ class Codec:
             return self.encode([part])[0]
         return self._bare(part.encode("utf-8", "replace"))
 
+    @cached_property
+    def bare(self):
+        """The tokenizer without its pattern."""
+        from tokenizers import Tokenizer
+
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        return Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+
     def _bare(self, raw: bytes) -> np.ndarray:
         return np.array(self.bare.encode("".join(self.letters[b] for b in raw), add_special_tokens=False).ids, np.int32)
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from millwright.llm.common import extended
 
 #: The mark that stands for a space, and words whose counts a worker keeps.
-SPACE, CACHE_WORDS = "▁", 1_000_000
+SPACE, CACHE_WORDS = "▁", 300_000
 
 
 def default_vocabulary() -> str:

@@ -53,7 +53,7 @@ class Model:
     def potential(self, word: str) -> float | None:
         """What the word's features add to the offending state; None without any."""
         if (w := self.known.get(word, 0)) == 0:
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             found = [self.weights[f] for f in features_of(word) if f in self.weights]
             self.known[word] = w = sum(found) if found else None

@@ -186,7 +186,9 @@ def fit(pages: list[str]) -> BoostedTrees | None:
 def fit_extractor(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> BoostedTrees | None:
     """Trees from at most ``sample_pages`` pages, dealt out by a hash of the id, of up to ``SAMPLE_CHARS`` characters."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html")).filter(F.length("html").between(1, SAMPLE_CHARS))
-    return fit([r["html"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample_pages).collect()])
+    chosen = rows.filter("id is not null").select("id").orderBy(F.xxhash64("id"), "id").limit(sample_pages)  # ids alone go through the sort
+    drawn = rows.join(F.broadcast(chosen), "id").limit(4 * sample_pages).collect()
+    return fit([html for _, html in sorted(map(tuple, drawn))][:sample_pages])
 
 
 def extract_text(pages: DataFrame, model: BoostedTrees | None, *, html_col: str = "html") -> DataFrame:

@@ -125,14 +125,15 @@ def offending_features(texts: list[str], toxic: list[int]) -> dict[str, float]:
     """Log odds of the features that are offending by their neighbours in the sample."""
     seen: tuple[dict[str, set[str]], dict[str, set[str]]] = ({}, {})
     words_in = [0, 0]
-    for text, label in zip(texts, toxic):
-        before = ""
-        for word in _WORD.findall(text.lower()):
-            words_in[label] += 1
-            for f in features_of(word):
-                if label or f in seen[1]:
-                    seen[label].setdefault(f, set()).add(before)
-            before = word
+    for side in (1, 0):  # toxic texts first: what clean ones are asked for is then known, in whatever order the sample comes
+        for text in (t for t, label in zip(texts, toxic) if label == side):
+            before = ""
+            for word in _WORD.findall(text.lower()):
+                words_in[side] += 1
+                for f in features_of(word):
+                    if side or f in seen[1]:
+                        seen[side].setdefault(f, set()).add(before)
+                before = word
     rate = (words_in[1] + 1) / (words_in[0] + 1)
     odds = {f: math.log((len(b) + 0.5) / (len(seen[0].get(f, ())) + 0.5) / rate) for f, b in seen[1].items() if len(b) >= NEIGHBOURS}
     best = sorted((f for f, o in odds.items() if o >= LOG_ODDS), key=lambda f: (-odds[f], f))
@@ -237,8 +238,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     picked = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for k in (0, 1)]
     sample = picked[0].unionByName(picked[1])  # 2 * sample_docs rows, so that they can be sent to every executor
     found = pick(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").filter(F.length("text").between(1, SAMPLE_CHARS))
-    drawn = sorted(map(tuple, found.select("doc_id", "text", "label").limit(4 * sample_docs).collect()))
-    return fit([r[1] for r in drawn], [r[2] for r in drawn])
+    drawn = sorted(map(tuple, found.select("text", "label").limit(4 * sample_docs).collect()))  # by text, so that sums are added up in one order under any ids
+    return fit([r[0] for r in drawn], [r[1] for r in drawn])
 
 
 @lru_cache(4)

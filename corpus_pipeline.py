@@ -19,8 +19,8 @@ from millwright.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Documents at or above this score go.
 TOXIC_SCORE = 0.5
-#: Repeated byte strings of this length or more are cut out; a passage of over fifty words is longer.
-REPEATED_BYTES = 224
+#: Repeated byte strings of this length or more are cut out, and repeated passages of so many words, which may be shorter.
+REPEATED_BYTES, REPEATED_WORDS = 224, 51
 
 
 def _same_columns(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the text that stands in two places or more, whole characters at a time.  Every document stays."""
-    found = repeated_spans(docs, min_bytes=REPEATED_BYTES, gram=32, whole_characters=True)
+    found = repeated_spans(docs, min_bytes=REPEATED_BYTES, gram=32, whole_characters=True, min_words=REPEATED_WORDS)
     text = F.when(F.col("text").isNull(), None).otherwise(F.decode("kept", "UTF-8"))
     return _same_columns(found.withColumn("text", text), docs)
 

@@ -16,6 +16,8 @@ Nothing is capped: every window of every document is in exactly one entry.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -116,6 +118,34 @@ def equal_windows(contexts: list[bytes], starts: np.ndarray, min_bytes: int) ->
     return owner[twice], at[twice]
 
 
+#: What parts words, as in str.split(): bytes of ASCII, and longer characters.
+_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+def short_passages(raw: bytes, words: int, below: int) -> dict[bytes, tuple[int, list[list[int]]]]:
+    """Of the passages of ``words`` words that take fewer than ``below`` bytes, by their 128-bit hash: how many there are, and the runs of bytes they cover."""
+    space = _SPACE[np.frombuffer(raw, np.uint8)]
+    if not raw.isascii():
+        for m in _WIDE_SPACE.finditer(raw):
+            space[m.start() : m.end()] = True
+    turns = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+    starts, ends = turns[::2], turns[1::2]
+    if len(starts) < words:
+        return {}
+    starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
+    short = np.flatnonzero(ends - starts < below)
+    found: dict[bytes, tuple[int, list[list[int]]]] = {}
+    for a, b in zip(starts[short].tolist(), ends[short].tolist()):
+        n, runs = found.get(key := xxhash.xxh3_128_digest(raw[a:b]), (0, []))
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = b
+        else:
+            runs.append([a, b])
+        found[key] = n + 1, runs
+    return found
+
+
 def _ranges(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive numbers: owner, first and last."""
     new = np.ones(len(at), bool)
@@ -193,11 +223,12 @@ def _marks(df: DataFrame) -> DataFrame:
     return F.broadcast(df.select(_mark().alias(_MARK)).distinct())
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, gram: int = GRAM, batches: int = BATCHES, anchor_classes: int = ANCHOR_CLASSES, whole_characters: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, gram: int = GRAM, batches: int = BATCHES, anchor_classes: int = ANCHOR_CLASSES, whole_characters: bool = False, min_words: int | None = None) -> DataFrame:
     """Every text without the bytes that a repeated string of ``min_bytes`` bytes covers (here or in another document).
 
     Adds to the columns of ``docs``, replacing any so named: n_bytes long, spans array<struct<start, end>> (maximal removed
     byte runs), kept binary (the other bytes).  ``whole_characters``: a character stays whole if any of its bytes does.
+    ``min_words``: a repeated string of so many whole words is removed too, however few bytes it takes.
     A null text counts as empty; null ids are ids like others; a repeated row repeats its text, so both are removed where long
     enough; an empty table gives an empty one.
     """
@@ -222,6 +253,21 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     extent = ((hi - lo + 1) << 32) | (anchor - lo)
                     yield pa.record_batch([pa.array(key), pa.array(ctx), uid.take(pa.array(owner)), pa.array(at), pa.array(extent)], ["key", "ctx", "uid", "at", "extent"])
 
+    def list_passages(parts):
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in parts:
+            keys, owner, times, covers = [], [], [], []
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                for key, (n, runs) in short_passages((t or "").encode("utf-8", "replace"), min_words, min_bytes).items():
+                    keys.append(key)
+                    owner.append(i)
+                    times.append(n)
+                    covers.append([{"start": a, "end": b} for a, b in runs])
+            if owner:
+                w = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                rows = pa.array(owner)
+                yield pa.record_batch([pa.array(w[:, 0]), pa.array(w[:, 1]), batch.column("uid").take(rows), batch.column("th").take(rows), pa.array(times, pa.int64()), pa.array(covers, kind)], ["w1", "w2", "uid", "th", "n", "cover"])
+
     place, checksum, windows_of = F.shiftright("at", 32).alias("lo"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("th"), F.shiftright("extent", 32).alias("starts")
     folder = shared_dir(spark)
     listed = docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).mapInArrow(list_entries, "key long, ctx long, uid long, at long, extent long")
@@ -296,6 +342,11 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     settled = twice.unionByName(found.join(classes.filter("n > 1"), ["key", "ctx"], "left_anti"))
     spanned = lambda x: F.struct((F.col("lo") + x["first"]).alias("start"), (F.col("lo") + F.coalesce(x["last"], F.col("starts") - 1) + min_bytes).alias("end"))
     hit = entries.join(settled, ["key", "ctx"]).select("uid", checksum, place, windows_of, "found").select("uid", "th", F.transform("found", spanned).alias("cover"))
+    if min_words is not None:  # passages of min_bytes or more are found above
+        runs = "array<struct<start: long, end: long>>"
+        passages = written(docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).mapInArrow(list_passages, f"w1 long, w2 long, uid long, th long, n long, cover {runs}"))
+        again = passages.groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1")
+        hit = hit.unionByName(passages.join(again, ["w1", "w2"]).select("uid", "th", "cover"))
     cover = written(hit.groupBy("uid", "th").agg(F.flatten(F.collect_set("cover")).alias("cover")))
     marks = _marks(cover)
     touched = rows.join(marks, _MARK, "left_semi").join(cover, ["uid", "th"], "left").select("row", "cover")

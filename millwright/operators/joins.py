@@ -95,6 +95,11 @@ def exec_cost_matrix(tasks: DataFrame, nodes: DataFrame, time: Column, cuda: Col
     return tasks.crossJoin(nodes.select("node_id", "weight")).withColumn("cost", F.round(cost, 6))
 
 
+def cost_classes(nodes: DataFrame) -> DataFrame:
+    """Of nodes on which every task costs the same (equal weight, local or not) the one with the least id: all that can be cheapest."""
+    return nodes.groupBy("weight", (F.col("node_id") == 0).alias("local")).agg(F.min("node_id").alias("node_id")).select("node_id", "weight")
+
+
 def cheapest_node(matrix: DataFrame, key: str) -> DataFrame:
     return matrix.groupBy(key).agg(F.min_by(F.struct("node_id", "cost"), F.struct("cost", "node_id")).alias("x")).select(key, "x.*")
 

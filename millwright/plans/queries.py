@@ -474,13 +474,13 @@ def concurrency_at(s, d):
     select id, node_id, cost from m""")
 def exec_cost_matrix(s, d):
     t = A.vertices(s, d).select("id", F.col("weight").alias("time"), (F.col("id") % 4 == 2).alias("cuda"))
-    return joins.exec_cost_matrix(t, A.nodes(s, d).filter("node_id < 12"), F.col("time"), F.col("cuda")).select("id", "node_id", "cost")
+    return joins.exec_cost_matrix(t, A.nodes(s, d), F.col("time"), F.col("cuda")).select("id", "node_id", "cost")
 
 
 @query("select id, node_id, cost from (select *, row_number() over (partition by id order by cost, node_id) as r from (select v.id, n.node_id, round(v.weight / n.weight, 6) as cost from v_vertices v, v_nodes n where n.node_id < 12)) where r = 1")
 def cheapest_node(s, d):
     t = A.vertices(s, d).select("id", F.col("weight").alias("time"))
-    return joins.cheapest_node(joins.exec_cost_matrix(t, A.nodes(s, d).filter("node_id < 12"), F.col("time"), F.lit(False)), "id")
+    return joins.cheapest_node(joins.exec_cost_matrix(t, joins.cost_classes(A.nodes(s, d)), F.col("time"), F.lit(False)), "id")
 
 
 @query("""with b as (select 1 / weight as f, latency_ms from v_nodes where node_id <> 0 order by 1, 2 limit 1) select id, case when v.weight <= v.weight * f + latency_ms / 1000 + 0.5 then 'local' else 'remote' end as side from v_vertices v, b""")

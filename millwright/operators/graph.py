@@ -210,10 +210,38 @@ def movable_tasks(ranks: DataFrame, share: float = 0.8) -> DataFrame:
     return ranks.join(cut, "graph_id").filter("rank < cut").select("graph_id", "id", "rank")
 
 
-def transitive_reduction(edges: DataFrame) -> DataFrame:
-    """Edges that no path of two edges makes superfluous.  Longer detours are kept, so that the work stays one join."""
-    two = edges.select("graph_id", "src", F.col("dst").alias("mid")).join(edges.select("graph_id", F.col("src").alias("mid"), "dst"), ["graph_id", "mid"]).select("graph_id", "src", "dst").distinct()
-    return edges.join(two, ["graph_id", "src", "dst"], "left_anti")
+def transitive_reduction(edges: DataFrame, *, within: DataFrame | None = None, critical: DataFrame | None = None, share: float | None = None, max_rounds: int = 10_000) -> DataFrame:
+    """Edges that no other path, however long, makes superfluous; edges on cycles or behind them are kept.
+
+    Guards, where given: only edges and paths between vertices of ``within`` count, edges with both ends in ``critical`` are kept,
+    and at most ``share`` of each graph's edges go, the first by their ends.
+    """
+    ends = ["graph_id", "src", "dst"]
+    e = edges.select(*ends).distinct()
+    e = cut_lineage(e if within is None else prune_graph(e, within))
+    vertices = e.select("graph_id", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("weight", F.lit(0).cast("long"))
+    levels = cut_lineage(topological_levels(vertices, e, max_rounds=max_rounds))
+    e = cut_lineage(e.join(levels.select("graph_id", F.col("id").alias("src"), F.col("level").alias("from")), ["graph_id", "src"]).join(levels.select("graph_id", F.col("id").alias("dst"), F.col("level").alias("to")), ["graph_id", "dst"]))
+    long = cut_lineage(e.filter(F.col("to") - F.col("from") > 1).select(*ends, "to"))  # no other edge can have a detour
+    pairs = ["graph_id", "src", "at"]
+    steps = e.select("graph_id", F.col("src").alias("at"), F.col("dst").alias("next"), F.col("to").alias("level"))
+    tops = cut_lineage(long.groupBy("graph_id", "src").agg(F.max("to").alias("top")))
+    front = cut_lineage(tops.join(e.withColumnRenamed("dst", "at"), ["graph_id", "src"]).filter("to < top").select(*pairs, "top"))
+    seen = front.select(*pairs).limit(0)  # what paths of two edges or more reach
+    for _ in range(max_rounds):
+        if front.isEmpty():
+            break
+        more = front.join(steps, ["graph_id", "at"]).filter("level <= top").select("graph_id", "src", F.col("next").alias("at"), "top").distinct()
+        front = cut_lineage(more.join(seen, pairs, "left_anti"))
+        seen = cut_lineage(seen.unionByName(front.select(*pairs)))
+    gone = long.join(seen.withColumnRenamed("at", "dst"), ends, "left_semi").select(*ends)
+    if critical is not None:
+        gone = gone.join(prune_graph(gone, critical), ends, "left_anti")
+    if share is not None:
+        most = edges.groupBy("graph_id").agg(F.floor(F.count("*") * share).alias("most"))
+        place = F.row_number().over(Window.partitionBy("graph_id").orderBy("src", "dst"))
+        gone = gone.withColumn("place", place).join(most, "graph_id").filter("place <= most").select(*ends)
+    return edges.join(gone, ends, "left_anti")
 
 
 def link_barriers(vertices: DataFrame, edges: DataFrame, *, least: int = 2) -> DataFrame:

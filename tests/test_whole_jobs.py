@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from millwright.operators import joins
+from millwright.operators import graph, joins
 from millwright.plans import adapters as A
 from millwright.plans.queries import QUERIES
 
+#: Tables with more than twelve nodes.
 LARGER = "/root/testdata/sf0.01"
 
 
@@ -29,3 +32,34 @@ def test_cheapest_node_is_sought_among_all(spark):
     best = min((-r["weight"], r["node_id"]) for r in A.nodes(spark, LARGER).collect())
     found = QUERIES["cheapest_node"](spark, LARGER).collect()
     assert len(found) == A.vertices(spark, LARGER).count() and {r["node_id"] for r in found} == {best[1]}
+
+
+def _reduced(spark, pairs, **guards):
+    e = spark.createDataFrame([(0, a, b) for a, b in pairs], "graph_id long, src long, dst long")
+    return sorted((r["src"], r["dst"]) for r in graph.transitive_reduction(e, **guards).collect())
+
+
+def _has_detour(pairs, a, b) -> bool:
+    seen, front = set(), {y for x, y in pairs if x == a and y != b}
+    while front:
+        seen |= front
+        front = {y for x, y in pairs if x in front} - seen
+    return b in seen
+
+
+def test_transitive_reduction_finds_detours_of_any_length(spark):
+    chain = [(1, 2), (2, 3), (3, 4), (4, 5)]
+    assert _reduced(spark, [*chain, (1, 4)]) == chain
+    assert _reduced(spark, [*chain, (1, 3), (1, 5), (2, 5)]) == chain
+    r = random.Random(5)
+    pairs = sorted({(a, b) for a, b in ((r.randrange(18), r.randrange(18)) for _ in range(110)) if a < b})
+    assert _reduced(spark, pairs) == [p for p in pairs if not _has_detour(pairs, *p)]
+    assert _reduced(spark, [(1, 2), (2, 1), (2, 3)]) == [(1, 2), (2, 1), (2, 3)]
+
+
+def test_guards_of_transitive_reduction(spark):
+    chain, vertices = [(1, 2), (2, 3), (3, 4), (4, 5)], lambda *ids: spark.createDataFrame([(0, k) for k in ids], "graph_id long, id long")
+    pairs = sorted([*chain, (1, 3), (1, 4), (1, 5)])
+    assert _reduced(spark, pairs, within=vertices(1, 2, 3)) == [p for p in pairs if p != (1, 3)]
+    assert _reduced(spark, pairs, critical=vertices(1, 4)) == sorted([*chain, (1, 4)])
+    assert _reduced(spark, pairs, share=0.3) == sorted([*chain, (1, 5)])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millwright.operators import graph, joins
 from millwright.plans import adapters as A
-from millwright.plans.queries import QUERIES
+from millwright.plans.queries import QUERIES, _with_odd_edges
 
 #: Tables with more than twelve nodes.
 LARGER = "/root/testdata/sf0.01"
@@ -63,3 +63,30 @@ def test_guards_of_transitive_reduction(spark):
     assert _reduced(spark, pairs, within=vertices(1, 2, 3)) == [p for p in pairs if p != (1, 3)]
     assert _reduced(spark, pairs, critical=vertices(1, 4)) == sorted([*chain, (1, 4)])
     assert _reduced(spark, pairs, share=0.3) == sorted([*chain, (1, 5)])
+
+
+def test_include_closure_starts_from_every_unit(spark, sf_dir):
+    after: dict[int, set[int]] = {}
+    for e in A.edges(spark, sf_dir).collect():
+        after.setdefault(e["src"], set()).add(e["dst"])
+    whole = set()
+    for unit in after:
+        front, seen = after[unit], set()
+        while front:
+            seen |= front
+            front = set().union(*(after.get(x, set()) for x in front)) - seen
+        whole |= {(unit, x) for x in seen}
+    assert sorted(map(tuple, QUERIES["include_closure"](spark, sf_dir).select("unit", "id").collect())) == sorted(whole)
+
+
+def test_all_log_lines_are_read_back(spark, sf_dir):
+    lines = lambda df: sorted(r["line"] for r in df.select("line").collect())
+    assert lines(QUERIES["read_log_lines"](spark, sf_dir)) == lines(A.log_lines(spark, sf_dir))
+
+
+def test_repaired_cycles_grow_with_the_table(spark, sf_dir):
+    planted = [_with_odd_edges(spark, x)[1].count() - A.edges(spark, x).count() for x in (sf_dir, LARGER, "/root/testdata/sf0.1")]
+    assert 1 <= planted[0] < planted[1] / 5 < planted[2] / 25
+    assert graph.cyclic_nodes(*_with_odd_edges(spark, sf_dir)).count() >= 2
+    edges = lambda df: sorted(map(tuple, df.select("graph_id", "src", "dst").collect()))
+    assert edges(QUERIES["repair_cycles"](spark, sf_dir)) == edges(A.edges(spark, sf_dir))

@@ -187,10 +187,10 @@ def task_id_of(path: Column, root: str) -> Column:
 
 
 def content_hash(text: Column, *, whole_below: int = 65536, part: int = 4096) -> Column:
-    """md5 of a short text, of a long one's first, middle and last part."""
+    """md5 of a short text, of a long one's first part, the part from its middle on, and its last part."""
     raw = F.encode(text, "UTF-8")
     n = F.octet_length(text)
-    middle = (n / 2).cast("int") - part // 2 + 1
+    middle = (n / 2).cast("int") + 1
     parts = F.concat(F.substring(raw, F.lit(1), F.lit(part)), F.substring(raw, middle, F.lit(part)), F.substring(raw, n - part + 1, F.lit(part)))
     return F.when(n < whole_below, F.md5(raw)).otherwise(F.md5(parts))
 

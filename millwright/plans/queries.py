@@ -836,7 +836,7 @@ def estimate_compile_time(s, d):
 
 @query("select file_id, md5(text) as hash from v_sources where size < 65536")
 def content_hash(s, d):
-    return A.sources(s, d).filter("size < 65536").select("file_id", C.content_hash(F.col("text")).alias("hash"))
+    return A.sources(s, d).select("file_id", C.content_hash(F.col("text")).alias("hash"))
 
 
 @query("select file_id, 'compile:' || substr(path, 12) as task_id from v_sources where path like '/root/src1/%'")

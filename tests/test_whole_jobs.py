@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
+from millwright.functions import columns as C
 from millwright.operators import graph, joins
 from millwright.plans import adapters as A
 from millwright.plans.queries import QUERIES, _with_odd_edges
@@ -90,3 +92,20 @@ def test_repaired_cycles_grow_with_the_table(spark, sf_dir):
     assert graph.cyclic_nodes(*_with_odd_edges(spark, sf_dir)).count() >= 2
     edges = lambda df: sorted(map(tuple, df.select("graph_id", "src", "dst").collect()))
     assert edges(QUERIES["repair_cycles"](spark, sf_dir)) == edges(A.edges(spark, sf_dir))
+
+
+def brute_hash(text: str) -> str:
+    raw = text.encode()
+    n = len(raw)
+    return hashlib.md5(raw if n < 65536 else raw[:4096] + raw[n // 2 : n // 2 + 4096] + raw[-4096:]).hexdigest()
+
+
+def test_long_texts_have_a_content_hash(spark, tmp_path):
+    r = random.Random(12)
+    texts = ["".join(r.choices("abcdé 中\n", k=n)) for n in (0, 10, 30_000, 60_000, 150_000)] + ["".join(r.choices("abcd", k=n)) for n in (65_535, 65_536, 65_537, 99_999)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(map(tuple, table.select("doc_id", C.content_hash(F.col("text"))).collect())) == {k: brute_hash(t) for k, t in enumerate(texts)}
+    table.withColumns({"lang": F.lit("en"), "source": F.lit("web")}).write.parquet(f"{tmp_path}/documents.parquet")
+    sources = {x["file_id"]: x["text"] for x in A.sources(spark, str(tmp_path)).collect()}
+    found = dict(map(tuple, QUERIES["content_hash"](spark, str(tmp_path)).select("file_id", "hash").collect()))
+    assert found == {k: brute_hash(t) for k, t in sources.items()} and len(found) == len(texts)

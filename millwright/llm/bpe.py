@@ -6,8 +6,8 @@ space, or between two pieces of its pattern); there, joining is laying end to en
 unsplit over more than a leaf is cut inside: then a window around the join is encoded anew and grows until its first and
 its last token are tokens of the left and right side, which makes every adjacent pair of tokens valid and so the result exact.
 
-Within a leaf, the pattern is applied by array operations, and each distinct piece is encoded once by the tokenizers
-library.  Texts outside its table (see ``words``), or holding an added token's string, go through the library whole.
+Within a leaf, the pattern is applied by array operations, and its distinct pieces are merged side by side (see ``merges``).
+Texts outside its table (see ``words``), or holding an added token's string, go through the library whole.
 """
 
 from __future__ import annotations
@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.llm import words
-from millwright.llm.common import binaries, pick, slices
+from millwright.llm.common import binaries, pick, text_slices
+from millwright.llm.merges import LONGEST, Merges
 
 #: Texts of more code points than this are halved until no part is longer.
 LEAF_CHARS = 32_768
-#: Distinct pieces whose ids a worker keeps; beyond it, it begins anew.
-CACHE_PIECES = 200_000
 #: White space as the tokenizer's pattern knows it (Python's own \\s has four controls more).
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORD_END = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
@@ -77,32 +76,19 @@ class Codec:
         self.spelled = spelled
         self.spelled_flat = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_at = np.concatenate([[0], np.cumsum([len(s) for s in spelled])]).astype(np.int64)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.at = np.zeros(1, np.int64)
-
-    def _learn(self, names: list[bytes]) -> np.ndarray:
-        """Indices of these pieces in the cache."""
-        if len(self.known) > CACHE_PIECES:
-            self._forget()
-        missing = [p for p in names if p not in self.known]
-        if missing:
-            found = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in missing], add_special_tokens=False)]
-            self.known.update(zip(missing, range(len(self.known), len(self.known) + len(missing))))
-            self.flat = np.concatenate([self.flat, np.array([i for ids in found for i in ids], np.int32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(ids) for ids in found])])
-        return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        model = spec["model"]
+        self.tabled = self.tabled and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if self.tabled:
+            ids = model["vocab"]
+            parts = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+            self.merges = Merges(np.array([ids[c] for c in self.letters]), [(ids[a], ids[b], ids[a + b]) for a, b in parts])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's ids begin (one more at the end)."""
         whole = [not (self.tabled and words.in_table(t)) or bool(self.added and self.added.search(t)) for t in texts]
         data = words.joined(["" if w else t for w, t in zip(whole, texts)])
         starts, ends, text_no = words.bpe_pieces(data)
-        names, index = words.distinct(data, starts, ends)
-        ids, size = words.gather(self.flat, self.at, index) if not names else self._spread(names, index)
+        ids, size = self._pieces(data, starts, ends)
         per_text = np.bincount(text_no, weights=size, minlength=len(texts)).astype(np.int64) if len(text_no) else np.zeros(len(texts), np.int64)
         offsets = np.concatenate([[0], np.cumsum(per_text)])
         if any(whole):
@@ -114,9 +100,20 @@ class Codec:
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         return ids, offsets
 
-    def _spread(self, names: list[bytes], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = self._learn(names)
-        return words.gather(self.flat, self.at, rows[index])
+    def _pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these pieces end to end, and how many each has; a piece that comes again is encoded once."""
+        head, index = words.distinct(data, starts, ends)
+        starts, ends = starts[head], ends[head]
+        long = ends - starts > LONGEST
+        flat, at = self.merges.encode(data, starts[~long], ends[~long])
+        if long.any():
+            parts = [self.library.encode(data[a:b].tobytes().decode(), add_special_tokens=False).ids for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+            flat = np.concatenate([flat, *(np.array(p, np.int32) for p in parts)])
+            at = np.concatenate([at, at[-1] + np.cumsum([len(p) for p in parts])])
+            place = np.empty(len(long), np.int64)
+            place[np.concatenate([np.flatnonzero(~long), np.flatnonzero(long)])] = np.arange(len(long))
+            index = place[index]
+        return words.gather(flat, at, index)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts that these ranges of ids spell; bytes that are no UTF-8 become U+FFFD, ids outside the vocabulary nothing."""
@@ -228,25 +225,20 @@ def _tree(parts: list[tuple[np.ndarray, bool, bool]], coder: Codec) -> np.ndarra
     return np.concatenate([ids for ids, _, _ in runs[0]]) if runs else np.zeros(0, np.int32)
 
 
-def bpe_encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """Ids of every whole text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
-
-    Returns doc_id long, ids binary (little-endian 32-bit ids), one row for each row of ``docs``.  A null or empty text
-    has no ids (empty binary), a null id stays null, repeated rows are repeated, an empty table gives an empty one;
-    other columns are left aside, so their names do not matter.
-    """
+def encoded(docs: DataFrame, schema: str, emit, *, id_col: str, text_col: str, tokenizer: str | None, leaf_chars: int) -> DataFrame:
+    """What ``emit`` makes of every text's ids: it gets the row ids, all ids end to end, where each text's begin, and how many rows its task, or its text, has had before."""
     path = tokenizer or default_tokenizer()
     rows = pick(docs, id_col, text_col)
     long = F.length("text") > leaf_chars
-    schema = "doc_id long, ids binary"
 
     def encode(batches):
-        coder = codec(path)
+        coder, before = codec(path), 0
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for lo, hi in slices(texts):
-                flat, offsets = coder.encode(texts[lo:hi])
-                yield pa.record_batch([ids.slice(lo, hi - lo), binaries(flat.astype("<u4"), offsets * 4)], ["doc_id", "ids"])
+            ids, column = batch.column("doc_id"), batch.column("text")
+            for lo, hi in text_slices(column):
+                flat, offsets = coder.encode(column.slice(lo, hi - lo).to_pylist())
+                yield emit(ids.slice(lo, hi - lo), flat, offsets, before)
+                before += hi - lo
 
     def cut(batches):
         coder = codec(path)
@@ -264,10 +256,9 @@ def bpe_encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     def join(group: pa.Table) -> pa.Table:
         group = group.sort_by("leaf")
         parts = [(np.frombuffer(i, "<i4"), b, n) for i, b, n in zip(group["ids"].to_pylist(), group["bare"].to_pylist(), group["inner"].to_pylist())]
-        ids = _tree(parts, codec(path)).astype("<u4").tobytes()
-        doc_id = group["key"][0].as_py()["doc_id"]
-        copies = group["copies"][0].as_py()
-        return pa.table({"doc_id": pa.array([doc_id] * copies, pa.int64()), "ids": pa.array([ids] * copies, pa.binary())})
+        ids = _tree(parts, codec(path))
+        doc_id = pa.array([group["key"][0].as_py()["doc_id"]], pa.int64())
+        return pa.Table.from_batches([emit(doc_id, ids, np.array([0, len(ids)]), k) for k in range(group["copies"][0].as_py())])
 
     short_ids = rows.filter(~long).mapInArrow(encode, schema)
     copies = rows.filter(long).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
@@ -278,6 +269,20 @@ def bpe_encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return short_ids.unionByName(coded.groupBy("key").applyInArrow(join, schema))
 
 
+def bpe_encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """Ids of every whole text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
+
+    Returns doc_id long, ids binary (little-endian 32-bit ids), one row for each row of ``docs``.  A null or empty text
+    has no ids (empty binary), a null id stays null, repeated rows are repeated, an empty table gives an empty one;
+    other columns are left aside, so their names do not matter.
+    """
+
+    def emit(ids, flat, offsets, before):
+        return pa.record_batch([ids, binaries(flat.astype("<u4"), offsets * 4)], ["doc_id", "ids"])
+
+    return encoded(docs, "doc_id long, ids binary", emit, id_col=id_col, text_col=text_col, tokenizer=tokenizer, leaf_chars=leaf_chars)
+
+
 def bpe_decode(coded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
     """The text that the ids of each row spell, as ``Tokenizer.decode(ids, skip_special_tokens=False)`` gives it.
 

@@ -46,6 +46,19 @@ def slices(texts: list[str], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield lo, len(texts)
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows of a text column that take about ``limit`` bytes, so that a batch is never turned into Python objects whole."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def binaries(flat, offsets, kind: pa.DataType = pa.binary()) -> pa.Array:
     """An Arrow array of the byte ranges [offsets[i], offsets[i+1]) of ``flat``."""
     import numpy as np

@@ -27,8 +27,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(table(spark, sf_dir, "documents"))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,13 +96,12 @@ _MASK = np.array([0, *((1 << (8 * k)) - 1 for k in range(1, 8)), (1 << 64) - 1],
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The distinct pieces and, for each piece, the index of its distinct one.  Pieces are compared whole, not by hash."""
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places (in ``starts``) of the distinct pieces and, for each piece, the index of its distinct one.  Pieces are compared whole, not by hash."""
     if not len(starts):
-        return [], np.zeros(0, np.int64)
-    raw = data.tobytes()
-    padded = np.frombuffer(raw + bytes(32), np.uint8)
-    eight = np.lib.stride_tricks.as_strided(padded.view(np.uint8)[:8].view("<u8"), (len(data) + 24,), (1,))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    padded = np.concatenate([data, np.zeros(32, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 24,), (1,))
     size = ends - starts
     keys = [eight[starts + 8 * k] & _MASK[np.clip(size - 8 * k, 0, 8)] for k in range(3)]
     mixed = size.astype(np.uint64)
@@ -110,24 +109,29 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[li
         mixed = (mixed ^ k) * m
         mixed ^= mixed >> np.uint64(29)
     short = size <= 24
-    rows = np.flatnonzero(short)
-    _, head, index = np.unique(mixed[rows], return_index=True, return_inverse=True)
-    same = rows[head][index]
+    rows = np.arange(len(starts)) if short.all() else np.flatnonzero(short)
+    order = np.argsort(mixed[rows])
+    new = np.ones(len(order), bool)
+    new[1:] = mixed[rows[order[1:]]] != mixed[rows[order[:-1]]]
+    index = np.empty(len(order), np.int64)
+    index[order] = np.cumsum(new) - 1
+    head = rows[order[new]]
+    same = head[index]
+    out = np.zeros(len(starts), np.int64)
     if all((k[same] == k[rows]).all() for k in keys) and (size[same] == size[rows]).all():
-        names = [raw[a:b] for a, b in zip(starts[rows[head]].tolist(), ends[rows[head]].tolist())]
-        out = np.zeros(len(starts), np.int64)
         out[rows] = index
-        rest = np.flatnonzero(~short)
+        heads, rest = [head], np.flatnonzero(~short)
     else:  # two pieces with one mixed key
-        names, out, rest = [], np.zeros(len(starts), np.int64), np.arange(len(starts))
+        heads, rest = [], np.arange(len(starts))
     known: dict[bytes, int] = {}
+    count, more = sum(map(len, heads)), []
     for i in rest.tolist():
-        piece = raw[starts[i] : ends[i]]
+        piece = data[starts[i] : ends[i]].tobytes()
         if (at := known.get(piece)) is None:
-            at = known[piece] = len(names)
-            names.append(piece)
+            at = known[piece] = count + len(more)
+            more.append(i)
         out[i] = at
-    return names, out
+    return np.concatenate([*heads, np.array(more, np.int64)]), out
 
 
 def gather(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

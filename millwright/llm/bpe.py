@@ -249,9 +249,14 @@ def encoded(docs: DataFrame, schema: str, emit, *, id_col: str, text_col: str, t
 
     def encode_leaves(batches):
         coder = codec(path)
+        names = ["key", "copies", "leaf", "bare", "inner"]
         for batch in batches:
-            ids = [coder.encode_part(p, b).astype("<u4").tobytes() for p, b in zip(batch.column("part").to_pylist(), batch.column("bare").to_pylist())]
-            yield pa.record_batch([batch.column(c) for c in ("key", "copies", "leaf", "bare", "inner")] + [pa.array(ids, pa.binary())], ["key", "copies", "leaf", "bare", "inner", "ids"])
+            column, bare = batch.column("part"), batch.column("bare").to_pylist()
+            for lo, hi in text_slices(column):
+                parts = column.slice(lo, hi - lo).to_pylist()
+                flat, at = coder.encode(["" if b else p for p, b in zip(parts, bare[lo:hi])])
+                ids = [(coder.encode_part(p, True) if b else flat[x:y]).astype("<u4").tobytes() for p, b, x, y in zip(parts, bare[lo:hi], at[:-1].tolist(), at[1:].tolist())]
+                yield pa.record_batch([batch.column(c).slice(lo, hi - lo) for c in names] + [pa.array(ids, pa.binary())], [*names, "ids"])
 
     def join(group: pa.Table) -> pa.Table:
         group = group.sort_by("leaf")

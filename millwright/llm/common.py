@@ -13,21 +13,9 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
-#: Rows of an Arrow batch at most: texts can be long, and a worker holds a batch several times over.
-BATCH_ROWS = 1000
-
-
-def short_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, with Arrow batches of its session held to ``BATCH_ROWS`` rows; a smaller setting stays."""
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, BATCH_ROWS)
-    return docs
-
-
 def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text (null becomes empty), under fixed names: no extra column can clash with the operator's own."""
-    return short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +78,17 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows are told apart by one of so many marks before they are shuffled; a set of marks is small enough to broadcast, whatever the input.
+MARKS = 1 << 20
+
+
+def near_ids(rows: DataFrame, wanted: DataFrame, column: str, of: str) -> DataFrame:
+    """The ``rows`` whose ``column`` has the mark of one of ``wanted``'s ``of``: all that could join, and few others where few are wanted."""
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(MARKS)).alias("_mark")
+    marks = F.broadcast(wanted.select(mark(of)).distinct())
+    return rows.withColumn("_mark", mark(column)).join(marks, "_mark", "left_semi").drop("_mark")
+
+
 def runs(batches, key: str) -> Iterator[tuple[int, pa.Table]]:
     """(key, its rows) for each run of rows with an equal integer ``key``; the batches come sorted by it."""
     import numpy as np
@@ -120,7 +119,7 @@ def extended(docs: DataFrame, inputs: dict, fields, work) -> DataFrame:
     from pyspark.sql import types as T
 
     new = {f.name.lower() for f in fields}
-    rows = short_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new], F.lit(0).alias("_")).alias("row"), *[c.alias(n) for n, c in inputs.items()])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in new], F.lit(0).alias("_")).alias("row"), *[c.alias(n) for n, c in inputs.items()])
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *fields])
 
     def run(batches):

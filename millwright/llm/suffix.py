@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.llm.common import removed, shared_dir, short_batches, written
+from millwright.llm.common import MARKS, removed, shared_dir, written
 from millwright.llm.shingles import mix
 
 #: Length of a repeated string, of an anchor, number of batches, and classes of one anchor that one task compares.
@@ -209,8 +209,6 @@ class SuffixIndex:
         return keys.distinct()
 
 
-#: Texts are told apart by one of so many marks before they are shuffled; a set of marks is small enough to broadcast, whatever the input.
-MARKS = 1 << 20
 _MARK = "mark"
 
 
@@ -232,7 +230,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     A null text counts as empty; null ids are ids like others; a repeated row repeats its text, so both are removed where long
     enough; an empty table gives an empty one.
     """
-    spark = short_batches(docs).sparkSession
+    spark = docs.sparkSession
     others = [c for c in docs.columns if c.lower() not in ("n_bytes", "spans", "kept")]
     gram = min(gram, max(1, min_bytes // 2))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -128,7 +128,7 @@ def test_jaccard_components(spark, docs, empty):
             words[r.randrange(60)] = f"e{r.randrange(10**6)}"
         rows.append((10 + k, " ".join(words) + " \t"))
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"cluster_shingles": 200}):
+    for options in ({}, {"cluster_shingles": 200}, {"hot_count": 1}, {"hot_count": 5, "sent_cells": 0, "cluster_shingles": 2000}, {"hot_count": 2, "sent_cells": 3, "cluster_shingles": 400}):
         found = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.jaccard_components(table, shingle_words=4, percent=85, **options).collect()}
         assert found == brute_components(rows, 4, 85)
     edge = jaccard.jaccard_components(docs).collect()

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm.common import table, written
+from millwright.llm.common import MARKS, table, written
 from millwright.llm.jaccard import jaccard_components
 from millwright.llm.pack import pack_documents
 from millwright.llm.secrets import redact_secrets
-from millwright.llm.suffix import MARKS, repeated_spans
+from millwright.llm.suffix import repeated_spans
 from millwright.llm.toxicity import fit_toxicity, score_toxicity
 
 #: Documents at or above this score go.

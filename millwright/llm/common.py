@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -55,9 +56,11 @@ def binaries(flat, offsets, kind: pa.DataType = pa.binary()) -> pa.Array:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the cluster's shared checkpoint folder; one is set only where none is, as in tests."""
+    """A new folder name below the cluster's shared checkpoint folder; in local mode one is set where none is, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="spark-millwright-")

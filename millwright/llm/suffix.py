@@ -2,12 +2,13 @@
 
 Suffixes are sampled by content: of all ``gram``-byte strings inside a window of ``min_bytes`` bytes, the one with the least
 hash is the window's anchor, so equal windows have equal anchors at equal offsets.  An anchor with the windows it stands for
-is one entry (about one in (min_bytes - gram) / 2 bytes).  Entries whose bytes are wholly equal form a class.
+is one entry (about one in (min_bytes - gram) / 2 bytes).  Entries whose bytes are equal form a class.
 
 * A new batch is a suffix array of its own: its classes in the order of their anchors' fingerprints, as a table in the
   shared folder.  It is merge-scanned against the levels there are: a class that meets an equal one, or another one at the
   same anchor, is a match candidate.  Levels of equal rank are then merged into one of the next rank.
-* Equal classes are repeated over their whole extent.  Of different classes at one anchor, one member each is fetched, and a
+* Entries are of one class when both of two 64-bit hashes are equal, of the anchor and of all the entry's bytes; classes that
+  come again are repeated over their whole extent.  Of different classes at one anchor, one member each is fetched, and a
   suffix array over their bytes (by prefix doubling) tells which windows are equal: exact, byte by byte.  An anchor with more
   classes than a task should hold is settled by counting 128-bit fingerprints of its windows instead.
 
@@ -30,7 +31,7 @@ from millwright.llm.common import MARKS, removed, shared_dir, written
 from millwright.llm.shingles import mix
 
 #: Length of a repeated string, of an anchor, number of batches, and classes of one anchor that one task compares.
-MIN_BYTES, GRAM, BATCHES, ANCHOR_CLASSES = 400, 48, 2, 2048
+MIN_BYTES, GRAM, BATCHES, ANCHOR_CLASSES = 400, 48, 4, 2048
 #: Window starts that one step of array operations takes; positions within a step have 24 bits.
 _STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -234,8 +235,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     others = [c for c in docs.columns if c.lower() not in ("n_bytes", "spans", "kept")]
     gram = min(gram, max(1, min_bytes // 2))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # a text is known by its id and, where ids repeat, by a checksum; both checksum and place share one number
-    uid, check = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.crc32(F.encode(text, "UTF-8"))
+    # a text is known by its id (without one, by a hash of it) and a checksum; both checksum and place share one number
+    uid, check = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)), F.crc32(F.encode(text, "UTF-8"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), uid.alias("uid"), check.alias("th")).withColumn(_MARK, _mark())
     field = others.index(next(c for c in others if c.lower() == text_col.lower()))
 
@@ -279,7 +280,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     contested = classes.join(index.contested(), "key").select("key", "ctx", "uid", "at", "extent")
     counts = contested.groupBy("key").agg(F.count("*").alias("classes"))
     wanted = contested.join(counts.filter("classes > 1"), "key").select("key", "ctx", "uid", checksum, place, windows_of, "classes")
-    per_text = written(wanted.groupBy("uid", "th").agg(F.collect_list(F.struct("key", "ctx", "classes", "lo", "starts")).alias("wanted")))
+    per_text = written(wanted.groupBy("uid", "th").agg(F.collect_list(F.struct("key", "ctx", "classes", "lo", "starts")).alias("wanted")), folder=f"{folder}/wanted")
     fetched = rows.join(_marks(per_text), _MARK, "left_semi").join(per_text, ["uid", "th"]).select("row", "wanted")
 
     def fetch(parts):
@@ -342,10 +343,11 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     hit = entries.join(settled, ["key", "ctx"]).select("uid", checksum, place, windows_of, "found").select("uid", "th", F.transform("found", spanned).alias("cover"))
     if min_words is not None:  # passages of min_bytes or more are found above
         runs = "array<struct<start: long, end: long>>"
-        passages = written(docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).mapInArrow(list_passages, f"w1 long, w2 long, uid long, th long, n long, cover {runs}"))
+        passages = written(docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).mapInArrow(list_passages, f"w1 long, w2 long, uid long, th long, n long, cover {runs}"), folder=f"{folder}/passages")
         again = passages.groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1")
         hit = hit.unionByName(passages.join(again, ["w1", "w2"]).select("uid", "th", "cover"))
     cover = written(hit.groupBy("uid", "th").agg(F.flatten(F.collect_set("cover")).alias("cover")))
+    removed(spark, folder)  # of entries, levels and all between them and the cover nothing is needed any more
     marks = _marks(cover)
     touched = rows.join(marks, _MARK, "left_semi").join(cover, ["uid", "th"], "left").select("row", "cover")
     untouched = rows.join(marks, _MARK, "left_anti").select("row", F.lit(None).cast(touched.schema["cover"].dataType).alias("cover"))

@@ -116,7 +116,8 @@ def runs(batches, key: str) -> Iterator[tuple[int, pa.Table]]:
 def extended(docs: DataFrame, inputs: dict, fields, work) -> DataFrame:
     """``docs`` with the columns ``fields`` (a StructType) added, replacing any of the same name.
 
-    ``work`` gets an Arrow batch of the columns ``inputs`` (name to Column) and gives the arrays of ``fields``.
+    ``work`` gets an Arrow batch of the columns ``inputs`` (name to Column, a text or bytes first), some MB of it at a time, and gives
+    the arrays of ``fields``.
     The other columns travel inside one struct, so their names cannot clash with anything.
     """
     from pyspark.sql import types as T
@@ -127,7 +128,9 @@ def extended(docs: DataFrame, inputs: dict, fields, work) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column("row"), *work(batch)], schema.names)
+            for lo, hi in text_slices(batch.column(1), 4 * SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                yield pa.record_batch([part.column("row"), *work(part)], schema.names)
 
     out = rows.mapInArrow(run, schema)
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in new]

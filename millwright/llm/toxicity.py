@@ -1,9 +1,11 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels say only which documents are toxic, so words are labelled first: a word or word beginning is offending where, in a
-bounded sample of labelled documents, it stands after many different words in toxic ones and after hardly any in others
-(counting neighbours, not documents, leaves copies of one text without weight).  A chain of two states, clean and offending,
-is then fitted to the labelled words of the sample by gradient steps on its likelihood.
+Labels say only which documents are toxic, so spans are labelled first, and labelled anew by the chain that they give.  A word
+or word beginning is offending where, in a bounded sample of labelled documents, it stands after many different words in toxic
+ones and after hardly any in others (counting neighbours, not documents, leaves copies of one text without weight).  In toxic
+documents, words from one offending word to the next within ``SPAN`` words make the first spans.  A chain of two states, clean
+and offending, over features of words and of their neighbours, is fitted to windows of the sample by gradient steps on its
+likelihood; its own marginals label the windows of toxic documents once more, and it is fitted again.
 
 Scoring is exact forward-backward over all words of the whole text.  Words without a feature all have the same potentials, so
 a stretch of them is a power of one 2x2 matrix, and the work follows the few words that have one.  The marginals of offending
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -25,8 +28,12 @@ from pyspark.sql import types as T
 
 from millwright.llm.common import extended, pick
 
-#: Sampled documents with each label, and their longest text; features kept; words of a training sequence.
-SAMPLE_DOCS, SAMPLE_CHARS, FEATURES, SEQUENCE = 2000, 20_000, 4096, 48
+#: Sampled documents with each label, and their longest text; features kept.
+SAMPLE_DOCS, SAMPLE_CHARS, FEATURES = 2000, 20_000, 4096
+#: Words of a training window, windows trained on at most (drawn by a hash), and words from one offending word to the next of a first span.
+SEQUENCE, WINDOWS, SPAN = 48, 6000, 3
+#: Features of a word beside an offending one: the word before it is, the word after it is.
+BESIDE = ("<", ">")
 #: Least different neighbours in toxic documents, and least logarithm of the odds, that make a feature offending.
 NEIGHBOURS, LOG_ODDS = 8, 2.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -99,17 +106,29 @@ class Model:
 
     def tag(self, text: str) -> tuple[list[tuple[int, int, float]], int]:
         """(start, end, marginal) of the words that have features, and how many words there are."""
-        places, added, at, n = [], [], [], 0
+        own: dict[int, float] = {}
+        at, n = [], 0
         lowered = text.lower()
         kept = lowered if len(lowered) == len(text) else text  # a few letters change length in lower case
         for n, m in enumerate(_WORD.finditer(kept), 1):
-            w = m[0] if kept is lowered else m[0].lower()
-            p = self.potential(w)
+            at.append(m.span())
+            p = self.potential(m[0] if kept is lowered else m[0].lower())
             if p is not None:
-                places.append(n - 1)
-                added.append(p)
-                at.append(m.span())
-        return [(a, b, p) for (a, b), p in zip(at, self.marginals(places, added, n))], n
+                own[n - 1] = p
+        places, added = self.added(own, n)
+        return [(*at[i], p) for i, p in zip(places, self.marginals(places, added, n))], n
+
+    def added(self, own: dict[int, float], words: int) -> tuple[list[int], list[float]]:
+        """Places with features of their own or of neighbours, in order, and what these add to the offending state."""
+        after, before = self.weights.get(BESIDE[0], 0.0), self.weights.get(BESIDE[1], 0.0)
+        total = dict(own)
+        for i in own:
+            if i + 1 < words:
+                total[i + 1] = total.get(i + 1, 0.0) + after
+            if i:
+                total[i - 1] = total.get(i - 1, 0.0) + before
+        places = sorted(total)
+        return places, [total[i] for i in places]
 
     @staticmethod
     def summary(marginals: list[float], words: int) -> tuple[float, float, float]:
@@ -140,7 +159,7 @@ def offending_features(texts: list[str], toxic: list[int]) -> dict[str, float]:
     return {f: odds[f] for f in best[:FEATURES]}
 
 
-def fit_chain(sequences: list[list[list[int]]], labels: list[list[int]], features: int, rounds: int = 60, rate: float = 0.2, ridge: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
+def fit_chain(sequences: list[list[list[int]]], labels: list[list[int]], features: int, rounds: int = 50, rate: float = 0.2, ridge: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
     """Feature weights, bias and log moves of the chain that make the labels likely; each word is a list of feature numbers."""
     n, length = len(sequences), max(map(len, sequences))
     active = np.zeros((n, length), bool)
@@ -207,18 +226,40 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     odds = offending_features(texts, toxic)
     if not odds:
         return model
-    number = {f: i for i, f in enumerate(odds)}
-    sequences, labels = [], []
+    number = {f: i for i, f in enumerate([*odds, *BESIDE])}
+    windows = []
     for text, label in zip(texts, toxic):
         words = [[number[f] for f in features_of(w) if f in number] for w in _WORD.findall(text.lower())]
         hits = [i for i, fs in enumerate(words) if fs]
-        lo = max(0, hits[0] - SEQUENCE // 2) if hits else 0
-        part = words[lo : lo + SEQUENCE]
-        if part:
-            sequences.append(part)
-            labels.append([int(bool(fs) and label == 1) for fs in part])
-    weights, bias, move = fit_chain(sequences, labels, len(odds))
-    model = Model(dict(zip(odds, map(float, weights))), bias, tuple(map(float, move)))
+        for i in hits:
+            if i + 1 < len(words):
+                words[i + 1] = [*words[i + 1], number[BESIDE[0]]]
+            if i:
+                words[i - 1] = [*words[i - 1], number[BESIDE[1]]]
+        marks = [0] * len(words)
+        if label:
+            for i, j in zip(hits, [*hits[1:], None]):
+                stop = j if j is not None and j - i <= SPAN else i
+                marks[i : stop + 1] = [1] * (stop + 1 - i)
+        upto = 0
+        for i in hits or [zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(words) - SEQUENCE + 1)]:
+            if i >= upto and words:  # windows cover all offending words of the text
+                lo = max(0, i - SEQUENCE // 4) if hits else i
+                upto = lo + SEQUENCE
+                windows.append((zlib.crc32(f"{lo} {text}".encode("utf-8", "replace")), words[lo:upto], marks[lo:upto], label))
+    windows = sorted(windows, key=lambda w: w[0])[:WINDOWS]
+    sequences, labels = [w[1] for w in windows], [w[2] for w in windows]
+    for again in (True, False):
+        weights, bias, move = fit_chain(sequences, labels, len(number))
+        model = Model(dict(zip(number, map(float, weights))), bias, tuple(map(float, move)))
+        if again:
+            for k, (_, words, _, label) in enumerate(windows):
+                places = [i for i, fs in enumerate(words) if fs]
+                if label and places:
+                    found = model.marginals(places, [float(sum(weights[f] for f in words[i])) for i in places], len(words))
+                    labels[k] = [0] * len(words)
+                    for i, p in zip(places, found):
+                        labels[k][i] = int(p >= 0.5)
     rows = []
     for text in texts:
         marks, words = model.tag(text)
@@ -230,7 +271,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int | None = 0, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from at most ``sample_docs`` documents of each label, dealt out by a hash of the id, with texts up to ``SAMPLE_CHARS``.
 
-    Rows whose crc32(id as text) mod ``folds`` is ``held_out_fold`` are left aside; null ids, labels and texts teach nothing.
+    Of repeated rows each counts in the draw; an empty table gives a model that finds nothing.  Rows whose crc32(id as text) mod ``folds`` is ``held_out_fold`` are left aside; null ids, labels and texts teach nothing.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     if held_out_fold is not None:
@@ -254,7 +295,8 @@ SPANS = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")
 def score_toxicity(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """``docs`` with toxicity double (0 to 1) and toxic_spans array<struct<start, end, marginal>>, code points of words more likely offending than not.
 
-    Null and empty texts have no spans and the score of a text without offending words; columns so named are replaced.
+    Null and empty texts have no spans and the score of a text without offending words; repeated rows score alike; very long texts
+    are tagged whole; an empty table gives an empty one; columns so named are replaced.
     """
     frozen = (tuple(model.weights.items()), model.bias, model.move, model.scale)
     shared = docs.sparkSession.sparkContext.broadcast(frozen)

@@ -37,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (shingles of five words, similarity 0.8) the document with the smallest id; of repeated rows one."""
+    """Of each group of near copies (shingles of five words, similarity 0.8) the document with the smallest id; of rows that repeat id and text one."""
     groups = jaccard_components(docs, shingle_words=5, percent=80).filter("doc_id is not null")
     named = groups.groupBy("doc_id").agg(F.count("*").alias("__rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("__goes"))
     concerned = written(named.filter("__goes or __rows > 1"))
@@ -48,7 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     clear = marked.join(marks, "__mark", "left_anti").select(*docs.columns)
     found = marked.join(marks, "__mark", "left_semi").join(concerned, "doc_id", "left").filter("not coalesce(__goes, false)")
     single = found.filter("coalesce(__rows, 1) = 1").select(*docs.columns)
-    repeated = found.filter("__rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    repeated = found.filter("__rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
     return clear.unionByName(single).unionByName(repeated)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.llm import words
-from millwright.llm.common import binaries, pick, text_slices
+from millwright.llm.common import binaries, pick, text_slices, tidy
 from millwright.llm.merges import LONGEST, Merges
 
 #: Texts of more code points than this are halved until no part is longer.
@@ -265,12 +265,12 @@ def encoded(docs: DataFrame, schema: str, emit, *, id_col: str, text_col: str, t
         doc_id = pa.array([group["key"][0].as_py()["doc_id"]], pa.int64())
         return pa.Table.from_batches([emit(doc_id, ids, np.array([0, len(ids)]), k) for k in range(group["copies"][0].as_py())])
 
-    short_ids = rows.filter(~long).mapInArrow(encode, schema)
+    short_ids = rows.filter(~long).mapInArrow(tidy(encode), schema)
     copies = rows.filter(long).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
     keyed = copies.select(F.struct("doc_id", F.sha2("text", 256).alias("sha")).alias("key"), "copies", "text")
     key = "key struct<doc_id: long, sha: string>, copies long, leaf int"
-    leaves = keyed.mapInArrow(cut, f"{key}, part string, bare boolean, inner boolean").repartition("key", "leaf")
-    coded = leaves.mapInArrow(encode_leaves, f"{key}, bare boolean, inner boolean, ids binary")
+    leaves = keyed.mapInArrow(tidy(cut), f"{key}, part string, bare boolean, inner boolean").repartition("key", "leaf")
+    coded = leaves.mapInArrow(tidy(encode_leaves), f"{key}, bare boolean, inner boolean, ids binary")
     return short_ids.unionByName(coded.groupBy("key").applyInArrow(join, schema))
 
 
@@ -308,4 +308,4 @@ def bpe_decode(coded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids"
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), col.slice(lo, hi - lo), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
                 lo = hi
 
-    return coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("binary").alias("ids")).mapInArrow(decode, "doc_id long, ids binary, text string")
+    return coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("binary").alias("ids")).mapInArrow(tidy(decode), "doc_id long, ids binary, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Iterator
@@ -68,13 +69,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/millwright-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a table is written: what a batch of long texts takes is held by the JVM and by Python.
+BATCH_ROWS = 1000
+
+
 def written(df: DataFrame, *, folder: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there, and any executor can read it again."""
-    path = folder or shared_dir(df.sparkSession)
-    df.write.mode("overwrite").parquet(path)
+    """``df`` as a Parquet table in the shared folder: lineage ends there, and any executor can read it again.
+
+    Arrow batches are short while it is written; the session's own setting is put back at once.
+    """
+    path, conf, name = folder or shared_dir(df.sparkSession), df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(work):
+    """``work``, a function over batches, giving memory back at its end: Python workers stay for the tasks of later stages."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Deletes a table that an operator has written and needs no more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -132,6 +157,6 @@ def extended(docs: DataFrame, inputs: dict, fields, work) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 yield pa.record_batch([part.column("row"), *work(part)], schema.names)
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(tidy(run), schema)
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in new]
     return out.select(*kept, *[f.name for f in fields])

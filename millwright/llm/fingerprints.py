@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.llm.common import extended, pick, slices
+from millwright.llm.common import extended, pick, slices, tidy
 from millwright.llm.shingles import mix
 
 #: Parsing rounds (a phrase of the last has about ten code points), slots, and rounds of coin tossing (64-bit labels end below six).
@@ -145,7 +145,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 held = None if tail else (b, doc_id, text)
             yield pa.record_batch([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.string())], ["doc_id", "text", "next_text"])
 
-    return ordered.mapInArrow(follow, "doc_id long, text string, next_text string")
+    return ordered.mapInArrow(tidy(follow), "doc_id long, text string, next_text string")
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", levels: int = LEVELS, slots: int = SLOTS) -> DataFrame:
@@ -168,4 +168,4 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
                 )
 
     schema = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col=id_col, text_col=text_col).mapInArrow(work, schema)
+    return with_next(docs, id_col=id_col, text_col=text_col).mapInArrow(tidy(work), schema)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.llm.common import MARKS, removed, shared_dir, written
+from millwright.llm.common import MARKS, removed, shared_dir, tidy, written
 from millwright.llm.shingles import mix
 
 #: Length of a repeated string, of an anchor, number of batches, and classes of one anchor that one task compares.
@@ -269,7 +269,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     place, checksum, windows_of = F.shiftright("at", 32).alias("lo"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("th"), F.shiftright("extent", 32).alias("starts")
     folder = shared_dir(spark)
-    listed = docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).mapInArrow(list_entries, "key long, ctx long, uid long, at long, extent long")
+    listed = docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).mapInArrow(tidy(list_entries), "key long, ctx long, uid long, at long, extent long")
     listed.withColumn("batch", F.pmod(F.xxhash64("uid"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(f"{folder}/entries")
     entries = spark.read.schema("key long, ctx long, uid long, at long, extent long, batch int").parquet(f"{folder}/entries")
     index = SuffixIndex(spark, folder)
@@ -290,7 +290,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 cut = [raw[a : a + n + min_bytes - 1] for a, n in zip(w["lo"].to_pylist(), w["starts"].to_pylist())]
                 yield pa.record_batch([w["key"], w["ctx"], w["classes"], w["starts"], pa.array(cut, pa.binary())], ["key", "ctx", "classes", "starts", "context"])
 
-    contexts = fetched.mapInArrow(fetch, "key long, ctx long, classes long, starts long, context binary")
+    contexts = fetched.mapInArrow(tidy(fetch), "key long, ctx long, classes long, starts long, context binary")
 
     def compare(parts):
         """Whole keys, about a step's bytes at a time."""
@@ -330,8 +330,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.record_batch([pa.array([key] * starts), pa.array([ctx] * starts), pa.array(range(starts), pa.int64()), one, two], ["key", "ctx", "at", "w1", "w2"])
 
     span = "key long, ctx long, first long, last long"
-    few = contexts.filter(F.col("classes") <= anchor_classes).repartition("key").sortWithinPartitions("key").mapInArrow(compare, span)
-    windows = contexts.filter(F.col("classes") > anchor_classes).mapInArrow(fingerprint, "key long, ctx long, at long, w1 long, w2 long").distinct()
+    few = contexts.filter(F.col("classes") <= anchor_classes).repartition("key").sortWithinPartitions("key").mapInArrow(tidy(compare), span)
+    windows = contexts.filter(F.col("classes") > anchor_classes).mapInArrow(tidy(fingerprint), "key long, ctx long, at long, w1 long, w2 long").distinct()
     repeated = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).filter("times > 1")
     many = windows.join(repeated, ["w1", "w2"]).select("key", "ctx", F.col("at").alias("first"), F.col("at").alias("last"))
     found = few.unionByName(many).groupBy("key", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("found"))
@@ -343,7 +343,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     hit = entries.join(settled, ["key", "ctx"]).select("uid", checksum, place, windows_of, "found").select("uid", "th", F.transform("found", spanned).alias("cover"))
     if min_words is not None:  # passages of min_bytes or more are found above
         runs = "array<struct<start: long, end: long>>"
-        passages = written(docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).mapInArrow(list_passages, f"w1 long, w2 long, uid long, th long, n long, cover {runs}"), folder=f"{folder}/passages")
+        passages = written(docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).mapInArrow(tidy(list_passages), f"w1 long, w2 long, uid long, th long, n long, cover {runs}"), folder=f"{folder}/passages")
         again = passages.groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1")
         hit = hit.unionByName(passages.join(again, ["w1", "w2"]).select("uid", "th", "cover"))
     cover = written(hit.groupBy("uid", "th").agg(F.flatten(F.collect_set("cover")).alias("cover")))
@@ -381,4 +381,4 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 kept.append(b"".join([*parts_kept, raw[at:]]))
             yield pa.record_batch([batch.column("row"), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["row", "n_bytes", "spans", "kept"])
 
-    return joined.mapInArrow(remove, out_schema).select("row.*", "n_bytes", "spans", "kept")
+    return joined.mapInArrow(tidy(remove), out_schema).select("row.*", "n_bytes", "spans", "kept")

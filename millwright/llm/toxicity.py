@@ -2,8 +2,8 @@
 
 Labels say only which documents are toxic, so spans are labelled first, and labelled anew by the chain that they give.  A word
 or word beginning is offending where, in a bounded sample of labelled documents, it stands after many different words in toxic
-ones and after hardly any in others (counting neighbours, not documents, leaves copies of one text without weight).  In toxic
-documents, words from one offending word to the next within ``SPAN`` words make the first spans.  A chain of two states, clean
+ones and after hardly any in others (counting neighbours, not documents, leaves copies of one text without weight).  Those of
+toxic documents make the first spans.  A chain of two states, clean
 and offending, over features of words and of their neighbours, is fitted to windows of the sample by gradient steps on its
 likelihood; its own marginals label the windows of toxic documents once more, and it is fitted again.
 
@@ -30,8 +30,8 @@ from millwright.llm.common import extended, pick
 
 #: Sampled documents with each label, and their longest text; features kept.
 SAMPLE_DOCS, SAMPLE_CHARS, FEATURES = 2000, 20_000, 4096
-#: Words of a training window, windows trained on at most (drawn by a hash), and words from one offending word to the next of a first span.
-SEQUENCE, WINDOWS, SPAN = 48, 6000, 3
+#: Words of a training window, and windows trained on at most (drawn by a hash).
+SEQUENCE, WINDOWS = 48, 6000
 #: Features of a word beside an offending one: the word before it is, the word after it is.
 BESIDE = ("<", ">")
 #: Least different neighbours in toxic documents, and least logarithm of the odds, that make a feature offending.
@@ -60,7 +60,7 @@ class Model:
     def potential(self, word: str) -> float | None:
         """What the word's features add to the offending state; None without any."""
         if (w := self.known.get(word, 0)) == 0:
-            if len(self.known) > 100_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
             found = [self.weights[f] for f in features_of(word) if f in self.weights]
             self.known[word] = w = sum(found) if found else None
@@ -81,7 +81,7 @@ class Model:
                 k >>= 1
             m = m @ step
             m /= m.sum()
-            if len(self.powers) < 100_000:
+            if len(self.powers) < 4096:
                 self.powers[gap] = m
         return m
 
@@ -237,10 +237,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
             if i:
                 words[i - 1] = [*words[i - 1], number[BESIDE[1]]]
         marks = [0] * len(words)
-        if label:
-            for i, j in zip(hits, [*hits[1:], None]):
-                stop = j if j is not None and j - i <= SPAN else i
-                marks[i : stop + 1] = [1] * (stop + 1 - i)
+        for i in hits if label else ():
+            marks[i] = 1
         upto = 0
         for i in hits or [zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(words) - SEQUENCE + 1)]:
             if i >= upto and words:  # windows cover all offending words of the text
@@ -283,7 +281,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     return fit([r[0] for r in drawn], [r[1] for r in drawn])
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _model(frozen: tuple) -> Model:
     weights, *rest = frozen
     return Model(dict(weights), *rest)

@@ -253,19 +253,19 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     yield pa.record_batch([pa.array(key), pa.array(ctx), uid.take(pa.array(owner)), pa.array(at), pa.array(extent)], ["key", "ctx", "uid", "at", "extent"])
 
     def list_passages(parts):
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        run = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+        kind = pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64()), ("cover", pa.list_(run))]))
         for batch in parts:
-            keys, owner, times, covers = [], [], [], []
+            owner, listed = [], []
             for i, t in enumerate(batch.column("text").to_pylist()):
-                for key, (n, runs) in short_passages((t or "").encode("utf-8", "replace"), min_words, min_bytes).items():
-                    keys.append(key)
+                found = short_passages((t or "").encode("utf-8", "replace"), min_words, min_bytes)
+                if found:
+                    w = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2).tolist()
                     owner.append(i)
-                    times.append(n)
-                    covers.append([{"start": a, "end": b} for a, b in runs])
+                    listed.append([{"w1": x, "w2": y, "n": n, "cover": [{"start": a, "end": b} for a, b in runs]} for (x, y), (n, runs) in zip(w, found.values())])
             if owner:
-                w = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
                 rows = pa.array(owner)
-                yield pa.record_batch([pa.array(w[:, 0]), pa.array(w[:, 1]), batch.column("uid").take(rows), batch.column("th").take(rows), pa.array(times, pa.int64()), pa.array(covers, kind)], ["w1", "w2", "uid", "th", "n", "cover"])
+                yield pa.record_batch([batch.column("uid").take(rows), batch.column("th").take(rows), pa.array(listed, kind)], ["uid", "th", "listed"])
 
     place, checksum, windows_of = F.shiftright("at", 32).alias("lo"), F.col("at").bitwiseAND(0xFFFFFFFF).alias("th"), F.shiftright("extent", 32).alias("starts")
     folder = shared_dir(spark)
@@ -341,12 +341,18 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     settled = twice.unionByName(found.join(classes.filter("n > 1"), ["key", "ctx"], "left_anti"))
     spanned = lambda x: F.struct((F.col("lo") + x["first"]).alias("start"), (F.col("lo") + F.coalesce(x["last"], F.col("starts") - 1) + min_bytes).alias("end"))
     hit = entries.join(settled, ["key", "ctx"]).select("uid", checksum, place, windows_of, "found").select("uid", "th", F.transform("found", spanned).alias("cover"))
-    if min_words is not None:  # passages of min_bytes or more are found above
-        runs = "array<struct<start: long, end: long>>"
-        passages = written(docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).mapInArrow(tidy(list_passages), f"w1 long, w2 long, uid long, th long, n long, cover {runs}"), folder=f"{folder}/passages")
-        again = passages.groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1")
-        hit = hit.unionByName(passages.join(again, ["w1", "w2"]).select("uid", "th", "cover"))
-    cover = written(hit.groupBy("uid", "th").agg(F.flatten(F.collect_set("cover")).alias("cover")))
+    gathered = lambda hits: hits.groupBy("uid", "th").agg(F.flatten(F.collect_set("cover")).alias("cover"))
+    if min_words is None:
+        cover = written(gathered(hit))
+    else:  # passages of fewer bytes: all are counted, and those looked up that no span found so far holds
+        run = "struct<start: long, end: long>"
+        passages = written(docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).mapInArrow(tidy(list_passages), f"uid long, th long, listed array<struct<w1: long, w2: long, n: long, cover: array<{run}>>>"), folder=f"{folder}/passages")
+        again = passages.select(F.inline("listed")).groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1").select("w1", "w2")
+        by_bytes = written(gathered(hit), folder=f"{folder}/by_bytes")
+        held = lambda r: F.exists(F.coalesce("cover", F.array().cast(f"array<{run}>")), lambda c: (c["start"] <= r["start"]) & (r["end"] <= c["end"]))
+        open_ones = passages.join(by_bytes, ["uid", "th"], "left").select("uid", "th", F.filter("listed", lambda p: ~F.forall(p["cover"], held)).alias("listed"))
+        short = open_ones.select("uid", "th", F.inline("listed")).join(again, ["w1", "w2"]).select("uid", "th", "cover")
+        cover = written(gathered(by_bytes.select("uid", "th", "cover").unionByName(short)))
     removed(spark, folder)  # of entries, levels and all between them and the cover nothing is needed any more
     marks = _marks(cover)
     touched = rows.join(marks, _MARK, "left_semi").join(cover, ["uid", "th"], "left").select("row", "cover")

@@ -17,7 +17,7 @@ JOINED_FLAGS = ("-std=", "-stdlib=")
 INCLUDE = r'(?m)^\s*#\s*include\s*[<"][^>"]+[>"]'
 #: Folders of the phases of a layered project, and fragments of paths that only build locally.
 PHASES = (("/foundation/", 1), ("/middleware/", 2), ("/application/", 3))
-LOCAL_ONLY = ("/producer/spinnaker", "/producer/flir", "/gpu/", "/net/", "/gui/", "/python/")
+LOCAL_ONLY = ("/producer/spinnaker", "/producer/flir", "/gpu/", "/net/", "/gui/", "/python/openpose/")
 #: Compile seconds by size: up to these kilobytes, seconds at the piece's beginning and for each further kilobyte.
 SIZE_PIECES = ((0, 0.5, 0.15), (10, 2.0, 0.2), (50, 10.0, 0.27), (200, 50.0, 0.5))
 
@@ -236,6 +236,12 @@ def needs_generated_include(text: Column) -> Column:
     return text.rlike(r'#include\s*["<](?:[^">]*/)?(?:moc_[^">]*\.cpp|[^">]*\.moc)[">]')
 
 
+def is_remote_ok(path: Column, arguments: Column, capable: Column | None = None) -> Column:
+    """Whether a unit may be compiled on another node: not marked otherwise, and not CUDA."""
+    marked = F.lit(True) if capable is None else F.coalesce(capable, F.lit(True))
+    return marked & ~is_cuda(path, arguments)
+
+
 def needs_local_only(path: Column, fragments: tuple[str, ...] = LOCAL_ONLY) -> Column:
     return path.rlike("|".join(fragments))
 

@@ -43,6 +43,8 @@ def _peel(vertices: DataFrame, edges: DataFrame, start: Column, step: Column, ma
         sent = ready.select("graph_id", F.col("id").alias("src"), "value").join(e, ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("id")).agg(F.count("*").alias("came"), F.max("value").alias("value"))
         rest = waiting.filter("need > 0").join(sent, keys, "left")
         waiting = cut_lineage(rest.select(*keys, "weight", (F.col("need") - F.coalesce("came", F.lit(0))).alias("need"), F.greatest("best", step).alias("best")))
+    else:
+        raise RuntimeError(f"vertices are left after {max_rounds} levels")
     if not settled:
         return vertices.select(*keys, F.lit(None).cast("long").alias("value"), F.lit(0).alias("level")).limit(0)
     return reduce(DataFrame.unionByName, settled)
@@ -83,6 +85,8 @@ def critical_path(ranks: DataFrame, edges: DataFrame, *, max_rounds: int = 10_00
             break
         steps.append(at.withColumn("step", F.lit(step)))
         at = cut_lineage(at.join(after, ["graph_id", "id"]).select("graph_id", F.col("next").alias("id")))
+    else:
+        raise RuntimeError(f"paths go on after {max_rounds} steps")
     return reduce(DataFrame.unionByName, steps).select("graph_id", "step", "id") if steps else at.select("graph_id", F.lit(0).alias("step"), "id")
 
 
@@ -161,6 +165,12 @@ def graph_stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return s.select("*", F.round(F.when(n > 1, F.col("edges") / (n * (n - 1))).otherwise(0.0), 8).alias("density"))
 
 
+def degree_stats(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Means and greatest of the vertices' in- and out-degrees, by graph."""
+    d = roots_leaves(vertices, edges)
+    return d.groupBy("graph_id").agg(*[f(f"{c}_degree").alias(f"{n}_{c}") for c in ("in", "out") for n, f in (("mean", lambda x: F.round(F.avg(x), 6)), ("max", F.max))])
+
+
 def type_counts(vertices: DataFrame) -> DataFrame:
     return vertices.groupBy("graph_id", "node_type").agg(F.count("*").alias("vertices"))
 
@@ -187,6 +197,8 @@ def dependency_clusters(vertices: DataFrame, edges: DataFrame, *, max_rounds: in
         label = new.select(*keys, "label")
         if new.filter("old <> label").isEmpty():
             break
+    else:
+        raise RuntimeError(f"labels have not settled after {max_rounds} rounds")
     return label.withColumnRenamed("label", "cluster")
 
 
@@ -234,6 +246,8 @@ def transitive_reduction(edges: DataFrame, *, within: DataFrame | None = None, c
         more = front.join(steps, ["graph_id", "at"]).filter("level <= top").select("graph_id", "src", F.col("next").alias("at"), "top").distinct()
         front = cut_lineage(more.join(seen, pairs, "left_anti"))
         seen = cut_lineage(seen.unionByName(front.select(*pairs)))
+    else:
+        raise RuntimeError(f"paths go on after {max_rounds} rounds")
     gone = long.join(seen.withColumnRenamed("at", "dst"), ends, "left_semi").select(*ends)
     if critical is not None:
         gone = gone.join(prune_graph(gone, critical), ends, "left_anti")
@@ -244,11 +258,11 @@ def transitive_reduction(edges: DataFrame, *, within: DataFrame | None = None, c
     return edges.join(gone, ends, "left_anti")
 
 
-def link_barriers(vertices: DataFrame, edges: DataFrame, *, least: int = 2) -> DataFrame:
-    """Link vertices with more than that many compile producers."""
+def link_barriers(vertices: DataFrame, edges: DataFrame, *, least: int = 11) -> DataFrame:
+    """Link vertices with that many compile producers or more: all those must be done first, as a set, sorted."""
     kind = vertices.select("graph_id", "id", "node_type")
     e = edges.join(kind.toDF("graph_id", "dst", "dst_type"), ["graph_id", "dst"]).join(kind.toDF("graph_id", "src", "src_type"), ["graph_id", "src"])
-    return e.filter("dst_type = 'link' and src_type = 'compile'").groupBy("graph_id", F.col("dst").alias("id")).agg(F.count("*").alias("producers")).filter(F.col("producers") >= least)
+    return e.filter("dst_type = 'link' and src_type = 'compile'").groupBy("graph_id", F.col("dst").alias("id")).agg(F.count("*").alias("producers"), F.array_sort(F.collect_set("src")).alias("dependencies")).filter(F.col("producers") >= least)
 
 
 def phase_barriers(phases: DataFrame) -> DataFrame:
@@ -260,19 +274,25 @@ def phase_barriers(phases: DataFrame) -> DataFrame:
     return into.unionByName(out.join(known, ["graph_id", "src"], "left_semi").select("graph_id", "src", "dst"))
 
 
-def prune_graph(edges: DataFrame, keep: DataFrame) -> DataFrame:
-    """Edges with both ends kept."""
+def prune_graph(edges: DataFrame, keep: DataFrame, *, links: DataFrame | None = None) -> DataFrame:
+    """Edges with both ends kept; of ``links``, those that a kept vertex leads to are kept as well."""
+    if links is not None:
+        led = edges.join(keep.select("graph_id", F.col("id").alias("src")), ["graph_id", "src"], "left_semi").select("graph_id", F.col("dst").alias("id")).distinct()
+        keep = keep.select("graph_id", "id").unionByName(links.select("graph_id", "id").join(led, ["graph_id", "id"], "left_semi")).distinct()
     return edges.join(keep.select("graph_id", F.col("id").alias("src")), ["graph_id", "src"], "left_semi").join(keep.select("graph_id", F.col("id").alias("dst")), ["graph_id", "dst"], "left_semi")
 
 
 def validate_graph(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Issues: edges to unknown vertices, edges to themselves, orphans."""
+    """Issues: edges to unknown vertices, edges to themselves, orphans, and vertices on cycles (or between two)."""
     keys = ["graph_id", "id"]
     ends = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
     unknown = ends.join(vertices.select(*keys), keys, "left_anti").withColumn("issue", F.lit("unknown"))
     loops = edges.filter("src = dst").select("graph_id", F.col("src").alias("id")).withColumn("issue", F.lit("self"))
     orphans = roots_leaves(vertices, edges).filter("orphan").select(*keys).withColumn("issue", F.lit("orphan"))
-    return unknown.unionByName(loops).unionByName(orphans)
+    known = vertices.select(*keys)
+    inner = edges.filter("src <> dst").join(known.withColumnRenamed("id", "src"), ["graph_id", "src"], "left_semi").join(known.withColumnRenamed("id", "dst"), ["graph_id", "dst"], "left_semi")
+    cycles = cyclic_nodes(vertices, inner).select(*keys).withColumn("issue", F.lit("cycle"))
+    return unknown.unionByName(loops).unionByName(orphans).unionByName(cycles)
 
 
 def incremental_plan(old: DataFrame, new: DataFrame, edges: DataFrame) -> DataFrame:

@@ -104,12 +104,26 @@ def cheapest_node(matrix: DataFrame, key: str) -> DataFrame:
     return matrix.groupBy(key).agg(F.min_by(F.struct("node_id", "cost"), F.struct("cost", "node_id")).alias("x")).select(key, "x.*")
 
 
-def local_or_remote(tasks: DataFrame, nodes: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """local where no remote node beats the local time by the threshold, else remote.  The best remote is one value per slot class."""
-    best = nodes.filter("node_id <> 0").agg(F.min(F.struct((1 / F.col("weight")).alias("f"), "latency_ms")).alias("b")).select("b.*")
-    t = tasks.crossJoin(F.broadcast(best))
-    remote = F.col("est") * F.col("f") + F.col("latency_ms") / 1000
-    return t.withColumn("side", F.when(F.col("est") <= remote + threshold, "local").otherwise("remote")).drop("f", "latency_ms")
+def comm_cost_matrix(tasks: DataFrame, nodes: DataFrame, kilobytes: Column) -> DataFrame:
+    """Seconds to send each task to each node: its latency and the source at 12.5 MB a second; nothing on the local node 0.
+
+    ``nodes`` is a dimension table; it is sent along with every partition of tasks only if small enough.
+    """
+    cost = F.when(F.col("node_id") == 0, 0.0).otherwise(F.col("latency_ms") / 1000 + kilobytes / 12_800)
+    return tasks.crossJoin(nodes.select("node_id", "latency_ms")).withColumn("comm", F.round(cost, 9)).drop("latency_ms")
+
+
+def local_or_remote(tasks: DataFrame, nodes: DataFrame, *, threshold: float = 0.15) -> DataFrame:
+    """local for CUDA tasks and where no remote node's time and transfer beat the local time by the threshold, else remote.
+
+    ``tasks`` has est and cuda.  Of nodes of one weight only the nearest can be best, so a row with one entry for each weight is
+    sent along, and each task takes its least sum over them.
+    """
+    classes = nodes.filter("node_id <> 0").groupBy("weight").agg(F.min("latency_ms").alias("latency_ms"))
+    one = classes.agg(F.collect_list(F.struct("weight", "latency_ms")).alias("classes"))
+    best = F.array_min(F.transform("classes", lambda c: F.col("est") / c["weight"] + c["latency_ms"] / 1000))
+    local = F.col("cuda") | best.isNull() | (F.col("est") <= best + threshold)
+    return tasks.crossJoin(F.broadcast(one)).withColumn("side", F.when(local, "local").otherwise("remote")).drop("classes")
 
 
 def cross_machine_edges(edges: DataFrame, placement: DataFrame) -> DataFrame:
@@ -136,6 +150,11 @@ def mutual_dependencies(edges: DataFrame) -> DataFrame:
     return edges.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"]).filter("src < dst").select("src", "dst").distinct()
 
 
+def missing_dependencies(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(dst, src) of dependencies on tasks that are neither known nor completed."""
+    return edges.join(known.select(F.col("id").alias("src")).distinct(), "src", "left_anti").select("dst", "src").distinct()
+
+
 def dependency_status(edges: DataFrame, done: DataFrame, known: DataFrame) -> DataFrame:
     """Per consumer: how many producers are missing, completed or pending, and whether it is ready."""
     e = edges.join(known.select(F.col("id").alias("src"), F.lit(1).alias("k")), "src", "left").join(done.select(F.col("id").alias("src"), F.lit(1).alias("d")), "src", "left")

@@ -67,6 +67,12 @@ def common_nodes(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id").intersect(b.select("id"))
 
 
+def edge_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """How many distinct edges two graphs share, and how many either has (1 at least)."""
+    edges = a.distinct().withColumn("n", F.lit(1)).unionByName(b.distinct().withColumn("n", F.lit(1))).groupBy(*a.columns).agg(F.sum("n").alias("n"))
+    return edges.agg(F.count_if(F.col("n") == 2).alias("overlap"), F.greatest(F.count("*"), F.lit(1).cast("long")).alias("union"))
+
+
 def set_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """Common rows over all distinct rows, 1 where both are empty; both counts alongside."""
     both = a.distinct().withColumn("a", F.lit(1)).withColumn("b", F.lit(0)).unionByName(b.distinct().withColumn("a", F.lit(0)).withColumn("b", F.lit(1)))

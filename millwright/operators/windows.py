@@ -29,6 +29,16 @@ def ema_closed_form(df: DataFrame, key: str, order: list, value: str, alpha: flo
     return ranked.groupBy(key).agg(F.round(F.sum(weight * F.col(value)), 4).alias("ema"), F.count("*").alias("n"))
 
 
+def ema_link(transfers: DataFrame, *, alpha: float = 0.3) -> DataFrame:
+    """Moving averages of a link's megabytes a second and latency: (link, mb_per_s, latency_ms, n) over (link, day, at, id, bytes, seconds).
+
+    Transfers without bytes or time teach nothing.  Each (link, day) is folded first, so that no task holds a busy link whole.
+    """
+    used = transfers.filter("seconds > 0 and bytes > 0").withColumn("mb_per_s", F.col("bytes") / 1048576 / F.col("seconds")).withColumn("latency_ms", F.col("seconds") * 1000)
+    speed, wait = (ema_by_day(used, "link", "day", ["at", "id"], c, alpha).select("link", F.col("ema").alias(c)) for c in ("mb_per_s", "latency_ms"))
+    return speed.join(wait, "link")
+
+
 def ema_compile_time(tasks: DataFrame) -> DataFrame:
     """Per node over successful tasks in completion order."""
     return ema_closed_form(tasks.filter("status = 'completed'"), "node_id", ["completed_at", "task_id"], "exec_seconds", 0.1)

@@ -483,9 +483,90 @@ def cheapest_node(s, d):
     return joins.cheapest_node(joins.exec_cost_matrix(t, joins.cost_classes(A.nodes(s, d)), F.col("time"), F.lit(False)), "id")
 
 
-@query("""with b as (select 1 / weight as f, latency_ms from v_nodes where node_id <> 0 order by 1, 2 limit 1) select id, case when v.weight <= v.weight * f + latency_ms / 1000 + 0.5 then 'local' else 'remote' end as side from v_vertices v, b""")
+_DEGREES = "i as (select dst as id, count(*) as n from v_edges group by 1), o as (select src as id, count(*) as n from v_edges group by 1), g as (select graph_id, v.id, coalesce(i.n, 0) as in_degree, coalesce(o.n, 0) as out_degree from v_vertices v left join i on i.id = v.id left join o on o.id = v.id)"
+
+
+def _two(s, d):
+    e = A.edges(s, d).select("src", "dst")
+    return e.filter("src % 2 = 0"), e.filter("dst % 3 = 0")
+
+
+@query("""with r as (select v.id, min(v.weight / n.weight + n.latency_ms / 1000) as best from v_vertices v, v_nodes n where n.node_id <> 0 group by 1)
+    select v.id, case when v.id % 4 = 2 or best is null or v.weight <= best + 0.15 then 'local' else 'remote' end as side from v_vertices v left join r on r.id = v.id""")
 def local_or_remote(s, d):
-    return joins.local_or_remote(A.vertices(s, d).select("id", F.col("weight").alias("est")), A.nodes(s, d)).select("id", "side")
+    t = A.vertices(s, d).select("id", F.col("weight").alias("est"), (F.col("id") % 4 == 2).alias("cuda"))
+    return joins.local_or_remote(t, A.nodes(s, d)).select("id", "side")
+
+
+@query("select v.id, n.node_id, round(case when n.node_id = 0 then 0.0 else cast(n.latency_ms as double) / 1000 + cast(v.weight as double) / 12800 end, 9) as comm from v_vertices v, v_nodes n")
+def comm_cost_matrix(s, d):
+    return joins.comm_cost_matrix(A.vertices(s, d).select("id", "weight"), A.nodes(s, d), F.col("weight")).select("id", "node_id", "comm")
+
+
+@query("select distinct dst, src from v_edges where src not in (select id from v_vertices where id % 11 <> 0)")
+def missing_dependencies(s, d):
+    return joins.missing_dependencies(A.edges(s, d), A.vertices(s, d).filter("id % 11 <> 0"))
+
+
+@query("select unit_id, file not like '%.cu' and unit_id % 6 <> 0 as remote_ok from v_units")
+def is_remote_ok(s, d):
+    return A.units(s, d).select("unit_id", C.is_remote_ok(F.col("file"), F.col("arguments"), F.col("unit_id") % 6 != 0).alias("remote_ok"))
+
+
+@query("with a as (select src, dst from v_edges where src % 2 = 0), b as (select src, dst from v_edges where dst % 3 = 0) select (select count(*) from (select * from a intersect select * from b)) as overlap, (select greatest(count(*), 1) from (select * from a union select * from b)) as \"union\"")
+def edge_overlap(s, d):
+    return nodes.edge_overlap(*_two(s, d))
+
+
+@query(f"with {_DEGREES} select graph_id, round(avg(in_degree), 6) as mean_in, max(in_degree) as max_in, round(avg(out_degree), 6) as mean_out, max(out_degree) as max_out from g group by 1")
+def degree_stats(s, d):
+    return graph.degree_stats(A.vertices(s, d), A.edges(s, d))
+
+
+@query("select id, node_type as kind from v_vertices")
+def node_type(s, d):
+    return A.vertices(s, d).select("id", C.node_type(F.concat("node_type", F.lit(":x"), "id")).alias("kind"))
+
+
+@query("select file_id, file_id % 7 = 0 as generated from v_sources")
+def needs_generated_include(s, d):
+    text = F.concat("text", F.when(F.col("file_id") % 7 == 0, F.lit('\n#include "ui/moc_a.cpp"\n')).otherwise(F.lit('\n#include "moc.h"\n')))
+    return A.sources(s, d).select("file_id", C.needs_generated_include(text).alias("generated"))
+
+
+@query("select event_id, event_id % 3 = 0 as missing from events")
+def is_header_missing(s, d):
+    n = F.col("event_id") % 3
+    stderr = F.when(n == 0, F.concat(F.lit("a.cpp:1: fatal error: inc/x"), F.col("event_id").cast("string"), F.lit(".h: No such file or directory"))).when(n == 1, "ld: cannot find -lm: No such file or directory").otherwise("x.h:3: error: expected ';'")
+    return A.table(s, d, "events").select("event_id", C.is_header_missing(stderr).alias("missing"))
+
+
+@query("select replace(path, '.cpp', '.h') as path, path as source from v_sources where file_id % 3 = 0")
+def header_to_source(s, d):
+    sources = A.sources(s, d)
+    return joins.header_to_source(sources.filter("file_id % 3 = 0").select(F.regexp_replace("path", r"\.cpp$", ".h").alias("path")), sources.select("path"))
+
+
+@query("select user_id as node_id, strftime(ts, '%Y-%m-%d') as day, round(list_reduce(list(value order by ts, event_id), lambda a, x: 0.9 * a + 0.1 * x), 6) as ema from events group by 1, 2")
+def ema(s, d):
+    e = A.table(s, d, "events").select(F.col("user_id").alias("node_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.struct(F.struct("ts", "event_id").alias("at"), "value").alias("p"))
+    return e.groupBy("node_id", "day").agg(F.round(C.ema(F.collect_list("p"), 0.1), 6).alias("ema"))  # a node's events of one day
+
+
+@query("select user_id as node_id, strftime(ts, '%Y-%m-%d') as day, list_sort(list(value))[cast(round_even(0.9 * (count(*) - 1), 0) as bigint) + 1] as p90 from events group by 1, 2")
+def nearest_rank_pct(s, d):
+    e = A.table(s, d, "events").select(F.col("user_id").alias("node_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
+    return e.groupBy("node_id", "day").agg(C.nearest_rank(F.collect_list("value"), 90).alias("p90"))
+
+
+@query("""with t as (select event_id % 5 as link, event_id as id, epoch_us(ts) as us, (event_id % 1000) * 1024.0 / 1048576 / ((event_id % 7 + 1) / 8.0) as mb, (event_id % 7 + 1) / 8.0 * 1000 as ms from events where event_id % 1000 > 0),
+    r as (select *, row_number() over (partition by link order by us, id) as i, count(*) over (partition by link) as n from t), w as (select *, case when i = 1 then pow(0.7, n - 1) else 0.3 * pow(0.7, n - i) end as f from r)
+    select link, round(sum(f * mb), 4) as mb_per_s, round(sum(f * ms), 4) as latency_ms from w group by 1""")
+def ema_link(s, d):
+    e = A.table(s, d, "events")
+    seconds = (F.col("event_id") % 7 + 1) / 8.0
+    t = e.select((F.col("event_id") % 5).alias("link"), F.to_date("ts").alias("day"), F.col("ts").alias("at"), F.col("event_id").alias("id"), ((F.col("event_id") % 1000) * 1024.0).alias("bytes"), seconds.alias("seconds"))
+    return windows.ema_link(t)
 
 
 _CROSS = "v_edges e join v_schedule a on a.task_id = e.src join v_schedule b on b.task_id = e.dst"
@@ -581,11 +662,6 @@ def node_jaccard(s, d):
 _DIFF = "with a as (select src, dst from v_edges where src % 2 = 0), b as (select src, dst from v_edges where dst % 3 = 0) select *, 'a' as only_in from (select * from a except all select * from b) union all select *, 'b' from (select * from b except all select * from a)"
 
 
-def _two(s, d):
-    e = A.edges(s, d).select("src", "dst")
-    return e.filter("src % 2 = 0"), e.filter("dst % 3 = 0")
-
-
 @query(_DIFF)
 def edge_diff(s, d):
     return nodes.edge_diff(*_two(s, d))
@@ -715,9 +791,6 @@ def ready_tasks(s, d):
     return graph.ready_tasks(v, A.edges(s, d), v.filter("id % 3 = 0"))
 
 
-_DEGREES = "i as (select dst as id, count(*) as n from v_edges group by 1), o as (select src as id, count(*) as n from v_edges group by 1), g as (select graph_id, v.id, coalesce(i.n, 0) as in_degree, coalesce(o.n, 0) as out_degree from v_vertices v left join i on i.id = v.id left join o on o.id = v.id)"
-
-
 @query(f"with {_DEGREES} select *, in_degree = 0 as root, out_degree = 0 as leaf, in_degree = 0 and out_degree = 0 as orphan from g")
 def roots_leaves(s, d):
     return graph.roots_leaves(A.vertices(s, d), A.edges(s, d))
@@ -749,9 +822,10 @@ def transitive_reduction(s, d):
     return graph.transitive_reduction(A.edges(s, d))
 
 
-@query("select e.graph_id, dst as id, count(*) as producers from v_edges e join v_vertices a on a.id = e.src join v_vertices b on b.id = e.dst where a.node_type = 'compile' and b.node_type = 'link' group by 1, 2 having count(*) >= 2")
+@query("select e.graph_id, dst as id, count(*) as producers, string_agg(cast(e.src as varchar), ',' order by e.src) as dependencies from v_edges e join v_vertices a on a.id = e.src join v_vertices b on b.id = e.dst where a.node_type = 'compile' and b.node_type = 'link' group by 1, 2 having count(*) >= 2")
 def link_barriers(s, d):
-    return graph.link_barriers(A.vertices(s, d), A.edges(s, d))
+    found = graph.link_barriers(A.vertices(s, d), A.edges(s, d), least=2)  # no vertex of these graphs has more producers
+    return found.select("graph_id", "id", "producers", F.array_join(F.transform("dependencies", lambda x: x.cast("string")), ",").alias("dependencies"))
 
 
 @query("""with p as (select graph_id, id, id % 3 as phase from v_vertices) select graph_id, cast(id as varchar) as src, 'barrier:' || phase as dst from p
@@ -760,18 +834,22 @@ def phase_barriers(s, d):
     return graph.phase_barriers(A.vertices(s, d).withColumn("phase", F.col("id") % 3))
 
 
-@query("select graph_id, src, dst from v_edges where src % 3 <> 0 and dst % 3 <> 0")
+@query("""with keep as (select id from v_vertices where id % 3 <> 0), kept as (select id from keep union select v.id from v_vertices v join v_edges e on e.dst = v.id where v.node_type = 'link' and e.src in (select id from keep))
+    select graph_id, src, dst from v_edges where src in (select id from kept) and dst in (select id from kept)""")
 def prune_graph(s, d):
-    return graph.prune_graph(A.edges(s, d), A.vertices(s, d).filter("id % 3 <> 0")).select("graph_id", "src", "dst")
+    v = A.vertices(s, d)
+    return graph.prune_graph(A.edges(s, d), v.filter("id % 3 <> 0"), links=v.filter("node_type = 'link'")).select("graph_id", "src", "dst")
 
 
-@query("""with v as (select * from v_vertices where id % 13 <> 0), e as (select graph_id, src, dst from v_edges union all select graph_id, id, id from v_vertices where id % 41 = 0)
+@query(f"""with recursive v as (select * from v_vertices where id % 13 <> 0), e as (select * from {_CYCLIC} union all select graph_id, id, id from v_vertices where id % 41 = 0),
+    ce as (select distinct src, dst from e where src <> dst and src in (select id from v) and dst in (select id from v)), r as (select src, dst from ce union select r.src, c.dst from r join ce c on c.src = r.dst), loop as (select src as id from r where src = dst)
     select distinct graph_id, id, 'unknown' as issue from (select graph_id, unnest([src, dst]) as id from e) where id not in (select id from v) union all select graph_id, src, 'self' from e where src = dst
-    union all select graph_id, id, 'orphan' from v where not exists (select 1 from e where e.src = v.id or e.dst = v.id)""")
+    union all select graph_id, id, 'orphan' from v where not exists (select 1 from e where e.src = v.id or e.dst = v.id)
+    union all select graph_id, id, 'cycle' from v where id in (select id from loop) or (exists (select 1 from r where r.dst = v.id and r.src in (select id from loop)) and exists (select 1 from r where r.src = v.id and r.dst in (select id from loop)))""")
 def validate_graph(s, d):
     v = A.vertices(s, d)
     loops = v.filter("id % 41 = 0").select("graph_id", F.col("id").alias("src"), F.col("id").alias("dst"))
-    return graph.validate_graph(v.filter("id % 13 <> 0"), A.edges(s, d).unionByName(loops))
+    return graph.validate_graph(v.filter("id % 13 <> 0"), _cyclic(s, d).unionByName(loops))
 
 
 @query("with recursive ch as (select graph_id, id from v_vertices where id % 29 = 0 or id % 31 = 0), reach as (select * from ch union select e.graph_id, e.dst from reach r join v_edges e on e.src = r.id) select * from reach")

@@ -59,13 +59,12 @@ def stream_progress_counters(events: DataFrame) -> DataFrame:
 
 
 def _stateful(events: DataFrame, out: str, state: str, fold) -> DataFrame:
-    """Folds each node's events, in time order within a batch, into its state; one row a node and batch."""
+    """Folds each node's events, in time order over all frames of a batch, into its state; one row a node and batch."""
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         now = held.get if held.exists else None
-        for frame in frames:
-            for row in frame.sort_values(["ts", "event_id"]).itertuples(index=False):
-                now = fold(now, row)
+        for row in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples(index=False):
+            now = fold(now, row)
         held.update(now)
         yield pd.DataFrame([(key[0], *now)], columns=[c.split()[0] for c in out.split(", ")])
 

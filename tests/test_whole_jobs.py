@@ -109,3 +109,33 @@ def test_long_texts_have_a_content_hash(spark, tmp_path):
     sources = {x["file_id"]: x["text"] for x in A.sources(spark, str(tmp_path)).collect()}
     found = dict(map(tuple, QUERIES["content_hash"](spark, str(tmp_path)).select("file_id", "hash").collect()))
     assert found == {k: brute_hash(t) for k, t in sources.items()} and len(found) == len(texts)
+
+
+def test_streams_fold_all_frames_of_a_node_in_time_order(spark, sf_dir):
+    """A node's rows come in several frames once a record batch is full."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = lambda: [sorted(map(tuple, QUERIES[q](spark, sf_dir).collect())) for q in ("stream_ema", "stream_backoff")]
+    whole, before = rows(), spark.conf.get(name)
+    spark.conf.set(name, 10)
+    try:
+        assert rows() == whole
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_local_or_remote_takes_the_least_sum(spark):
+    nodes = spark.createDataFrame([(0, 9.0, 0), (1, 2.0, 5000), (2, 1.9, 10), (3, 1.0, 0)], "node_id long, weight double, latency_ms long")
+    tasks = spark.createDataFrame([(1, 4.0, False), (2, 0.1, False), (3, 100.0, True)], "id long, est double, cuda boolean")
+    side = lambda n: {r["id"]: r["side"] for r in joins.local_or_remote(tasks, n).collect()}
+    assert side(nodes) == {1: "remote", 2: "local", 3: "local"}  # a marginally faster but distant node does not decide
+    assert set(side(nodes.filter("node_id = 0")).values()) == {"local"}
+
+
+def test_pruned_graphs_keep_links_and_cycles_are_issues(spark):
+    e = spark.createDataFrame([(0, 1, 2), (0, 1, 9), (0, 3, 9), (0, 4, 8), (0, 2, 5), (0, 5, 2)], "graph_id long, src long, dst long")
+    ids = lambda *x: spark.createDataFrame([(0, k, 1) for k in x], "graph_id long, id long, weight long")
+    kept = lambda df: sorted((r["src"], r["dst"]) for r in df.collect())
+    assert kept(graph.prune_graph(e, ids(1, 2), links=ids(8, 9))) == [(1, 2), (1, 9)]
+    assert kept(graph.prune_graph(e, ids(1, 2))) == [(1, 2)]
+    issues = sorted((r["id"], r["issue"]) for r in graph.validate_graph(ids(1, 2, 3, 4, 5, 7, 8), e).collect())
+    assert issues == [(2, "cycle"), (5, "cycle"), (7, "orphan"), (9, "unknown")]

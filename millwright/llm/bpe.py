@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millwright.llm import words
-from millwright.llm.common import binaries, pick, text_slices, tidy
+from millwright.llm.common import SLICE_BYTES, binaries, pick, text_slices, tidy
 from millwright.llm.merges import LONGEST, Merges
 
 #: Texts of more code points than this are halved until no part is longer.
@@ -297,7 +297,7 @@ def bpe_decode(coded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids"
 
     def decode(batches):
         coder = codec(path)
-        for batch in batches:
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in text_slices(whole.column("ids"), 4 * SLICE_BYTES)):
             col = batch.column("ids")
             packed = [b or b"" for b in col.to_pylist()]
             lo = 0

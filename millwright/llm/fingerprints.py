@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.llm.common import extended, pick, slices, tidy
+from millwright.llm.common import extended, pick, slices, text_slices, tidy
 from millwright.llm.shingles import mix
 
 #: Parsing rounds (a phrase of the last has about ten code points), slots, and rounds of coin tossing (64-bit labels end below six).
@@ -137,7 +137,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     def follow(batches):
         """Each row waits for the one after it; of a range's tail rows only the first is wanted."""
         held = None
-        for batch in batches:
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in text_slices(whole.column("text"))):
             out: list[tuple] = []
             for b, tail, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("b", "tail", "doc_id", "text"))):
                 if held is not None and held[0] == b:
@@ -157,9 +157,9 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     def work(batches):
         for batch in batches:
-            ids, texts, nexts = batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("next_text").to_pylist()
-            for lo, hi in slices(texts):
-                part, after = texts[lo:hi], nexts[lo:hi]
+            ids = batch.column("doc_id")
+            for lo, hi in text_slices(batch.column("text")):
+                part, after = (batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("text", "next_text"))
                 edited = [t[: len(t) - len(t) // 4] + a[: len(t) // 4] for t, a in zip(part, after)]
                 own, other, following = (fingerprints(x, levels, slots) for x in (part, edited, after))
                 yield pa.record_batch(

@@ -32,6 +32,8 @@ from millwright.llm.shingles import mix
 
 #: Length of a repeated string, of an anchor, number of batches, and classes of one anchor that one task compares.
 MIN_BYTES, GRAM, BATCHES, ANCHOR_CLASSES = 400, 48, 4, 2048
+#: Short passages that stand in more places than this are hot; up to so many hot ones (16 bytes each) are sent to every executor, not joined.
+HOT_TIMES, SENT_PASSAGES = 64, 1 << 17
 #: Window starts that one step of array operations takes; positions within a step have 24 bits.
 _STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -222,7 +224,7 @@ def _marks(df: DataFrame) -> DataFrame:
     return F.broadcast(df.select(_mark().alias(_MARK)).distinct())
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, gram: int = GRAM, batches: int = BATCHES, anchor_classes: int = ANCHOR_CLASSES, whole_characters: bool = False, min_words: int | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, gram: int = GRAM, batches: int = BATCHES, anchor_classes: int = ANCHOR_CLASSES, whole_characters: bool = False, min_words: int | None = None, hot_times: int = HOT_TIMES, sent_passages: int = SENT_PASSAGES) -> DataFrame:
     """Every text without the bytes that a repeated string of ``min_bytes`` bytes covers (here or in another document).
 
     Adds to the columns of ``docs``, replacing any so named: n_bytes long, spans array<struct<start, end>> (maximal removed
@@ -347,11 +349,46 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     else:  # passages of fewer bytes: all are counted, and those looked up that no span found so far holds
         run = "struct<start: long, end: long>"
         passages = written(docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).mapInArrow(tidy(list_passages), f"uid long, th long, listed array<struct<w1: long, w2: long, n: long, cover: array<{run}>>>"), folder=f"{folder}/passages")
-        again = passages.select(F.inline("listed")).groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1").select("w1", "w2")
+
+        def count(parts):
+            """How often each passage stands in a task's texts; what is common gives one row a task, not one a text."""
+            seen: dict[tuple[int, int], int] = {}
+
+            def sums():
+                keys = np.array(list(seen), np.int64).reshape(-1, 2)
+                return pa.record_batch([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(list(seen.values()), pa.int64())], ["w1", "w2", "n"])
+
+            for batch in parts:
+                for p in batch.column("listed").flatten().to_pylist():
+                    key = p["w1"], p["w2"]
+                    seen[key] = seen.get(key, 0) + p["n"]
+                if len(seen) > 100_000:
+                    yield sums()
+                    seen.clear()
+            yield sums()
+
+        again = written(passages.select("listed").mapInArrow(tidy(count), "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1"), folder=f"{folder}/again")
+        hot = again.filter(F.col("times") > hot_times)
+        few = hot.count() <= sent_passages
+        sent = spark.sparkContext.broadcast(frozenset(map(tuple, hot.select("w1", "w2").collect())) if few else frozenset())
+
+        def part(parts):
+            """What hot passages cover in each text, and its other passages."""
+            for batch in parts:
+                cover, rest = [], []
+                for listed in batch.column("listed").to_pylist():
+                    known = [p for p in listed if (p["w1"], p["w2"]) in sent.value]
+                    cover.append([r for p in known for r in p["cover"]])
+                    rest.append([p for p in listed if (p["w1"], p["w2"]) not in sent.value])
+                kind = batch.schema.field("listed").type
+                yield pa.record_batch([batch.column("uid"), batch.column("th"), pa.array(cover, kind.value_type.field("cover").type), pa.array(rest, kind)], ["uid", "th", "cover", "listed"])
+
         by_bytes = written(gathered(hit), folder=f"{folder}/by_bytes")
         held = lambda r: F.exists(F.coalesce("cover", F.array().cast(f"array<{run}>")), lambda c: (c["start"] <= r["start"]) & (r["end"] <= c["end"]))
         open_ones = passages.join(by_bytes, ["uid", "th"], "left").select("uid", "th", F.filter("listed", lambda p: ~F.forall(p["cover"], held)).alias("listed"))
-        short = open_ones.select("uid", "th", F.inline("listed")).join(again, ["w1", "w2"]).select("uid", "th", "cover")
+        parted = written(open_ones.filter(F.size("listed") > 0).mapInArrow(tidy(part), f"uid long, th long, cover array<{run}>, listed array<struct<w1: long, w2: long, n: long, cover: array<{run}>>>"), folder=f"{folder}/parted")
+        looked_up = parted.select("uid", "th", F.inline("listed")).join(again.filter(F.col("times") <= hot_times) if few else again, ["w1", "w2"]).select("uid", "th", "cover")
+        short = looked_up.unionByName(parted.filter(F.size("cover") > 0).select("uid", "th", "cover"))
         cover = written(gathered(by_bytes.select("uid", "th", "cover").unionByName(short)))
     removed(spark, folder)  # of entries, levels and all between them and the cover nothing is needed any more
     marks = _marks(cover)

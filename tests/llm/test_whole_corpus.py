@@ -53,8 +53,9 @@ def test_repeated_passages_of_few_bytes(spark):
     shared = [part(k) for k in (4, 5, 6, 7, 9, 12, 20)]
     texts = [part(r.randrange(12)) + r.choice(shared) + part(r.randrange(9)) + r.choice(shared) for _ in range(50)] + ["z " * 90, "", shared[3]]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {x["doc_id"]: bytes(x["kept"]) for x in suffix.repeated_spans(table, min_bytes=40, gram=12, min_words=6).collect()}
-    assert [found[k] for k in range(len(texts))] == brute_kept(texts, 40, 6)
+    for options in ({}, {"hot_times": 3}, {"hot_times": 3, "sent_passages": 0}):
+        found = {x["doc_id"]: bytes(x["kept"]) for x in suffix.repeated_spans(table, min_bytes=40, gram=12, min_words=6, **options).collect()}
+        assert [found[k] for k in range(len(texts))] == brute_kept(texts, 40, 6)
 
 
 def test_pipeline_cuts_passages_of_over_fifty_words(spark, sf_dir):

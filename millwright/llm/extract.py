@@ -1,9 +1,10 @@
 """Main text of web pages.
 
 Every element of a page gets features: its tag and attribute tokens, depth, density of text, links and tags in its subtree,
-and how it stands among its siblings.  Gradient-boosted trees, fitted on a bounded sample of pages whose elements are labelled
-by what their tags and tokens say (and on variants in which those tags are renamed and more page furniture is put in), tell how
-likely it belongs to the article.  A pass over the tree then decodes all elements at once: outside the article, inside, or
+how it stands among its siblings, and how its parent and the part of the page that it lies in stand among theirs.
+Gradient-boosted trees, fitted on a bounded sample of pages whose elements are labelled by what their tags and tokens say, tell
+how likely it belongs to the article.  They are also fitted on variants with more page furniture, and on masked copies in which
+the tags and tokens that gave the labels are gone and only the shape of the page is left.  A pass over the tree then decodes all elements at once: outside the article, inside, or
 dropped from it.  What lies below a dropped element is dropped, and what lies inside stays inside unless it is dropped, so that
 no element contradicts its ancestors; of all such labellings the one with the greatest sum of log odds is taken.
 """
@@ -11,7 +12,9 @@ no element contradicts its ancestors; of all such labellings the one with the gr
 from __future__ import annotations
 
 import math
+import random
 import re
+from dataclasses import replace
 from html import unescape
 
 import numpy as np
@@ -35,6 +38,20 @@ _FOR = frozenset("article content main body post entry story text prose copy".sp
 _NO_TEXT = RAW | frozenset("head noscript template svg math canvas audio video object select option datalist".split())
 
 
+def _parts(tree: Tree, length: list[int]) -> tuple[list[int], list[int]]:
+    """The parts of a page, and the one that each node lies in (0 where none): children of the lowest node that holds all its text."""
+    children: list[list[int]] = [[] for _ in tree.tags]
+    for i in range(1, len(tree.tags)):
+        children[tree.parents[i]].append(i)
+    top = 0
+    while len(full := [k for k in children[top] if length[k]]) == 1 and length[full[0]] == length[0]:
+        top = full[0]
+    branch = [0] * len(tree.tags)
+    for i in range(1, len(tree.tags)):
+        branch[i] = i if tree.parents[i] == top else branch[tree.parents[i]]
+    return children[top], branch
+
+
 def features(tree: Tree) -> tuple[np.ndarray, list[int]]:
     """A row for each node, and how many characters of text each holds itself."""
     n = len(tree.tags)
@@ -68,8 +85,11 @@ def features(tree: Tree) -> tuple[np.ndarray, list[int]]:
         signs[p] += signs[i]
         total_words[p] += total_words[i]
     whole = max(1, length[0])
+    parts, branch = _parts(tree, length)
+    widest = max((length[k] for k in parts), default=0)
+    place = {k: j for j, k in enumerate(k for k in parts if length[k])}
     against, favour, above, under = [0] * n, [0] * n, [0] * n, [0] * n
-    rows = np.zeros((n, 20))
+    rows = np.zeros((n, 30))
     for i in range(n):
         if a := tree.attributes[i]:
             tokens = {t for t in _TOKEN.findall(a.lower())} if "=" in a else set()
@@ -78,12 +98,15 @@ def features(tree: Tree) -> tuple[np.ndarray, list[int]]:
         bad_tag = tags[i] in ("nav", "footer", "aside", "form", "button", "header")
         above[i] = (above[p] if p >= 0 else 0) + (against[i] > 0) + bad_tag
         under[i] = (under[p] if p >= 0 else 0) + (favour[i] > 0 and not against[i]) + (tags[i] in ("article", "main"))
-        size = length[i]
+        size, b, q = length[i], branch[i] or i, max(p, 0)
         rows[i] = (
             _NUMBER.get(tags[i], -1), tree.depths[i], against[i], favour[i], above[i], under[i],
             math.log1p(size), size / whole, link[i] / max(1, size), size / nodes[i], math.log1p(nodes[i]), math.log1p(paras[i]),
             signs[i] / max(1, total_words[i]), math.log1p(own[i]), own[i] / max(1, size), position[i],
             children[p] if p >= 0 else 1, (last_of[(p, tags[i])] / children[p]) if p >= 0 else 1.0, size / max(1, length[p] if p >= 0 else size), total_words[i] / nodes[i],
+            length[q] / whole, link[q] / max(1, length[q]), math.log1p(paras[q]),
+            length[b] / whole, length[b] / max(1, widest), link[b] / max(1, length[b]), math.log1p(paras[b]), signs[b] / max(1, total_words[b]),
+            place.get(b, -1), len(place) - place.get(b, -1),
         )
     return rows, own
 
@@ -156,46 +179,68 @@ _FEET = (("<footer>", "</footer>"), ('<div class="footer">', "</div>"), ('<div i
 
 
 def variant(html: str, k: int) -> str:
-    """The page with its article, menu and footer marked up in the k-th way, and some furniture of its own words put in."""
+    """The page with its article, menu and footer marked up in the k-th way, and some furniture of its own words put in; in odd ways one piece stands inside the article."""
+    words = re.sub(r"<[^>]*>", " ", html).split()[-400:]
+    piece = lambda a, b: " ".join(words[(k * 37 + a) % max(1, len(words)) :][:b])
+    made = [_FURNITURE[(k + j) % len(_FURNITURE)].format(piece(j, 2), piece(5 + j, 20), piece(31 + j, 12)) for j in (0, 2, 5, 3)]
+    if k % 2:
+        before = r"(</article\s*>)" if k % 4 == 1 else r"(<p(?:\s[^>]*)?>)"
+        html = re.sub(before, lambda m: made[3] + m[1], html, count=1, flags=re.I)
     for tag, ways, step in (("article", _ROOTS, 1), ("nav", _MENUS, 2), ("footer", _FEET, 3)):
         opening, closing = ways[(k * step + k // 3) % len(ways)]
         html = re.sub(rf"<{tag}(\s[^>]*)?>", opening, html, flags=re.I)
         html = re.sub(rf"</{tag}\s*>", closing, html, flags=re.I)
-    words = re.sub(r"<[^>]*>", " ", html).split()[-400:]
-    piece = lambda a, b: " ".join(words[(k * 37 + a) % max(1, len(words)) :][:b])
-    made = [_FURNITURE[(k + j) % len(_FURNITURE)].format(piece(j, 2), piece(5 + j, 20), piece(31 + j, 12)) for j in (0, 2, 5)]
     html = re.sub(r"(<body[^>]*>)", lambda m: m[1] + made[0], html, count=1, flags=re.I)
     return re.sub(r"</body\s*>", lambda m: made[1] + made[2] + m[0], html, count=1, flags=re.I)
 
 
+_ROOT_TAGS = frozenset("article main".split())
+_WRAPPERS = _ROOT_TAGS | frozenset("section div nav header footer aside form".split())
+
+
+def masked(tree: Tree, seed: int, *, whole: bool) -> Tree:
+    """The same nodes and texts with made-up attributes and neutral wrappers: all of them, or only those that hold an article."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("bcdfghjklmnpqrstvwxz", k=5))
+    tags, attributes = [], []
+    for tag, given in zip(tree.tags, tree.attributes):
+        tokens = set(_TOKEN.findall(given.lower())) if "=" in given else set()
+        hit = tag in _WRAPPERS if whole else tag in _ROOT_TAGS or bool(tokens & _FOR)
+        tags.append(r.choice(("div", "section", "div")) if hit else "span" if whole and tag in ("button", "label") else tag)
+        attributes.append(r.choice(("", f' class="{word()}"', f' id="{word()}" class="{word()} {word()}"')) if hit or whole else given)
+    return replace(tree, tags=tags, attributes=attributes)
+
+
 def fit(pages: list[str]) -> BoostedTrees | None:
-    """Trees fitted on these pages and two variants of each; None where no page says what its article is."""
+    """Trees fitted on these pages, two variants of each, and a masked copy of every one (of furniture inside an article the names stay, as its shape tells little); None where no page says what its article is."""
     rows, marks = [], []
     for i, page in enumerate(pages):
-        for html in (page, variant(page, 2 * i), variant(page, 2 * i + 1)):
+        for j, html in enumerate((page, variant(page, 2 * i), variant(page, 2 * i + 1))):
             tree = parse(html)
             labels = _labels(tree)
             if labels:
-                x, own = features(tree)
-                keep = [j for j, t in enumerate(tree.tags) if t not in _NO_TEXT]
-                rows.append(x[keep])
-                marks += [labels[j] for j in keep]
+                keep = [k for k, t in enumerate(tree.tags) if t not in _NO_TEXT]
+                for seen in (tree, masked(tree, 3 * i + j, whole=j == 0 or j == 1 and i % 2 == 0)):
+                    rows.append(features(seen)[0][keep])
+                    marks += [labels[k] for k in keep]
     return BoostedTrees().fit(np.concatenate(rows), np.array(marks, float)) if rows else None
 
 
 def fit_extractor(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> BoostedTrees | None:
-    """Trees from at most ``sample_pages`` pages, dealt out by a hash of the id, of up to ``SAMPLE_CHARS`` characters."""
+    """Trees from at most ``sample_pages`` pages, dealt out by a hash of the id, of up to ``SAMPLE_CHARS`` characters; of pages that share an id the least."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).cast("string").alias("html")).filter(F.length("html").between(1, SAMPLE_CHARS))
-    chosen = rows.filter("id is not null").select("id").orderBy(F.xxhash64("id"), "id").limit(sample_pages)  # ids alone go through the sort
-    drawn = rows.join(F.broadcast(chosen), "id").limit(4 * sample_pages).collect()
-    return fit([html for _, html in sorted(map(tuple, drawn))][:sample_pages])
+    chosen = rows.filter("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_pages)  # ids alone go through the sort
+    drawn = rows.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("html")).collect()
+    return fit([html for _, html in sorted(map(tuple, drawn))])
 
 
 def extract_text(pages: DataFrame, model: BoostedTrees | None, *, html_col: str = "html") -> DataFrame:
     """``pages`` with text string: the article's blocks in page order, empty where there is none.
 
-    Null and empty pages have an empty text; without a model, elements are judged by their tags and tokens alone; columns named
-    text are replaced, all others kept.
+    Null and empty pages have an empty text, an empty table an empty result; repeated rows stay, each with its text; a page of any
+    length is read whole, in one piece.  Between labellings of equal odds the one that keeps more is taken.  Without a model (no
+    page said what its article is) all text outside scripts, styles and the like is kept; columns named text are replaced, all
+    others kept.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -207,7 +252,7 @@ def extract_text(pages: DataFrame, model: BoostedTrees | None, *, html_col: str
             at = 0
             for tree, (x, own) in zip(trees, rows):
                 if odds is None:
-                    found = [4.0 if m else -4.0 for m in _labels(tree) or [0] * len(own)]
+                    found = [4.0] * len(own)
                 else:
                     found = odds[at : at + len(own)].tolist()
                 at += len(own)

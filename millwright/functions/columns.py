@@ -219,6 +219,33 @@ def log_event(line: Column) -> dict[str, Column]:
     return {"kind": kind, "task": found(r"Task (\S+) "), "node": found(r"(node\d+)"), "seconds": found(r"completed in ([\d.]+)s").cast("double")}
 
 
+# The lines of a build session's log, in the order in which they are tried.
+SESSION_LINES = (
+    ("completed", r"CompilationTracker - INFO - .* Completed .* in ([0-9.]+)s"),
+    ("assigned", r"Scheduled task ccdb_.* to node ([0-9.]+)"),
+    ("scheduled", r"Task ccdb_([0-9]+) scheduled for execution"),
+    ("started", r"Task ccdb_([0-9]+) started on node ([0-9.]+)"),
+    ("failed", r"Task ccdb_([0-9]+) failed: (.*)"),
+    ("summary", r"项目编译完成: (\{.*\})"),
+)
+
+
+def session_event(line: Column) -> dict[str, Column]:
+    """kind, task, node, seconds and reason of a line of a session's log; what a kind does not tell, and all of other lines, is null."""
+    pattern = dict(SESSION_LINES)
+    kind = F.lit(None).cast("string")
+    for name, form in reversed(SESSION_LINES):
+        kind = F.when(line.rlike(form), name).otherwise(kind)
+    part = lambda name, group: F.when(kind == name, F.regexp_extract(line, pattern[name], group))
+    return {
+        "kind": kind,
+        "task": F.coalesce(*[part(name, 1) for name in ("scheduled", "started", "failed")]),
+        "node": F.coalesce(part("assigned", 1), part("started", 2)),
+        "seconds": part("completed", 1).try_cast("double"),
+        "reason": F.nullif(F.trim(part("failed", 2)), F.lit("")),
+    }
+
+
 def nearest_rank(values: Column, percent: float) -> Column:
     """Percentile by nearest rank with half-even rounding, of an array of one group's values."""
     ordered = F.array_sort(values)

@@ -124,3 +124,21 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = F.concat(F.lit("src/m"), (k % 20).cast("string"), F.lit("/f"), s, ext)
     args = F.array(F.lit("g++"), F.lit("-I"), F.concat(F.lit("inc/a"), (k % 5).cast("string")), F.concat(F.lit("-Iinc/b"), (k % 3).cast("string")), F.concat(F.lit("-DX="), F.col("p_size").cast("string")), F.concat(F.lit("-O"), (k % 4).cast("string")), F.lit("-c"), file, F.lit("-o"), F.concat(F.lit("out/f"), s, F.lit(".o")))
     return p.select(k.alias("unit_id"), F.concat(F.lit("/root/w"), (k % 3).cast("string")).alias("directory"), file.alias("file"), args.alias("arguments"))
+
+
+def session_lines(s: SparkSession, d: str) -> DataFrame:
+    """A line of a session's log for each event, in the form that its type has."""
+    e = table(s, d, "events")
+    node = F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string"))
+    task = F.concat(F.lit("ccdb_"), F.col("event_id").cast("string"))
+    seconds = F.format_string("%.2f", F.col("event_id") % 900 / 100)
+    reason = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("exit "), (F.col("event_id") % 4).cast("string"))).otherwise(" ")
+    form = (
+        F.when(F.col("event_type") == "click", F.concat(F.lit("CompilationTracker - INFO - unit Completed f.cpp in "), seconds, F.lit("s")))
+        .when(F.col("event_type") == "view", F.concat(F.lit("Scheduled task "), task, F.lit(" to node "), node))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("Task "), task, F.lit(" scheduled for execution")))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit("Task "), task, F.lit(" started on node "), node))
+        .when(F.col("event_type") == "error", F.concat(F.lit("Task "), task, F.lit(" failed: "), reason))
+        .otherwise("nothing of note")
+    )
+    return e.select(F.col("event_id").alias("line_no"), F.concat(F.lit("2024-01-01 00:00:00,000 - "), form).alias("line"))

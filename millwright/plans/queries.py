@@ -933,6 +933,14 @@ def parse_log_event(s, d):
     return A.log_lines(s, d).select("line_no", *[c.alias(n) for n, c in C.log_event(F.col("line")).items()])
 
 
+@query("""select event_id as line_no, case event_type when 'click' then 'completed' when 'view' then 'assigned' when 'signup' then 'scheduled' when 'purchase' then 'started' when 'error' then 'failed' end as kind,
+    case when event_type in ('signup', 'purchase', 'error') then cast(event_id as varchar) end as task, case when event_type in ('view', 'purchase') then '10.0.0.' || (user_id % 250) end as node,
+    case when event_type = 'click' then event_id % 900 / 100 end as seconds, case when event_type = 'error' and event_id % 3 <> 0 then 'exit ' || (event_id % 4) end as reason from events""")
+def parse_session_log(s, d):
+    e = C.session_event(F.col("line"))
+    return A.session_lines(s, d).select("line_no", *[c.alias(n) for n, c in e.items()])
+
+
 @query("select nullif(regexp_extract(line, '(node\\d+)', 1), '') as node, count(*) as tasks from v_log where line like '%completed in%' group by 1")
 def node_distribution(s, d):
     e = C.log_event(F.col("line"))
@@ -1037,6 +1045,32 @@ def read_dep_files(s, d):
     return readers.read_dep_files(s, path)
 
 
+@query("select dst || '.o' as target, string_agg(src || '.h', ' ' order by src || '.h') as dependencies from v_edges group by 1")
+def read_makefile_rules(s, d):
+    name = lambda c, ending: F.concat(F.col(c).cast("string"), F.lit(ending))
+    rules = A.edges(s, d).groupBy(name("dst", ".o").alias("t")).agg(F.array_join(F.array_sort(F.collect_list(name("src", ".h"))), " ").alias("x"))
+    rules.select(F.concat("t", F.lit(": before.h\nFLAGS := -O2\n"), "t", F.lit(": "), "x")).write.text(path := _folder(s))  # the second rule counts
+    return readers.read_makefile_rules(s, path).select("target", F.array_join("dependencies", " ").alias("dependencies"))
+
+
+@query("select task_id, file, status = 'completed' as success from v_tasks")
+def read_task_order_table(s, d):
+    mark = F.when(F.col("status") == "completed", "✓").otherwise("✗")
+    cells = [F.col("task_id").cast("string"), F.col("file"), *[F.lit(c) for c in "abcdef"], mark]
+    A.tasks(s, d).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n|---|---|"))).write.text(path := _folder(s))
+    return readers.read_task_order_table(s, path).select(F.get("cells", F.lit(0)).cast("long").alias("task_id"), F.get("cells", F.lit(1)).alias("file"), "success")
+
+
+@query("""with n as (select algorithm, node_id, count(*) as tasks from v_tasks where node_id is not null group by 1, 2)
+    select 'algo-' || algorithm as algo, cast(sum(tasks) over (partition by algorithm) as double) as elapsed, cast(node_id as integer) as port, tasks from n""")
+def read_bench_summary(s, d):
+    counted = A.tasks(s, d).filter("node_id is not null").groupBy("algorithm", "node_id").agg(F.count("*").alias("tasks"))
+    ports = F.array_join(F.collect_list(F.concat(F.lit("port "), F.col("node_id").cast("string"), F.lit(": "), F.col("tasks").cast("string"))), "\n")  # nodes are a dimension table
+    parts = counted.groupBy("algorithm").agg(F.sum("tasks").alias("all"), ports.alias("ports"))
+    parts.select(F.concat(F.lit("=== algo-"), F.col("algorithm").cast("string"), F.lit(" ===\nTime: "), F.col("all").cast("string"), F.lit(".0 s\n"), "ports")).write.text(path := _folder(s))
+    return readers.read_bench_summary(s, path)
+
+
 @query("select file, regexp_replace(file, '\\.\\w+$', '.o') as object from v_units where file not like '%.cu'")
 def makefile_sources(s, d):
     A.units(s, d).select(F.concat(F.lit("all: "), F.col("file"), F.lit(" x.h"))).write.text(path := _folder(s))
@@ -1379,5 +1413,10 @@ def stream_release_ready(s, d):
 
 @query("select event_type as kind, count(*) as events from events group by 1")
 def stream_status_snapshots(s, d):
-    e = A.table(s, d, "events").select(F.col("event_type").alias("kind"))
-    return live.status_snapshot(e, 0).select("kind", "events")
+    """Snapshots of a stream, one a micro-batch and each in a folder of its own, so that a batch run again replaces its own; then their sums."""
+    folder = _folder(s)
+    A.table(s, d, "events").select(F.col("event_type").alias("kind"), "ts").repartitionByRange(4, "ts").select("kind").write.parquet(f"{folder}/in")
+    stream = s.readStream.schema("kind string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    keep = lambda rows, n: live.status_snapshot(rows, n).drop("batch").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return s.read.schema("kind string, events long, batch long").parquet(f"{folder}/out").groupBy("kind").agg(F.sum("events").alias("events"))

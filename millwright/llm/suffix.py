@@ -32,7 +32,7 @@ from millwright.llm.shingles import mix
 
 #: Length of a repeated string, of an anchor, number of batches, and classes of one anchor that one task compares.
 MIN_BYTES, GRAM, BATCHES, ANCHOR_CLASSES = 400, 48, 4, 2048
-#: Short passages that stand in more places than this are hot; up to so many hot ones (16 bytes each) are sent to every executor, not joined.
+#: Short passages, and windows of crowded anchors, that stand in more places than this are hot; up to so many hot ones (16 bytes each) are sent to every executor, not joined.
 HOT_TIMES, SENT_PASSAGES = 64, 1 << 17
 #: Window starts that one step of array operations takes; positions within a step have 24 bits.
 _STEP = 1 << 20
@@ -154,7 +154,7 @@ def _ranges(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
+    last = np.append(first[1:], len(at))[: len(first)] - 1
     return owner[first], at[first], at[last]
 
 
@@ -324,18 +324,46 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if held:
             yield settle()
 
-    def fingerprint(parts):
+    def fingerprints(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place and 128-bit fingerprint of every window of a batch."""
+        hashed = []
+        for starts, context in zip(batch.column("starts").to_pylist(), batch.column("context").to_pylist()):
+            data = np.frombuffer(context, np.uint8)
+            hashed.append(np.stack([_window_hashes(data, min_bytes, b).view(np.int64)[:starts] for b in (_BASE, _BASE_2)], axis=1))
+        sizes = [len(h) for h in hashed]
+        at = np.concatenate([np.arange(n) for n in sizes])
+        return np.repeat(np.arange(len(sizes)), sizes), at, np.concatenate(hashed)
+
+    def count_windows(parts):
+        """How often each window stands in a batch of classes."""
         for batch in parts:
-            for key, ctx, starts, context in zip(*(batch.column(c).to_pylist() for c in ("key", "ctx", "starts", "context"))):
-                data = np.frombuffer(context, np.uint8)
-                one, two = (pa.array(_window_hashes(data, min_bytes, b).view(np.int64)) for b in (_BASE, _BASE_2))
-                yield pa.record_batch([pa.array([key] * starts), pa.array([ctx] * starts), pa.array(range(starts), pa.int64()), one, two], ["key", "ctx", "at", "w1", "w2"])
+            if len(batch):
+                w, n = np.unique(fingerprints(batch)[2], axis=0, return_counts=True)
+                yield pa.record_batch([pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(n)], ["w1", "w2", "n"])
 
     span = "key long, ctx long, first long, last long"
     few = contexts.filter(F.col("classes") <= anchor_classes).repartition("key").sortWithinPartitions("key").mapInArrow(tidy(compare), span)
-    windows = contexts.filter(F.col("classes") > anchor_classes).mapInArrow(tidy(fingerprint), "key long, ctx long, at long, w1 long, w2 long").distinct()
-    repeated = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).filter("times > 1")
-    many = windows.join(repeated, ["w1", "w2"]).select("key", "ctx", F.col("at").alias("first"), F.col("at").alias("last"))
+    crowded = written(contexts.filter(F.col("classes") > anchor_classes).select("key", "ctx", "starts", "context").dropDuplicates(["key", "ctx"]), folder=f"{folder}/crowded")
+    repeated = written(crowded.mapInArrow(tidy(count_windows), "w1 long, w2 long, n long").groupBy("w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1"), folder=f"{folder}/repeated")
+    frequent = repeated.filter(F.col("times") > hot_times)
+    bounded = frequent.count() <= sent_passages
+    sent_windows = spark.sparkContext.broadcast(frozenset(map(tuple, frequent.select("w1", "w2").collect())) if bounded else frozenset())
+
+    def look_up(parts):
+        """Runs of hot windows, without fingerprints, and each other window with its own."""
+        for batch in parts:
+            if len(batch):
+                owner, at, w = fingerprints(batch)
+                known = np.fromiter((x in sent_windows.value for x in map(tuple, w.tolist())), bool, len(w))
+                runs, first, last = _ranges(owner[known], at[known])
+                rows, w, rest = pa.array(np.concatenate([runs, owner[~known]])), w[~known], at[~known]
+                named = [pa.concat_arrays([pa.nulls(len(runs), pa.int64()), pa.array(w[:, k])]) for k in (0, 1)]
+                places = [pa.array(np.concatenate([x, rest]).astype(np.int64)) for x in (first, last)]
+                yield pa.record_batch([batch.column("key").take(rows), batch.column("ctx").take(rows), *places, *named], ["key", "ctx", "first", "last", "w1", "w2"])
+
+    looked = written(crowded.mapInArrow(tidy(look_up), f"{span}, w1 long, w2 long"), folder=f"{folder}/looked")
+    cold = repeated.filter(F.col("times") <= hot_times) if bounded else repeated
+    many = looked.filter("w1 is null").unionByName(looked.filter("w1 is not null").join(cold.select("w1", "w2"), ["w1", "w2"], "left_semi")).select("key", "ctx", "first", "last")
     found = few.unionByName(many).groupBy("key", "ctx").agg(F.collect_list(F.struct("first", "last")).alias("found"))
 
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last")))  # to the last window

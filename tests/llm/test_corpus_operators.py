@@ -275,7 +275,7 @@ def test_repeated_strings(spark, docs, empty):
     shared = [letters(r.randrange(45, 160)) for _ in range(6)]
     rows = [(k, letters(r.randrange(200)) + r.choice(shared) + letters(r.randrange(60)) + r.choice(shared)[r.randrange(20) :]) for k in range(60)] + [(90, "ab" * 200), (91, None), (92, ""), (93, shared[0]), (93, shared[0])]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    for options in ({}, {"anchor_classes": 1}, {"batches": 5}):
+    for options in ({}, {"anchor_classes": 1}, {"anchor_classes": 1, "hot_times": 2}, {"anchor_classes": 1, "hot_times": 2, "sent_passages": 0}, {"batches": 5}):
         found = suffix.repeated_spans(table, min_bytes=40, gram=12, **options).collect()
         assert sorted(hashlib.sha256(x["kept"]).hexdigest() for x in found) == brute_removed(rows, 40)
     whole = suffix.repeated_spans(table, min_bytes=40, gram=12, whole_characters=True).select(F.decode("kept", "UTF-8").alias("t")).collect()

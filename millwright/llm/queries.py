@@ -14,7 +14,9 @@ from millwright.llm.fingerprints import edited_fingerprints
 from millwright.llm.jaccard import jaccard_components
 from millwright.llm.media import read_media, store_media
 from millwright.llm.pack import pack_documents
+from millwright.llm.periods import periodic_runs
 from millwright.llm.secrets import find_secrets
+from millwright.llm.spelling import spelling_variants
 from millwright.llm.suffix import repeated_spans
 from millwright.llm.token_counts import token_counts
 from millwright.llm.toxicity import fit_toxicity, score_toxicity
@@ -78,6 +80,42 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(docs, min_bytes=400).select("doc_id", "n_bytes", n_removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), least_letters=6, least_times=5, form_times=5, slip=199)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where the words of one document in ten repeat from some place on.
+
+    With h the crc32 of the id and g = h div 10: where 10 divides h, each word i >= a of n becomes word a + (i - a) % p, for
+    a = g % n and p = 1 + (n - a) div (3 + g % 8).
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w):
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int"))), " ")
+
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    changed = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w))), F.lit(0))  # the array binds the words once
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longer = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.aggregate(F.slice("runs", 2, F.size("runs") + 1), F.get("runs", F.lit(0)), lambda x, y: F.when(longer(y, x), y).otherwise(x))
+    lines = F.concat(F.lit(""), F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), ""))
+    out = found.withColumn("best", best)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -89,4 +127,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_media_columns": op9_media_columns,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }

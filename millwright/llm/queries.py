@@ -15,6 +15,7 @@ from millwright.llm.jaccard import jaccard_components
 from millwright.llm.media import read_media, store_media
 from millwright.llm.pack import pack_documents
 from millwright.llm.periods import periodic_runs
+from millwright.llm.recompression import repeated_passages
 from millwright.llm.secrets import find_secrets
 from millwright.llm.spelling import spelling_variants
 from millwright.llm.suffix import repeated_spans
@@ -80,6 +81,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(docs, min_bytes=400).select("doc_id", "n_bytes", n_removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed")
+    return found.select("doc_id", "n_words", n_removed, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), least_letters=6, least_times=5, form_times=5, slip=199)
 
@@ -127,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_media_columns": op9_media_columns,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from millwright.llm import periods, spelling
+from millwright.llm import periods, recompression, spelling
 from millwright.llm.queries import QUERIES, with_periods
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
@@ -142,3 +142,52 @@ def test_spelling_variants_in_small_blocks(spark):
     assert spelling.spelling_variants(docs.limit(0)).collect() == []
     twice = spark.createDataFrame([(None, "Straße Straße straße", 1)] * 2, "doc_id long, text string, n int")
     assert [tuple(r) for r in spelling.spelling_variants(twice).collect()] == [("straße", None, "straße", 6, 0, None)]
+
+
+def brute_passages(texts, window):
+    """Numbers of the words that go, for each (id, text)."""
+    first = {}
+    for i, words in texts:
+        for k in range(len(words) - window + 1):
+            w = tuple(words[k : k + window])
+            first[w] = min(first.get(w, i), i)
+    gone = []
+    for i, words in texts:
+        gone.append({k + j for k in range(len(words) - window + 1) if first[tuple(words[k : k + window])] < i for j in range(window)})
+    return gone
+
+
+def test_op11(spark, sf_dir, texts):
+    found = {r["doc_id"]: tuple(r) for r in QUERIES["op11_substring_dedup"](spark, sf_dir).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()}
+    listed = [(i, SPACE.findall(t)) for i, t in texts.items()]
+    expected = {i: (i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))) for (i, w), gone in zip(listed, brute_passages(listed, 50))}
+    assert found == expected and sum(r[2] > 0 for r in expected.values()) > 5
+
+
+@pytest.mark.parametrize(("window", "rounds", "hot", "sent"), [(8, 0, 64, 1 << 17), (13, 2, 3, 1 << 17), (8, 3, 3, 0), (8, 2, 3, 2)])
+def test_passages_of_made_up_words(spark, monkeypatch, window, rounds, hot, sent):
+    monkeypatch.setattr(recompression, "HOT_TIMES", hot)
+    monkeypatch.setattr(recompression, "_STEP", 37)
+    rng = random.Random(11)
+    shared = [[rng.choice("abcdefgh") for _ in range(rng.randint(window, 40))] for _ in range(5)] + [["a"] * 30, ["b", "c"] * 20]
+    texts = []
+    for i in range(70):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            parts += rng.choice(shared) if rng.random() < 0.5 else [f"w{rng.randrange(300)}" for _ in range(rng.randint(1, 30))]
+        texts.append((i % 60, parts))
+    docs = spark.createDataFrame([(i, " \t".join(w), k) for k, (i, w) in enumerate(texts)], "doc_id long, text string, row int")
+    found = {r["row"]: r for r in recompression.repeated_passages(docs, window=window, rounds=rounds, sent_hot=sent).collect()}
+    for k, ((_, words), gone) in enumerate(zip(texts, brute_passages(texts, window))):
+        spans = {j for s in found[k]["spans"] for j in range(s["start"], s["end"])}
+        assert (found[k]["n_words"], spans, found[k]["kept"]) == (len(words), gone, " ".join(w for j, w in enumerate(words) if j not in gone))
+
+
+def test_passages_of_odd_rows(spark):
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, passage, "n"), (3, passage, "c"), (3, passage, "c"), (2, f"x {passage} é", "b"), (9, None, "d"), (10, "", "e"), (11, "few words", "f"), (12, "z " * 400_000 + passage, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, SPANS string")
+    found = sorted(((r["doc_id"] or 0, r["n_words"], [tuple(s) for s in r["spans"]], len(r["kept"])) for r in recompression.repeated_passages(docs).collect()), key=str)
+    expected = [(0, 60, [], len(passage)), (3, 60, [(0, 60)], 0), (3, 60, [(0, 60)], 0), (2, 62, [], len(passage) + 4), (9, 0, [], 0), (10, 0, [], 0), (11, 2, [], 9), (12, 400_060, [(400_000, 400_060)], 799_999)]
+    assert found == sorted(expected, key=str)
+    assert recompression.repeated_passages(docs.limit(0)).collect() == []

@@ -10,17 +10,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millwright.sources.shared import shared_root
+
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in spark.checkpoint.dir; a folder of its own is set only where none is, as in tests."""
+    """``df`` checkpointed in spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            import tempfile
-
-            folder = "file://" + tempfile.mkdtemp(prefix="spark-millwright-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_root(df.sparkSession))
     return df.checkpoint()
 
 
@@ -329,7 +326,7 @@ def priority_adjust(priorities: DataFrame, times: DataFrame, edges: DataFrame) -
 def repair_cycles(vertices: DataFrame, edges: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
     """Edges without cycles: while there are any, each graph's weakest edge among cyclic vertices is dropped.
 
-    Weakest is the least of ten times the edge's strength (source 10, unknown 5, link 3, gen 2 by the producer's type) and the degrees
+    Weakest is the least of a hundred times the edge's strength (source 10, unknown 5, link 3, gen 2 by the producer's type) and the degrees
     of its ends, ties by the ends.
     """
     strength = F.when(F.col("node_type") == "gen", 2).when(F.col("node_type") == "link", 3).when(F.col("node_type") == "compile", 10).otherwise(5)

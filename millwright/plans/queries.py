@@ -12,6 +12,7 @@ from millwright.operators import balance, graph, joins, models, nodes, reports,
 from millwright.plans import adapters as A
 from millwright.plans.views import statement
 from millwright.sources import readers, writers
+from millwright.sources.shared import new_folder
 from millwright.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -470,14 +471,14 @@ def concurrency_at(s, d):
     return joins.concurrency_at(A.schedule(s, d), ["machine"], F.col("start"), F.col("end"), 50)
 
 
-@query("""with t as (select id, weight as time, id % 4 = 2 as cuda from v_vertices), n as (select node_id, weight from v_nodes where node_id < 12), m as (select id, node_id, round(time / weight * case when cuda and node_id <> 0 then 1000 else 1 end, 6) as cost from t, n)
+@query("""with t as (select id, weight as time, id % 4 = 2 as cuda from v_vertices), n as (select node_id, weight from v_nodes), m as (select id, node_id, round(time / weight * case when cuda and node_id <> 0 then 1000 else 1 end, 6) as cost from t, n)
     select id, node_id, cost from m""")
 def exec_cost_matrix(s, d):
     t = A.vertices(s, d).select("id", F.col("weight").alias("time"), (F.col("id") % 4 == 2).alias("cuda"))
     return joins.exec_cost_matrix(t, A.nodes(s, d), F.col("time"), F.col("cuda")).select("id", "node_id", "cost")
 
 
-@query("select id, node_id, cost from (select *, row_number() over (partition by id order by cost, node_id) as r from (select v.id, n.node_id, round(v.weight / n.weight, 6) as cost from v_vertices v, v_nodes n where n.node_id < 12)) where r = 1")
+@query("select id, node_id, cost from (select *, row_number() over (partition by id order by cost, node_id) as r from (select v.id, n.node_id, round(v.weight / n.weight, 6) as cost from v_vertices v, v_nodes n)) where r = 1")
 def cheapest_node(s, d):
     t = A.vertices(s, d).select("id", F.col("weight").alias("time"))
     return joins.cheapest_node(joins.exec_cost_matrix(t, joins.cost_classes(A.nodes(s, d)), F.col("time"), F.lit(False)), "id")
@@ -780,7 +781,7 @@ def propagate_failures(s, d):
     return graph.propagate_failures(v.filter("id % 40 = 1"), A.edges(s, d), v.filter("id % 4 <> 0"))
 
 
-@query("with recursive reach as (select src as unit, dst as id from v_edges where src % 20 = 2 union select r.unit, e.dst from reach r join v_edges e on e.src = r.id) select * from reach")
+@query("with recursive reach as (select src as unit, dst as id from v_edges union select r.unit, e.dst from reach r join v_edges e on e.src = r.id) select * from reach")
 def include_closure(s, d):
     return graph.include_closure(A.vertices(s, d).select(F.col("id").alias("unit")), A.edges(s, d))
 
@@ -912,7 +913,7 @@ def estimate_compile_time(s, d):
     return A.sources(s, d).select("file_id", C.estimate_compile_time(f["size_kb"], f["includes"], f["templates"]).alias("seconds"))
 
 
-@query("select file_id, md5(text) as hash from v_sources where size < 65536")
+@query("select file_id, md5(text) as hash from v_sources")
 def content_hash(s, d):
     return A.sources(s, d).select("file_id", C.content_hash(F.col("text")).alias("hash"))
 
@@ -996,25 +997,16 @@ def needs_rebuild_flag(s, d):
 # Sources, sinks and streams over data derived from the tables
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{root or 'file://' + tempfile.mkdtemp(prefix='spark-millwright-')}/millwright-{uuid.uuid4().hex}"
-
-
-@query("select line from v_log where line_no % 2 = 0")
+@query("select line from v_log")
 def read_log_lines(s, d):
-    A.log_lines(s, d).select("line").write.text(path := _folder(s))
+    A.log_lines(s, d).select("line").write.text(path := new_folder(s))
     return readers.read_log_lines(s, path).select("line")
 
 
 @query("select directory, file, list_aggregate(arguments, 'string_agg', ' ') as command from v_units where file not like '%.cu'")
 def read_compile_db(s, d):
     one = F.to_json(F.collect_list(F.struct("directory", "arguments", "file"))).alias("value")
-    A.units(s, d).groupBy(F.floor(F.col("unit_id") / 1000).alias("part")).agg(one).write.partitionBy("part").text(path := _folder(s))  # a file of a thousand units
+    A.units(s, d).groupBy(F.floor(F.col("unit_id") / 1000).alias("part")).agg(one).write.partitionBy("part").text(path := new_folder(s))  # a file of a thousand units
     return readers.read_compile_db(s, path).select("directory", "file", F.array_join("arguments", " ").alias("command"))
 
 
@@ -1024,7 +1016,7 @@ _HOSTS = "select 'h' || node_id as host, 3000 + node_id % 100 as port, case when
 def _hosts(s, d):
     n = A.nodes(s, d)
     spec = F.concat(F.lit("h"), F.col("node_id").cast("string"), F.lit(":"), (3000 + F.col("node_id") % 100).cast("string"), F.when(F.col("node_id") % 5 != 0, F.concat(F.lit("/"), F.col("slots").cast("string"))).otherwise(""), F.lit(",lzo,cpp # a host"))
-    n.select(spec).write.text(path := _folder(s))
+    n.select(spec).write.text(path := new_folder(s))
     return readers.read_hosts(s, path)
 
 
@@ -1041,7 +1033,7 @@ def cluster_capacity(s, d):
 @query("select dst || '.o' as target, src || '.h' as dependency from v_edges")
 def read_dep_files(s, d):
     deps = A.edges(s, d).groupBy("dst").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("src").cast("string"), F.lit(".h")))), " \\\n  ").alias("x"))
-    deps.select(F.concat(F.col("dst").cast("string"), F.lit(".o: /usr/include/stdio.h \\\n  "), F.col("x"))).write.text(path := _folder(s))
+    deps.select(F.concat(F.col("dst").cast("string"), F.lit(".o: /usr/include/stdio.h \\\n  "), F.col("x"))).write.text(path := new_folder(s))
     return readers.read_dep_files(s, path)
 
 
@@ -1049,7 +1041,7 @@ def read_dep_files(s, d):
 def read_makefile_rules(s, d):
     name = lambda c, ending: F.concat(F.col(c).cast("string"), F.lit(ending))
     rules = A.edges(s, d).groupBy(name("dst", ".o").alias("t")).agg(F.array_join(F.array_sort(F.collect_list(name("src", ".h"))), " ").alias("x"))
-    rules.select(F.concat("t", F.lit(": before.h\nFLAGS := -O2\n"), "t", F.lit(": "), "x")).write.text(path := _folder(s))  # the second rule counts
+    rules.select(F.concat("t", F.lit(": before.h\nFLAGS := -O2\n"), "t", F.lit(": "), "x")).write.text(path := new_folder(s))  # the second rule counts
     return readers.read_makefile_rules(s, path).select("target", F.array_join("dependencies", " ").alias("dependencies"))
 
 
@@ -1057,7 +1049,7 @@ def read_makefile_rules(s, d):
 def read_task_order_table(s, d):
     mark = F.when(F.col("status") == "completed", "✓").otherwise("✗")
     cells = [F.col("task_id").cast("string"), F.col("file"), *[F.lit(c) for c in "abcdef"], mark]
-    A.tasks(s, d).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n|---|---|"))).write.text(path := _folder(s))
+    A.tasks(s, d).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n|---|---|"))).write.text(path := new_folder(s))
     return readers.read_task_order_table(s, path).select(F.get("cells", F.lit(0)).cast("long").alias("task_id"), F.get("cells", F.lit(1)).alias("file"), "success")
 
 
@@ -1067,25 +1059,25 @@ def read_bench_summary(s, d):
     counted = A.tasks(s, d).filter("node_id is not null").groupBy("algorithm", "node_id").agg(F.count("*").alias("tasks"))
     ports = F.array_join(F.collect_list(F.concat(F.lit("port "), F.col("node_id").cast("string"), F.lit(": "), F.col("tasks").cast("string"))), "\n")  # nodes are a dimension table
     parts = counted.groupBy("algorithm").agg(F.sum("tasks").alias("all"), ports.alias("ports"))
-    parts.select(F.concat(F.lit("=== algo-"), F.col("algorithm").cast("string"), F.lit(" ===\nTime: "), F.col("all").cast("string"), F.lit(".0 s\n"), "ports")).write.text(path := _folder(s))
+    parts.select(F.concat(F.lit("=== algo-"), F.col("algorithm").cast("string"), F.lit(" ===\nTime: "), F.col("all").cast("string"), F.lit(".0 s\n"), "ports")).write.text(path := new_folder(s))
     return readers.read_bench_summary(s, path)
 
 
 @query("select file, regexp_replace(file, '\\.\\w+$', '.o') as object from v_units where file not like '%.cu'")
 def makefile_sources(s, d):
-    A.units(s, d).select(F.concat(F.lit("all: "), F.col("file"), F.lit(" x.h"))).write.text(path := _folder(s))
+    A.units(s, d).select(F.concat(F.lit("all: "), F.col("file"), F.lit(" x.h"))).write.text(path := new_folder(s))
     return readers.makefile_sources(s, path)
 
 
 @query("select task_id, status from v_tasks where build_id >= '2024-01-11'")
 def telemetry_round_trip(s, d):
-    writers.write_telemetry(A.tasks(s, d), path := _folder(s), "completed_at")
+    writers.write_telemetry(A.tasks(s, d), path := new_folder(s), "completed_at")
     return s.read.parquet(path).filter("event_date >= date'2024-01-11'").select("task_id", "status")
 
 
 @query("select task_id, status from v_tasks order by created_us desc, task_id desc limit 1000")
 def export_recent(s, d):
-    writers.export_recent(A.tasks(s, d), path := _folder(s), "created_at", "task_id")
+    writers.export_recent(A.tasks(s, d), path := new_folder(s), "created_at", "task_id")
     return s.read.schema("task_id long, status string").json(path)
 
 
@@ -1101,7 +1093,7 @@ def apply_retention(s, d):
 
 @query("""select '"' || id || '" [label="' || id || '", fillcolor="' || case node_type when 'compile' then 'lightblue' when 'link' then 'orange' else 'lightgreen' end || '"];' as value from v_vertices union all select '"' || src || '" -> "' || dst || '";' from v_edges""")
 def export_edges_dot(s, d):
-    writers.export_edges_dot(A.vertices(s, d), A.edges(s, d), path := _folder(s))
+    writers.export_edges_dot(A.vertices(s, d), A.edges(s, d), path := new_folder(s))
     return s.read.text(path)
 
 
@@ -1111,7 +1103,7 @@ _STREAM = f"st as (select event_id, epoch_us(ts) as us, user_id as node_id, {_KI
 
 def _drained(s, d, job, mode: str) -> DataFrame:
     """What a streaming job gives for all events: they are written as files by day, read as a stream, and the sink is read back."""
-    folder = _folder(s)
+    folder = new_folder(s)
     e = A.table(s, d, "events")
     kind = F.when(F.col("event_type").isin("click", "purchase"), "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "scheduled").otherwise("cancelled")
     rows = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("node_id"), kind.alias("kind"), "value")
@@ -1401,7 +1393,7 @@ def stream_backoff(s, d):
 
 @query("select dst as consumer, count(*) as producers from v_edges group by 1")
 def stream_release_ready(s, d):
-    folder = _folder(s)
+    folder = new_folder(s)
     e = A.edges(s, d)
     rows = e.join(e.groupBy("dst").agg(F.count("*").alias("needs")), "dst").select(F.lit(NOW).cast("timestamp").alias("ts"), F.col("dst").alias("consumer"), "needs", "src")
     rows.repartition(4, "src").write.parquet(f"{folder}/in")
@@ -1414,7 +1406,7 @@ def stream_release_ready(s, d):
 @query("select event_type as kind, count(*) as events from events group by 1")
 def stream_status_snapshots(s, d):
     """Snapshots of a stream, one a micro-batch and each in a folder of its own, so that a batch run again replaces its own; then their sums."""
-    folder = _folder(s)
+    folder = new_folder(s)
     A.table(s, d, "events").select(F.col("event_type").alias("kind"), "ts").repartitionByRange(4, "ts").select("kind").write.parquet(f"{folder}/in")
     stream = s.readStream.schema("kind string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
     keep = lambda rows, n: live.status_snapshot(rows, n).drop("batch").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")

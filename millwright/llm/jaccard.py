@@ -11,13 +11,14 @@
    as large groups of near copies do, are tied to one leader in each size band instead: as many ties as groups, whatever
    their number.  What hangs together is a cluster.
 4. Clusters are expanded to their classes, whose whole sets are compared; classes that already hang together are not
-   compared again.  Members of a cluster too large for one task are compared with leaders first, dealt out evenly, and only
-   those that no leader takes in with the rest, block by block.
+   compared again.  Members of a cluster too large for one task are compared with leaders first, dealt out evenly; what may
+   link with a leader's ball from outside is compared with the ball, and what no leader takes in with itself, block by block.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ HOT_COUNT = 24
 CELL_BITS = 44
 #: Hot cells are sent to every executor up to this many (16 bytes each); beyond it they are joined.
 SENT_CELLS = 1 << 20
-#: Shingles of a cluster's classes that one task compares, and leaders that a larger cluster is compared with first.
-CLUSTER_SHINGLES, LEADERS = 400_000, 2
+#: Shingles of a cluster's classes that one task compares; leaders that a larger cluster is compared with, one after the other, and pilots of a leader's ball.
+CLUSTER_SHINGLES, LEADERS, PILOTS = 400_000, 6, 3
 _CELL = np.uint64((1 << CELL_BITS) - 1)
 
 
@@ -66,6 +67,23 @@ def linked(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:
     return label
 
 
+def linked_across(hashes: np.ndarray, offsets: np.ndarray, left: int, percent: int) -> np.ndarray:
+    """For each set after the first ``left``, the first of these that it links with, or -1."""
+    size = np.diff(offsets)
+    _, token = np.unique(hashes, return_inverse=True)
+    cut = offsets[left]
+    by_token = np.repeat(np.arange(left), size[:left])[np.argsort(token[:cut], kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(token[:cut], minlength=int(token.max()) + 1 if len(token) else 0))])
+    found = np.full(len(size) - left, -1)
+    for i in range(left, len(size)):
+        meets, _ = gather(by_token, at, token[offsets[i] : offsets[i + 1]])
+        common = np.bincount(meets, minlength=left)
+        links = np.flatnonzero(100 * common >= percent * (size[i] + size[:left] - common))
+        if len(links):
+            found[i - left] = links[0]
+    return found
+
+
 def _sets(column: pa.Array, width: int):
     """(first row, row after the last, hashes, offsets) of a text column, some rows at a time."""
     for lo, hi in text_slices(column):
@@ -109,7 +127,8 @@ def _signed(rows: DataFrame, width: int, percent: int, hot_count: int, sent_cell
     hot = written(_hot_cells(rows, width, percent, hot_count))
     last = _counted(percent)
     few = hot.count() <= sent_cells
-    every = rows.sparkSession.sparkContext.broadcast(tuple(np.array(c, np.int64) for c in zip(*sorted(map(tuple, hot.collect())))) if few else ())
+    sent = hot.orderBy("cell").toArrow() if few else None  # arrays of 16 bytes a cell, no rows
+    every = rows.sparkSession.sparkContext.broadcast(tuple(sent[c].to_numpy() for c in ("cell", "df")) if few and sent.num_rows else ())
     marked = rows if few else _with_hot(rows, hot, width)
 
     def sign(batches):
@@ -211,7 +230,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = dealt(chosen.filter(F.col("size") <= cluster_shingles).withColumn("part", F.col("cluster")))
     large = chosen.filter(F.col("size") > cluster_shingles)
     if not large.isEmpty():
-        found = written(found.unionByName(_large_clusters(large, shingle_words, percent, cluster_shingles, dealt)))
+        found = found.unionByName(_large_clusters(large, shingle_words, percent, cluster_shingles, dealt, folder))
     labelled = components(found).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     removed(docs.sparkSession, folder)
 
@@ -221,44 +240,84 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return placed.unionByName(alone)
 
 
-def _large_clusters(large: DataFrame, width: int, percent: int, cluster_shingles: int, dealt) -> DataFrame:
-    """(src, dst) of classes that link in clusters too large for one task.
+def _large_clusters(large: DataFrame, width: int, percent: int, cluster_shingles: int, dealt, folder: str) -> DataFrame:
+    """(src, dst) of classes that hang together in clusters too large for one task; ``large``: cluster, rep, th, n, text.
 
-    A few leaders of each cluster are compared with all its members, which are dealt out evenly.  Those that a leader takes in
-    hang together; the rest is compared with everything, block by block.
+    Rounds: one leader of each cluster is compared with what is left of it.  Those that link with it, its ball, hang together
+    and leave.  1 - similarity is a distance, so of the others only those twice as far as a link allows, the ring, can link with
+    members of the ball.  The ring is compared with a few pilots of the ball, and what links with none of them with the whole
+    ball, block by block.  What no ball took in after the last round is compared with itself, block by block.  So each pair that
+    may link and does not hang together yet meets once.
     """
+    spark = large.sparkSession
+    ids = ["rep", "th"]
+    near, far = percent, max(0, 2 * percent - 100)
+    half = max(1, cluster_shingles // 2)
+    texts = large.select(*ids, "text")
 
     def meet(batches):
-        """Members that link with the leader of their row."""
+        """Rows that link with the text they come with (link), or are in its ring."""
         last = None
         for batch in batches:
             for lo, hi, hashes, offsets in _sets(batch.column("text"), width):
-                src, dst = [], []
-                for k, (rep, leader, text) in enumerate(zip(*(batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("rep", "leader", "leader_text")))):
+                at, link = [], []
+                for k, (leader, text) in enumerate(zip(*(batch.column(c).slice(lo, hi - lo).to_pylist() for c in ("leader", "leader_text")))):
                     if last is None or last[:2] != (leader, text):
                         last = leader, text, shingle_sets([text], width)[0]
                     own = hashes[offsets[k] : offsets[k + 1]]
                     common = len(np.intersect1d(own, last[2], assume_unique=True))
-                    if 100 * common >= percent * (len(own) + len(last[2]) - common):
-                        src.append(rep)
-                        dst.append(leader)
-                yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-    rest, taken = large.select("cluster", "rep", "th", "n"), None
-    for _ in range(LEADERS):
-        leaders = rest.groupBy("cluster").agg(F.min_by(F.struct("rep", "th"), F.struct(F.xxhash64("rep"), "rep")).alias("l")).select("cluster", F.col("l.rep").alias("leader"), F.col("l.th").alias("leader_th"))
-        own = large.select(F.col("rep").alias("leader"), F.col("th").alias("leader_th"), F.col("text").alias("leader_text"))
-        led = large.select("cluster", "rep", "text").join(leaders.join(own, ["leader", "leader_th"]).drop("leader_th"), "cluster")
-        links = written(led.mapInArrow(tidy(meet), "src long, dst long"))
-        taken = links if taken is None else taken.unionByName(links)
-        rest = written(rest.join(links.select(F.col("src").alias("rep")).distinct(), "rep", "left_anti"))
-    half = max(1, cluster_shingles // 2)
-    left = rest.groupBy("cluster").agg(F.sum("n").alias("left"))
-    mine = lambda size: F.pmod(F.xxhash64("rep"), F.ceil(F.col(size) / half).cast("int"))
-    each = lambda size: F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / half).cast("int") - 1))
-    known = large.join(left, "cluster")
-    waiting = known.join(rest.select("rep", "th"), ["rep", "th"])
-    one = waiting.select("cluster", "rep", "text", mine("left").alias("x"), each("size").alias("y"))
-    two = known.select("cluster", "rep", "text", mine("size").alias("y"), each("left").alias("x"))
-    both = one.unionByName(two).select(F.xxhash64("cluster", "x", "y").alias("part"), "rep", "text")
-    return taken.unionByName(dealt(both))
+                    union = len(own) + len(last[2]) - common
+                    if 100 * common >= far * union:
+                        at.append(lo + k)
+                        link.append(100 * common >= near * union)
+                rows = pa.array(at, pa.int64())
+                yield pa.record_batch([*(batch.column(c).take(rows) for c in ("cluster", "rep", "th", "n", "leader")), pa.array(link, pa.bool_())], ["cluster", "rep", "th", "n", "leader", "link"])
+
+    def met(rows: DataFrame, leaders: DataFrame, name: str) -> DataFrame:
+        """``rows`` (cluster, rep, th, n) with each of their cluster's ``leaders`` (cluster, leader, leader_th) that they are near to."""
+        own = texts.toDF("leader", "leader_th", "leader_text")
+        led = rows.join(texts, ids).join(leaders.join(own, ["leader", "leader_th"]).drop("leader_th"), "cluster")
+        return written(led.mapInArrow(tidy(meet), "cluster long, rep long, th long, n long, leader long, link boolean"), folder=f"{folder}/{name}")
+
+    def across(batches):
+        """Members of the ring with one of the ball that they link with."""
+        for _, table in runs(batches, "part"):
+            reps, left = table["rep"].to_numpy(), int((table["side"].to_numpy() == 0).sum())
+            if 0 < left < len(reps):
+                sets = [s[2:] for chunk in table["text"].chunks for s in _sets(chunk, width)]
+                hashes, offsets = np.concatenate([h for h, _ in sets]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in sets]))])
+                hit = linked_across(hashes, offsets, left, percent)
+                found = np.flatnonzero(hit >= 0)
+                yield pa.record_batch([pa.array(reps[left + found]), pa.array(reps[hit[found]])], ["src", "dst"])
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with a block and how many there are in their cluster."""
+        sized = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / half).cast("int").alias(f"{name}s"))
+        return rows.join(sized, "cluster").withColumn(name, F.pmod(F.xxhash64("rep"), F.col(f"{name}s")).cast("int"))
+
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    first = lambda k: F.min_by(F.struct(*ids), F.struct(F.xxhash64("rep", F.lit(k)), "rep", "th"))
+    rest, found = written(large.select("cluster", *ids, "n"), folder=f"{folder}/rest"), []
+    for k in range(LEADERS):
+        crowded = rest.groupBy("cluster").agg(F.sum("n").alias("left"), first(0).alias("l")).filter(F.col("left") > cluster_shingles)
+        leaders = crowded.select("cluster", F.col("l.rep").alias("leader"), F.col("l.th").alias("leader_th"))
+        if leaders.isEmpty():
+            break
+        near_by = met(rest, leaders, f"met{k}")
+        ball, ring = near_by.filter("link"), near_by.filter("not link")
+        found.append(ball.select(F.col("rep").alias("src"), F.col("leader").alias("dst")))
+        pilots = ball.groupBy("cluster").agg(F.array_distinct(F.array(*map(first, range(1, PILOTS + 1)))).alias("p")).select("cluster", F.explode("p").alias("p")).select("cluster", F.col("p.rep").alias("leader"), F.col("p.th").alias("leader_th"))
+        tried = met(ring.select("cluster", *ids, "n"), pilots, f"tried{k}").filter("link")
+        found.append(tried.select(F.col("rep").alias("src"), F.col("leader").alias("dst")))
+        open_ring = ring.join(tried.select(*ids).distinct(), ids, "left_anti")
+        left, right = blocks(ball.select("cluster", *ids, "n"), "x"), blocks(open_ring.select("cluster", *ids, "n"), "y")
+        one = left.join(right.select("cluster", "ys").distinct(), "cluster").withColumn("y", to("ys")).withColumn("side", F.lit(0))
+        two = right.join(left.select("cluster", "xs").distinct(), "cluster").withColumn("x", to("xs")).withColumn("side", F.lit(1))
+        units = one.select("cluster", "x", "y", "side", *ids).unionByName(two.select("cluster", "x", "y", "side", *ids)).join(texts, ids)
+        placed = units.select(F.xxhash64("cluster", "x", "y").alias("part"), "side", "rep", "text").repartition("part").sortWithinPartitions("part", "side")
+        found.append(written(placed.mapInArrow(tidy(across), "src long, dst long"), folder=f"{folder}/across{k}"))
+        rest = written(rest.join(ball.select(*ids), ids, "left_anti"), folder=f"{folder}/rest{k}")
+    sized = blocks(rest, "x")
+    both = sized.withColumn("y", to("xs")).join(texts, ids)
+    found.append(dealt(both.select(F.xxhash64("cluster", F.least("x", "y"), F.greatest("x", "y")).alias("part"), "rep", "text")))
+    return reduce(DataFrame.unionByName, found)

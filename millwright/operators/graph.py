@@ -10,15 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.sources.shared import shared_root
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
+from millwright.sources.shared import cut_lineage
 
 
 def _peel(vertices: DataFrame, edges: DataFrame, start: Column, step: Column, max_rounds: int) -> DataFrame:

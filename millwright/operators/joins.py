@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import basename, extract_includes
+from millwright.sources.shared import cut_lineage
 
 
 def tasks_with_decisions(tasks: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -17,15 +18,44 @@ def latest_decision(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy("task_id").agg(F.max_by(F.struct("node_id", "confidence", "attempt"), "attempt").alias("x")).select("task_id", "x.*")
 
 
+def _folders(paths: DataFrame) -> DataFrame:
+    """(folder, name, target) for each folder, near or far above, and each file name below it: the least path of that name; the folder '' is above all."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    above = F.explode(F.array_union(F.array(F.lit("")), F.when(F.size(parts) > 1, above).otherwise(F.array()))).alias("folder")
+    return paths.select(F.col("path").alias("target"), basename("path").alias("name"), above).groupBy("folder", "name").agg(F.min("target").alias("target"))
+
+
 def resolve_includes(sources: DataFrame, paths: DataFrame) -> DataFrame:
-    """Where each included name lies: a file of that stem in the includer's folder, else any (the least path), else nothing."""
-    inc = sources.select("file_id", "path", F.posexplode(extract_includes(F.col("text"))).alias("n", "name"))
+    """(file_id, n, name, target): where the n-th include of each source lies; ``sources``: file_id, path, text, search (folders in order).
+
+    A name with a / is a path below the includer's folder or, in their order, below a search folder, or nothing.  A bare name is
+    looked for in and below the includer's folder, then each search folder in order, then anywhere; of several files the least path
+    counts.  Each round looks up what the one before has left, by (folder, name); every lookup meets one row at most.
+    """
+    key = ["file_id", "n"]
     folder = F.regexp_replace("path", "/[^/]*$", "")
-    inc = inc.withColumn("folder", folder).withColumn("stem", F.regexp_replace(basename("name"), r"\.\w+$", ""))
-    known = paths.select(F.col("path").alias("target"), F.regexp_replace("path", "/[^/]*$", "").alias("target_folder"), F.regexp_replace(basename("path"), r"\.\w+$", "").alias("stem"))
-    hits = inc.join(known, "stem", "left")
-    rank = F.row_number().over(Window.partitionBy("file_id", "n").orderBy(F.when(F.col("folder") == F.col("target_folder"), 0).otherwise(1), F.col("target").asc_nulls_last()))
-    return hits.withColumn("r", rank).filter("r = 1").select("file_id", "n", "name", "target")
+    inc = sources.select("file_id", "search", folder.alias("folder"), F.posexplode(extract_includes(F.col("text"))).alias("n", "name"))
+    inc = cut_lineage(inc.withColumn("deep", F.contains("name", F.lit("/"))))
+    exact = paths.select(F.concat(F.lit("/"), "path").alias("folder"), F.lit("").alias("name"), F.col("path").alias("target"))  # whole paths, told from folders by a leading /
+    index = cut_lineage(_folders(paths).unionByName(exact.distinct()))
+
+    def asked(rows: DataFrame, at: str) -> DataFrame:
+        """What to look up for a name in the folder ``at``: the folder and the name, or the whole path of a name with a /."""
+        deep = F.col("deep")
+        return rows.withColumns({"at": F.when(deep, F.concat_ws("/", F.lit(""), at, "name")).otherwise(F.col(at)), "ask": F.when(deep, "").otherwise(F.col("name"))})
+
+    known = index.toDF("at", "ask", "target")
+    own = cut_lineage(asked(inc, "folder").join(known, ["at", "ask"], "left").select(*key, "name", "search", "deep", "target"))
+    first = own.filter("target is not null").select(*key, "name", "target")
+    left = own.filter("target is null").drop("target")
+    dirs = asked(left.select(*key, "name", "deep", F.posexplode("search").alias("place", "dir")), "dir").join(known, ["at", "ask"])
+    second = cut_lineage(dirs.groupBy(*key, "name").agg(F.min_by("target", "place").alias("target")))
+    left = left.join(second, key, "left_anti")
+    anywhere = known.filter("at = ''").select(F.col("ask").alias("name"), "target")
+    bare = left.filter("not deep").join(anywhere, "name", "left").select(*key, "name", "target")
+    nowhere = left.filter("deep").select(*key, "name", F.lit(None).cast("string").alias("target"))
+    return first.unionByName(second).unionByName(bare).unionByName(nowhere)
 
 
 def dependency_edges(resolved: DataFrame, paths: DataFrame) -> DataFrame:

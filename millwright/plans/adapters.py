@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -116,6 +118,25 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(i.alias("file_id"), path.alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text")).withColumn("size", F.octet_length("text").cast("long"))
 
 
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header files; one name may lie in several folders."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    at = lambda keep, *parts: d.filter(keep).select(i.alias("file_id"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in (*parts, i.cast("string"), ".h")]).alias("path"))
+    kinds = ((i % 3 != 2, "/root/inc/", F.col("lang"), "/d"), (i % 4 == 0, "/root/", F.col("source"), "/", F.col("lang"), "/near/d"), (i % 5 == 0, "/root/common/d"), (i % 2 == 0, "/root/inc/", F.col("lang"), "/sub/n"), (i % 3 == 0, "/root/common/sub/n"))
+    return reduce(DataFrame.unionByName, (at(*k) for k in kinds))
+
+
+def includers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that include a path and two bare names, with their search folders."""
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    part = lambda k: F.floor(i / k).cast("string")
+    head = F.concat(F.lit('#include "sub/n'), part(4), F.lit('.h"\n#include "d'), part(2), F.lit('.h"\n#include <d'), part(3), F.lit(".h>\n"))
+    path = F.concat(F.lit("/root/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/d"), i.cast("string"), F.lit(".cpp"))
+    own = F.concat(F.lit("/root/inc/"), F.col("lang"))
+    search = F.when(i % 2 == 0, F.array(F.lit("/root/common"), own)).otherwise(F.array(own, F.lit("/root/inc/en"), F.lit("/root/common")))
+    return d.select(i.alias("file_id"), path.alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text"), search.alias("search"))
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compile units with argument lists."""
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")

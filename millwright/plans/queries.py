@@ -413,15 +413,16 @@ def latest_decision(s, d):
     return joins.latest_decision(A.decisions(s, d)).select("task_id", "confidence", "attempt")
 
 
-_RESOLVED = r"""i as (select file_id, path, regexp_replace(path, '/[^/]*$', '') as folder, unnest(regexp_extract_all(text, '#include\s*["<]([^">\n]+)[">]', 1)) as name, generate_subscripts(regexp_extract_all(text, '#include\s*["<]([^">\n]+)[">]', 1), 1) - 1 as n from v_sources),
-    k as (select path as target, regexp_replace(path, '/[^/]*$', '') as tf, regexp_replace(regexp_extract(path, '[^/]*$'), '\.\w+$', '') as stem from v_sources),
-    x as (select i.*, target, row_number() over (partition by file_id, n order by case when folder = tf then 0 else 1 end, target nulls last) as r from i left join k on stem = regexp_replace(regexp_extract(name, '[^/]*$'), '\.\w+$', '')),
-    res as (select file_id, n, name, target from x where r = 1)"""
+_RESOLVED = r"""i as (select file_id, regexp_replace(path, '/[^/]*$', '') as folder, search, unnest(regexp_extract_all(text, '#include\s*["<]([^">\n]+)[">]', 1)) as name, generate_subscripts(regexp_extract_all(text, '#include\s*["<]([^">\n]+)[">]', 1), 1) - 1 as n from v_includers),
+    h as (select distinct path, regexp_extract(path, '[^/]*$') as base from v_headers),
+    deep as (select i.file_id, i.n, path as target, list_position(list_prepend(folder, search), regexp_replace(left(path, length(path) - length(name)), '/$', '')) as place from i join h on contains(name, '/') and base = regexp_extract(name, '[^/]*$') and list_contains(list_transform(list_prepend(folder, search), lambda f: f || '/' || name), path)),
+    bare as (select i.file_id, i.n, path as target, coalesce(list_position(list_transform(list_prepend(folder, search), lambda f: starts_with(path, f || '/')), true), 1000) as place from i join h on not contains(name, '/') and base = name),
+    x as (select file_id, n, target, row_number() over (partition by file_id, n order by place, target) as r from (select * from deep union all select * from bare)),
+    res as (select i.file_id, i.n, i.name, target from i left join x on x.file_id = i.file_id and x.n = i.n and r = 1)"""
 
 
 def _resolved(s, d):
-    src = A.sources(s, d)
-    return joins.resolve_includes(src, src.select("file_id", "path"))
+    return joins.resolve_includes(A.includers(s, d), A.headers(s, d))
 
 
 @query(f"with {_RESOLVED} select file_id, n, name, target from res")
@@ -429,9 +430,9 @@ def resolve_includes(s, d):
     return _resolved(s, d).withColumn("n", F.col("n").cast("long"))
 
 
-@query(f"with {_RESOLVED} select distinct p.file_id as src, res.file_id as dst from res join v_sources p on p.path = target where p.file_id <> res.file_id")
+@query(f"with {_RESOLVED} select distinct p.file_id as src, res.file_id as dst from res join v_headers p on p.path = target where p.file_id <> res.file_id")
 def dependency_edges(s, d):
-    return joins.dependency_edges(_resolved(s, d), A.sources(s, d).select("file_id", "path"))
+    return joins.dependency_edges(_resolved(s, d), A.headers(s, d))
 
 
 @query(f"with {_RESOLVED} select file_id, count(*) as unresolved from res where target is null group by 1")
@@ -439,9 +440,9 @@ def unresolved_dependencies(s, d):
     return joins.unresolved_dependencies(_resolved(s, d))
 
 
-@query(f"with {_RESOLVED} select file_id, n, target from res where target like '/root/%' and not target like '/root/src1/%'")
+@query(f"with {_RESOLVED} select file_id, n, target from res where target like '/root/%' and not target like '/root/common/%'")
 def project_dependencies(s, d):
-    return joins.project_dependencies(_resolved(s, d), ["/root/src1/"], "/root/").select("file_id", F.col("n").cast("long").alias("n"), "target")
+    return joins.project_dependencies(_resolved(s, d), ["/root/common/"], "/root/").select("file_id", F.col("n").cast("long").alias("n"), "target")
 
 
 @query("""with e as (select id, node_id, file, kind, stopped_us / 1e6 as sec from v_server_stats), w as (select *, last_value(case when kind = 'TCP_ACCEPT' then sec end ignore nulls) over (partition by node_id order by sec, id rows unbounded preceding) as since from e)
@@ -913,7 +914,7 @@ def estimate_compile_time(s, d):
     return A.sources(s, d).select("file_id", C.estimate_compile_time(f["size_kb"], f["includes"], f["templates"]).alias("seconds"))
 
 
-@query("select file_id, md5(text) as hash from v_sources")
+@query("select file_id, case when size < 65536 then md5(text) else md5(array_slice(encode(text), 1, 4096) || array_slice(encode(text), size // 2 + 1, size // 2 + 4096) || array_slice(encode(text), size - 4095, size)) end as hash from v_sources")
 def content_hash(s, d):
     return A.sources(s, d).select("file_id", C.content_hash(F.col("text")).alias("hash"))
 

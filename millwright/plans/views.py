@@ -32,6 +32,15 @@ VIEWS = {
     "v_sources": """
         select doc_id as file_id, '/root/' || source || '/' || lang || '/d' || doc_id || '.cpp' as path, body as text, strlen(body) as size
         from (select *, '#include "d' || (doc_id // 2) || '.h"' || chr(10) || '#include <d' || (doc_id // 3) || '.h>' || chr(10) || coalesce(text, '') as body from documents)""",
+    "v_headers": """
+        select doc_id as file_id, '/root/inc/' || lang || '/d' || doc_id || '.h' as path from documents where doc_id % 3 <> 2
+        union all select doc_id, '/root/' || source || '/' || lang || '/near/d' || doc_id || '.h' from documents where doc_id % 4 = 0
+        union all select doc_id, '/root/common/d' || doc_id || '.h' from documents where doc_id % 5 = 0
+        union all select doc_id, '/root/inc/' || lang || '/sub/n' || doc_id || '.h' from documents where doc_id % 2 = 0
+        union all select doc_id, '/root/common/sub/n' || doc_id || '.h' from documents where doc_id % 3 = 0""",
+    "v_includers": """
+        select doc_id as file_id, '/root/' || source || '/' || lang || '/d' || doc_id || '.cpp' as path, '#include "sub/n' || (doc_id // 4) || '.h"' || chr(10) || '#include "d' || (doc_id // 2) || '.h"' || chr(10) || '#include <d' || (doc_id // 3) || '.h>' || chr(10) || coalesce(text, '') as text,
+            case when doc_id % 2 = 0 then ['/root/common', '/root/inc/' || lang] else ['/root/inc/' || lang, '/root/inc/en', '/root/common'] end as search from documents""",
     "v_units": """
         select p_partkey as unit_id, '/root/w' || (p_partkey % 3) as directory, file, ['g++', '-I', 'inc/a' || (p_partkey % 5), '-Iinc/b' || (p_partkey % 3), '-DX=' || p_size, '-O' || (p_partkey % 4), '-c', file, '-o', 'out/f' || p_partkey || '.o'] as arguments
         from (select *, 'src/m' || (p_partkey % 20) || '/f' || p_partkey || ['.c', '.cpp', '.cu', '.cc'][p_partkey % 4 + 1] as file from part)""",

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millwright.functions import columns as C
 from millwright.operators import balance, graph, joins, models, nodes, reports, windows
@@ -1102,20 +1103,36 @@ _KIND = "case event_type when 'click' then 'completed' when 'error' then 'failed
 _STREAM = f"st as (select event_id, epoch_us(ts) as us, user_id as node_id, {_KIND} as kind, value from events)"
 
 
-def _drained(s, d, job, mode: str) -> DataFrame:
-    """What a streaming job gives for all events: they are written as files by day, read as a stream, and the sink is read back."""
-    folder = new_folder(s)
-    e = A.table(s, d, "events")
+#: Files that a stream's input is written as, in the order of time, and so micro-batches that it is read in.
+_BATCHES = 4
+
+
+def _in_order(rows: DataFrame, by: str, folder: str) -> None:
+    """Writes ``rows`` as files one after the other, each with a part of the range of ``by``: a stream takes older files first."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    part = F.least(F.floor((F.col(by) - low) * _BATCHES / max(1, high - low)), F.lit(_BATCHES - 1))
+    for k in range(_BATCHES):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _run(out: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs a stream until its input is read, and reads the sink back: a folder for each micro-batch, so that a batch that runs again replaces its own rows."""
+    keep = lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return out.sparkSession.read.schema(T.StructType(out.schema.fields).add("batch", "long")).parquet(f"{folder}/out")
+
+
+def _events(s, d) -> DataFrame:
     kind = F.when(F.col("event_type").isin("click", "purchase"), "completed").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "scheduled").otherwise("cancelled")
-    rows = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("node_id"), kind.alias("kind"), "value")
-    rows.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
-    out = job(live.read_events(s, f"{folder}/in", files_per_batch=4))
-    if mode == "append":
-        q = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    else:
-        q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{folder}/out")).start()
-    q.awaitTermination()
-    return s.read.schema(out.schema).parquet(f"{folder}/out")
+    return A.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("node_id"), kind.alias("kind"), "value")
+
+
+def _drained(s, d, job, mode: str, events: DataFrame | None = None) -> DataFrame:
+    """What a streaming job gives for all events, read as a stream of several micro-batches."""
+    folder = new_folder(s)
+    rows = (_events(s, d) if events is None else events).withColumn("us", F.unix_micros("ts"))
+    _in_order(rows, "us", f"{folder}/in")
+    return _run(job(live.read_events(s, f"{folder}/in", files_per_batch=1)), mode, folder)
 
 
 @query(f"with {_STREAM} select node_id, kind, count(*) as events from st group by 1, 2")
@@ -1135,17 +1152,17 @@ def progress_counters(s, d):
 
 @query(f"with {_STREAM} select event_id, value from st order by value desc, event_id limit 1")
 def stream_longest_job(s, d):
-    return _drained(s, d, live.stream_longest_job, "update").orderBy(F.col("value").desc(), "event_id").limit(1)
+    return _drained(s, d, live.stream_longest_job, "update").drop("batch").orderBy(F.col("value").desc(), "event_id").limit(1)
 
 
 @query("select event_id from events")
 def stream_dedupe(s, d):
-    return _drained(s, d, lambda e: live.stream_dedupe(e.union(e)).select("event_id"), "append")
+    return _drained(s, d, lambda e: live.stream_dedupe(e.union(e)).select("event_id"), "append").drop("batch")
 
 
 @query("select event_id as task_id, cast(0 as bigint) as micros, event_type in ('click', 'purchase') as success from events where event_type <> 'view'")
 def stream_task_lifecycle(s, d):
-    return _drained(s, d, lambda e: live.stream_task_lifecycle(e, e.filter("kind <> 'scheduled'")), "append")
+    return _drained(s, d, lambda e: live.stream_task_lifecycle(e, e.filter("kind <> 'scheduled'")), "append").drop("batch")
 
 
 @query(f"""with {_STREAM}, r as (select node_id, value as x, row_number() over (partition by node_id order by us, event_id) as i, count(*) over (partition by node_id) as n from st where kind = 'completed'), c as (select node_id, count(*) as events, count_if(kind = 'completed') as completed from st group by 1)
@@ -1379,17 +1396,35 @@ def _latest(s, d) -> int:
     return A.table(s, d, "events").select(F.unix_micros(F.max(F.col("ts").cast("timestamp")))).first()[0]
 
 
-@query(f"""with {_STREAM}, g as (select *, case when us - lag(us) over (partition by node_id order by us) <= 3600000000 then 0 else 1 end as new from st), s as (select *, sum(new) over (partition by node_id order by us, event_id rows unbounded preceding) as k from g)
-    select node_id, count(*) as beats, min(us) as since from s group by node_id, k having max(us) + 3600000000 < (select max(us) - 600000000 from st)""")
+#: Heartbeats of fifty nodes: the events' month in three quarters of an hour, so that seconds of silence come about.
+_BEATS = f"b as (select event_id, us // 1000 as us, node_id % 50 as node_id, kind from (with {_STREAM} select * from st)), seen as (select max(us) - 10000000 as mark from b)"
+_SESSIONS = f"{_BEATS}, g as (select *, case when us - lag(us) over w {{}} 30000000 then 0 else 1 end as new from b window w as (partition by node_id order by us, event_id)), s as (select *, sum(new) over (partition by node_id order by us, event_id rows unbounded preceding) as k from g)"
+
+
+def _beats(s, d) -> DataFrame:
+    return _events(s, d).select("event_id", F.timestamp_micros(F.floor(F.unix_micros("ts") / 1000).cast("long")).alias("ts"), (F.col("node_id") % 50).alias("node_id"), "kind", "value")
+
+
+@query(f"with {_SESSIONS.format('<')} select node_id, count(*) as beats, min(us) as since from s group by node_id, k having max(us) + 30000000 <= (select mark from seen)")
 def stream_heartbeat_sessions(s, d):
-    out = _drained(s, d, lambda e: live.stream_heartbeat_sessions(e, "3600 seconds"), "append")
-    return out.filter(F.unix_micros("until") < F.lit(_latest(s, d) - 600_000_000)).select("node_id", "beats", F.unix_micros("since").alias("since"))
+    return _drained(s, d, live.stream_heartbeat_sessions, "append", _beats(s, d)).select("node_id", "beats", F.unix_micros("since").alias("since"))
+
+
+@query(f"""with {_SESSIONS.format('<=')}, d as (select *, sum(case kind when 'scheduled' then 1 else -1 end) over (partition by node_id, k order by us, event_id rows unbounded preceding) as n from s),
+    l as (select *, n - least(0, min(n) over (partition by node_id, k order by us, event_id rows unbounded preceding)) as load from d), t as (select *, case when load >= 2 then 'BUSY' else 'ONLINE' end as status from l),
+    c as (select *, lag(status) over w as before, lead(us) over w as next_us from t window w as (partition by node_id, k order by us, event_id)), e as (select node_id, k, max(us) + 30000000 as "at", arg_max(load, (us, event_id)) as load from t group by 1, 2)
+    select node_id, us as "at", status, cast(load as bigint) as load from c where before is distinct from status
+    union all select node_id, "at", 'OFFLINE', cast(load as bigint) from e where k < (select max(k) from e x where x.node_id = e.node_id) or "at" // 1000 + 1 < (select mark // 1000 from seen)""")
+def stream_node_state(s, d):
+    return _drained(s, d, lambda e: live.stream_node_state(e, slots=2), "append", _beats(s, d)).drop("batch")
 
 
-@query(f"with {_STREAM}, f as (select node_id, arg_max(kind, (us, event_id)) as k, max(us) as u from st where kind in ('failed', 'completed') group by 1) select node_id, case when k = 'failed' then u // 1000000 + 60 else 0 end as until from f")
+@query(f"""with {_BEATS}, f as (select *, lead(us) over w as next_us, lead(kind) over w as next_kind from b where kind in ('failed', 'completed') window w as (partition by node_id order by us, event_id))
+    select node_id, us as "at", 'EXCLUDED' as state from f where kind = 'failed'
+    union all select node_id, next_us, 'CLEARED' from f where kind = 'failed' and next_kind = 'completed' and next_us < us + 60000000
+    union all select node_id, us + 60000000, 'EXPIRED' from f where kind = 'failed' and (next_us >= us + 60000000 or next_us is null and (us + 60000000) // 1000 < (select mark // 1000 from seen))""")
 def stream_backoff(s, d):
-    folder = _drained(s, d, lambda e: live.stream_backoff(e.filter("kind in ('failed', 'completed')")), "update")
-    return folder.select("node_id", F.col("until").cast("long").alias("until"))
+    return _drained(s, d, live.stream_backoff, "append", _beats(s, d)).drop("batch")
 
 
 @query("select dst as consumer, count(*) as producers from v_edges group by 1")
@@ -1397,19 +1432,17 @@ def stream_release_ready(s, d):
     folder = new_folder(s)
     e = A.edges(s, d)
     rows = e.join(e.groupBy("dst").agg(F.count("*").alias("needs")), "dst").select(F.lit(NOW).cast("timestamp").alias("ts"), F.col("dst").alias("consumer"), "needs", "src")
-    rows.repartition(4, "src").write.parquet(f"{folder}/in")
-    stream = s.readStream.schema("ts timestamp, consumer long, needs long, src long").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
-    out = live.stream_release_ready(stream)
-    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.schema(out.schema).parquet(f"{folder}/out")
+    _in_order(rows, "src", f"{folder}/in")
+    stream = s.readStream.schema("ts timestamp, consumer long, needs long, src long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return _run(live.stream_release_ready(stream), "append", folder).drop("batch")
 
 
 @query("select event_type as kind, count(*) as events from events group by 1")
 def stream_status_snapshots(s, d):
     """Snapshots of a stream, one a micro-batch and each in a folder of its own, so that a batch run again replaces its own; then their sums."""
     folder = new_folder(s)
-    A.table(s, d, "events").select(F.col("event_type").alias("kind"), "ts").repartitionByRange(4, "ts").select("kind").write.parquet(f"{folder}/in")
-    stream = s.readStream.schema("kind string").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    _in_order(A.table(s, d, "events").select(F.col("event_type").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")), "us", f"{folder}/in")
+    stream = s.readStream.schema("kind string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     keep = lambda rows, n: live.status_snapshot(rows, n).drop("batch").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
     stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     return s.read.schema("kind string, events long, batch long").parquet(f"{folder}/out").groupBy("kind").agg(F.sum("events").alias("events"))

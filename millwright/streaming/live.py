@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENTS = "event_id long, ts timestamp, node_id long, kind string, value double"
-#: How late an event may come.
-LATE = "10 minutes"
+#: How late an event may come, and how late where silence for seconds matters.
+LATE, LATE_BEATS = "10 minutes", "10 seconds"
 
 
 def read_events(spark: SparkSession, path: str, *, files_per_batch: int = 1) -> DataFrame:
@@ -33,8 +33,8 @@ def stream_sliding_totals(events: DataFrame, length: str = "15 minutes", slide:
 
 
 def stream_heartbeat_sessions(events: DataFrame, gap: str = "30 seconds") -> DataFrame:
-    """Spans in which a node was never silent for longer than the gap."""
-    return events.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap), "node_id").agg(F.count("*").alias("beats")).select("node_id", F.col("session_window.start").alias("since"), F.col("session_window.end").alias("until"), "beats")
+    """Spans in which a node was never silent for the gap; what comes after them is ``stream_node_state``'s OFFLINE."""
+    return events.withWatermark("ts", LATE_BEATS).groupBy(F.session_window("ts", gap), "node_id").agg(F.count("*").alias("beats")).select("node_id", F.col("session_window.start").alias("since"), F.col("session_window.end").alias("until"), "beats")
 
 
 def stream_task_lifecycle(starts: DataFrame, ends: DataFrame, within: str = "6 hours") -> DataFrame:
@@ -71,15 +71,56 @@ def _stateful(events: DataFrame, out: str, state: str, fold) -> DataFrame:
     return events.groupBy("node_id").applyInPandasWithState(step, out, state, "update", "NoTimeout")
 
 
-def stream_node_state(events: DataFrame, slots: int = 4) -> DataFrame:
-    """Load of each node: one more for a scheduled event, one less (not below 0) for any other; BUSY at its slots."""
-
-    def fold(now, row):
-        load = (now or (0, "ONLINE"))[0] + (1 if row.kind == "scheduled" else -1)
-        load = max(0, load)
-        return load, "BUSY" if load >= slots else "ONLINE"
-
-    return _stateful(events, "node_id long, load long, status string", "load long, status string", fold)
+def _timed(events: DataFrame, out: str, state: str, step) -> DataFrame:
+    """Each node's events, in time order, and its timer, told to ``step``; for append mode.
+
+    ``step(now, row)`` takes the state (None at first) and an event, or None for the timer, and gives rows to put out, the new
+    state (None: forgotten) and when, in microseconds, to wake.  Late events are left out by the watermark before.
+    """
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        now, wake, rows = (held.get if held.exists else None), None, []
+        if held.hasTimedOut:
+            made, now, wake = step(now, None)
+            rows += made
+        else:
+            for row in pd.concat(list(frames)).sort_values(["us", "event_id"]).itertuples(index=False):
+                made, now, wake = step(now, row)
+                rows += made
+        if now is None:
+            held.remove()
+        else:
+            held.update(now)
+            held.setTimeoutTimestamp(max(wake // 1000, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *r) for r in rows], columns=names)
+
+    timed = events.withWatermark("ts", LATE_BEATS).select("node_id", "event_id", "kind", "ts", F.unix_micros("ts").alias("us"))
+    return timed.groupBy("node_id").applyInPandasWithState(run, out, state, "append", "EventTimeTimeout")
+
+
+def stream_node_state(events: DataFrame, slots: int = 4, silence: int = 30) -> DataFrame:
+    """(node_id, at, status, load) whenever a node's status changes; at in microseconds.
+
+    A scheduled event adds one to the load, any other takes one away (not below 0): BUSY from ``slots`` on, else ONLINE.  After
+    ``silence`` seconds without an event a timer makes it OFFLINE, and its state is forgotten: coming back it has no load.
+    """
+    quiet = silence * 1_000_000
+
+    def step(now, row):
+        rows = []
+        if now and (row is None or row.us > now[2] + quiet):
+            rows.append((now[2] + quiet, "OFFLINE", now[0]))
+            now = None
+        if row is None:
+            return rows, None, None
+        load = max(0, (now[0] if now else 0) + (1 if row.kind == "scheduled" else -1))
+        status = "BUSY" if load >= slots else "ONLINE"
+        if not now or now[1] != status:
+            rows.append((row.us, status, load))
+        return rows, (load, status, row.us), row.us + quiet + 1000
+
+    return _timed(events, "node_id long, at long, status string, load long", "load long, status string, last long", step)
 
 
 def stream_ema(events: DataFrame, alpha: float = 0.1) -> DataFrame:
@@ -96,14 +137,27 @@ def stream_ema(events: DataFrame, alpha: float = 0.1) -> DataFrame:
 
 
 def stream_backoff(events: DataFrame, seconds: int = 60) -> DataFrame:
-    """Until when each node is to be left alone: a time after its last failure, or 0 once something completed since."""
-
-    def fold(now, row):
-        if row.kind == "failed":
-            return (int(row.ts.timestamp()) + seconds,)
-        return (0,) if row.kind == "completed" else now or (0,)
-
-    return _stateful(events, "node_id long, until long", "until long", fold)
+    """(node_id, at, state) of nodes to be left alone for some time after a failure; at in microseconds.
+
+    EXCLUDED at each failure, from which the time counts anew; CLEARED at a completion before it is over; EXPIRED, by a timer,
+    when it is.
+    """
+    wait = seconds * 1_000_000
+
+    def step(now, row):
+        rows = []
+        if now and (row is None or row.us >= now[0]):
+            rows.append((now[0], "EXPIRED"))
+            now = None
+        if row is not None and row.kind == "failed":
+            now = (row.us + wait,)
+            rows.append((row.us, "EXCLUDED"))
+        elif row is not None and row.kind == "completed" and now:
+            now = None
+            rows.append((row.us, "CLEARED"))
+        return rows, now, now and now[0]
+
+    return _timed(events, "node_id long, at long, state string", "until long", step)
 
 
 def status_snapshot(spark_rows: DataFrame, batch: int) -> DataFrame:

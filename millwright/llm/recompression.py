@@ -7,7 +7,7 @@ no shuffle: Spark's tasks name their own texts, all alike.
 
 With each symbol goes its context, the words that decide that it is there.  A symbol whose context lies within a window is in
 every window of the same words, at the same place.  Of those the window's anchor is taken: one of the highest level, of these
-the one with the least hash.  So equal windows have equal anchors, and consecutive windows with one anchor are one entry
+the one with the least hash; its key is the name of its context.  So equal windows have equal anchors, and consecutive windows with one anchor are one entry
 (about one in twenty words).  Spark then compares what is shared, from high to low:
 
 1. Entries are grouped by anchor and by all their words: the least document of each class; later ones hold all its windows again.
@@ -79,13 +79,13 @@ def levels(names: np.ndarray, no: np.ndarray, rounds: int):
             yield names, at, c0, c1
 
 
-def anchors(names: np.ndarray, no: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, key) of the entries: consecutive windows, by their first words, with one anchor."""
+def anchors(names: np.ndarray, no: np.ndarray, window: int, rounds: int) -> tuple[np.ndarray, ...]:
+    """(first window, last window, level, first word of the context, word after it) of the entries: consecutive windows, by their first words, with one anchor."""
     n = len(names) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64),) * 5
     open_ = np.flatnonzero(no[:n] == no[window - 1 :])
-    mark, key = np.full(n, -1, np.int64), np.zeros(n, np.uint64)
+    mark, held0, held1 = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     low = np.uint64((1 << 24) - 1)
     known = list(levels(names, no, rounds))
     for level in range(len(known) - 1, -1, -1):
@@ -102,24 +102,26 @@ def anchors(names: np.ndarray, no: np.ndarray, window: int, rounds: int) -> tupl
             tables.append(np.minimum(tables[-1], np.append(tables[-1][1 << k :], np.full(min(1 << k, len(symbols)), ~np.uint64(0)))))
         table = np.stack(tables)
         best = (np.minimum(table[width, a], table[width, b - (1 << width)]) & low).astype(np.int64)
-        mark[rows], key[rows] = level << 24 | best, mix(symbols[best] + np.uint64(level))
+        mark[rows], held0[rows], held1[rows] = level << 24 | best, c0[best], c1[best]
     new = np.ones(n, bool)
     new[1:] = mark[1:] != mark[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], n) - 1
     real = mark[first] >= 0
-    return first[real], last[real], key[first[real]]
+    first, last = first[real], last[real]
+    return first, last, mark[first] >> 24, held0[first], held1[first]
 
 
 def _entries(texts: list[bytes], window: int, rounds: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, number of windows, key, name of all words) of the entries of some texts, whose words have one space between."""
+    """(text, first window, number of windows, name of the anchor's context, name of all words) of the entries of some texts, whose words have one space between."""
     raw = b"\xff".join(texts) + b"\xff"
     data = np.frombuffer(raw, np.uint8)
     starts, ends, no = words.space_words(data)
-    first, last, key = anchors(word_hashes(data, starts, ends), no, window, rounds)
+    first, last, level, c0, c1 = anchors(word_hashes(data, starts, ends), no, window, rounds)
+    key = [xxhash.xxh3_64_intdigest(raw[a:b], k) for a, b, k in zip(starts[c0].tolist(), ends[c1 - 1].tolist(), level.tolist())]
     named = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[last + window - 1].tolist())]
     begin = np.searchsorted(no, np.arange(len(texts)))
-    return no[first], first - begin[no[first]], last - first + 1, key.view(np.int64), np.array(named, np.uint64).view(np.int64)
+    return no[first], first - begin[no[first]], last - first + 1, *(np.array(x, np.uint64).view(np.int64) for x in (key, named))
 
 
 def list_entries(texts: list[str], window: int, rounds: int):

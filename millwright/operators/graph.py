@@ -1,13 +1,13 @@
 """Dependency graphs, many at once: vertices (graph_id, id, node_type, weight), edges (graph_id, src, dst) from producer to consumer.
 
-Loops advance all graphs together, a level or a hop a round; each round's state is checkpointed to the folder that all executors share.
+Loops advance all graphs together, a level or a hop a round; each round's state is a table in the folder that all executors share.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from millwright.sources.shared import cut_lineage
@@ -315,24 +315,103 @@ def priority_adjust(priorities: DataFrame, times: DataFrame, edges: DataFrame) -
     return p.select("graph_id", "id", F.round(F.col("priority") * factor, 6).alias("priority"))
 
 
+def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
+    """``edges`` (graph_id, s, t) without those at vertices that lack producers or consumers, looked for so many times."""
+    for _ in range(rounds):
+        fed, used = edges.select("graph_id", F.col("t").alias("s")).distinct(), edges.select("graph_id", F.col("s").alias("t")).distinct()
+        edges = edges.join(fed, ["graph_id", "s"], "left_semi").join(used, ["graph_id", "t"], "left_semi").select("graph_id", "s", "t")
+    return edges
+
+
+def _greatest_before(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(graph_id, v, c): the greatest number among each vertex and all that lead to it.
+
+    Numbers spread over edges, and then each vertex takes what the vertex of its number has: what leads there leads here as well.
+    """
+    state = cut_lineage(edges.select("graph_id", F.explode(F.array("s", "t")).alias("v")).distinct().withColumn("c", F.col("v")))
+    for _ in range(max_rounds):
+        came = edges.join(state.select("graph_id", F.col("v").alias("s"), "c"), ["graph_id", "s"]).groupBy("graph_id", F.col("t").alias("v")).agg(F.max("c").alias("came"))
+        spread = state.join(came, ["graph_id", "v"], "left").select("graph_id", "v", F.col("c").alias("old"), F.greatest("c", "came").alias("c"))
+        jump = spread.select("graph_id", F.col("v").alias("c"), F.col("c").alias("far"))
+        changed = Observation()
+        new = spread.join(jump, ["graph_id", "c"], "left").select("graph_id", "v", F.greatest("c", "far").alias("c"), "old")
+        state = cut_lineage(new.observe(changed, F.count_if(F.col("old") != F.col("c")).alias("n")).drop("old"), instead_of=state)
+        if not changed.get["n"]:
+            return state
+    raise RuntimeError(f"numbers have not settled after {max_rounds} rounds")
+
+
+def strong_components(edges: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
+    """(graph_id, id, component) of the vertices in strongly connected components of two or more; component is the least id.
+
+    All components are looked for at once.  Vertices get numbers in no order (a hash that no two ids share).  The greatest number
+    that leads to a vertex is its colour; a component has one colour, so edges between colours go.  Within a colour, the vertices
+    that its greatest number is reached from, backward as well, are one component.  They go, and the rest is coloured anew.
+    """
+    number = lambda c: F.xxhash64(F.col(c).cast("long"))
+    ids = cut_lineage(edges.select("graph_id", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("v", number("id")))
+    e = edges.filter("src <> dst").select("graph_id", number("src").alias("s"), number("dst").alias("t")).distinct()
+    found: list[DataFrame] = []
+    for _ in range(max_rounds):
+        e = cut_lineage(_trimmed(e, 2))
+        if e.isEmpty():
+            break
+        colour = _greatest_before(e, max_rounds)
+        ends = lambda name, end: colour.select("graph_id", F.col("v").alias(end), F.col("c").alias(name))
+        inner = cut_lineage(e.join(ends("cs", "s"), ["graph_id", "s"]).join(ends("ct", "t"), ["graph_id", "t"]).filter("cs = ct").select("graph_id", "s", "t", F.col("cs").alias("c")))
+        back = _greatest_before(inner.select("graph_id", F.col("t").alias("s"), F.col("s").alias("t")), max_rounds).withColumnRenamed("c", "d")
+        members = cut_lineage(colour.join(back, ["graph_id", "v"]).filter("c = d").select("graph_id", "v", "c"))
+        found.append(members)
+        gone = members.select("graph_id", F.col("v").alias("s"))
+        e = inner.select("graph_id", "s", "t").join(gone, ["graph_id", "s"], "left_anti").join(gone.withColumnRenamed("s", "t"), ["graph_id", "t"], "left_anti")
+    else:
+        raise RuntimeError(f"components are left after {max_rounds} rounds")
+    none = ids.select("graph_id", "v", F.col("v").alias("c")).limit(0)
+    named = reduce(DataFrame.unionByName, found, none).join(ids, ["graph_id", "v"])
+    least = named.groupBy("graph_id", "c").agg(F.min("id").alias("component"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return named.join(least, ["graph_id", "c"]).select("graph_id", "id", "component")
+
+
+#: Least score of an edge that is not dropped.
+REFUSED = 1000
+
+
 def repair_cycles(vertices: DataFrame, edges: DataFrame, *, max_rounds: int = 1000) -> DataFrame:
-    """Edges without cycles: while there are any, each graph's weakest edge among cyclic vertices is dropped.
+    """``edges`` (graph_id, src, dst, and relation where there is one) without cycles, as far as they may be broken, and refused.
 
-    Weakest is the least of a hundred times the edge's strength (source 10, unknown 5, link 3, gen 2 by the producer's type) and the degrees
-    of its ends, ties by the ends.
+    Each round drops the weakest edge of every strongly connected component, of all graphs at once; what is left of a component is
+    searched again.  Score: a hundred times the edge's kind (1 inferred, 2 with an end that is generated, 3 with a link vertex, 10 a
+    source dependency, else 5) and the degrees of both ends among all edges left; of equals the least ends.  A component whose
+    weakest edge scores ``REFUSED`` or more stays, its edges marked.  Edges from a vertex to itself are dropped.
     """
-    strength = F.when(F.col("node_type") == "gen", 2).when(F.col("node_type") == "link", 3).when(F.col("node_type") == "compile", 10).otherwise(5)
-    now = cut_lineage(edges.select("graph_id", "src", "dst").distinct())
+    ends = ["graph_id", "src", "dst"]
+    relation = F.col("relation") if "relation" in edges.columns else F.lit(None).cast("string")
+    now = cut_lineage(edges.filter("src <> dst").select(*ends, relation.alias("relation")).dropDuplicates(ends))
+    kind = cut_lineage(vertices.select("graph_id", "id", "node_type"))
+    refused: list[DataFrame] = []
+    search = now
     for _ in range(max_rounds):
-        cyclic = cut_lineage(cyclic_nodes(vertices, now))
-        if cyclic.isEmpty():
-            return now
-        inner = prune_graph(now, cyclic)
-        outs, ins = inner.groupBy("graph_id", "src").agg(F.count("*").alias("o")), inner.groupBy("graph_id", "dst").agg(F.count("*").alias("i"))
-        scored = inner.join(vertices.select("graph_id", F.col("id").alias("src"), "node_type"), ["graph_id", "src"]).join(outs, ["graph_id", "src"]).join(ins, ["graph_id", "dst"])
-        worst = scored.withColumn("score", strength * 100 + F.col("o") + F.col("i")).groupBy("graph_id").agg(F.min(F.struct("score", "src", "dst")).alias("x")).select("graph_id", "x.src", "x.dst")
-        now = cut_lineage(now.join(worst, ["graph_id", "src", "dst"], "left_anti"))
-    raise RuntimeError("cycles remain")
+        parts = cut_lineage(strong_components(search, max_rounds=max_rounds))
+        if parts.isEmpty():
+            break
+        of = lambda end, name: parts.select("graph_id", F.col("id").alias(end), F.col("component").alias(name))
+        inner = cut_lineage(search.join(of("src", "part"), ["graph_id", "src"]).join(of("dst", "other"), ["graph_id", "dst"]).filter("part = other").drop("other"))
+        degree = now.select("graph_id", F.explode(F.array("src", "dst")).alias("id")).join(parts.select("graph_id", "id"), ["graph_id", "id"], "left_semi").groupBy("graph_id", "id").agg(F.count("*").alias("degree"))
+        known = cut_lineage(degree.join(kind, ["graph_id", "id"], "left"))
+        at = lambda end: known.select("graph_id", F.col("id").alias(end), F.col("degree").alias(f"{end}_degree"), F.col("node_type").alias(f"{end}_type"))
+        either = lambda t: F.coalesce(F.col("src_type") == t, F.lit(False)) | F.coalesce(F.col("dst_type") == t, F.lit(False))
+        strength = F.when(F.col("relation") == "inferred", 1).when(either("gen"), 2).when(either("link"), 3).when(F.col("relation") == "source", 10).otherwise(5)
+        scored = inner.join(at("src"), ["graph_id", "src"]).join(at("dst"), ["graph_id", "dst"]).withColumn("score", strength * 100 + F.col("src_degree") + F.col("dst_degree"))
+        weakest = cut_lineage(scored.groupBy("graph_id", "part").agg(F.min(F.struct("score", "src", "dst")).alias("x")).select("graph_id", "part", "x.*"))
+        firm = weakest.filter(F.col("score") >= REFUSED).select("graph_id", "part")
+        refused.append(inner.join(firm, ["graph_id", "part"], "left_semi").select(*ends))
+        drop = weakest.filter(F.col("score") < REFUSED).select(*ends)
+        search = cut_lineage(inner.join(firm, ["graph_id", "part"], "left_anti").drop("part").join(drop, ends, "left_anti"))
+        now = cut_lineage(now.join(drop, ends, "left_anti"))
+    else:
+        raise RuntimeError("cycles remain")
+    kept = reduce(DataFrame.unionByName, refused, now.select(*ends).limit(0)).withColumn("refused", F.lit(True))
+    return now.select(*ends).join(kept, ends, "left").withColumn("refused", F.coalesce("refused", F.lit(False)))
 
 
 def add_link_node(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -1361,9 +1362,34 @@ def _with_odd_edges(s, d):
     return kinds, e.unionByName(odd)
 
 
-@query("select graph_id, src, dst from v_edges")
+#: Edges planted back from sinks to what they need: inferred ones, which go, and source dependencies between compile vertices, which stay.
+_SINKS = "last as (select graph_id, dst as src, max(src) as dst from v_edges e where not exists (select 1 from v_edges f where f.src = e.dst) group by 1, 2), firm as (select last.* from last join v_vertices a on a.id = src join v_vertices b on b.id = dst where src % 83 = 0 and a.node_type = 'compile' and b.node_type = 'compile')"
+
+
+@query(f"with {_SINKS} select e.graph_id, e.src, e.dst, exists (select 1 from firm f where f.src = e.dst and f.dst = e.src) as refused from v_edges e union all select *, true from firm")
 def repair_cycles(s, d):
-    return graph.repair_cycles(*_with_odd_edges(s, d))
+    ends, v, e = ["graph_id", "src", "dst"], A.vertices(s, d), A.edges(s, d)
+    sinks = e.join(e.select("graph_id", F.col("src").alias("dst")), ["graph_id", "dst"], "left_anti")
+    last = sinks.groupBy("graph_id", F.col("dst").alias("src")).agg(F.max("src").alias("dst"))
+    above = last.filter("src % 31 = 0").join(e.groupBy("graph_id", F.col("dst")).agg(F.max("src").alias("far")), ["graph_id", "dst"]).select("graph_id", "src", F.col("far").alias("dst"))
+    inferred = last.filter("src % 11 = 0").select(*ends).unionByName(above).join(e, ends, "left_anti").withColumn("relation", F.lit("inferred"))
+    units = v.filter("node_type = 'compile'").select("graph_id", "id")
+    between = lambda x: x.join(units.withColumnRenamed("id", "src"), ["graph_id", "src"], "left_semi").join(units.withColumnRenamed("id", "dst"), ["graph_id", "dst"], "left_semi").select(*ends)
+    source = between(e).withColumn("relation", F.lit("source"))
+    plain = e.select(*ends).join(source.select(*ends), ends, "left_anti").withColumn("relation", F.lit(None).cast("string"))
+    firm = between(last.filter("src % 83 = 0")).withColumn("relation", F.lit("source"))
+    return graph.repair_cycles(v, reduce(DataFrame.unionByName, (firm, inferred.join(firm.select(*ends), ends, "left_anti"), source, plain)))
+
+
+@query("select graph_id, part as component, count(*) as vertices, min(id) as least from (select graph_id, id, id // 35 as part from v_vertices) group by 1, 2 having count(*) > 1")
+def strong_components(s, d):
+    """Rings of five vertices of a graph, and edges from ring to ring: the rings are what hangs together."""
+    v = A.vertices(s, d).select("graph_id", "id", F.floor(F.col("id") / 35).alias("part"))
+    w = Window.partitionBy("graph_id", "part").orderBy("id")
+    ring = v.select("graph_id", "part", F.col("id").alias("src"), F.coalesce(F.lead("id").over(w), F.min("id").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("dst"))
+    onward = v.groupBy("graph_id", "part").agg(F.max("id").alias("src")).join(v.groupBy("graph_id", (F.col("part") - 1).alias("part")).agg(F.min("id").alias("dst")), ["graph_id", "part"])
+    found = graph.strong_components(ring.select("graph_id", "src", "dst").unionByName(onward.select("graph_id", "src", "dst")))
+    return found.join(v, ["graph_id", "id"]).groupBy("graph_id", F.col("part").alias("component")).agg(F.count("*").alias("vertices"), F.min("component").alias("least"))
 
 
 @query("select event_id as n, case when event_id % 100 = 99 then 'DONE' else 'STALLED' end as alert from events where event_id % 100 = 99 or event_id % 100 between 10 and 49 or event_id % 100 between 60 and 98")

@@ -25,15 +25,21 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/millwright-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint()
-
-
 def removed(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of which nothing is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def cut_lineage(df: DataFrame, *, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: plans start anew there, with nothing of what loops have inferred about columns.
+
+    ``instead_of``, a table that this function gave and that is read no more, is deleted.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
+    df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.table_path = path
+    if instead_of is not None:
+        removed(spark, instead_of.table_path)
+    return found

@@ -3,8 +3,10 @@
 Every element of a page gets features: its tag and attribute tokens, depth, density of text, links and tags in its subtree,
 how it stands among its siblings, and how its parent and the part of the page that it lies in stand among theirs.
 Gradient-boosted trees, fitted on a bounded sample of pages whose elements are labelled by what their tags and tokens say, tell
-how likely it belongs to the article.  They are also fitted on variants with more page furniture, and on masked copies in which
-the tags and tokens that gave the labels are gone and only the shape of the page is left.  A pass over the tree then decodes all elements at once: outside the article, inside, or
+how likely it belongs to the article.  They are also fitted on variants with more furniture, outside and inside the article, and on
+masked copies in which the tags and tokens that gave the labels are gone and only the shape is left: what repeats among siblings,
+what begins with a name, how much is links against the rest of the article.  Ids and classes of headings, paragraphs and the like
+count for nothing.  A pass over the tree then decodes all elements at once: outside the article, inside, or
 dropped from it.  What lies below a dropped element is dropped, and what lies inside stays inside unless it is dropped, so that
 no element contradicts its ancestors; of all such labellings the one with the greatest sum of log odds is taken.
 """
@@ -34,10 +36,44 @@ _NUMBER = {t: i for i, t in enumerate(_TAGS)}
 _TOKEN = re.compile(r"[a-zA-Z]+")
 _AGAINST = frozenset("ad ads advert adverts advertisement adverting banner sponsor sponsored promo promoted promotion nav navigation navbar menu breadcrumb breadcrumbs sidebar aside rail widget footer foot bottom header masthead topbar cookie cookies consent notice notification alert popup modal overlay newsletter subscribe subscription signup login form search comment comments reply replies discussion disqus reader feedback share sharing social related recommended recommend more pager pagination tags copyright legal disclaimer toolbar hidden complementary contentinfo".split())
 _FOR = frozenset("article content main body post entry story text prose copy".split())
+#: Their ids and classes name what they say (a heading's id is often a slug of its words), not what they are for: they count for nothing.
+_UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 p li a b i em strong span blockquote pre code td th tr dt dd figcaption img br".split())
+#: Blocks whose repetition among siblings counts.
+_BLOCKS = frozenset("div section article aside li ul ol dl dd figure blockquote".split())
 #: Elements that hold no text of a page.
 _NO_TEXT = RAW | frozenset("head noscript template svg math canvas audio video object select option datalist".split())
 
 
+def _names(tag: str, attributes: str) -> set[str]:
+    """Tokens of an element's attributes, where they may tell what it is for; ``data-own`` marks, in training, parts of the article with misleading names."""
+    if "=" not in attributes or tag in _UNNAMED or "data-own" in attributes:
+        return set()
+    return set(_TOKEN.findall(attributes.lower()))
+
+
+def _repeats(tree: Tree) -> tuple[list[int], list[int], list[int]]:
+    """For each node: how many siblings have its shape (tags of all that is below), the most of its children that share one, and whether it begins with a short name or link before a block."""
+    n = len(tree.tags)
+    children: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        children[tree.parents[i]].append(i)
+    shape, alike, most, led = [0] * n, [0] * n, [0] * n, [0] * n
+    numbers: dict[tuple, int] = {}
+    for i in range(n - 1, -1, -1):
+        below = [shape[k] for k in children[i] if tree.tags[k] not in ("br", "img")]
+        shape[i] = numbers.setdefault((tree.tags[i], *below[:8]), len(numbers))
+        seen: dict[int, int] = {}
+        for k in children[i]:
+            if tree.tags[k] in _BLOCKS:
+                seen[shape[k]] = seen.get(shape[k], 0) + 1
+        for k in children[i]:
+            alike[k] = seen.get(shape[k], 0) if tree.tags[k] in _BLOCKS else 0
+        most[i] = max(seen.values(), default=0)
+        kinds = [tree.tags[k] for k in children[i]]
+        led[i] = len(kinds) > 1 and kinds[0] in ("b", "strong", "span", "a", "em", "i", "h4", "h5", "h6") and any(k in ("p", "div", "blockquote") for k in kinds[1:])
+    return alike, most, led
+
+
 def _parts(tree: Tree, length: list[int]) -> tuple[list[int], list[int]]:
     """The parts of a page, and the one that each node lies in (0 where none): children of the lowest node that holds all its text."""
     children: list[list[int]] = [[] for _ in tree.tags]
@@ -89,10 +125,11 @@ def features(tree: Tree) -> tuple[np.ndarray, list[int]]:
     widest = max((length[k] for k in parts), default=0)
     place = {k: j for j, k in enumerate(k for k in parts if length[k])}
     against, favour, above, under = [0] * n, [0] * n, [0] * n, [0] * n
-    rows = np.zeros((n, 30))
+    alike, most, led = _repeats(tree)
+    rows = np.zeros((n, 38))
     for i in range(n):
         if a := tree.attributes[i]:
-            tokens = {t for t in _TOKEN.findall(a.lower())} if "=" in a else set()
+            tokens = _names(tags[i], a)
             against[i], favour[i] = len(tokens & _AGAINST), len(tokens & _FOR)
         p = parents[i]
         bad_tag = tags[i] in ("nav", "footer", "aside", "form", "button", "header")
@@ -107,6 +144,8 @@ def features(tree: Tree) -> tuple[np.ndarray, list[int]]:
             length[q] / whole, link[q] / max(1, length[q]), math.log1p(paras[q]),
             length[b] / whole, length[b] / max(1, widest), link[b] / max(1, length[b]), math.log1p(paras[b]), signs[b] / max(1, total_words[b]),
             place.get(b, -1), len(place) - place.get(b, -1),
+            alike[i], most[i], led[i], alike[q], most[q], link[i] / max(1, size) - link[b] / max(1, length[b]),
+            math.log1p(size / max(1, most[i])), size / (1 + paras[i]) / max(1.0, length[b] / (1 + paras[b])),
         )
     return rows, own
 
@@ -156,7 +195,7 @@ def _labels(tree: Tree) -> list[int] | None:
     out, seen = [0] * len(tree.tags), False
     dropped = [False] * len(tree.tags)
     for i, (tag, attributes, p) in enumerate(zip(tree.tags, tree.attributes, tree.parents)):
-        tokens = set(_TOKEN.findall(attributes.lower())) if "=" in attributes else set()
+        tokens = _names(tag, attributes)
         dropped[i] = (p >= 0 and dropped[p]) or tag in bad or tag in _NO_TEXT or bool(tokens & _AGAINST)
         root = tag in ("article", "main") or (tag in ("div", "section") and bool(tokens & _FOR))
         out[i] = int(not dropped[i] and (root or (p >= 0 and out[p] == 1)))
@@ -173,6 +212,18 @@ _FURNITURE = (
     '<div id="newsletter"><h3>{0}</h3><p>{1}</p></div>',
     '<section class="related"><h3>{0}</h3><ul><li><a href="/3">{1}</a></li></ul></section>',
 )
+#: Furniture for the inside of an article, by shape: comments, lists of links, rows of links.
+_INNER = (
+    '<div class="comments"><div class="comment"><b>{0}</b><p>{1}</p></div><div class="comment"><b>{0}</b><p>{2}</p></div><div class="comment"><b>{0}</b><p>{1}</p></div></div>',
+    '<ul class="related"><li><a href="/4">{3}</a></li><li><a href="/5">{4}</a></li><li><a href="/6">{3}</a></li></ul>',
+    '<ul class="comments"><li><span>{0}</span><p>{2}</p></li><li><span>{0}</span><p>{1}</p></li></ul>',
+    '<div class="related"><h3>{0}</h3><ul><li><a href="/7">{3}</a></li><li><a href="/8">{4}</a></li></ul></div>',
+    '<section class="comments"><h3>{0}</h3><div><p>{2}</p></div><div><p>{4}</p></div><div><p>{1}</p></div></section>',
+    '<div class="share"><a href="#a">{0}</a> <a href="#b">{0}</a> <a href="#c">{0}</a></div>',
+    '<div class="comments"><h4>{0}</h4><div class="comment"><p>{0}: {1}</p></div><div class="comment"><p>{0}: {2}</p></div></div>',
+    '<div class="comments"><p>{0}: {2}</p><p>{0}: {4}</p><p>{0}: {2}</p></div>',
+    '<div class="comments"><ol><li><p><b>{0}</b> {2}</p></li><li><p><b>{0}</b> {1}</p></li></ol></div>',
+)
 _ROOTS = (("<article>", "</article>"), ('<div class="content">', "</div>"), ('<main id="main">', "</main>"), ('<div class="post"><div class="entry-content">', "</div></div>"), ('<section class="story-body">', "</section>"))
 _MENUS = (("<nav>", "</nav>"), ('<div class="menu">', "</div>"), ('<div id="navigation">', "</div>"))
 _FEET = (("<footer>", "</footer>"), ('<div class="footer">', "</div>"), ('<div id="bottom-copyright">', "</div>"))
@@ -186,6 +237,8 @@ def variant(html: str, k: int) -> str:
     if k % 2:
         before = r"(</article\s*>)" if k % 4 == 1 else r"(<p(?:\s[^>]*)?>)"
         html = re.sub(before, lambda m: made[3] + m[1], html, count=1, flags=re.I)
+    if k % 3 == 0:  # more text behind the article
+        html = re.sub(r"</article\s*>", lambda m: f'{m[0]}<div class="related"><h2>{piece(3, 3)}</h2><p>{piece(11, 35)}</p><p>{piece(90, 25)}</p></div>', html, count=1, flags=re.I)
     for tag, ways, step in (("article", _ROOTS, 1), ("nav", _MENUS, 2), ("footer", _FEET, 3)):
         opening, closing = ways[(k * step + k // 3) % len(ways)]
         html = re.sub(rf"<{tag}(\s[^>]*)?>", opening, html, flags=re.I)
@@ -194,17 +247,44 @@ def variant(html: str, k: int) -> str:
     return re.sub(r"</body\s*>", lambda m: made[1] + made[2] + m[0], html, count=1, flags=re.I)
 
 
+def inner_variant(html: str, k: int) -> str:
+    """The page with furniture at one or two places inside its article, and parts of the article in blocks of their own, some with names that mislead."""
+    words = re.sub(r"<[^>]*>", " ", html).split()[-400:]
+    piece = lambda a, b: " ".join(words[(k * 53 + a) % max(1, len(words)) :][:b])
+    made = [_INNER[(k + j) % len(_INNER)].format(piece(j, 2), piece(9, 22), piece(40 + j, 11), piece(70, 4), piece(80 + j, 6)) for j in (0, 4)]
+    found = re.search(r"<article\b[^>]*>(.*?)</article\s*>", html, re.S | re.I)
+    if not found:
+        return html
+    body = found[1]
+    name = ("", ' class="more related"', ' id="x" class="y"', ' class="comment-like notice"')[k % 4]
+    if k % 3 == 0:  # each paragraph in a block of its own
+        body = re.sub(r"<p\b[^>]*>.*?</p\s*>", lambda m: f"<div data-own{name}>{m[0]}</div>", body, flags=re.S | re.I)
+    elif k % 3 == 1:  # the first two in one
+        body = re.sub(r"(<p\b[^>]*>.*?</p\s*>\s*<p\b[^>]*>.*?</p\s*>)", lambda m: f"<section data-own{name}>{m[0]}</section>", body, count=1, flags=re.S | re.I)
+    else:  # one of them
+        places = list(re.finditer(r"<p\b[^>]*>.*?</p\s*>", body, re.S | re.I))
+        if places:
+            m = places[k // 3 % len(places)]
+            body = f"{body[: m.start()]}<div data-own{name}>{m[0]}</div>{body[m.end() :]}"
+    if k % 2:
+        middle = [m.end() for m in re.finditer(r"</p\s*>(?!\s*</(?:div|li|section|td|blockquote)\b)", body, re.I)]
+        at = middle[len(middle) // 2] if middle else 0
+        body = body[:at] + made[1] + body[at:]
+    return html[: found.start(1)] + body + made[0] + html[found.end(1) :]
+
+
 _ROOT_TAGS = frozenset("article main".split())
 _WRAPPERS = _ROOT_TAGS | frozenset("section div nav header footer aside form".split())
 
 
-def masked(tree: Tree, seed: int, *, whole: bool) -> Tree:
-    """The same nodes and texts with made-up attributes and neutral wrappers: all of them, or only those that hold an article."""
+def masked(tree: Tree, seed: int, *, whole: bool, misleading: float = 0.0) -> Tree:
+    """The same nodes and texts with made-up attributes and neutral wrappers: all of them, or only those that hold an article; a share of the made-up names says something, whatever it names."""
     r = random.Random(seed)
-    word = lambda: "".join(r.choices("bcdfghjklmnpqrstvwxz", k=5))
+    listed = sorted(_AGAINST | _FOR)
+    word = lambda: r.choice(listed) if r.random() < misleading else "".join(r.choices("bcdfghjklmnpqrstvwxz", k=5))
     tags, attributes = [], []
     for tag, given in zip(tree.tags, tree.attributes):
-        tokens = set(_TOKEN.findall(given.lower())) if "=" in given else set()
+        tokens = _names(tag, given)
         hit = tag in _WRAPPERS if whole else tag in _ROOT_TAGS or bool(tokens & _FOR)
         tags.append(r.choice(("div", "section", "div")) if hit else "span" if whole and tag in ("button", "label") else tag)
         attributes.append(r.choice(("", f' class="{word()}"', f' id="{word()}" class="{word()} {word()}"')) if hit or whole else given)
@@ -212,15 +292,15 @@ def masked(tree: Tree, seed: int, *, whole: bool) -> Tree:
 
 
 def fit(pages: list[str]) -> BoostedTrees | None:
-    """Trees fitted on these pages, two variants of each, and a masked copy of every one (of furniture inside an article the names stay, as its shape tells little); None where no page says what its article is."""
+    """Trees fitted on these pages, variants of each, and masked copies of all; None where no page says what its article is."""
     rows, marks = [], []
     for i, page in enumerate(pages):
-        for j, html in enumerate((page, variant(page, 2 * i), variant(page, 2 * i + 1))):
+        for j, html in enumerate((page, variant(page, 2 * i + i % 2), inner_variant(page, 2 * i), inner_variant(page, 2 * i + 1))):
             tree = parse(html)
             labels = _labels(tree)
             if labels:
                 keep = [k for k, t in enumerate(tree.tags) if t not in _NO_TEXT]
-                for seen in (tree, masked(tree, 3 * i + j, whole=j == 0 or j == 1 and i % 2 == 0)):
+                for seen in (tree, masked(tree, 4 * i + j, whole=True)) if j < 2 else (masked(tree, 4 * i + j, whole=True), masked(tree, 4 * i + j + 1, whole=True, misleading=0.4)):
                     rows.append(features(seen)[0][keep])
                     marks += [labels[k] for k in keep]
     return BoostedTrees().fit(np.concatenate(rows), np.array(marks, float)) if rows else None

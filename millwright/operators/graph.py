@@ -10,44 +10,87 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from millwright.sources.shared import cut_lineage
+from millwright.sources.shared import cut_lineage, new_folder
 
 
-def _peel(vertices: DataFrame, edges: DataFrame, start: Column, step: Column, max_rounds: int) -> DataFrame:
-    """Values of vertices in topological order: (graph_id, id, value, level).
+def _anchored(single: DataFrame) -> DataFrame:
+    """(graph_id, id, up, add, open) of vertices with one producer each: the nearest vertex above that is none of them, and what is added on the way.
 
-    A vertex without open producers has ``start``; one whose producers are all settled has the greatest ``step`` of them, in which
-    value is the producer's and weight its own.  Vertices on cycles or behind them get no row.
+    ``single``: graph_id, id, up (the producer), add.  Pointers are doubled, so rounds are the logarithm of the longest chain.  What
+    stays open is on a cycle of such vertices, or below one.
     """
-    keys = ["graph_id", "id"]
-    e = cut_lineage(edges.select("graph_id", "src", "dst").distinct())
+    before = None
+    p = cut_lineage(single.select("graph_id", "id", "up", "add", F.lit(True).alias("open")))
+    while True:
+        seen = Observation()
+        q = p.select("graph_id", F.col("id").alias("up"), F.col("up").alias("far"), F.col("add").alias("more"))
+        new = p.join(q, ["graph_id", "up"], "left").select("graph_id", "id", F.coalesce("far", "up").alias("up"), (F.col("add") + F.coalesce("more", F.lit(0))).alias("add"), F.col("far").isNotNull().alias("open"))
+        p = cut_lineage(new.observe(seen, F.count_if(F.col("open")).alias("n")), instead_of=p)
+        if seen.get["n"] in (0, before):
+            return p
+        before = seen.get["n"]
+
+
+def _contracted(v: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Vertices and edges without those that have one producer only, and where these hang.
+
+    Edges to one vertex whose producers hang on the same one become one, the longest; so more vertices have one producer, and the
+    step is done again while it takes an eighth of the edges or more.
+    """
+    hung: list[DataFrame] = []
+    while True:
+        single = e.groupBy("graph_id", F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("up"), F.max("len").alias("len")).filter("n = 1")
+        single = cut_lineage(single.join(v, ["graph_id", "id"]).select("graph_id", "id", "up", (F.col("len") + F.col("cost")).alias("add")))
+        if 8 * single.count() < max(1, e.count()):
+            return v, e, hung
+        p = _anchored(single)
+        hung.append(p.filter("not open").select("graph_id", "id", "up", "add"))
+        above = hung[-1].withColumnsRenamed({"id": "src", "add": "more"})
+        rest = e.join(p.select("graph_id", F.col("id").alias("dst")), ["graph_id", "dst"], "left_anti").join(above, ["graph_id", "src"], "left")
+        e = cut_lineage(rest.groupBy("graph_id", F.coalesce("up", "src").alias("src"), "dst").agg(F.max(F.col("len") + F.coalesce("more", F.lit(0))).alias("len")), instead_of=e)
+        v = cut_lineage(v.join(p.select("graph_id", "id"), ["graph_id", "id"], "left_anti"), instead_of=v)
+
+
+def _longest(vertices: DataFrame, edges: DataFrame, start: Column, cost: Column, max_rounds: int) -> DataFrame:
+    """(graph_id, id, value): ``start`` of vertices without producers, else the greatest value of the producers and the vertex's ``cost``.
+
+    Vertices with one producer hang on others at known distances and are set aside.  The rest is peeled level by level; each
+    level's values are added to one table.  Then values go down to what was set aside.  Vertices on cycles or behind them get no row.
+    """
+    keys, spark = ["graph_id", "id"], vertices.sparkSession
+    e = cut_lineage(edges.select("graph_id", "src", "dst").distinct().withColumn("len", F.lit(0).cast("long")))
+    v, e, hung = _contracted(cut_lineage(vertices.select(*keys, start.cast("long").alias("start"), cost.cast("long").alias("cost"))), e)
     need = e.groupBy("graph_id", F.col("dst").alias("id")).agg(F.count("*").alias("need"))
-    waiting = cut_lineage(vertices.select(*keys, "weight").join(need, keys, "left").withColumn("need", F.coalesce("need", F.lit(0))).withColumn("best", F.lit(None).cast("long")))
-    settled: list[DataFrame] = []
+    waiting = cut_lineage(v.join(need, keys, "left").select(*keys, "start", "cost", F.coalesce("need", F.lit(0)).alias("need"), F.lit(None).cast("long").alias("best")))
+    folder, kind = new_folder(spark), waiting.select(*keys, F.col("start").alias("value")).schema
     for level in range(max_rounds):
-        ready = cut_lineage(waiting.filter("need = 0").select(*keys, F.coalesce("best", start).alias("value"), "weight").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
+        ready = waiting.filter("need = 0").select(*keys, F.coalesce(F.col("best") + F.col("cost"), "start").alias("value"))
+        seen = Observation()
+        ready.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/level={level}")
+        if not seen.get["n"]:
             break
-        settled.append(ready.select(*keys, "value", "level"))
-        sent = ready.select("graph_id", F.col("id").alias("src"), "value").join(e, ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("id")).agg(F.count("*").alias("came"), F.max("value").alias("value"))
+        now = spark.read.schema(kind).parquet(f"{folder}/level={level}")
+        sent = now.withColumnRenamed("id", "src").join(e, ["graph_id", "src"]).groupBy("graph_id", F.col("dst").alias("id")).agg(F.count("*").alias("came"), F.max(F.col("value") + F.col("len")).alias("value"))
         rest = waiting.filter("need > 0").join(sent, keys, "left")
-        waiting = cut_lineage(rest.select(*keys, "weight", (F.col("need") - F.coalesce("came", F.lit(0))).alias("need"), F.greatest("best", step).alias("best")))
+        waiting = cut_lineage(rest.select(*keys, "start", "cost", (F.col("need") - F.coalesce("came", F.lit(0))).alias("need"), F.greatest("best", "value").alias("best")), instead_of=waiting)
     else:
         raise RuntimeError(f"vertices are left after {max_rounds} levels")
-    if not settled:
-        return vertices.select(*keys, F.lit(None).cast("long").alias("value"), F.lit(0).alias("level")).limit(0)
-    return reduce(DataFrame.unionByName, settled)
+    values = spark.read.schema(kind).parquet(*[f"{folder}/level={k}" for k in range(level + 1)])
+    for p in reversed(hung):
+        above = values.select("graph_id", F.col("id").alias("up"), "value")
+        values = cut_lineage(values.unionByName(p.join(above, ["graph_id", "up"]).select(*keys, (F.col("value") + F.col("add")).alias("value"))))
+    return values
 
 
 def topological_levels(vertices: DataFrame, edges: DataFrame, *, max_rounds: int = 10_000) -> DataFrame:
     """Level of each vertex: 0 without producers, else one more than its highest producer's."""
-    return _peel(vertices, edges, F.lit(0).cast("long"), F.col("value") + 1, max_rounds).select("graph_id", "id", "level")
+    return _longest(vertices, edges, F.lit(0), F.lit(1), max_rounds).select("graph_id", "id", F.col("value").cast("int").alias("level"))
 
 
 def upward_rank(vertices: DataFrame, edges: DataFrame, *, comm: int = 0, max_rounds: int = 10_000) -> DataFrame:
     """rank = weight, plus the greatest of the consumers' ranks and the cost of an edge."""
     back = edges.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return _peel(vertices, back, F.col("weight"), F.col("value") + F.col("weight") + comm, max_rounds).select("graph_id", "id", F.col("value").alias("rank"))
+    return _longest(vertices, back, F.col("weight"), F.col("weight") + comm, max_rounds).select("graph_id", "id", F.col("value").alias("rank"))
 
 
 def level_histogram(levels: DataFrame) -> DataFrame:

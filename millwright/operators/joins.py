@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,16 @@ def unresolved_dependencies(resolved: DataFrame) -> DataFrame:
     return resolved.filter("target is null").groupBy("file_id").agg(F.count("*").alias("unresolved"))
 
 
+def needs_rebuild(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, reason) of every file known now or before (mtime, size, hash): new, gone, or the first of mtime, size and hash that differs; null if nothing does.  Unknown equals unknown."""
+    n, o = now.withColumn("here", F.lit(True)).alias("n"), before.withColumn("here", F.lit(True)).alias("o")
+    both = n.join(o, reduce(lambda x, y: x & y, [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]), "full")
+    reason = F.when(F.col("o.here").isNull(), "new").when(F.col("n.here").isNull(), "gone")
+    for c in ("mtime", "size", "hash"):
+        reason = reason.when(~F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")), c)
+    return both.select(*[F.when(F.col("n.here").isNull(), F.col(f"o.{k}")).otherwise(F.col(f"n.{k}")).alias(k) for k in keys], reason.alias("reason"))
+
+
 def header_to_source(headers: DataFrame, sources: DataFrame) -> DataFrame:
     """Sources with the stem of a header."""
     stem = F.regexp_replace(basename("path"), r"\.\w+$", "")

@@ -990,11 +990,14 @@ def comm_cost(s, d):
     return A.edges(s, d).join(a, "src").join(b, "dst").select("src", "dst", F.round(cost, 8).alias("cost"))
 
 
-@query("select file_id, doc_changed as changed from (select file_id, file_id % 20 = 0 as doc_changed from v_sources)")
+@query("""with n as (select file_id, size, md5(text) as hash, file_id * 10 as mtime from v_sources where file_id % 23 <> 0),
+    o as (select file_id, size + case when file_id % 17 = 0 then 1 else 0 end as size, case when file_id % 20 = 0 then '' else md5(text) end as hash, case when file_id % 13 = 0 then null else file_id * 10 end as mtime from v_sources where file_id % 11 <> 0)
+    select coalesce(n.file_id, o.file_id) as file_id, case when o.file_id is null then 'new' when n.file_id is null then 'gone' when n.mtime is distinct from o.mtime then 'mtime' when n.size is distinct from o.size then 'size' when n.hash is distinct from o.hash then 'hash' end as reason
+    from n full join o on n.file_id = o.file_id""")
 def needs_rebuild_flag(s, d):
-    new = A.sources(s, d).select("file_id", F.md5("text").alias("hash"))
-    old = new.select("file_id", F.when(F.col("file_id") % 20 == 0, "").otherwise(F.col("hash")).alias("before"))
-    return new.join(old, "file_id", "left").select("file_id", (~F.col("hash").eqNullSafe(F.col("before"))).alias("changed"))
+    f = A.sources(s, d).select("file_id", "size", F.md5("text").alias("hash"), (F.col("file_id") * 10).alias("mtime"))
+    old = f.filter("file_id % 11 <> 0").select("file_id", (F.col("size") + F.when(F.col("file_id") % 17 == 0, 1).otherwise(0)).alias("size"), F.when(F.col("file_id") % 20 == 0, "").otherwise(F.col("hash")).alias("hash"), F.when(F.col("file_id") % 13 != 0, F.col("mtime")).alias("mtime"))
+    return joins.needs_rebuild(f.filter("file_id % 23 <> 0"), old, ["file_id"])
 
 
 # Sources, sinks and streams over data derived from the tables
@@ -1400,16 +1403,27 @@ def stall_and_done_alerts(s, d):
     return reports.stall_and_done(snaps).select("n", "alert")
 
 
-@query("select l_suppkey as node_id, count(*) as n from (select l_suppkey, row_number() over (partition by l_suppkey order by l_shipdate desc) as r from lineitem) where r <= 100 group by 1 having count(*) >= 3")
+#: The model of each node: time explained by two features, the system of two equations solved by its determinant.
+_MODEL = """r as (select l_suppkey as node_id, cast(l_quantity as double) as a, cast(l_linenumber as double) as b, cast(l_extendedprice as double) as y, 1 - 0.01::double * (row_number() over (partition by l_suppkey order by l_shipdate desc, l_orderkey, l_linenumber, l_partkey, l_quantity) - 1) as w from lineitem),
+    s as (select node_id, count(*) as n, sum(w) as w, sum(w * a * a) + 0.01::double as aa, sum(w * a * b) as ab, sum(w * b * b) + 0.01::double as bb, sum(w * a * y) as ay, sum(w * b * y) as b_y, sum(w * a) as a, sum(w * b) as b, sum(w * y) as y from r where w > 0.005 group by 1 having count(*) >= 3),
+    c as (select *, (ay * bb - b_y * ab) / (aa * bb - ab * ab) as c1, (b_y * aa - ay * ab) / (aa * bb - ab * ab) as c2 from s), model as (select node_id, n, c1, c2, (y - c1 * a - c2 * b) / w as bias from c)"""
+
+
+def _model(s, d):
+    li = A.table(s, d, "lineitem").withColumnRenamed("l_suppkey", "node_id")
+    return models.fit_compile_model(li, "node_id", ["l_quantity", "l_linenumber"], "l_extendedprice", [F.col("l_shipdate").desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
+
+
+@query(f"with {_MODEL} select node_id, n, round(c1, 4) as c1, round(c2, 4) as c2, round(bias, 4) as bias from model")
 def fit_compile_model(s, d):
-    li = A.table(s, d, "lineitem").select(F.col("l_suppkey").alias("node_id"), "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_orderkey")
-    return models.fit_compile_model(li, "node_id", ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_extendedprice", [F.col("l_shipdate").desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]).select("node_id", "n")
+    c = lambda i: F.round(F.get("coefficients", F.lit(i)), 4).alias(f"c{i + 1}")
+    return _model(s, d).select("node_id", "n", c(0), c(1), F.round("bias", 4).alias("bias"))
 
 
-@query("select node_id, round(cast(greatest(node_id % 5 * 2.0 + 3.0 * 0.5 + 1.0, 0.1) as double), 6) as seconds from v_nodes")
+@query(f"with {_MODEL} select node_id, round(greatest(c1 * (node_id % 5 - 2) + c2 * 3.0::double + bias, 0.1::double), 4) as seconds from v_nodes join model using (node_id)")
 def predict_compile_time(s, d):
-    f = F.array((F.col("node_id") % 5).cast("double"), F.lit(3.0))
-    return A.nodes(s, d).select("node_id", F.round(models.predict_compile_time(F.array(F.lit(2.0), F.lit(0.5)), F.lit(1.0), f), 6).alias("seconds"))
+    f = F.array((F.col("node_id") % 5 - 2).cast("double"), F.lit(3.0))
+    return A.nodes(s, d).join(_model(s, d), "node_id").select("node_id", F.round(models.predict_compile_time(F.col("coefficients"), F.col("bias"), f), 4).alias("seconds"))
 
 
 @query(f"with {_STREAM}, w as (select node_id, (us // 300000000 + k) * 300 as upto from st, generate_series(1, 3) g(k)) select node_id, cast(upto as bigint) as \"at\", count(*) as compiles from w group by node_id, upto having upto * 1000000 < (select max(us) - 600000000 from st)")

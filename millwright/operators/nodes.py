@@ -7,14 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millwright.functions.columns import performance_score
+
 #: Nodes nearer than this get a bonus for locality.
 NEAR_MS = 100
-_SCORES: dict[str, Callable[[], Column]] = {}
+_SCORES: dict[str, tuple[Callable[[], Column], Callable[[], Column]]] = {}
+
+
+def _over_mean() -> Column:
+    """The best score over the mean of all, 1 at most."""
+    return F.least(F.lit(1.0), F.when(F.avg("score") > 0, F.max("score") / F.avg("score")).otherwise(1.0))
 
 
-def register_score(name: str, score: Callable[[], Column]) -> None:
-    """Names a score: a function that gives a Column over load_ratio, avg_seconds, success and latency_ms; the greater the better."""
-    _SCORES[name] = score
+def register_score(name: str, score: Callable[[], Column], confidence: Callable[[], Column] = _over_mean) -> None:
+    """Names a score, a function that gives a Column over a profile's columns, the greater the better; and how sure a choice by it is, an aggregate over the available nodes and their scores."""
+    _SCORES[name] = score, confidence
 
 
 def unregister_score(name: str) -> None:
@@ -30,19 +37,20 @@ def _slowest() -> Column:
     return F.max("avg_seconds").over(Window.partitionBy(F.lit(1)))
 
 
-register_score("least_loaded", lambda: -F.col("load_ratio"))
-register_score("fastest", lambda: F.when(F.col("avg_seconds") > 0, 1 / (1 + F.col("avg_seconds"))).otherwise(F.col("weight")))
-register_score("weighted", lambda: 0.4 * (1 - F.col("load_ratio")) + 0.4 * F.when(F.col("avg_seconds") > 0, 1 - F.col("avg_seconds") / _slowest()).otherwise(F.col("weight")) + 0.2 * F.col("success"))
-register_score("locality", lambda: 0.5 * F.greatest(F.lit(0.0), 1 - F.col("latency_ms") / 1000) + 0.3 * (1 - F.col("load_ratio")) + 0.2 * F.col("weight") + F.when(F.col("latency_ms") < NEAR_MS, 0.2).otherwise(0.0))
+register_score("least_loaded", lambda: -F.col("load_ratio"), lambda: 1 - F.least(F.max("load_ratio") - F.min("load_ratio"), F.lit(0.5)))
+register_score("fastest", lambda: F.when(F.col("avg_seconds") > 0, 1 / (1 + F.col("avg_seconds"))).otherwise(F.col("performance")))
+register_score("weighted", lambda: 0.4 * (1 - F.col("load_ratio")) + 0.4 * F.when(F.col("avg_seconds") > 0, 1 - F.col("avg_seconds") / _slowest()).otherwise(F.col("performance")) + 0.2 * F.col("success"))
+register_score("locality", lambda: 0.5 * F.greatest(F.lit(0.0), 1 - F.col("latency_ms") / 1000) + 0.3 * (1 - F.col("load_ratio")) + 0.2 * F.col("performance") + F.when(F.col("latency_ms") < NEAR_MS, 0.2).otherwise(0.0), lambda: F.lit(0.8))
 
 
 def node_profile(nodes: DataFrame, tasks: DataFrame, samples: DataFrame) -> DataFrame:
-    """One row for each node: its latest load over its slots, mean seconds of successes, success rate."""
-    load = samples.groupBy("node_id").agg(F.max_by("load", F.struct("at", "sample_id")).alias("load"))
+    """One row for each node: its latest load over its slots, mean seconds of successes, success rate, performance score."""
+    load = samples.groupBy("node_id").agg(F.max_by(F.struct("load", "cpu"), F.struct("at", "sample_id")).alias("x")).select("node_id", "x.load", "x.cpu")
     ok = F.col("status") == "completed"
     past = tasks.groupBy("node_id").agg(F.avg(F.when(ok, F.col("exec_seconds"))).alias("avg_seconds"), F.avg(ok.cast("double")).alias("success"))
     n = nodes.join(load, "node_id", "left").join(past, "node_id", "left")
-    return n.select("node_id", "slots", "weight", "latency_ms", F.coalesce("load", F.lit(0)).alias("load"), (F.coalesce("load", F.lit(0)) / F.col("slots")).alias("load_ratio"), F.coalesce("avg_seconds", F.lit(0.0)).alias("avg_seconds"), F.coalesce("success", F.lit(1.0)).alias("success"))
+    p = n.select("node_id", "slots", "weight", "latency_ms", F.coalesce("cpu", F.lit(0)).alias("cpu"), F.coalesce("load", F.lit(0)).alias("load"), (F.coalesce("load", F.lit(0)) / F.col("slots")).alias("load_ratio"), F.coalesce("avg_seconds", F.lit(0.0)).alias("avg_seconds"), F.coalesce("success", F.lit(1.0)).alias("success"))
+    return p.withColumn("performance", performance_score(F.col("weight"), F.col("cpu"), F.col("load_ratio"), F.col("success"), F.col("latency_ms")))
 
 
 def available_nodes(profile: DataFrame) -> DataFrame:
@@ -50,9 +58,12 @@ def available_nodes(profile: DataFrame) -> DataFrame:
 
 
 def rank_nodes(profile: DataFrame, score: str, *, top: int = 4) -> DataFrame:
-    """The best available nodes by a registered score, ties by id: the choice and its alternatives."""
-    scored = available_nodes(profile).withColumn("score", F.round(_SCORES[score](), 6))
-    return scored.select("node_id", "score").orderBy(F.col("score").desc(), "node_id").limit(top)
+    """The best available nodes by a registered score, ties by id: the choice (place 1) and its alternatives, and how sure the choice is."""
+    value, confidence = _SCORES[score]
+    scored = available_nodes(profile).withColumn("score", F.round(value(), 6))
+    best = scored.select("node_id", "score").orderBy(F.col("score").desc(), "node_id").limit(top)
+    sure = scored.agg(F.round(confidence(), 6).alias("confidence"))  # one row
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "node_id"))).crossJoin(F.broadcast(sure)).select("node_id", "place", "score", "confidence")
 
 
 def combine_modes(parts: list[DataFrame]) -> DataFrame:

@@ -269,3 +269,15 @@ def stall_and_done(snapshots: DataFrame, *, intervals: int = 10) -> DataFrame:
     still = (F.col("started") == F.lag("started", intervals).over(w)) & (F.col("finished") == F.lag("finished", intervals).over(w))
     done = (F.col("finished") >= F.col("total")) & (F.col("waiting") == 0)
     return snapshots.withColumn("alert", F.when(done, "DONE").when(still, "STALLED")).filter("alert is not null").select("build_id", "n", "alert")
+
+
+def merkle_fingerprint(df: DataFrame, keys: list[str], name: str, stamp: str, *, digits: int = 2) -> DataFrame:
+    """(keys, files, fingerprint) of named things with a stamp each, by a tree of hashes: each stamp, each part of a group, the group.
+
+    A part holds the names whose hash begins with the same digits, in order; a group has 16 ** digits parts at most, so with
+    enough digits no row gathers more than a part's names.
+    """
+    parted = df.select(*keys, F.substring(F.sha2(name, 256), 1, digits).alias("part"), F.struct(F.col(name).alias("name"), F.sha2(stamp, 256).alias("h")).alias("x"))
+    folded = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda r: r["h"]), ","), 256)
+    parts = parted.groupBy(*keys, "part").agg(F.count("*").alias("n"), folded("x").alias("h"))
+    return parts.groupBy(*keys).agg(F.sum("n").alias("files"), folded(F.struct("part", "h")).alias("fingerprint"))

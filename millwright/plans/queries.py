@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions import columns as C
+from millwright.functions import udtf
 from millwright.operators import balance, graph, joins, models, nodes, reports, windows
 from millwright.plans import adapters as A
 from millwright.plans.views import statement
@@ -187,10 +188,11 @@ def index_stats(s, d):
     return A.sources(s, d).agg(F.count("*").alias("files"), F.count_distinct(C.basename("path")).alias("names"), F.count_distinct(F.regexp_replace("path", "/[^/]*$", "")).alias("folders"))
 
 
-@query("select source, count(*) as files, sha256(string_agg(path || ':' || size, ',' order by path)) as fingerprint from (select *, split_part(path, '/', 3) as source from v_sources) group by 1")
+@query("""with f as (select split_part(path, '/', 3) as source, path, sha256(path || ':' || size) as h from v_sources), r as (select source, substr(sha256(path), 1, 2) as part, sha256(string_agg(h, ',' order by path)) as h, count(*) as n from f group by 1, 2)
+    select source, cast(sum(n) as bigint) as files, sha256(string_agg(h, ',' order by part)) as fingerprint from r group by 1""")
 def project_fingerprint(s, d):
-    p = A.sources(s, d).select(F.split_part("path", F.lit("/"), F.lit(3)).alias("source"), F.struct("path", F.concat_ws(":", "path", "size").alias("x")).alias("x"))
-    return p.groupBy("source").agg(F.count("*").alias("files"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda r: r["x"]), ","), 256).alias("fingerprint"))
+    p = A.sources(s, d).select(F.split_part("path", F.lit("/"), F.lit(3)).alias("source"), "path", F.concat_ws(":", "path", "size").alias("stamp"))
+    return reports.merkle_fingerprint(p, ["source"], "path", "stamp")
 
 
 @query("""select node_id, count_if(k = 'c') as c, count_if(k = 'cpp') as cpp, count_if(k = 'other') as other from (select node_id, case task_id % 3 when 0 then 'c' when 1 then 'cpp' else 'other' end as k from v_tasks) group by 1""")
@@ -623,21 +625,24 @@ def label_containers(s, d):
 
 # Nodes, top-k and sets
 
-_PROFILE = f"""l as (select node_id, arg_max(load, (at_us, sample_id)) as load from v_node_metrics group by 1), p as (select node_id, avg(case when status = 'completed' then {_EXEC} end) as sec, avg(cast(status = 'completed' as double)) as ok from v_tasks group by 1),
-    n as (select node_id, slots, weight, latency_ms, coalesce(load, 0) as load, coalesce(load, 0) / slots as ratio, coalesce(sec, 0.0) as sec, coalesce(ok, 1.0) as ok from v_nodes left join l using (node_id) left join p using (node_id))"""
+_PROFILE = f"""l as (select node_id, arg_max(load, (at_us, sample_id)) as load, arg_max(cpu, (at_us, sample_id)) as cpu from v_node_metrics group by 1), p as (select node_id, avg(case when status = 'completed' then {_EXEC} end) as sec, avg(cast(status = 'completed' as double)) as ok from v_tasks group by 1),
+    m as (select node_id, slots, case when node_id % 4 = 3 then 0.0 else weight end as weight, latency_ms, coalesce(cpu, 0) as cpu, coalesce(load, 0) as load, coalesce(load, 0) / slots as ratio, coalesce(sec, 0.0) as sec, coalesce(ok, 1.0) as ok from v_nodes left join l using (node_id) left join p using (node_id)),
+    n as (select *, case when weight > 0 then weight else 0.3 * greatest(0.0, 1 - cpu / 100) + 0.3 * greatest(0.0, 1 - ratio) + 0.3 * ok + 0.1 * greatest(0.0, 1 - least(latency_ms / 1000, 1.0)) end as perf from m)"""
 
 
 def _profile(s, d):
-    return nodes.node_profile(A.nodes(s, d), _timed(s, d), A.node_metrics(s, d))
+    known = A.nodes(s, d).withColumn("weight", F.when(F.col("node_id") % 4 == 3, 0.0).otherwise(F.col("weight")))  # a quarter of the nodes has no weight of its own
+    return nodes.node_profile(known, _timed(s, d), A.node_metrics(s, d))
 
 
-for _name, _sql in (
-    ("least_loaded", "-ratio"),
-    ("fastest", "case when sec > 0 then 1 / (1 + sec) else weight end"),
-    ("weighted", "0.4 * (1 - ratio) + 0.4 * case when sec > 0 then 1 - sec / max(sec) over () else weight end + 0.2 * ok"),
-    ("locality", "0.5 * greatest(0.0, 1 - latency_ms / 1000) + 0.3 * (1 - ratio) + 0.2 * weight + case when latency_ms < 100 then 0.2 else 0.0 end"),
+_OVER_MEAN = "least(1.0, case when avg(score) > 0 then max(score) / avg(score) else 1.0 end)"
+for _name, _sql, _sure in (
+    ("least_loaded", "-ratio", "1 - least(max(ratio) - min(ratio), 0.5)"),
+    ("fastest", "case when sec > 0 then 1 / (1 + sec) else perf end", _OVER_MEAN),
+    ("weighted", "0.4 * (1 - ratio) + 0.4 * case when sec > 0 then 1 - sec / max(sec) over () else perf end + 0.2 * ok", _OVER_MEAN),
+    ("locality", "0.5 * greatest(0.0, 1 - latency_ms / 1000) + 0.3 * (1 - ratio) + 0.2 * perf + case when latency_ms < 100 then 0.2 else 0.0 end", "max(0.8)"),
 ):
-    query(f"with {_PROFILE} select node_id, round({_sql}, 6) as score from n where load < slots order by score desc, node_id limit 4", name=f"rank_nodes_{_name}")(lambda s, d, k=_name: nodes.rank_nodes(_profile(s, d), k))
+    query(f"with {_PROFILE}, scored as (select *, round({_sql}, 6) as score from n where load < slots), sure as (select cast(round({_sure}, 6) as double) as confidence from scored) select node_id, row_number() over (order by score desc, node_id) as place, cast(score as double) as score, confidence from scored, sure order by score desc, node_id limit 4", name=f"rank_nodes_{_name}")(lambda s, d, k=_name: nodes.rank_nodes(_profile(s, d), k).withColumn("place", F.col("place").cast("long")))
 
 
 @query(f"with {_PROFILE} select node_id, load, slots from n where load < slots")
@@ -945,6 +950,13 @@ def parse_session_log(s, d):
     return A.session_lines(s, d).select("line_no", *[c.alias(n) for n, c in e.items()])
 
 
+@query("""select event_id as line_no, case event_type when 'click' then 'completed' when 'view' then 'assigned' when 'signup' then 'scheduled' when 'purchase' then 'started' when 'error' then 'failed' end as kind,
+    case when event_type in ('signup', 'purchase', 'error') then cast(event_id as varchar) end as task, case when event_type in ('view', 'purchase') then '10.0.0.' || (user_id % 250) end as node,
+    case when event_type = 'click' then event_id % 900 / 100 end as seconds, case when event_type = 'error' and event_id % 3 <> 0 then 'exit ' || (event_id % 4) end as reason from events where event_type in ('click', 'view', 'signup', 'purchase', 'error')""")
+def parse_log_udtf(s, d):
+    return udtf.parse_log(A.session_lines(s, d)).drop("line")
+
+
 @query("select nullif(regexp_extract(line, '(node\\d+)', 1), '') as node, count(*) as tasks from v_log where line like '%completed in%' group by 1")
 def node_distribution(s, d):
     e = C.log_event(F.col("line"))
@@ -1003,6 +1015,27 @@ def needs_rebuild_flag(s, d):
 # Sources, sinks and streams over data derived from the tables
 
 
+@query("select algo, run, round(elapsed, 2) as elapsed, node, tasks, sum(tasks) over (partition by algo, run) as total from (select l_returnflag as algo, l_linenumber as run, l_suppkey % 10 as node, count(*) as tasks, sum(count(*)) over (partition by l_returnflag, l_linenumber) / 100 as elapsed from lineitem where l_linenumber <> 3 group by 1, 2, 3)")
+def read_run_results(s, d):
+    """Time and distribution files of each run, as a benchmark leaves them; runs of number 3 have no time file."""
+    folder = new_folder(s)
+    spread = A.table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("algo"), F.col("l_linenumber").alias("run"), (F.col("l_suppkey") % 10).alias("node")).agg(F.count("*").alias("tasks"))
+    runs = spread.groupBy("algo", "run").agg(F.map_from_entries(F.collect_list(F.struct(F.col("node").cast("string"), "tasks"))).alias("distribution"), F.sum("tasks").alias("total"))
+    writers.write_run_results(runs.withColumn("elapsed", F.round(F.col("total") / 100, 2)), folder, without_time=F.col("run") == 3)
+    read = readers.read_run_results(s, folder).select("algo", F.col("run").cast("long").alias("run"), "elapsed", F.explode("distribution").alias("node", "tasks"), "total")
+    return read.withColumn("node", F.col("node").cast("long"))
+
+
+@query("select cast(user_id as double) as node, cast(count(*) as double) as dcc_rq, cast(count_if(event_type = 'error') as double) as dcc_fail from events group by 1")
+def read_stats_page(s, d):
+    """A page of counters for each node, polled once."""
+    folder = new_folder(s)
+    counts = A.table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("all"), F.count_if(F.col("event_type") == "error").alias("bad"))
+    page = F.concat(F.lit("argv /distccd\n<distccstats>\nnode "), F.col("user_id").cast("string"), F.lit("\ndcc_rq "), F.col("all").cast("string"), F.lit("\ndcc_fail "), F.col("bad").cast("string"), F.lit("\ndcc_cpu n/a\n</distccstats>"))
+    counts.select("user_id", page.alias("value")).repartition(8, "user_id").write.partitionBy("user_id").text(folder)
+    return readers.read_stats_page(s, folder, ["node", "dcc_rq", "dcc_fail"])
+
+
 @query("select line from v_log")
 def read_log_lines(s, d):
     A.log_lines(s, d).select("line").write.text(path := new_folder(s))

@@ -73,12 +73,16 @@ def makefile_sources(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_results(spark: SparkSession, path: str) -> DataFrame:
-    """algo, run, elapsed, distribution and total of a folder's <algo>_run<k>_time.txt and <algo>_run<k>_distribution.json; runs without either are left out."""
-    name = lambda suffix: [F.regexp_extract(F.input_file_name(), rf"([^/]+)_run\d+_{suffix}", 1).alias("algo"), F.regexp_extract(F.input_file_name(), rf"_run(\d+)_{suffix}", 1).cast("int").alias("run")]
-    times = spark.read.option("wholetext", True).option("pathGlobFilter", "*_time.txt").text(path).select(*name("time"), F.regexp_extract("value", r"([\d.]+)", 1).cast("double").alias("elapsed"))
+    """algo, run, elapsed, distribution and total of a folder's <algo>_run<k>_time.txt and <algo>_run<k>_distribution.json; runs without either are left out.
+
+    A name may be a file's or, as tasks write them, that of a folder ``name=...`` with the file.
+    """
+    name = lambda suffix: [F.regexp_extract(F.input_file_name(), rf"([^/=]+)_run\d+_{suffix}", 1).alias("algo"), F.regexp_extract(F.input_file_name(), rf"_run(\d+)_{suffix}", 1).cast("int").alias("run")]
+    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    times = whole.filter(F.input_file_name().contains("_time.txt")).select(*name(r"time\.txt"), F.regexp_extract("value", r"([\d.]+)", 1).try_cast("double").alias("elapsed"))
     kind = T.StructType().add("distribution", T.MapType(T.StringType(), T.LongType())).add("total_tasks", "long")
-    spread = spark.read.schema(kind).option("multiLine", True).option("pathGlobFilter", "*_distribution.json").json(path).select(*name("distribution"), "distribution", F.col("total_tasks").alias("total"))
-    return times.join(spread, ["algo", "run"])
+    spread = whole.filter(F.input_file_name().contains("_distribution.json")).select(*name(r"distribution\.json"), F.from_json("value", kind).alias("x"))
+    return times.join(spread.select("algo", "run", "x.distribution", F.col("x.total_tasks").alias("total")), ["algo", "run"])
 
 
 def read_task_order_table(spark: SparkSession, path: str) -> DataFrame:
@@ -98,7 +102,7 @@ def read_bench_summary(spark: SparkSession, path: str) -> DataFrame:
 def read_stats_page(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """One row a page of "key value" lines, the named fields as doubles."""
     pairs = F.transform(F.filter(F.split("value", "\n"), lambda s: s.rlike(r"^\s*[\w.]+\s+[-\d.]+\s*$")), lambda s: F.struct(F.regexp_extract(s, r"^\s*([\w.]+)", 1).alias("k"), F.regexp_extract(s, r"([-\d.]+)\s*$", 1).alias("v")))
-    page = spark.read.text(path, wholetext=True).select(F.map_from_entries(pairs).alias("m"))
+    page = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.map_from_entries(pairs).alias("m"))
     return page.select(*[F.try_element_at("m", F.lit(f)).cast("double").alias(f) for f in fields])
 
 

@@ -50,3 +50,12 @@ def edges_dot(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def export_edges_dot(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     edges_dot(vertices, edges).write.mode("overwrite").text(path)
+
+
+def write_run_results(runs: DataFrame, folder: str, *, without_time: Column | None = None) -> None:
+    """<algo>_run<k>_time.txt and <algo>_run<k>_distribution.json of each run (algo, run, elapsed, distribution, total), written by the tasks."""
+    has_time = F.lit(True) if without_time is None else ~without_time
+    name = F.concat(F.col("algo"), F.lit("_run"), F.col("run").cast("string"))
+    time = runs.filter(has_time).select(F.concat(name, F.lit("_time.txt")).alias("name"), F.concat(F.lit("real "), F.col("elapsed").cast("string"), F.lit("\n")).alias("value"))
+    spread = runs.select(F.concat(name, F.lit("_distribution.json")).alias("name"), F.to_json(F.struct("distribution", F.col("total").alias("total_tasks"))).alias("value"))
+    time.unionByName(spread).repartition("name").write.partitionBy("name").text(folder)

@@ -1144,12 +1144,13 @@ _STREAM = f"st as (select event_id, epoch_us(ts) as us, user_id as node_id, {_KI
 _BATCHES = 4
 
 
-def _in_order(rows: DataFrame, by: str, folder: str) -> None:
+def _in_order(rows: DataFrame, by: str, folder: str, *, text: bool = False) -> None:
     """Writes ``rows`` as files one after the other, each with a part of the range of ``by``: a stream takes older files first."""
     low, high = rows.agg(F.min(by), F.max(by)).first()
     part = F.least(F.floor((F.col(by) - low) * _BATCHES / max(1, high - low)), F.lit(_BATCHES - 1))
     for k in range(_BATCHES):
-        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
+        out = rows.filter(part == k).coalesce(1)
+        (out.drop(by).write.mode("append").text if text else out.write.mode("append").parquet)(folder)
 
 
 def _run(out: DataFrame, mode: str, folder: str) -> DataFrame:
@@ -1182,9 +1183,18 @@ def stream_hourly(s, d):
     return _drained(s, d, live.stream_hourly, "append").select(C.hour_bucket("hour").alias("hour"), "tasks", "completed")
 
 
-@query(f"with {_STREAM} select count_if(kind = 'completed') as completed, count_if(kind = 'failed') as failed, count_if(kind = 'cancelled') as cancelled from st")
+@query("""with s as (select *, strftime(ts, '%Y-%m-%d %H:%M:%S') || lpad(cast(event_id as varchar), 12, '0') as stamp from events), n as (select event_id from s where event_type = 'signup' order by stamp desc limit 1)
+    select count_if(event_type = 'view') as started, count_if(event_type = 'click') as remote_ok, count_if(event_type = 'error') as local_fallback, min(n.event_id % 11) as pending, min(n.event_id % 7) as ready, min(n.event_id % 5) as running, min(n.event_id % 1000) as completed, min(n.event_id % 3) as failed, min(n.event_id % 2000) as total from events, n""")
 def progress_counters(s, d):
-    return _drained(s, d, live.stream_progress_counters, "update").agg(F.max("completed").alias("completed"), F.max("failed").alias("failed"), F.max("cancelled").alias("cancelled"))
+    """A live log of several files, a line for each event."""
+    folder = new_folder(s)
+    e, i = A.table(s, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))), F.col("event_id")
+    stamp = F.concat(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss"), F.lpad(i.cast("string"), 12, "0"), F.lit(" - "))
+    snapshot = F.concat(F.lit("Status update: {"), F.concat_ws(", ", *[F.concat(F.lit(f"'{k}': "), (i % m).cast("string")) for k, m in zip(live.QUEUE, (11, 7, 5, 1000, 3, 2000))]), F.lit("}"))
+    body = F.when(F.col("event_type") == "view", F.concat(F.lit("Starting task ccdb_"), i.cast("string"))).when(F.col("event_type") == "click", "Remote compilation successful").when(F.col("event_type") == "error", "Falling back to local").when(F.col("event_type") == "signup", snapshot).otherwise("nothing of note")
+    _in_order(e.select("us", F.concat(stamp, body).alias("value")), "us", f"{folder}/in", text=True)
+    out = _run(live.stream_progress_counters(live.read_log(s, f"{folder}/in")), "update", folder)
+    return out.orderBy(F.col("batch").desc()).limit(1).drop("batch")
 
 
 @query(f"with {_STREAM} select event_id, value from st order by value desc, event_id limit 1")
@@ -1209,9 +1219,36 @@ def stream_ema(s, d):
     return out.groupBy("node_id").agg(F.max_by(F.struct("ema", "events", "completed"), "events").alias("x")).select("node_id", F.round("x.ema", 4).alias("ema"), "x.events", "x.completed")
 
 
-@query("select task_id, round((epoch_us(timestamp '2024-01-31 00:00:00') - created_us) / 1e6, 3) as age from v_tasks where scheduled_us is null and (epoch_us(timestamp '2024-01-31 00:00:00') - created_us) / 1e6 > 300")
+_NEEDS = "(select dst as task_id, src as needs from v_edges union all select event_id, -event_id from events where event_id % 100 = 0 union all select id, -id from v_vertices where id % 10 = 0)"
+
+
+def _needs(s, d) -> DataFrame:
+    """What tasks need: producers in the graphs, and for some a task that there is not."""
+    odd = lambda rows, k, m: rows.filter(F.col(k) % m == 0).select(F.col(k).alias("task_id"), (-F.col(k)).alias("needs"))
+    return A.edges(s, d).select(F.col("dst").alias("task_id"), F.col("src").alias("needs")).unionByName(odd(A.table(s, d, "events"), "event_id", 100)).unionByName(odd(A.vertices(s, d), "id", 10))
+
+
+@query(f"""with lacking as (select task_id, string_agg(distinct cast(needs as varchar), ',' order by cast(needs as varchar)) as missing from {_NEEDS} where needs not in (select task_id from v_tasks) group by 1)
+    select task_id, round((epoch_us(timestamp '2024-01-31 00:00:00') - created_us) / 1e6, 3) as age, coalesce(missing, '') as missing from v_tasks left join lacking using (task_id) where scheduled_us is null and (epoch_us(timestamp '2024-01-31 00:00:00') - created_us) / 1e6 > 300""")
 def long_pending_alerts(s, d):
-    return live.long_pending(A.tasks(s, d), F.lit(NOW).cast("timestamp"))
+    t = A.tasks(s, d)
+    found = live.long_pending(t, F.lit(NOW).cast("timestamp"), live.missing_dependencies(_needs(s, d), t))
+    return found.withColumn("missing", F.array_join(F.array_sort(F.transform("missing", lambda x: x.cast("string"))), ","))
+
+
+@query(f"""with t as (select id, (1000000 + id % 1000) * 1000000 as created, case when id % 5 <> 0 then (1000000 + id % 1000 + id % 7 * 100) * 1000000 end as started from v_vertices), seen as (select greatest(max(created), max(started)) - 10000000 as mark from t),
+    lacking as (select task_id, string_agg(distinct cast(needs as varchar), ',' order by cast(needs as varchar)) as missing from {_NEEDS} where needs not in (select id from v_vertices) and task_id in (select id from v_vertices) group by 1)
+    select id as task_id, created + 300000000 as "at", coalesce(missing, '') as missing from t left join lacking on task_id = id where started > created + 300000000 or started is null and (created + 300000000) // 1000 < (select mark // 1000 from seen)""")
+def stream_long_pending(s, d):
+    folder = new_folder(s)
+    v = A.vertices(s, d).select(F.col("id").alias("task_id"))
+    at = lambda later: F.timestamp_micros(((F.col("task_id") % 1000 + later + 1_000_000) * 1_000_000).cast("long")).alias("ts")
+    created = v.select((2 * F.col("task_id")).alias("event_id"), "task_id", at(F.lit(0)), F.lit("created").alias("kind"))
+    started = v.filter("task_id % 5 <> 0").select((2 * F.col("task_id") + 1).alias("event_id"), "task_id", at(F.col("task_id") % 7 * 100), F.lit("started").alias("kind"))
+    _in_order(created.unionByName(started).withColumn("us", F.unix_micros("ts")), "us", f"{folder}/in")
+    events = s.readStream.schema("event_id long, task_id long, ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = _run(live.stream_long_pending(events, live.missing_dependencies(_needs(s, d), v)), "append", folder)
+    return out.select("task_id", "at", F.array_join(F.array_sort(F.transform("missing", lambda x: x.cast("string"))), ",").alias("missing"))
 
 
 @query("select count_if(status = 'failed') > 0 and count_if(status = 'completed') = 0 as deadlock from v_tasks")

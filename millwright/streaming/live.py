@@ -53,9 +53,23 @@ def stream_longest_job(events: DataFrame) -> DataFrame:
     return events.groupBy().agg(F.max_by(F.struct("event_id", "value"), F.struct("value", -F.col("event_id"))).alias("x")).select("x.event_id", "x.value")
 
 
-def stream_progress_counters(events: DataFrame) -> DataFrame:
-    count = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
-    return events.groupBy().agg(*[count(k) for k in ("completed", "failed", "cancelled")])
+#: What lines of a live log say, and the numbers of a queue snapshot in it.
+STARTED, REMOTE_OK, LOCAL, SNAPSHOT = r"Starting task ccdb_", r"Remote compilation successful", r"Falling back to local|本地编译|local compilation", r"Status update:"
+QUEUE = ("pending", "ready", "running", "completed", "failed", "total")
+
+
+def read_log(spark: SparkSession, path: str, *, files_per_batch: int = 1) -> DataFrame:
+    """The lines of a log's files as they come."""
+    return spark.readStream.schema("line string").option("maxFilesPerTrigger", files_per_batch).text(path)
+
+
+def stream_progress_counters(lines: DataFrame) -> DataFrame:
+    """Lines so far that say started, remote_ok and local_fallback, and the queue of the newest snapshot (lines begin with their time); null before the first."""
+    line = F.col("line")
+    said = lambda form, name: F.count_if(line.rlike(form)).alias(name)
+    number = lambda k: F.nullif(F.regexp_extract(line, rf"{k}\W{{0,4}}(\d+)", 1), F.lit("")).cast("long").alias(k)
+    snapshot = F.when(line.rlike(SNAPSHOT), F.struct(*map(number, QUEUE)))
+    return lines.groupBy().agg(said(STARTED, "started"), said(REMOTE_OK, "remote_ok"), said(LOCAL, "local_fallback"), F.max_by(snapshot, F.when(line.rlike(SNAPSHOT), line)).alias("x")).select("started", "remote_ok", "local_fallback", "x.*")
 
 
 def _stateful(events: DataFrame, out: str, state: str, fold) -> DataFrame:
@@ -71,8 +85,8 @@ def _stateful(events: DataFrame, out: str, state: str, fold) -> DataFrame:
     return events.groupBy("node_id").applyInPandasWithState(step, out, state, "update", "NoTimeout")
 
 
-def _timed(events: DataFrame, out: str, state: str, step) -> DataFrame:
-    """Each node's events, in time order, and its timer, told to ``step``; for append mode.
+def _timed(events: DataFrame, out: str, state: str, step, key: str = "node_id") -> DataFrame:
+    """Each key's events, in time order, and its timer, told to ``step``; for append mode.
 
     ``step(now, row)`` takes the state (None at first) and an event, or None for the timer, and gives rows to put out, the new
     state (None: forgotten) and when, in microseconds, to wake.  Late events are left out by the watermark before.
@@ -95,8 +109,8 @@ def _timed(events: DataFrame, out: str, state: str, step) -> DataFrame:
             held.setTimeoutTimestamp(max(wake // 1000, held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *r) for r in rows], columns=names)
 
-    timed = events.withWatermark("ts", LATE_BEATS).select("node_id", "event_id", "kind", "ts", F.unix_micros("ts").alias("us"))
-    return timed.groupBy("node_id").applyInPandasWithState(run, out, state, "append", "EventTimeTimeout")
+    timed = events.withWatermark("ts", LATE_BEATS).select(key, "event_id", "kind", "ts", F.unix_micros("ts").alias("us"))
+    return timed.groupBy(key).applyInPandasWithState(run, out, state, "append", "EventTimeTimeout")
 
 
 def stream_node_state(events: DataFrame, slots: int = 4, silence: int = 30) -> DataFrame:
@@ -165,10 +179,31 @@ def status_snapshot(spark_rows: DataFrame, batch: int) -> DataFrame:
     return spark_rows.groupBy("kind").agg(F.count("*").alias("events")).withColumn("batch", F.lit(batch))
 
 
-def long_pending(tasks: DataFrame, now, *, seconds: int = 300) -> DataFrame:
-    """Tasks not started so long after they were created."""
+def missing_dependencies(dependencies: DataFrame, known: DataFrame) -> DataFrame:
+    """(task_id, missing): what each task needs that no task is; ``dependencies``: task_id, needs."""
+    lacking = dependencies.join(known.select(F.col("task_id").alias("needs")), "needs", "left_anti")
+    return lacking.groupBy("task_id").agg(F.array_sort(F.collect_set("needs")).alias("missing"))
+
+
+def long_pending(tasks: DataFrame, now, missing: DataFrame, *, seconds: int = 300) -> DataFrame:
+    """Tasks not started so long after they were created, with what they need that is not known."""
     age = (F.unix_micros(now) - F.unix_micros("created_at")) / 1_000_000
-    return tasks.filter(F.col("scheduled_at").isNull() & (age > seconds)).select("task_id", F.round(age, 3).alias("age"))
+    return tasks.filter(F.col("scheduled_at").isNull() & (age > seconds)).join(missing, "task_id", "left").select("task_id", F.round(age, 3).alias("age"), F.coalesce("missing", F.array().cast(missing.schema["missing"].dataType)).alias("missing"))
+
+
+def stream_long_pending(events: DataFrame, missing: DataFrame, *, seconds: int = 300) -> DataFrame:
+    """(task_id, at, missing) by a timer, so long after a task was created unless it was started before; ``events``: event_id, task_id, ts, kind (created or started)."""
+    wait = seconds * 1_000_000
+
+    def step(now, row):
+        if row is None:
+            return [(now[0],)], None, None
+        if row.kind == "created":
+            return [], (row.us + wait,), row.us + wait
+        return ([(now[0],)] if now and row.us > now[0] else []), None, None
+
+    due = _timed(events, "task_id long, at long", "due long", step, "task_id")
+    return due.join(missing, "task_id", "left").select("task_id", "at", F.coalesce("missing", F.array().cast(missing.schema["missing"].dataType)).alias("missing"))
 
 
 def deadlock_report(counts: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ CHOSEN = """task_summary node_summary metric_percentiles quantile_summary cluste
 ema_compile_time ema_compile_time_by_day forecast_load running_compile_totals small_task_batches resolve_includes size_band_estimate concurrency_peak queue_waits dependency_status
 rank_nodes_weighted edge_jaccard edge_diff link_markers topological_levels upward_rank critical_path cyclic_nodes dependency_clusters validate_graph incremental_plan
 flag_signature sanitize_flags source_complexity parse_log_event read_compile_db read_dep_files read_hosts apply_retention stream_event_counters stream_ema
-parse_session_log read_makefile_rules read_task_order_table read_bench_summary stream_status_snapshots""".split()
+parse_session_log read_makefile_rules read_task_order_table read_bench_summary stream_status_snapshots
+content_hash needs_rebuild_flag fit_compile_model predict_compile_time project_fingerprint rank_nodes_fastest parse_log_udtf read_run_results read_stats_page
+stream_node_state stream_backoff stream_heartbeat_sessions progress_counters stream_long_pending repair_cycles""".split()
 
 
 @pytest.fixture(scope="module")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millwright.operators.ordered import value_at, value_ranks
+
 
 def balance_metrics(counts: DataFrame, keys: list[str], value: str = "tasks") -> DataFrame:
     """Of the counts of each group's nodes: total, nodes, mean, sample deviation (0 of one), its percentage of the mean, and extremes."""
@@ -78,8 +80,7 @@ def schedule_metrics(schedule: DataFrame, edges: DataFrame) -> DataFrame:
     per = schedule.groupBy("machine").agg(F.sum(F.col("end") - F.col("start")).alias("busy"))
     load = per.agg(F.round(F.stddev_pop("busy"), 4).alias("load_std"))
     n = schedule.agg(F.count("*").alias("n"), (F.max("end") - F.min("start")).alias("makespan"), F.max("end").alias("finish"))
-    by_end = schedule.groupBy("end").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("end")))
-    p95 = by_end.crossJoin(F.broadcast(n)).filter(F.col("upto") >= F.floor(F.col("n") * 0.95) + 1).agg(F.min("end").alias("p95"))
+    p95 = value_ranks(schedule, [], "end").agg(value_at("end", F.floor(F.col("size") * 0.95) + 1).alias("p95"))
     place = schedule.select("task_id", "machine")
     crossing = edges.join(place.toDF("src", "m1"), "src").join(place.toDF("dst", "m2"), "dst").filter("m1 <> m2").agg(F.count("*").alias("cross_edges"))
     return n.crossJoin(p95).crossJoin(load).crossJoin(crossing).select("makespan", "p95", (F.col("finish") - F.col("p95")).alias("tail"), "load_std", "cross_edges")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import basename, extract_includes
+from millwright.operators.ordered import in_order
 from millwright.sources.shared import cut_lineage
 
 
@@ -96,9 +97,8 @@ def project_dependencies(resolved: DataFrame, prefixes: list[str], root: str) ->
 
 def queue_waits(events: DataFrame, keys: list[str], order: list) -> DataFrame:
     """As-of: for each started event the last scheduled one of its group at or before it, and the seconds between."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("kind") == "scheduled", F.col("sec")), ignorenulls=True).over(w)
-    return events.withColumn("since", last).filter("kind = 'started' and since is not null and sec >= since").withColumn("wait", F.round(F.col("sec") - F.col("since"), 3))
+    placed = in_order(events, keys, order, lasts={"since": F.when(F.col("kind") == "scheduled", F.col("sec"))}).drop("__i", "__n")
+    return placed.filter("kind = 'started' and since is not null and sec >= since").withColumn("wait", F.round(F.col("sec") - F.col("since"), 3))
 
 
 def size_band_estimate(wanted: DataFrame, known: DataFrame, *, share: float = 0.3) -> DataFrame:
@@ -118,7 +118,7 @@ def concurrency_peak(intervals: DataFrame, keys: list[str], start: str, end: str
     """Most intervals at one instant, by a sweep; one that ends when another starts does not overlap it."""
     marks = intervals.select(*keys, F.col(start).alias("t"), F.lit(1).alias("d")).unionByName(intervals.select(*keys, F.col(end).alias("t"), F.lit(-1).alias("d")))
     net = marks.groupBy(*keys, "t").agg(F.sum("d").alias("d"))
-    running = net.withColumn("running", F.sum("d").over(Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    running = in_order(net, keys, ["t"], sums={"running": F.col("d")})
     return running.groupBy(*keys).agg(F.max("running").alias("peak"))
 
 
@@ -128,13 +128,19 @@ def concurrency_at(intervals: DataFrame, keys: list[str], start: Column, end: Co
     return intervals.filter(last >= first).select(*keys, F.explode(F.sequence(first, last)).alias("k")).groupBy(*keys, (F.col("k") * step).alias("at")).agg(F.count("*").alias("running"))
 
 
+def _dealt(tasks: DataFrame) -> DataFrame:
+    """``tasks`` over as many tasks of Spark as a shuffle has, however small the table: each row is about to become one for every node."""
+    return tasks.repartition(int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def exec_cost_matrix(tasks: DataFrame, nodes: DataFrame, time: Column, cuda: Column) -> DataFrame:
     """Seconds of each task on each node: its time over the node's weight, a thousand times that for CUDA off the local node 0.
 
-    ``nodes`` is a dimension table; it is sent along with every partition of tasks only if small enough.
+    The rows asked for are tasks times nodes.  ``nodes`` is a dimension table; Spark sends it along while it is below its own
+    bound for broadcasts, and pairs partitions with partitions beyond it.  Tasks are dealt out first.
     """
     cost = time / F.col("weight") * F.when(cuda & (F.col("node_id") != 0), 1000).otherwise(1)
-    return tasks.crossJoin(nodes.select("node_id", "weight")).withColumn("cost", F.round(cost, 6))
+    return _dealt(tasks).crossJoin(nodes.select("node_id", "weight")).withColumn("cost", F.round(cost, 6))
 
 
 def cost_classes(nodes: DataFrame) -> DataFrame:
@@ -149,10 +155,11 @@ def cheapest_node(matrix: DataFrame, key: str) -> DataFrame:
 def comm_cost_matrix(tasks: DataFrame, nodes: DataFrame, kilobytes: Column) -> DataFrame:
     """Seconds to send each task to each node: its latency and the source at 12.5 MB a second; nothing on the local node 0.
 
-    ``nodes`` is a dimension table; it is sent along with every partition of tasks only if small enough.
+    The rows asked for are tasks times nodes.  ``nodes`` is a dimension table; Spark sends it along while it is below its own
+    bound for broadcasts, and pairs partitions with partitions beyond it.  Tasks are dealt out first.
     """
     cost = F.when(F.col("node_id") == 0, 0.0).otherwise(F.col("latency_ms") / 1000 + kilobytes / 12_800)
-    return tasks.crossJoin(nodes.select("node_id", "latency_ms")).withColumn("comm", F.round(cost, 9)).drop("latency_ms")
+    return _dealt(tasks).crossJoin(nodes.select("node_id", "latency_ms")).withColumn("comm", F.round(cost, 9)).drop("latency_ms")
 
 
 def local_or_remote(tasks: DataFrame, nodes: DataFrame, *, threshold: float = 0.15) -> DataFrame:

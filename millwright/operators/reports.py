@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.functions.columns import hour_bucket, seconds_between, task_durations
-from millwright.sources.shared import cut_lineage
+from millwright.operators.ordered import join_groups, median, value_at, value_ranks
 
 
 def with_durations(tasks: DataFrame) -> DataFrame:
@@ -63,45 +63,26 @@ def decision_usage(decisions: DataFrame) -> DataFrame:
     return decisions.groupingSets(sets, "algorithm", "node_id").agg(F.count("*").alias("decisions"))
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, n, before, size): how many rows of a group have each value, how many a smaller one, and how many there are; nulls are left out.
-
-    Values are counted first and dealt out by range, so that a busy group lies in many parts; sums over parts, of which a group
-    has as many as there are tasks at most, say what comes before each.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    parts = cut_lineage(counts.repartitionByRange(*keys, value).withColumn("part", F.spark_partition_id()))
-    over, before = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
-    held = parts.groupBy(*keys, "part").agg(F.sum("n").alias("held"))
-    shifted = held.select(*keys, "part", F.coalesce(F.sum("held").over(over.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("shift"), F.sum("held").over(over).alias("size"))
-    within = F.coalesce(F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(*before)), F.lit(0))
-    return parts.withColumn("within", within).join(shifted, [*keys, "part"]).select(*keys, value, "n", (F.col("shift") + F.col("within")).alias("before"), "size")
-
-
-def _at(value: str, place: Column) -> Column:
-    """Aggregate: the value at a place (from 1) of a group."""
-    return F.max(F.when((F.col("before") < place) & (place <= F.col("before") + F.col("n")), F.col(value)))
-
-
 def metric_percentiles(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (90, 95, 99)) -> DataFrame:
     """count, mean, median and percentiles by nearest rank with half-even rounding."""
     size = F.col("size")
-    at = [F.round(_at(value, F.bround(F.lit(p / 100) * (size - 1), 0) + 1), 4).alias(f"p{p}") for p in percents]
-    middle = (_at(value, F.floor((size + 1) / 2)) + _at(value, F.floor(size / 2) + 1)) / 2
+    at = [F.round(value_at(value, F.bround(F.lit(p / 100) * (size - 1), 0) + 1), 4).alias(f"p{p}") for p in percents]
+    middle = (value_at(value, F.floor((size + 1) / 2)) + value_at(value, F.floor(size / 2) + 1)) / 2
     picked = value_ranks(df, keys, value).groupBy(*keys).agg(F.round(middle, 4).alias("median"), *at)
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean")).join(picked, keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("mean"))
+    return join_groups(counts, picked, keys)
 
 
 def quantile_summary(df: DataFrame, keys: list[str], value: str, ok: Column) -> DataFrame:
     """Totals, and mean, exclusive 95th percentile (the greatest of fewer than 20) and maximum of the successes."""
     spot = 19 * (F.col("size") + 1) / 20
     low = F.floor(spot)
-    a, b, part = _at(value, low), _at(value, low + 1), F.max(spot - low)
+    a, b, part = value_at(value, low), value_at(value, low + 1), F.max(spot - low)
     p95 = F.when(F.max("size") >= 20, a + part * (F.coalesce(b, a) - a)).otherwise(F.max(value))
     picked = value_ranks(df.filter(ok), keys, value).groupBy(*keys).agg(F.round(p95, 4).alias("p95"))
     good = F.when(ok, F.col(value))
     totals = df.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"), F.round(F.avg(good), 4).alias("mean"), F.round(F.max(good), 4).alias("longest"))
-    return totals.join(picked, keys, "left").select(*keys, "total", "success", "failed", "mean", "p95", "longest")
+    return join_groups(totals, picked, keys, "left").select(*keys, "total", "success", "failed", "mean", "p95", "longest")
 
 
 def queue_stats(tasks: DataFrame) -> DataFrame:
@@ -194,9 +175,11 @@ def algorithm_score(tasks: DataFrame) -> DataFrame:
 
 
 def robust_estimate(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median and median absolute deviation."""
-    middle = df.groupBy(*keys).agg(F.median(value).alias("median"))
-    return df.join(middle, keys).groupBy(*keys).agg(F.round(F.max("median"), 4).alias("median"), F.round(F.median(F.abs(F.col(value) - F.col("median"))), 4).alias("mad"))
+    """Median and median absolute deviation; a group without a known value has no row."""
+    middle = median(df, keys, value)
+    off = join_groups(df, middle, keys).withColumn("__off", F.abs(F.col(value) - F.col("median")))
+    both = join_groups(middle, median(off, keys, "__off", "mad"), keys)
+    return both.select(*keys, F.round("median", 4).alias("median"), F.round("mad", 4).alias("mad"))
 
 
 def trimmed_mean(df: DataFrame, keys: list[str], value: str, share: float = 0.1) -> DataFrame:

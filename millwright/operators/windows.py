@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millwright.operators.ordered import in_order
+
 #: Kinds of server events that count as compiles.
 COMPILE_KINDS = ("COMPILE_OK", "COMPILE_ERROR", "COMPILE_TIMEOUT", "COMPILE_DISCONN")
 
@@ -23,8 +25,7 @@ def rolling_speedup(df: DataFrame, key: str, order: list, estimated: Column, act
 
 def ema_closed_form(df: DataFrame, key: str, order: list, value: str, alpha: float) -> DataFrame:
     """Each group's exponential moving average at its end: the first value weighs (1-a)^(n-1), the i-th a(1-a)^(n-i)."""
-    w = Window.partitionBy(key)
-    ranked = df.withColumn("i", F.row_number().over(w.orderBy(*order))).withColumn("n", F.count("*").over(w))
+    ranked = in_order(df.select(key, *order, value), [key], order).withColumnsRenamed({"__i": "i", "__n": "n"})
     weight = F.when(F.col("i") == 1, F.pow(F.lit(1 - alpha), F.col("n") - 1)).otherwise(alpha * F.pow(F.lit(1 - alpha), F.col("n") - F.col("i")))
     return ranked.groupBy(key).agg(F.round(F.sum(weight * F.col(value)), 4).alias("ema"), F.count("*").alias("n"))
 
@@ -67,8 +68,10 @@ def ema_by_day(df: DataFrame, key: str, day: str, order: list, value: str, alpha
 
 
 def running_success_rate(tasks: DataFrame) -> DataFrame:
-    w = Window.partitionBy("node_id").orderBy("completed_at", "task_id").rowsBetween(Window.unboundedPreceding, 0)
-    return tasks.withColumn("rate", F.round(F.avg((F.col("status") == "completed").cast("double")).over(w), 6))
+    """Each task with the share of successes among its node's tasks of known status up to it."""
+    known, good = F.col("status").isNotNull(), F.col("status") == "completed"
+    counted = in_order(tasks, ["node_id"], ["completed_at", "task_id"], sums={"__known": known.cast("long"), "__good": good.cast("long")})
+    return counted.select(*tasks.columns, F.round(F.try_divide("__good", "__known"), 6).alias("rate"))
 
 
 def forecast_load(samples: DataFrame, nodes: DataFrame, *, last: int = 10, ahead: float = 5.0) -> DataFrame:
@@ -83,26 +86,26 @@ def forecast_load(samples: DataFrame, nodes: DataFrame, *, last: int = 10, ahead
 
 
 def trend_slope(df: DataFrame, key: str, order: list, value: str) -> DataFrame:
-    x = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("x", x).groupBy(key).agg(F.round(F.regr_slope(value, "x"), 6).alias("slope"))
+    """Least-squares slope of a value over the places of its group's rows."""
+    return in_order(df.select(key, *order, value), [key], order).groupBy(key).agg(F.round(F.regr_slope(value, "__i"), 6).alias("slope"))
 
 
 def idle_gaps(schedule: DataFrame) -> DataFrame:
     """Per machine, the summed time between one interval's end and the next one's start."""
-    w = Window.partitionBy("machine").orderBy("start", "task_id")
-    gap = F.greatest(F.lead("start").over(w) - F.col("end"), F.lit(0))
-    return schedule.withColumn("gap", gap).groupBy("machine").agg(F.sum("gap").alias("idle"), F.count("*").alias("intervals"))
+    placed = in_order(schedule.select("machine", "start", "end", "task_id"), ["machine"], ["start", "task_id"], after={"__next": F.col("start")})
+    gap = F.greatest(F.col("__next") - F.col("end"), F.lit(0))
+    return placed.withColumn("gap", gap).groupBy("machine").agg(F.sum("gap").alias("idle"), F.count("*").alias("intervals"))
 
 
 def step_numbers(tasks: DataFrame) -> DataFrame:
     """Place of each task in its build, by start."""
-    return tasks.withColumn("step", F.row_number().over(Window.partitionBy("build_id").orderBy("started_at", "task_id")))
+    return in_order(tasks, ["build_id"], ["started_at", "task_id"]).withColumnRenamed("__i", "step").drop("__n")
 
 
 def status_changes(tasks: DataFrame, key: str = "node_id") -> DataFrame:
     """Rows whose status is not that of the row before in the group."""
-    before = F.lag("status").over(Window.partitionBy(key).orderBy("completed_at", "task_id"))
-    return tasks.withColumn("before", before).filter(~F.col("status").eqNullSafe(F.col("before")))
+    placed = in_order(tasks, [key], ["completed_at", "task_id"], before={"before": F.col("status")}).drop("__i", "__n")
+    return placed.filter(~F.col("status").eqNullSafe(F.col("before")))
 
 
 def phase_durations(states: DataFrame, keys: list[str], at: str, order: list) -> DataFrame:
@@ -112,10 +115,14 @@ def phase_durations(states: DataFrame, keys: list[str], at: str, order: list) ->
 
 def running_compile_totals(stats: DataFrame) -> DataFrame:
     """At each event of a node, how many compiles ended in the last 60, 300 and 900 seconds."""
-    s = stats.withColumn("sec", F.floor(F.unix_micros("stopped_at") / 1_000_000))
-    hit = F.col("kind").isin(*COMPILE_KINDS).cast("int")
-    over = lambda span: Window.partitionBy("node_id").orderBy("sec").rangeBetween(1 - span, 0)
-    return s.select("id", "node_id", *[F.sum(hit).over(over(span)).alias(f"last_{span}") for span in (60, 300, 900)])
+    spans = (60, 300, 900)
+    s = stats.select("id", "node_id", F.floor(F.unix_micros("stopped_at") / 1_000_000).alias("sec"), F.col("kind").isin(*COMPILE_KINDS).cast("int").alias("hit"))
+    own = F.floor(F.col("sec") / max(spans))
+    # an event is seen from its own stretch of 900 seconds and from the next one, so no task needs more than two stretches of a node
+    seen = s.select("*", F.explode(F.when(F.col("sec").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(own, own + 1))).alias("stretch"))
+    over = lambda span: Window.partitionBy("node_id", "stretch").orderBy("sec").rangeBetween(1 - span, 0)
+    totals = seen.select("id", "node_id", "sec", "stretch", *[F.sum("hit").over(over(span)).alias(f"last_{span}") for span in spans])
+    return totals.filter(F.col("stretch").eqNullSafe(own)).drop("sec", "stretch")
 
 
 def minute_load_averages(stats: DataFrame) -> DataFrame:
@@ -149,6 +156,6 @@ def time_share(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def io_rate(samples: DataFrame) -> DataFrame:
     """Change of a counter over the seconds since the node's sample before."""
-    w = Window.partitionBy("node_id").orderBy("at", "sample_id")
-    dt = (F.unix_micros("at") - F.unix_micros(F.lag("at").over(w))) / 1_000_000
-    return samples.withColumn("rate", F.round((F.col("memory") - F.lag("memory").over(w)) / dt, 6))
+    placed = in_order(samples, ["node_id"], ["at", "sample_id"], before={"__at_before": F.col("at"), "__memory_before": F.col("memory")})
+    dt = (F.unix_micros("at") - F.unix_micros("__at_before")) / 1_000_000
+    return placed.select(*samples.columns, F.round((F.col("memory") - F.col("__memory_before")) / dt, 6).alias("rate"))

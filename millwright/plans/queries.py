@@ -1114,6 +1114,18 @@ def telemetry_round_trip(s, d):
     return s.read.parquet(path).filter("event_date >= date'2024-01-11'").select("task_id", "status")
 
 
+@query(f"""select cast(task_id as varchar) as task_id, cast(node_id as varchar) as node_id, status, created_us, scheduled_us, completed_us, round({_QUEUE}, 4) as queue_time, round({_EXEC}, 4) as execution_time
+    from v_tasks where completed_us >= 1704931200000000""")
+def load_telemetry(s, d):
+    """Recorded tasks as CSV, a folder for each day, read with the fixed columns; days before are not read at all."""
+    have = {"task_id": "task_id", "source_file": "file", "node_id": "node_id", "algorithm_used": "algorithm", "status": "status", "created_at": "created_at", "scheduled_at": "scheduled_at", "started_at": "started_at", "completed_at": "completed_at", "queue_time": "queue_seconds", "execution_time": "exec_seconds"}
+    fixed = T.StructType.fromDDL(readers.TELEMETRY["task_executions"])
+    rows = _timed(s, d).select(*[(F.col(have[f.name]) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fixed])
+    writers.write_telemetry(rows, path := new_folder(s), "completed_at", "csv")
+    found = readers.load_telemetry(s, path, "task_executions", "csv").filter("event_date >= date'2024-01-11'")
+    return found.select("task_id", "node_id", "status", *[F.unix_micros(f"{c}_at").alias(f"{c}_us") for c in ("created", "scheduled", "completed")], *[F.round(c, 4).alias(c) for c in ("queue_time", "execution_time")])
+
+
 @query("select task_id, status from v_tasks order by created_us desc, task_id desc limit 1000")
 def export_recent(s, d):
     writers.export_recent(A.tasks(s, d), path := new_folder(s), "created_at", "task_id")

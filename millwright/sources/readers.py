@@ -17,6 +17,9 @@ TELEMETRY = {
     "status_updates": "timestamp timestamp, queue_stats string, cluster_stats string, scheduler_stats string, running_tasks int, ready_tasks int",
 }
 
+#: The time of a recorded row, by which tables are cut into ranges.
+TELEMETRY_AT = {"task_executions": "created_at", "scheduling_decisions": "decision_time"} | dict.fromkeys(("node_performance", "scheduler_statistics", "diagnostics", "status_updates"), "timestamp")
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
@@ -107,6 +110,26 @@ def read_stats_page(spark: SparkSession, path: str, fields: list[str]) -> DataFr
 
 
 def load_telemetry(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
-    """A recorded table from Parquet, CSV or JSON, with its fixed columns; empty CSV cells are null."""
+    """A recorded table from Parquet, CSV or JSON, with its fixed columns; empty CSV cells are null.  A table in folders for each day has event_date as well."""
     reader = spark.read.schema(TELEMETRY[name])
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+
+
+def load_telemetry_jdbc(spark: SparkSession, url: str, name: str, *, dbtable: str | None = None, parts: int = 64, since: str | None = None, until: str | None = None, quote: str = '"', options: dict[str, str] | None = None) -> DataFrame:
+    """A recorded table from a database, there under ``dbtable`` or its own name, with its fixed columns, read by up to ``parts`` tasks at a time.
+
+    Each task asks for one range of the table's time (``TELEMETRY_AT``); the bounds come from the least and greatest time, which
+    the database finds, within [since, until) if given.  Rows without a time are read by the first range, unless a bound leaves
+    them out.  Filters on the result reach the database; only columns that are used are fetched.  An empty table gives an empty one.
+    """
+    stored = dbtable or name
+    at = f"{quote}{TELEMETRY_AT[name]}{quote}"
+    wanted = [f"{at} >= '{since}'"] * (since is not None) + [f"{at} < '{until}'"] * (until is not None)
+    where = " where " + " and ".join(wanted) if wanted else ""
+    source = lambda what: spark.read.format("jdbc").options(url=url, dbtable=what, **(options or {}))
+    span = source(f"(select min({at}) as lo, max({at}) as hi from {stored}{where}) x").load().toDF("lo", "hi")
+    low, high = span.select(F.col("lo").cast("string"), F.col("hi").cast("string")).first()
+    rows = source(f"(select * from {stored}{where}) x" if where else stored).option("customSchema", TELEMETRY[name])
+    if low is not None and low < high:
+        rows = rows.options(partitionColumn=TELEMETRY_AT[name], lowerBound=low, upperBound=high, numPartitions=parts)
+    return rows.load().select(*T.StructType.fromDDL(TELEMETRY[name]).names)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def write_telemetry(rows: DataFrame, path: str, at: str, fmt: str = "parquet") -> None:
-    """Appends rows, in a folder for each day of ``at``."""
-    rows.withColumn("event_date", F.to_date(at)).write.mode("append").partitionBy("event_date").format(fmt).save(path)
+    """Appends rows, in a folder for each day of ``at``; text formats keep microseconds, and CSV files begin with the names."""
+    days = rows.withColumn("event_date", F.to_date(at)).write.mode("append").partitionBy("event_date").format(fmt)
+    if fmt in ("csv", "json"):
+        days = days.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    days.save(path)
 
 
 def newest(df: DataFrame, at: str, tie: str, n: int = 1000) -> DataFrame:

@@ -16,7 +16,8 @@ rank_nodes_weighted edge_jaccard edge_diff link_markers topological_levels upwar
 flag_signature sanitize_flags source_complexity parse_log_event read_compile_db read_dep_files read_hosts apply_retention stream_event_counters stream_ema
 parse_session_log read_makefile_rules read_task_order_table read_bench_summary stream_status_snapshots
 content_hash needs_rebuild_flag fit_compile_model predict_compile_time project_fingerprint rank_nodes_fastest parse_log_udtf read_run_results read_stats_page
-stream_node_state stream_backoff stream_heartbeat_sessions progress_counters stream_long_pending repair_cycles""".split()
+stream_node_state stream_backoff stream_heartbeat_sessions progress_counters stream_long_pending repair_cycles
+load_telemetry running_success_rate status_changes robust_estimate""".split()
 
 
 @pytest.fixture(scope="module")

@@ -291,7 +291,8 @@ def bpe_encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def bpe_decode(coded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
     """The text that the ids of each row spell, as ``Tokenizer.decode(ids, skip_special_tokens=False)`` gives it.
 
-    Returns doc_id, ids, text.  Null ids count as none and give an empty text; bytes that are no UTF-8 become U+FFFD.
+    Returns doc_id, ids, text.  Null ids count as none and give an empty text; bytes that are no UTF-8 become U+FFFD.  Repeated rows
+    stay, very long ones are decoded whole, other columns are left out, and an empty table gives an empty one.
     """
     path = tokenizer or default_tokenizer()
 

@@ -90,7 +90,11 @@ def likeness(one: list[str], two: list[str]) -> np.ndarray:
 
 
 def document_fingerprints(docs: DataFrame, *, text_col: str = "text", levels: int = LEVELS, slots: int = SLOTS) -> DataFrame:
-    """``docs`` with fingerprint string; a null text has that of the empty one; a column so named is replaced."""
+    """``docs`` with fingerprint string.
+
+    A null text has that of the empty one; repeated rows have equal ones; very long texts are parsed whole; an empty table gives an
+    empty one; a column so named is replaced, all others are kept.
+    """
 
     def work(batch):
         texts = [t or "" for t in batch.column("t").to_pylist()]

@@ -74,7 +74,8 @@ def peak_pairs(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def store_media(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with n_bytes long (of the UTF-8 text) and media binary (a WAV whose samples are the padded bytes).
 
-    Null and empty texts are stored as one unit of zero bytes.  Columns already so named are replaced, all others kept.
+    Null and empty texts are stored as one unit of zero bytes; repeated texts give equal bytes; very long texts are stored whole;
+    an empty table gives an empty one.  Columns already so named are replaced, all others kept.
     """
 
     def work(batch):
@@ -90,7 +91,8 @@ MARKS = T.ArrayType(T.StructType().add("t", "integer").add("pair", "long"))
 def read_media(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
     """``stored`` with payload binary, as read back from the WAV, and marks array<struct<t int, pair long>>.
 
-    A null media column gives a null payload and null marks.
+    Null media give a null payload and null marks; equal media give equal marks; long ones are read whole, a few frames at a time
+    for the transform; an empty table gives an empty one.  Columns already so named are replaced, all others kept.
     """
     kind = pa.list_(pa.struct([("t", pa.int32()), ("pair", pa.int64())]))
 

@@ -88,7 +88,11 @@ def find_secrets(docs: DataFrame, *, text_col: str = "text", window: int = WINDO
 
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with every secret of the text replaced by ``mark``; overlapping spans are replaced together.  A null text stays null."""
+    """``docs`` with every secret of the text replaced by ``mark``; overlapping spans are replaced together.
+
+    A null text stays null, an empty one empty; repeated rows stay and are changed alike; very long texts are searched whole; an
+    empty table gives an empty one; all other columns are kept.
+    """
     found = find_secrets(docs, text_col=text_col, **options)
 
     def work(batch):

@@ -113,7 +113,11 @@ def count_text(text: str, counts: WordCounts) -> int:
 
 
 def token_counts(docs: DataFrame, *, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``docs`` with n_tokens long: the pieces of each whole text.  Null and empty texts have none; a column so named is replaced."""
+    """``docs`` with n_tokens long: the pieces of each whole text.
+
+    Null and empty texts have none; repeated rows count alike; very long texts are counted whole; an empty table gives an empty
+    one; a column so named is replaced, all others are kept.
+    """
     path = vocabulary or default_vocabulary()
 
     def work(batch):

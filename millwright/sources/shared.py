@@ -31,6 +31,13 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def moved(spark: SparkSession, folder: str, to: str) -> bool:
+    """Gives a folder another name at once; False where there is none."""
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, to))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(old) and files.rename(old, new)
+
+
 def cut_lineage(df: DataFrame, *, instead_of: DataFrame | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: plans start anew there, with nothing of what loops have inferred about columns.
 

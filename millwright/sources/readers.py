@@ -103,9 +103,15 @@ def read_bench_summary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_stats_page(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    """One row a page of "key value" lines, the named fields as doubles."""
-    pairs = F.transform(F.filter(F.split("value", "\n"), lambda s: s.rlike(r"^\s*[\w.]+\s+[-\d.]+\s*$")), lambda s: F.struct(F.regexp_extract(s, r"^\s*([\w.]+)", 1).alias("k"), F.regexp_extract(s, r"([-\d.]+)\s*$", 1).alias("v")))
-    page = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.map_from_entries(pairs).alias("m"))
+    """One row a page of "key value" lines, the named fields as doubles.
+
+    A file may hold many pages, each up to its end tag (``</distccstats>``); what follows the last one is no page.  A file without
+    such a tag is one page.  A file is read whole, so keep it to some tens of megabytes.
+    """
+    pairs = F.transform(F.filter(F.split("page", "\n"), lambda s: s.rlike(r"^\s*[\w.]+\s+[-\d.]+\s*$")), lambda s: F.struct(F.regexp_extract(s, r"^\s*([\w.]+)", 1).alias("k"), F.regexp_extract(s, r"([-\d.]+)\s*$", 1).alias("v")))
+    parts = F.split("value", "</distccstats>")
+    pages = F.when(F.size(parts) > 1, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(parts)
+    page = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.explode(pages).alias("page")).select(F.map_from_entries(pairs).alias("m"))
     return page.select(*[F.try_element_at("m", F.lit(f)).cast("double").alias(f) for f in fields])
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 
 from millwright.plans.queries import QUERIES
+from millwright.sources import readers
 from millwright.streaming import live
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -39,3 +40,11 @@ def test_alerts_without_broadcasts(spark, sf_dir):
         assert QUERIES["stream_long_pending"](spark, sf_dir).count() > 0
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_file_of_many_stats_pages(spark, tmp_path):
+    page = "argv /distccd\n<distccstats>\nnode {}\nrq {}\n</distccstats>\n"
+    (tmp_path / "many").write_text("".join(page.format(k, 2 * k) for k in range(50)) + "</tt></body></html>\n")
+    (tmp_path / "bare").write_text("node 99\n")
+    rows = sorted(map(tuple, readers.read_stats_page(spark, str(tmp_path), ["node", "rq"]).collect()))
+    assert rows == [(float(k), 2.0 * k) for k in range(50)] + [(99.0, None)]

@@ -10,7 +10,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from millwright.sources.shared import cut_lineage, new_folder
+from millwright.sources import shared
+from millwright.sources.shared import new_folder
+
+
+def cut_lineage(df: DataFrame, *, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` as a table, to be joined by shuffles: loops have hundreds of joins, and each table broadcast goes through the driver."""
+    found = shared.cut_lineage(df, instead_of=instead_of)
+    hinted = found.hint("merge")
+    hinted.table_path = found.table_path
+    return hinted
 
 
 def _anchored(single: DataFrame) -> DataFrame:
@@ -164,14 +173,27 @@ def propagate_failures(failed: DataFrame, edges: DataFrame, open_tasks: DataFram
 
 
 def include_closure(sources: DataFrame, edges: DataFrame) -> DataFrame:
-    """(unit, id) of all that each unit reaches; pairs advance hop by hop."""
+    """(unit, id) of all that each unit reaches; pairs advance hop by hop.
+
+    A hop's pairs are written once and not compared with all that were seen, except in hops 1, 2, 4, 8 and so on, where those go that
+    are known: on cycles, too, a hop is empty before it is twice as long as the longest way.  Pairs with ways of several lengths meet
+    at the end.
+    """
+    spark, folder = edges.sparkSession, new_folder(edges.sparkSession)
     e = cut_lineage(edges.select(F.col("src").alias("at"), F.col("dst").alias("id")).distinct())
-    seen = front = cut_lineage(sources.select("unit").distinct().join(e, F.col("unit") == F.col("at")).select("unit", "id"))
-    while not front.isEmpty():
-        more = front.select("unit", F.col("id").alias("at")).join(e, "at").select("unit", "id").distinct()
-        front = cut_lineage(more.join(seen, ["unit", "id"], "left_anti"))
-        seen = cut_lineage(seen.unionByName(front))
-    return seen
+    more = sources.select("unit").distinct().join(e, F.col("unit") == F.col("at")).select("unit", "id")
+    kind, hop, paths = more.schema, 0, []
+    known = lambda: spark.read.schema(kind).parquet(*paths)
+    while True:
+        if hop and hop & (hop - 1) == 0:
+            more = more.join(known().hint("merge"), ["unit", "id"], "left_anti")
+        paths.append(f"{folder}/hop={hop}")
+        seen = Observation()
+        more.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(paths[-1])
+        if not seen.get["n"]:
+            return known().distinct()
+        more = spark.read.schema(kind).parquet(paths[-1]).select("unit", F.col("id").alias("at")).join(e, "at").select("unit", "id").distinct()
+        hop += 1
 
 
 def ready_tasks(vertices: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
@@ -330,8 +352,8 @@ def validate_graph(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def incremental_plan(old: DataFrame, new: DataFrame, edges: DataFrame) -> DataFrame:
     """What to build again: files that are new or changed, and all that depend on them.  (graph_id, id, stamp) before and now."""
     keys = ["graph_id", "id"]
-    changed = new.join(old.withColumnRenamed("stamp", "before"), keys, "left").filter(~F.col("stamp").eqNullSafe(F.col("before")))
-    return impacted_tasks(changed, edges).join(new.select(*keys), keys, "left_semi")
+    changed = new.join(old.withColumnRenamed("stamp", "before").hint("merge"), keys, "left").filter(~F.col("stamp").eqNullSafe(F.col("before")))
+    return impacted_tasks(changed, edges).join(new.select(*keys).hint("merge"), keys, "left_semi")
 
 
 

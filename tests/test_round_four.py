@@ -6,6 +6,7 @@ import datetime as dt
 
 import pytest
 
+from millwright.operators import graph
 from millwright.plans.queries import QUERIES
 from millwright.sources import readers
 from millwright.streaming import live
@@ -48,3 +49,19 @@ def test_a_file_of_many_stats_pages(spark, tmp_path):
     (tmp_path / "bare").write_text("node 99\n")
     rows = sorted(map(tuple, readers.read_stats_page(spark, str(tmp_path), ["node", "rq"]).collect()))
     assert rows == [(float(k), 2.0 * k) for k in range(50)] + [(99.0, None)]
+
+
+def test_loops_over_graphs_broadcast_nothing(spark):
+    e = graph.cut_lineage(spark.range(10).selectExpr("0L as graph_id", "id as src", "id + 1 as dst"))
+    plan = e.select("graph_id", "src").distinct().join(e.filter("dst > 3"), ["graph_id", "src"], "left_semi")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_include_closure_on_cycles(spark):
+    pairs = [(k, (k + 1) % 11) for k in range(11)] + [(0, 5), (20, 0), (3, 3), (5, 30)]
+    reach = set(pairs)
+    while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+        reach |= more
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    units = spark.createDataFrame([(k,) for k in {x for p in pairs for x in p}], "unit long")
+    assert sorted(map(tuple, graph.include_closure(units, edges).collect())) == sorted(reach)

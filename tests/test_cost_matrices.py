@@ -11,6 +11,7 @@ from millwright.operators import joins
 
 MATRICES = {
     "exec": lambda tasks, nodes: joins.exec_cost_matrix(tasks, nodes, F.col("time"), F.col("cuda")).select("id", "node_id", "cost"),
+    "comm": lambda tasks, nodes: joins.comm_cost_matrix(tasks, nodes, F.col("time")).select("id", "node_id", "comm"),
 }
 
 
@@ -30,7 +31,7 @@ def test_tiles_hold_few_bytes(spark, tmp_path, joined_by_pairs, kind):
     nodes = spark.range(5000).selectExpr("id as node_id", "element_at(array(2.0d, 1.0d, 0.5d), int(id % 3) + 1) as weight", "id * 7 % 300 as latency_ms")
     MATRICES[kind](tasks, nodes).write.parquet(f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == 800_000
-    assert sum(f.stat().st_size for f in os.scandir(f"{tmp_path}/out")) < {"exec": 400_000}[kind]
+    assert sum(f.stat().st_size for f in os.scandir(f"{tmp_path}/out")) < {"exec": 400_000, "comm": 1_000_000}[kind]
 
 
 @pytest.mark.parametrize("kind", MATRICES)
@@ -54,3 +55,6 @@ def test_other_columns_stay(spark):
     found = joins.exec_cost_matrix(t, n, F.col("time"), F.col("cuda"))
     assert found.columns == ["id", "time", "cuda", "a.b", "note", "node_id", "weight", "cost"]
     assert list(map(tuple, found.collect())) == [(1, 8, True, "a", "b", 3, 2.0, 4000.0)]
+    found = joins.comm_cost_matrix(t, n, t["time"])
+    assert found.columns == ["id", "time", "cuda", "a.b", "note", "node_id", "comm"]
+    assert list(map(tuple, found.collect())) == [(1, 8, True, "a", "b", 3, round(0.09 + 8 / 12_800, 9))]

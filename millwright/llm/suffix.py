@@ -17,8 +17,6 @@ Nothing is capped: every window of every document is in exactly one entry.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.llm.common import MARKS, removed, shared_dir, tidy, written
+from millwright.llm.passages import least_places, merged, repeated_short_passages, word_places
 from millwright.llm.shingles import mix
 
 #: Length of a repeated string, of an anchor, number of batches, and classes of one anchor that one task compares.
@@ -65,14 +64,7 @@ def _entries(data: np.ndarray, bounds: np.ndarray, min_bytes: int, gram: int) ->
     empty = np.zeros(0, np.int64)
     if n <= 0:
         return empty, empty, empty, empty, np.zeros(0, np.uint64)
-    low = np.uint64((1 << 24) - 1)
-    keyed = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-    blocks = np.full(-(-len(keyed) // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    blocks[: len(keyed)] = keyed
-    blocks = blocks.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    anchor = (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & low).astype(np.int64)
+    anchor = least_places(hashes, width)
     owner = np.searchsorted(bounds, np.arange(n), side="right") - 1
     valid = np.arange(n) + min_bytes <= bounds[owner + 1]
     new = np.ones(n, bool)
@@ -101,7 +93,29 @@ def _list_entries(texts: list[bytes], min_bytes: int, gram: int):
 
 
 def equal_windows(contexts: list[bytes], starts: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context number, start) of the windows of ``min_bytes`` that occur in two contexts or more; ``starts``: windows in each."""
+    """(context number, start) of the windows of ``min_bytes`` that occur in two contexts or more; ``starts``: windows in each.
+
+    Only the stretches whose windows' hashes stand twice are ordered.
+    """
+    raw = b"".join(contexts)
+    base = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])[:-1]
+    owner = np.repeat(np.arange(len(contexts)), starts)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
+    hashes = _window_hashes(np.frombuffer(raw, np.uint8), min_bytes, _BASE)[base[owner] + at]
+    order = np.argsort(hashes)
+    equal = hashes[order[1:]] == hashes[order[:-1]]
+    twice = np.zeros(len(owner), bool)
+    twice[order[1:][equal]] = twice[order[:-1][equal]] = True
+    owner, first, last = _ranges(owner[twice], at[twice])
+    if not len(owner):
+        return owner, first
+    cut = [contexts[i][a : b + min_bytes] for i, a, b in zip(owner.tolist(), first.tolist(), last.tolist())]
+    part, at = _ordered_windows(cut, last - first + 1, min_bytes)
+    return owner[part], first[part] + at
+
+
+def _ordered_windows(contexts: list[bytes], starts: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """``equal_windows`` by the order of all suffixes of the contexts."""
     raw = b"".join(contexts)
     base = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])[:-1]
     owner = np.repeat(np.arange(len(contexts)), starts)
@@ -121,19 +135,9 @@ def equal_windows(contexts: list[bytes], starts: np.ndarray, min_bytes: int) ->
     return owner[twice], at[twice]
 
 
-#: What parts words, as in str.split(): bytes of ASCII, and longer characters.
-_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
-_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-
-
 def short_passages(raw: bytes, words: int, below: int) -> dict[bytes, tuple[int, list[list[int]]]]:
     """Of the passages of ``words`` words that take fewer than ``below`` bytes, by their 128-bit hash: how many there are, and the runs of bytes they cover."""
-    space = _SPACE[np.frombuffer(raw, np.uint8)]
-    if not raw.isascii():
-        for m in _WIDE_SPACE.finditer(raw):
-            space[m.start() : m.end()] = True
-    turns = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
-    starts, ends = turns[::2], turns[1::2]
+    starts, ends = word_places(raw)
     if len(starts) < words:
         return {}
     starts, ends = starts[: len(starts) - words + 1], ends[words - 1 :]
@@ -224,17 +228,20 @@ def _marks(df: DataFrame) -> DataFrame:
     return F.broadcast(df.select(_mark().alias(_MARK)).distinct())
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, gram: int = GRAM, batches: int = BATCHES, anchor_classes: int = ANCHOR_CLASSES, whole_characters: bool = False, min_words: int | None = None, hot_times: int = HOT_TIMES, sent_passages: int = SENT_PASSAGES) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, gram: int = GRAM, batches: int = BATCHES, anchor_classes: int = ANCHOR_CLASSES, whole_characters: bool = False, min_words: int | None = None, passage_words: int | None = None, hot_times: int = HOT_TIMES, sent_passages: int = SENT_PASSAGES) -> DataFrame:
     """Every text without the bytes that a repeated string of ``min_bytes`` bytes covers (here or in another document).
 
     Adds to the columns of ``docs``, replacing any so named: n_bytes long, spans array<struct<start, end>> (maximal removed
     byte runs), kept binary (the other bytes).  ``whole_characters``: a character stays whole if any of its bytes does.
     ``min_words``: a repeated string of so many whole words is removed too, however few bytes it takes.
+    ``passage_words``: a column repeated is added, like spans, of the runs that spans and repeated strings of so many whole words
+    (however few bytes they take) cover together; the latter are told, not removed.
     A null text counts as empty; null ids are ids like others; a repeated row repeats its text, so both are removed where long
     enough; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    others = [c for c in docs.columns if c.lower() not in ("n_bytes", "spans", "kept")]
+    added = ["n_bytes", "spans", "kept", *(["repeated"] if passage_words is not None else [])]
+    others = [c for c in docs.columns if c.lower() not in added]
     gram = min(gram, max(1, min_bytes // 2))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # a text is known by its id (without one, by a hash of it) and a checksum; both checksum and place share one number
@@ -418,24 +425,30 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         looked_up = parted.select("uid", "th", F.inline("listed")).join(again.filter(F.col("times") <= hot_times) if few else again, ["w1", "w2"]).select("uid", "th", "cover")
         short = looked_up.unionByName(parted.filter(F.size("cover") > 0).select("uid", "th", "cover"))
         cover = written(gathered(by_bytes.select("uid", "th", "cover").unionByName(short)))
+    if passage_words is None:
+        cover = cover.withColumn("passages", F.lit(None).cast(cover.schema["cover"].dataType))
+    else:
+        located = docs.select(uid.alias("uid"), check.alias("th"), text.alias("text")).withColumn(_MARK, _mark())
+        short = repeated_short_passages(located, cover, folder, words=passage_words, below=min_bytes, mark=_MARK)
+        cover = written(cover.join(short, ["uid", "th"], "full"))
     removed(spark, folder)  # of entries, levels and all between them and the cover nothing is needed any more
     marks = _marks(cover)
-    touched = rows.join(marks, _MARK, "left_semi").join(cover, ["uid", "th"], "left").select("row", "cover")
-    untouched = rows.join(marks, _MARK, "left_anti").select("row", F.lit(None).cast(touched.schema["cover"].dataType).alias("cover"))
+    touched = rows.join(marks, _MARK, "left_semi").join(cover, ["uid", "th"], "left").select("row", "cover", "passages")
+    none = F.lit(None).cast(touched.schema["cover"].dataType)
+    untouched = rows.join(marks, _MARK, "left_anti").select("row", none.alias("cover"), none.alias("passages"))
     joined = touched.unionByName(untouched)
     span_type = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
     out_schema = T.StructType().add("row", joined.schema["row"].dataType).add("n_bytes", "long").add("spans", span_type).add("kept", "binary")
+    out_schema = out_schema if passage_words is None else out_schema.add("repeated", span_type)
+
+    as_spans = lambda runs: [{"start": a, "end": b} for a, b in runs]
 
     def remove(parts):
         for batch in parts:
-            n_bytes, spans, kept = [], [], []
-            for raw, cover in zip(texts_of(batch), batch.column("cover").to_pylist()):
-                runs: list[list[int]] = []
-                for x in sorted(cover or [], key=lambda x: x["start"]):
-                    if runs and x["start"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], x["end"])
-                    else:
-                        runs.append([x["start"], x["end"]])
+            n_bytes, spans, kept, repeated = [], [], [], []
+            for raw, cover, passages in zip(texts_of(batch), batch.column("cover").to_pylist(), batch.column("passages").to_pylist()):
+                runs = merged((x["start"], x["end"]) for x in cover or [])
+                repeated.append(as_spans(merged([*map(tuple, runs), *((x["start"], x["end"]) for x in passages or [])])))
                 if whole_characters:
                     for r in runs:
                         while r[0] < r[1] and raw[r[0]] & 0xC0 == 0x80:
@@ -448,8 +461,10 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     parts_kept.append(raw[at:a])
                     at = b
                 n_bytes.append(len(raw))
-                spans.append([{"start": a, "end": b} for a, b in runs])
+                spans.append(as_spans(runs))
                 kept.append(b"".join([*parts_kept, raw[at:]]))
-            yield pa.record_batch([batch.column("row"), pa.array(n_bytes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["row", "n_bytes", "spans", "kept"])
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            columns = [batch.column("row"), pa.array(n_bytes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(repeated, kind)]
+            yield pa.record_batch(columns[: 1 + len(added)], ["row", *added])
 
-    return joined.mapInArrow(tidy(remove), out_schema).select("row.*", "n_bytes", "spans", "kept")
+    return joined.mapInArrow(tidy(remove), out_schema).select("row.*", *added)

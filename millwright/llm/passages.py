@@ -96,6 +96,15 @@ def merged(runs: Iterable[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def inside_spans(spans: pa.ListArray, owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of the ranges [lo, hi) of text number ``owner`` lie in one of that text's spans."""
+    of = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy()) << 32
+    start, end = (of + spans.flatten().field(k).to_numpy() for k in (0, 1))
+    order = np.argsort(start)
+    far = np.append(np.maximum.accumulate(end[order]), -1)  # what begins in earlier texts ends in them
+    return far[np.searchsorted(start[order], (owner << 32) + lo, side="right") - 1] >= (owner << 32) + hi
+
+
 def repeated_short_passages(texts: DataFrame, cover: DataFrame, folder: str, *, words: int, below: int, mark: str) -> DataFrame:
     """(uid, th, passages): the runs of bytes that passages of ``words`` words cover which take fewer than ``below`` bytes and stand in two places or more.
 
@@ -103,10 +112,11 @@ def repeated_short_passages(texts: DataFrame, cover: DataFrame, folder: str, *,
     copy lies inside one of these spans may be left out.
     """
 
-    def beside(table: DataFrame, column: str, outer: bool) -> DataFrame:
+    def beside(table: DataFrame, columns: list[str], outer: bool) -> DataFrame:
         marks = F.broadcast(table.select(F.pmod(F.xxhash64("uid"), F.lit(MARKS)).alias(mark)).distinct())
-        found = texts.join(marks, mark, "left_semi").join(table, ["uid", "th"], "left" if outer else "inner").select("uid", "th", "text", column)
-        return found.unionByName(texts.join(marks, mark, "left_anti").select("uid", "th", "text", F.lit(None).cast(found.schema[column].dataType).alias(column))) if outer else found
+        found = texts.join(marks, mark, "left_semi").join(table, ["uid", "th"], "left" if outer else "inner").select("uid", "th", "text", *columns)
+        none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in columns]
+        return found.unionByName(texts.join(marks, mark, "left_anti").select("uid", "th", "text", *none)) if outer else found
 
     def raw_texts(batch) -> list[bytes]:
         return [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
@@ -118,13 +128,7 @@ def repeated_short_passages(texts: DataFrame, cover: DataFrame, folder: str, *,
             if not listed:
                 continue
             owner, lo, hi, key = (np.concatenate(x) for x in zip(*listed))
-            spans = batch.column("cover")
-            of = np.repeat(np.arange(len(raw)), spans.value_lengths().fill_null(0).to_numpy()) << 32
-            start, end = (of + spans.flatten().field(k).to_numpy() for k in (0, 1))
-            order = np.argsort(start)
-            far = np.maximum.accumulate(end[order]) if len(order) else end
-            at = np.searchsorted(start[order], (owner << 32) + lo, side="right") - 1
-            held = (at >= 0) & (np.append(far, -1)[at] >= (owner << 32) + hi)
+            held = inside_spans(batch.column("cover"), owner, lo, hi)
             keys, group, count = np.unique(key, return_inverse=True, return_counts=True)
             outside = np.zeros(len(keys), bool)
             outside[group[~held]] = True
@@ -141,27 +145,34 @@ def repeated_short_passages(texts: DataFrame, cover: DataFrame, folder: str, *,
             votes = np.concatenate([key, keys[settled]]), np.concatenate([salt, np.zeros(n, np.int64)]), np.concatenate([~held, np.ones(n, bool)])
             yield pa.record_batch([pa.array(votes[0]), pa.array(votes[1]), place(uid[owner]), place(th[owner]), place(lo), place(hi), pa.array(votes[2])], ["key", "salt", "uid", "th", "lo", "hi", "outside"])
 
-    places = beside(cover, "cover", True).mapInArrow(tidy(list_places), "key long, salt long, uid long, th long, lo long, hi long, outside boolean")
+    places = beside(cover, ["cover"], True).mapInArrow(tidy(list_places), "key long, salt long, uid long, th long, lo long, hi long, outside boolean")
     alike = Window.partitionBy("key", "salt")
     contested = places.withColumn("n", F.count("*").over(alike)).withColumn("outside", F.max("outside").over(alike)).filter("uid is not null and (salt > 0 or n > 1 and outside)")
-    per_text = written(contested.groupBy("uid", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), folder=f"{folder}/ranges")
+    per_text = written(contested.groupBy("uid", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).join(cover.select("uid", "th", "cover"), ["uid", "th"], "left"), folder=f"{folder}/ranges")
 
     def list_windows(parts):
         for batch in parts:
             uid, th = batch.column("uid").to_pylist(), batch.column("th").to_pylist()
-            found: dict[bytes, list[tuple[int, int, int]]] = {}
-            for i, (raw, ranges) in enumerate(zip(raw_texts(batch), batch.column("ranges"))):
-                starts, ends = word_places(raw)
+            raw, listed = raw_texts(batch), []
+            for i, ranges in enumerate(batch.column("ranges")):
+                starts, ends = word_places(raw[i])
                 lo, hi = (ranges.values.field(k).to_numpy() for k in (0, 1))
                 inside = np.zeros(len(starts) + 1, np.int64)
                 np.add.at(inside, np.searchsorted(starts, lo), 1)
                 np.add.at(inside, np.searchsorted(ends, hi) - words + 2, -1)
                 at = np.flatnonzero(np.cumsum(inside)[: len(starts) - words + 1] > 0)
                 at = at[ends[at + words - 1] - starts[at] < below]
-                for a, b in zip(starts[at].tolist(), ends[at + words - 1].tolist()):
-                    found.setdefault(xxhash.xxh3_128_digest(raw[a:b]), []).append((i, a, b))
-            single = [(w, *x[0]) for w, x in found.items() if len(x) == 1]
-            twice = {w: x for w, x in found.items() if len(x) > 1}
+                listed.append((np.full(len(at), i), starts[at], ends[at + words - 1]))
+            if not listed:
+                continue
+            owner, start, end = (np.concatenate(x) for x in zip(*listed))
+            held = inside_spans(batch.column("cover"), owner, start, end)
+            found: dict[bytes, list] = {}
+            for i, a, b, h in zip(owner.tolist(), start.tolist(), end.tolist(), held.tolist()):
+                found.setdefault(xxhash.xxh3_128_digest(raw[i][a:b]), []).append(None if h else (i, a, b))
+            # a passage inside a span is only counted
+            single = [(w, *x[0]) for w, x in found.items() if len(x) == 1 and x[0]]
+            twice = {w: [p for p in x if p] for w, x in found.items() if len(x) > 1 or not x[0]}
             runs: dict[int, list[tuple[int, int]]] = {}
             for x in twice.values():
                 for i, a, b in x:
@@ -173,6 +184,6 @@ def repeated_short_passages(texts: DataFrame, cover: DataFrame, folder: str, *,
             column = lambda f: pa.array([None if x is None else f(x) for x in where], pa.int64())
             yield pa.record_batch([pa.array(named[:, 0]), pa.array(named[:, 1]), pa.array(salt), column(lambda x: uid[x[0]]), column(lambda x: th[x[0]]), column(lambda x: x[1]), column(lambda x: x[2])], ["w1", "w2", "salt", "uid", "th", "start", "end"])
 
-    windows = beside(per_text, "ranges", False).mapInArrow(tidy(list_windows), "w1 long, w2 long, salt long, uid long, th long, start long, end long")
+    windows = beside(per_text, ["ranges", "cover"], False).mapInArrow(tidy(list_windows), "w1 long, w2 long, salt long, uid long, th long, start long, end long")
     again = windows.withColumn("n", F.count("*").over(Window.partitionBy("w1", "w2", "salt"))).filter("uid is not null and (salt > 0 or n > 1)")
     return written(again.groupBy("uid", "th").agg(F.collect_list(F.struct("start", "end")).alias("passages")), folder=f"{folder}/short")

@@ -58,3 +58,17 @@ def test_other_columns_stay(spark):
     found = joins.comm_cost_matrix(t, n, t["time"])
     assert found.columns == ["id", "time", "cuda", "a.b", "note", "node_id", "comm"]
     assert list(map(tuple, found.collect())) == [(1, 8, True, "a", "b", 3, round(0.09 + 8 / 12_800, 9))]
+
+
+@pytest.mark.parametrize("kind", ["comm"])
+@pytest.mark.parametrize("n_tasks, n_nodes", [(12_000, 30), (160, 20_000)])
+def test_no_side_is_broadcast_or_in_one_task(spark, kind, n_tasks, n_nodes):
+    """Whichever table is larger; a broadcast of bundles joins all of them with a row before the first pair goes on."""
+    tasks = spark.range(n_tasks).selectExpr("id", "id % 50 as time", "id % 4 = 2 as cuda")
+    nodes = spark.range(n_nodes).selectExpr("id as node_id", "element_at(array(2.0d, 1.0d, 0.5d), int(id % 3) + 1) as weight", "id * 7 % 300 as latency_ms")
+    found = MATRICES[kind](tasks, nodes)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    parts = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+    assert sum(parts) == n_tasks * n_nodes
+    assert max(parts) < sum(parts) / 3
